@@ -48,3 +48,10 @@ def text_or_empty(column: str = "text"):
 def to_shuffle_width(df: DataFrame) -> int:
     """The session's shuffle width, for salts and block counts that follow the cluster."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary file is installed (on every machine, like the libraries)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
