@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table, tokenizer_file
 from .exact_dedup import exact_dedup
 from .packing import best_fit_pack
+from .secret_scan import secret_spans
 from .simhash import simhash_components
 
 
@@ -22,10 +23,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_simhash": op9_simhash,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL = {
