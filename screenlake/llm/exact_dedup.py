@@ -39,6 +39,9 @@ def _rocksdb(spark: SparkSession):
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        # Small stores stay small on disk: no preallocated files, and commits write changes only.
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
