@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, tokenizer_file
 from .exact_dedup import exact_dedup
+from .language_id import identify
 from .packing import best_fit_pack
 from .secret_scan import secret_spans
 from .simhash import simhash_components
@@ -15,6 +16,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -29,6 +34,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_language_id": op3_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
