@@ -116,7 +116,7 @@ def _collisions(docs: DataFrame, groups: DataFrame, digest) -> DataFrame:
     order = F.coalesce(F.col("doc_id"), F.lit(_LAST))
     first = met.where(order == F.col("first_id")).select("digest", F.col("text").alias("first_text"))
     # Rows repeated with one id and digest give one text, but for a collision inside one id.
-    first = first.groupBy("digest").agg(F.min("first_text").alias("first_text"))
+    first = saved(first.groupBy("digest").agg(F.min("first_text").alias("first_text")), "dedup-first")
     return met.join(first, "digest").where(F.col("text") != F.col("first_text")).select("digest", "doc_id", "text")
 
 

@@ -51,3 +51,12 @@ ORACLE_SQL = {
         FROM t WINDOW w AS (PARTITION BY text_sha256)
     """,
 }
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
