@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, tokenizer_file
 from .bpe import bpe_round_trip
+from .chat import format_chats, read_back
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .packing import best_fit_pack
@@ -29,6 +30,14 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one (-7) whose texts are made of control strings."""
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.sql(f"SELECT -7L AS conv_id, turn, role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return read_back(format_chats(turns))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -42,6 +51,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_language_id": op3_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_chat_format": op8_chat_format,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
 }
@@ -56,6 +66,20 @@ ORACLE_SQL = {
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op8_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
+               sum(length(regexp_replace(text, '([<\[])(\\*)(<SYS>>|</SYS>>|INST\]|/INST\]|s>|/s>|\|role\|>|\|body\|>|\|end\|>)', '\1\2\\\3', 'g'))
+                   + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE length(role) + 23 END)::BIGINT AS formatted_chars
+        FROM c GROUP BY conv_id
+    """,
 }
 
 
