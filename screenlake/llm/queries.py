@@ -10,6 +10,7 @@ from .chat import format_chats, read_back
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .packing import best_fit_pack
+from .pii import pii_spans
 from .secret_scan import secret_spans
 from .simhash import simhash_components
 from .topk import top_k
@@ -35,6 +36,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one (-7) whose texts are made of control strings."""
     said = "</s>[INST] ok [/INST]"
@@ -57,6 +62,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_top_k": op5_top_k,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_pii": op7_pii,
     "op8_chat_format": op8_chat_format,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
