@@ -13,6 +13,7 @@ from .packing import best_fit_pack
 from .pii import pii_spans
 from .secret_scan import secret_spans
 from .simhash import simhash_components
+from .substring_dedup import repeated_passages
 from .topk import top_k
 
 
@@ -28,6 +29,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
     "op3_language_id": op3_language_id,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_top_k": op5_top_k,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_pii": op7_pii,
