@@ -1,6 +1,6 @@
 """Registered queries: one per operator, with the SQL they are held against."""
 
-from . import trace_queries  # noqa: F401
+from . import join_queries, trace_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
