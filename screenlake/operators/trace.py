@@ -326,7 +326,7 @@ def version_monotonicity(log: DataFrame, key: list[str], at: str) -> DataFrame:
 def nonmonotone_curve(points: DataFrame, curve: list[str], load: str, passed: str) -> DataFrame:
     """Points that pass above a load that failed."""
     failed_before = F.max(F.when(F.col(passed), 0).otherwise(1)).over(Window.partitionBy(*curve).orderBy(load).rowsBetween(Window.unboundedPreceding, -1))
-    return points.where(F.col(passed) & (failed_before == 1))
+    return points.withColumn("_failed", failed_before).where(F.col(passed) & (F.col("_failed") == 1)).drop("_failed")
 
 
 def sticky_accounting(trace: DataFrame, identity: list[str]) -> DataFrame:
