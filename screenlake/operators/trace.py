@@ -359,3 +359,21 @@ def sticky_accounting(trace: DataFrame, identity: list[str]) -> DataFrame:
             "upper_bound": on * (1 + F.greatest(F.lit(0), F.col("episodes") - 1) + F.col("race_extras")),
         }
     )
+
+
+def route_attempts(attempts: DataFrame) -> DataFrame:
+    """The route of each attempt through the checks, in order of precedence.
+
+    Columns: event_index, the tuple, status, covered, represented, result.  An uncertain directory or
+    certificate fails open; a tuple the backend has denied before (under a certain directory) is
+    rejected by the cache; a certified screen without the token rejects; the rest goes to the backend.
+    """
+    present = F.col("status") == "PRESENT"
+    learns = present & ~(F.col("covered") & ~F.col("represented")) & (F.col("result") == "CREDENTIAL_MISMATCH")
+    before = Window.partitionBy(*TUPLE).orderBy("event_index").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.coalesce(F.max(learns).over(before), F.lit(False))
+    route = (
+        F.when(~present, "FAIL_OPEN_BACKEND").when(F.col("known"), "NEGATIVE_CACHE_REJECT").when(F.col("covered") & ~F.col("represented"), "SCREEN_REJECT")
+        .when(~F.col("covered"), "FAIL_OPEN_BACKEND").when(F.col("result") == "MATCH", "BACKEND_MATCH").otherwise("BACKEND_DENY")
+    )
+    return attempts.withColumn("known", known).withColumn("route", route)
