@@ -183,3 +183,8 @@ def compare_masses(bins: DataFrame, p: str, q: str) -> DataFrame:
     total = bins.agg(F.sum(p).alias("_p"), F.sum(q).alias("_q"))
     rows = bins.crossJoin(F.broadcast(total)).select((F.col(p) / F.col("_p")).alias("p"), (F.col(q) / F.col("_q")).alias("q"))
     return rows.agg((F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("total_variation"), F.min(F.when(F.col("p") > 0, F.col("q") / F.col("p"))).alias("density_ratio"))
+
+
+def predicate_mass(bins: DataFrame, mass: str, predicate: Column) -> DataFrame:
+    """Share of a mass column on which a predicate holds."""
+    return bins.agg((F.sum(F.when(predicate, F.col(mass)).otherwise(0)) / F.sum(mass)).alias("predicate_mass"))

@@ -327,3 +327,8 @@ def _(spark, d):
 @query("e22_total_variation", f"WITH {BINS} SELECT round(sum(abs(p - q)) / 2, 9) AS total_variation, round(min(CASE WHEN p > 0 THEN q / p END), 9) AS density_ratio FROM (SELECT members / (SELECT sum(members) FROM bins)::DOUBLE AS p, others / (SELECT sum(others) FROM bins)::DOUBLE AS q FROM bins)")
 def _(spark, d):
     return rounded(M.compare_masses(_bins(spark, d), "members", "others"), 9)
+
+
+@query("e22_predicate_mass", f"WITH {BINS} SELECT round(sum(members) FILTER (bin < 7) / sum(members)::DOUBLE, 9) AS predicate_mass FROM bins")
+def _(spark, d):
+    return rounded(M.predicate_mass(_bins(spark, d), "members", F.col("bin") < 7), 9)
