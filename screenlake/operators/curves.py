@@ -9,6 +9,11 @@ from .joins import pareto_front, within_budget
 from .stats import log_t_summary, paired_log_ratio
 
 
+# The statuses of a curve.
+INVALID_ROWS, NO_BASELINE = "INVALID_MEASUREMENT_ROWS", "BASELINE_REFERENCE_INVALID"
+CENSORED, BELOW, BRACKETED = "LOWER_BOUND_CENSORED", "BELOW_TESTED_GRID", "BRACKETED"
+
+
 def safe_points(rows: DataFrame, baseline: str, keys: list[str], max_timeout: float, max_drop: float, regression: float) -> DataFrame:
     """Flags of each point, and whether it passes all: valid, timeouts, drops, latency against the baseline
     method at the same keys."""
@@ -37,8 +42,8 @@ def bracket_saturation(points: DataFrame, curve: list[str], load: str) -> DataFr
         F.bool_or(~F.col("valid")).alias("invalid"), F.bool_or(~F.coalesce("base_valid", F.lit(False))).alias("no_baseline"),
     )
     status = (
-        F.when(F.col("invalid"), "INVALID_MEASUREMENT_ROWS").when(F.col("no_baseline"), "BASELINE_REFERENCE_INVALID").when(F.col("upper").isNull(), "LOWER_BOUND_CENSORED")
-        .when(F.col("lower").isNull(), "BELOW_TESTED_GRID").otherwise("BRACKETED")
+        F.when(F.col("invalid"), INVALID_ROWS).when(F.col("no_baseline"), NO_BASELINE).when(F.col("upper").isNull(), CENSORED)
+        .when(F.col("lower").isNull(), BELOW).otherwise(BRACKETED)
     )
     known = ~(F.col("invalid") | F.col("no_baseline"))
     return out.withColumn("status", status).select(*curve, F.when(known, F.col("lower")).alias("lower"), F.when(known, F.col("upper")).alias("upper"), "nonmonotone", "status")
@@ -50,7 +55,7 @@ def summarize_saturation(brackets: DataFrame, method: str, seed: str, baseline:
     base = brackets.where(F.col(method) == baseline).select(seed, *strata, F.col("lower").alias("_l"), F.col("upper").alias("_u"))
     rows = brackets.join(base, [seed, *strata], "left")
     return rows.groupBy(method, *strata).agg(
-        F.count(F.lit(1)).alias("curves"), F.count_if(F.col("status") == "BRACKETED").alias("bracketed"), F.avg("lower").alias("mean_lower"), F.avg("upper").alias("mean_upper"),
+        F.count(F.lit(1)).alias("curves"), F.count_if(F.col("status") == BRACKETED).alias("bracketed"), F.avg("lower").alias("mean_lower"), F.avg("upper").alias("mean_upper"),
         F.avg(F.col("lower") - F.col("_u")).alias("least_difference"), F.avg(F.col("upper") - F.col("_l")).alias("greatest_difference"),
     )
 

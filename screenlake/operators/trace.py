@@ -18,7 +18,9 @@ from ..functions import scalars as S
 
 TUPLE = ["account", "generation", "version", "token"]
 SCOPE = ["account", "generation", "version"]
-NEVER_MS = 1e12  # fixed value: "time since" where there is no earlier event
+# Fixed values: "time since" where there is no earlier event; the routes of an attempt.
+NEVER_MS = 1e12
+FAIL_OPEN, CACHE_REJECT, SCREEN_REJECT, MATCHED, DENIED = "FAIL_OPEN_BACKEND", "NEGATIVE_CACHE_REJECT", "SCREEN_REJECT", "BACKEND_MATCH", "BACKEND_DENY"
 
 
 def prefix_features(attempts: DataFrame) -> DataFrame:
@@ -373,7 +375,7 @@ def route_attempts(attempts: DataFrame) -> DataFrame:
     before = Window.partitionBy(*TUPLE).orderBy("event_index").rowsBetween(Window.unboundedPreceding, -1)
     known = F.coalesce(F.max(learns).over(before), F.lit(False))
     route = (
-        F.when(~present, "FAIL_OPEN_BACKEND").when(F.col("known"), "NEGATIVE_CACHE_REJECT").when(F.col("covered") & ~F.col("represented"), "SCREEN_REJECT")
-        .when(~F.col("covered"), "FAIL_OPEN_BACKEND").when(F.col("result") == "MATCH", "BACKEND_MATCH").otherwise("BACKEND_DENY")
+        F.when(~present, FAIL_OPEN).when(F.col("known"), CACHE_REJECT).when(F.col("covered") & ~F.col("represented"), SCREEN_REJECT)
+        .when(~F.col("covered"), FAIL_OPEN).when(F.col("result") == "MATCH", MATCHED).otherwise(DENIED)
     )
     return attempts.withColumn("known", known).withColumn("route", route)
