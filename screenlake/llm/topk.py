@@ -19,7 +19,8 @@ parallel without a shuffle, and a task returns at most k rows per query.
 Defined results: vectors that are null or hold a null or non-finite component take no part; only
 vectors of one dimension meet; rows with the query's own id are no candidates; an id that repeats
 among the queries is one query (its smallest vector), among candidates each row counts; fewer
-candidates give fewer rows; an empty table gives no rows; other columns are ignored.
+candidates give fewer rows; an empty table gives no rows; other columns are ignored.  Products are exact
+while they stay below 2^53 in size.
 """
 
 from __future__ import annotations
