@@ -43,7 +43,10 @@ def read_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", "event_type", (F.get_json_object("props", "$.k").cast("long") % TOKEN_KINDS).cast("string")).alias("token"),
         "event_type", "value", (1.0 + F.col("user_id") % 2).alias("weight"),
     ).withColumns(scope)
-    first = F.row_number().over(Window.partitionBy("account", "generation", "version", "token").orderBy("event_index")) == 1
+    # Partitioned by scope, not by tuple: later windows over scopes and tuples then find their rows in
+    # place, and this window's order (token, event_index) is the one that tuple windows need.
+    before = F.lag("token").over(Window.partitionBy("account", "generation", "version").orderBy("token", "event_index"))
+    first = ~F.col("token").eqNullSafe(before)
     label = F.when(F.col("event_type") == "purchase", "VALID").when(F.col("event_type") == "signup", "NO_ACCOUNT").when(first, "INVALID_DISTINCT").otherwise("INVALID_REPEATED")
     return rows.withColumn("label", label).withColumn("result", S.label_to_result("label"))
 
