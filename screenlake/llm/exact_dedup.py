@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_RUN, saved, scratch, text_or_empty
 
 _LAST = (1 << 63) - 1
+_FILTER_BITS = 1 << 23
 
 
 def normalised(text):
@@ -107,11 +108,35 @@ def stream_groups(spark: SparkSession, arrivals_dir: str, schema, files_per_batc
     )
 
 
+def _hashed(key):
+    return F.pmod(F.xxhash64(key), F.lit(_FILTER_BITS))
+
+
+def _filter(keys: DataFrame, column: str) -> DataFrame:
+    """A Bloom filter of one hash as a table (bucket, bitmap): at most _FILTER_BITS / 8 bytes, so its
+    broadcast is bounded whatever the input.  More keys than bits only let more rows through."""
+    h = _hashed(F.col(column))
+    return saved(keys.groupBy(F.bitmap_bucket_number(h).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bitmap")), "dedup-filter")
+
+
+def _may_hold(rows: DataFrame, key: str, filter_: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: false only where the key is not among the filter's."""
+    h = _hashed(F.col(key))
+    place = F.bitmap_bit_position(h)
+    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    # The bit's own value, 2 ^ (place mod 8), as a literal table: shifts take literal widths only.
+    bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (place % 8 + 1).cast("int")).cast("long")
+    met = rows.withColumn("bucket", F.bitmap_bucket_number(h)).join(F.broadcast(filter_), "bucket", "left")
+    return met.withColumn("maybe", F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))).drop("bucket", "bitmap")
+
+
 def _collisions(docs: DataFrame, groups: DataFrame, digest) -> DataFrame:
     """Rows whose digest was seen before though their bytes differ from the kept row's:
     (digest, text).  The byte check of every hit."""
     hits = groups.where("n_rows > 1").select("digest", "first_id")
     texts = docs.select("doc_id", normalised(text_or_empty()).alias("text")).withColumn("digest", digest(F.col("text")))
+    # Most texts have no copy: a filter keeps them out of the shuffle.
+    texts = _may_hold(texts, "digest", _filter(hits, "digest")).where("maybe")
     met = saved(texts.join(hits, "digest").select("digest", "doc_id", "first_id", "text"), "dedup-hits")
     order = F.coalesce(F.col("doc_id"), F.lit(_LAST))
     first = met.where(order == F.col("first_id")).select("digest", F.col("text").alias("first_text"))
@@ -170,8 +195,10 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     )
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, F.sha2(normalised(text_or_empty()), 256).alias("key"), F.col("doc_id").cast("long").alias("id"))
-    kept = keyed.join(decided, F.col("key") == F.col("text_sha256"), "left").where(F.col("text_sha256").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))
+    keyed = _may_hold(keyed, "key", _filter(decided, "text_sha256"))
+    kept = keyed.where("maybe").join(decided, F.col("key") == F.col("text_sha256"), "left").where(F.col("text_sha256").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))
     if not decided.where("repeats").isEmpty():
         # Some rows repeat both id and text: one of each stays.
         kept = kept.where("not coalesce(repeats, false)").select("row").unionByName(kept.where("repeats").dropDuplicates(["key"]).select("row"))
-    return kept.select("row.*")
+    # What the filter rules out has no copy and never moves.
+    return keyed.where("not maybe").select("row").unionByName(kept.select("row")).select("row.*")
