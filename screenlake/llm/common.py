@@ -55,3 +55,34 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+#: Most bits of a key filter: its broadcast takes at most an eighth as many bytes (8 MB).
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame, column: str, name: str) -> DataFrame:
+    """A one-hash Bloom filter of a column's values as a table (bucket, bitmap, bits).
+
+    About eight bits a key, FILTER_BITS at most, so its broadcast is bounded whatever the input.  More
+    keys than that let more other rows through; they never lose one.
+    """
+    n = keys.count()
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (8 * n).bit_length()))
+    h = F.pmod(F.xxhash64(column), F.lit(bits))
+    table = keys.groupBy(F.bitmap_bucket_number(h).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bitmap"))
+    return saved(table.withColumn("bits", F.lit(bits)), name)
+
+
+def may_hold(rows: DataFrame, key: str, filter_: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: false only where the key is not among the filter's.  No row moves."""
+    first = filter_.select("bits").first()
+    if first is None:
+        return rows.withColumn("maybe", F.lit(False))
+    h = F.pmod(F.xxhash64(key), F.lit(first["bits"]))
+    place = F.bitmap_bit_position(h)
+    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    # The bit's own value, 2 ^ (place mod 8), from a literal table: shifts take literal widths only.
+    bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (place % 8 + 1).cast("int")).cast("long")
+    met = rows.withColumn("bucket", F.bitmap_bucket_number(h)).join(F.broadcast(filter_.drop("bits")), "bucket", "left")
+    return met.withColumn("maybe", F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))).drop("bucket", "bitmap")
