@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable
 from itertools import chain
 
@@ -34,6 +35,27 @@ _WIDEST = 64  # words of more bytes take a tree alone
 _CROWDED = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f]")  # space next to space, or at an end
 
 
+class Recent:
+    """A bounded table in two generations: what the younger lacks and the older has comes back, so
+    frequent keys stay when the older is dropped."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def turn(self) -> dict[str, bytes]:
+        """The table to use until the next turn."""
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        return self.young
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Keys in neither generation; those of the older one move to the younger."""
+        keys = keys.difference(self.young)
+        back = {k for k in keys if k in self.old}
+        self.young.update((k, self.old[k]) for k in back)
+        return keys - back
+
+
 class ByteBpe:
     """Encoder and decoder of a byte-level BPE file of the tokenizers library."""
 
@@ -47,7 +69,9 @@ class ByteBpe:
         vocab = spec["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         #: id -> bytes.  Letters outside the byte alphabet stand for themselves.
-        self.bytes_of = {i: b"".join(bytes([byte_of[c]]) if c in byte_of else c.encode() for c in t) for t, i in (vocab | self.added).items()}
+        self.bytes_of = [b""] * (1 + max((vocab | self.added).values()))
+        for t, i in (vocab | self.added).items():
+            self.bytes_of[i] = b"".join(bytes([byte_of[c]]) if c in byte_of else c.encode() for c in t)
         self.first = np.array([vocab[chr(letters[b])] for b in range(256)], np.int64)
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         a, b = (np.array([vocab[m[k]] for m in merges], np.int64) for k in (0, 1))
@@ -58,8 +82,7 @@ class ByteBpe:
         # The pattern of byte-level vocabularies.
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.parts: dict[str, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.parts, self.words = Recent(_CACHED), Recent(_CACHED)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Merge ranks of the pairs (a, b), _NONE where they don't merge."""
@@ -67,8 +90,8 @@ class ByteBpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], _NONE)
 
-    def merge_many(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of words of at most _WIDEST bytes, one tree per word and all trees in step."""
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words of at most _WIDEST bytes, one tree per word and all trees in step."""
         out: list = [None] * len(words)
         sizes = np.array([len(w) for w in words])
         width = 2
@@ -81,7 +104,7 @@ class ByteBpe:
             width *= 2
         return out
 
-    def _in_step(self, words: list[bytes], width: int) -> list[list[int]]:
+    def _in_step(self, words: list[bytes], width: int) -> list[bytes]:
         n = len(words)
         flat = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
         size = np.array([len(w) for w in words])
@@ -134,9 +157,9 @@ class ByteBpe:
                 put(rows, a, np.where(r < _NONE, (r << 16) | a, _NONE))
             live = live[tree[live, 1] < _NONE]
         kept = ids >= 0
-        flat_ids = ids[kept].tolist()
-        ends = np.cumsum(kept.sum(axis=1)).tolist()
-        return [flat_ids[s:e] for s, e in zip([0, *ends[:-1]], ends)]
+        packed = ids[kept].astype(np.uint32).tobytes()
+        ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return [packed[s:e] for s, e in zip([0, *ends[:-1]], ends)]
 
     def merge_one(self, word: bytes) -> list[int]:
         """The same tree for one word of any length."""
@@ -183,17 +206,14 @@ class ByteBpe:
             return [text] if text else []
         return [self.added.get(x, x) for x in self.split_added.split(text) if x]
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text.
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as packed unsigned 32-bit numbers.
 
         Where single spaces stand between other characters, a space and what follows it are cut
         alone by the pattern, so ``words`` can hold the ids of ' ' + word; other stretches are cut
         whole, and ``parts`` holds the ids of their pieces.
         """
-        words, parts = self.words, self.parts
-        for table in (words, parts):
-            if len(table) >= _CACHED:
-                table.clear()
+        words, parts = self.words.turn(), self.parts.turn()
         # Per text: ids of added tokens, or lists of pieces (first) and spaced words (rest).
         plan: list[list] = []
         new_words: set[str] = set()
@@ -201,42 +221,37 @@ class ByteBpe:
             steps: list = []
             for x in self._segments(text):
                 if x.__class__ is int:
-                    steps.append((x, (), ()))
+                    steps.append((array("I", [x]).tobytes(), (), ()))
                 elif _CROWDED.search(x):
-                    steps.append((None, self.cut.findall(x), ()))
+                    steps.append((b"", self.cut.findall(x), ()))
                 else:
                     first, *rest = x.split(" ")
                     new_words.update(rest)
-                    steps.append((None, self.cut.findall(first), rest))
+                    steps.append((b"", self.cut.findall(first), rest))
             plan.append(steps)
-        new_words.difference_update(words)
-        cut = {w: self.cut.findall(f" {w}") for w in new_words}
+        cut = {w: self.cut.findall(f" {w}") for w in self.words.missing(new_words)}
         wanted = {p for pieces in cut.values() for p in pieces}
         for steps in plan:
             for _, pieces, _ in steps:
                 wanted.update(pieces)
-        new = [p for p in wanted if p not in parts]
+        new = list(self.parts.missing(wanted))
         coded = [p.encode() for p in new]
         short = [i for i, c in enumerate(coded) if len(c) <= _WIDEST]
         parts.update(zip([new[i] for i in short], self.merge_many([coded[i] for i in short])))
         alone = [i for i, c in enumerate(coded) if len(c) > _WIDEST]
-        parts.update((new[i], self.merge_one(coded[i])) for i in alone)
-        words.update((w, [i for p in pieces for i in parts[p]]) for w, pieces in cut.items())
-        out = []
-        for steps in plan:
-            ids: list[int] = []
-            for token, pieces, rest in steps:
-                if token is not None:
-                    ids.append(token)
-                ids.extend(chain.from_iterable(map(parts.__getitem__, pieces)))
-                ids.extend(chain.from_iterable(map(words.__getitem__, rest)))
-            out.append(ids)
+        parts.update((new[i], array("I", self.merge_one(coded[i])).tobytes()) for i in alone)
+        ids_of = parts.__getitem__
+        words.update((w, b"".join(map(ids_of, pieces))) for w, pieces in cut.items())
+        out = [b"".join(chain.from_iterable(chain((token,), map(ids_of, pieces), map(words.__getitem__, rest)) for token, pieces, rest in steps)) for steps in plan]
         for i in alone:  # long pieces don't stay in the table
             parts.pop(new[i], None)
         for w in [w for w in cut if len(w) > _WIDEST]:
             words.pop(w, None)
         return out
 
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(b, np.uint32).tolist() for b in self.encode_packed(texts)]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that aren't UTF-8 become replacement characters."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -248,7 +263,8 @@ def bpe_encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         coder = ByteBpe(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_in_blocks(coder, b.column(1)), pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = [np.frombuffer(x, np.int32) for x in _in_blocks(coder, b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -265,17 +281,17 @@ def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def _in_blocks(coder: ByteBpe, column, size: int = 1 << 22) -> Iterable[list[int]]:
-    """Encode a column, about ``size`` characters at a time."""
+def _in_blocks(coder: ByteBpe, column, size: int = 1 << 22) -> Iterable[bytes]:
+    """Packed ids of a column, about ``size`` characters at a time."""
     block, n = [], 0
     for t in column:
         text = t.as_py() or ""
         block.append(text)
         n += len(text)
         if n >= size:
-            yield from coder.encode_batch(block)
+            yield from coder.encode_packed(block)
             block, n = [], 0
-    yield from coder.encode_batch(block)
+    yield from coder.encode_packed(block)
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -284,11 +300,13 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         coder = ByteBpe(tokenizer)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        said = [str(i) for i in range(len(coder.bytes_of))]
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for ids in _in_blocks(coder, b.column(1)):
+            for packed in _in_blocks(coder, b.column(1)):
+                ids = np.frombuffer(packed, np.uint32).tolist()
                 n.append(len(ids))
-                ids_sha.append(sha(",".join(map(str, ids))))
+                ids_sha.append(sha(",".join(map(said.__getitem__, ids))))
                 text_sha.append(sha(coder.decode(ids)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
