@@ -166,6 +166,34 @@ def test_chain_prefers_collinear_matches():
     assert [p[m] for m in best] == [0, 5, 10, 15]
 
 
+def test_chain_takes_the_best_match_within_reach():
+    r = random.Random(3)
+    far = list(range(0, 90, 5)) + list(range(160, 260, 5))  # a long passage, then another 75 words on
+    cases = [(far, [x + 7 for x in far])]
+    for _ in range(30):
+        cases.append(tuple(map(list, zip(*sorted({(r.randrange(250), r.randrange(250)) for _ in range(120)} | {(x, x) for x in range(0, 250, 5) if r.random() < 0.7})))))
+    for p, q in cases:
+        score = [0.0] * len(p)
+        for i in range(len(p)):
+            gains = [score[j] - substring_dedup.GAP_COST * (p[i] - p[j] + q[i] - q[j]) for j in range(i) if 0 < p[i] - p[j] <= substring_dedup.FARTHEST and 0 < q[i] - q[j] <= substring_dedup.FARTHEST]
+            score[i] = substring_dedup.K + max(0, max(gains, default=0))
+        found = substring_dedup.chain(p, q)
+        best = found[0]
+        got = substring_dedup.K * len(best) - substring_dedup.GAP_COST * (p[best[-1]] - p[best[0]] + q[best[-1]] - q[best[0]])
+        assert abs(got - max(score)) < 1e-6
+        assert sorted(m for c in found for m in c) == list(range(len(p)))
+    assert [len(c) for c in substring_dedup.chain(*cases[0])] == [20, 18]
+
+
+def test_later_passages_of_one_hub_are_found(spark):
+    r = random.Random(12)
+    words = lambda n: [f"{r.choice('bcdfgh')}{r.randrange(10_000)}" for _ in range(n)]
+    one, two, three = words(100), words(100), words(60)
+    rows = [(i, " ".join(words(10 * i) + one + words(60) + two + words(60) + three)) for i in (1, 2)]
+    got = sorted((x["start"], x["stop"], x["matched"]) for x in substring_dedup.repeated_passages(docs(spark, rows)).collect())
+    assert got == [(20, 120, 100), (180, 280, 100), (340, 400, 60)]
+
+
 def test_pieces_cover_a_chain():
     p = list(range(0, 1000, 7))
     parts = substring_dedup._pieces(p, [x + 50 for x in p])
