@@ -7,7 +7,10 @@ reported as they stand, and from encoded runs, which are reported only when deco
   exactly (PKCS#1, PKCS#8, SEC1), or the OpenSSH container with its length-prefixed fields;
 * ``token``: a signed token whose header decodes to a JSON object naming an algorithm and whose
   payload is a JSON object;
-* ``encoded``: base64 of text that itself holds an assignment or an access key id.
+* ``encoded``: base64 or hexadecimal of text (white space included) that itself holds an assignment or
+  an access key id.
+
+Runs wrapped over lines of one length, by line breaks or by the escapes of JSON, are joined first.
 
 Work is one pass over the texts; nothing is shuffled.  A text without a word of 20 characters and
 without a keyword costs a split and a few substring searches.
@@ -37,10 +40,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 # Both classes match maximal runs, so a least length inside the pattern drops what is too short.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
-_HEXED = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nr])+)-----END \1-----")
+_JWT = re.compile(r"(?:(?<![A-Za-z0-9_.-])|(?<=\\[nrt]))(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+# The letter of an escape is not part of the run that follows it.
+_START = r"(?:(?<=\\[nrt])|(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt]))"
+_RUN = re.compile(_START + r"[A-Za-z0-9+/_-]{24,}={0,2}")
+_LINES = re.compile(_START + r"[A-Za-z0-9+/_-]{20,}(?:(?:\r?\n|(?:\\+r)?\\+n)[ \t>]*[A-Za-z0-9+/_-]+={0,2})+")
+_BREAK = re.compile(r"(?:\r?\n|(?:\\+r)?\\+n)[ \t>]*")
+_ESCAPE = re.compile(r"\\+[nr]|\s+")
+_HEXED = re.compile(r"(?:[0-9a-f]{2}){12,}|(?:[0-9A-F]{2}){12,}")
 
 Span = tuple[str, int, int]
 
@@ -124,26 +132,75 @@ def _is_token(m: re.Match) -> bool:
     return all(isinstance(p, dict) for p in parts) and isinstance(parts[0].get("alg"), str) and bool(m[3] or parts[0]["alg"].lower() == "none")
 
 
+def _meaning(data: bytes | None) -> str | None:
+    """The kind that decoded bytes confirm, if any."""
+    if not data:
+        return None
+    if is_private_key(data):
+        return "key"
+    try:
+        inner = data.decode()
+    except UnicodeDecodeError:
+        return None
+    readable = "".join(inner.split()).replace(" ", "").isprintable()
+    return "encoded" if readable and any(k in BASE_KINDS[:2] for k, _, _ in base_spans(inner)) else None
+
+
+def _run_meaning(run: str) -> str | None:
+    """The kind of a run as base64 or, where it is all of hexadecimal digits, as those."""
+    return _meaning(_decoded(run)) or (_meaning(bytes.fromhex(run)) if _HEXED.fullmatch(run) else None)
+
+
+def _wrapped(text: str, start: int, end: int) -> list[Span]:
+    """Confirmed blocks of a stretch of lines: lines of one length, of which the first may be cut by
+    what stands before it and the last may be shorter."""
+    lines, at = [], start
+    for m in _BREAK.finditer(text, start, end):
+        lines.append((at, m.start()))
+        at = m.end()
+    lines.append((at, end))
+    size = [e - s for s, e in lines]
+    out, i = [], 0
+    while i < len(lines) - 1:
+        width = max(size[i], size[i + 1]) if i == 0 else size[i]
+        j = i + 1
+        while j < len(lines) and size[j] == width:
+            j += 1
+        for stop in (j + 1, j) if j < len(lines) and size[j] < width else (j,):
+            if stop - i > 1 and (kind := _run_meaning("".join(text[s:e] for s, e in lines[i:stop]))):
+                out.append((kind, lines[i][0], lines[stop - 1][1]))
+                i = stop
+                break
+        else:
+            # A cut first line may be no part of the block after it.
+            i = i + 1 if i == 0 and size[0] != width else j
+    return out
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Encoded candidates that decoding and parsing confirm."""
     out: list[Span] = []
     if "-----BEGIN" in text:
-        out += [("key", *m.span()) for m in _PEM.finditer(text) if is_private_key(_decoded("".join(m[2].split())) or b"")]
+        out += [("key", *m.span()) for m in _PEM.finditer(text) if is_private_key(_decoded(_ESCAPE.sub("", m[2])) or b"")]
     if "eyJ" in text:
         out += [("token", *m.span()) for m in _JWT.finditer(text) if _is_token(m)]
     taken = [(s, e) for _, s, e in out]
+    free = lambda s, e: not any(a <= s and e <= b for a, b in taken)
+    for m in _LINES.finditer(text):
+        blocks = [x for x in _wrapped(text, *m.span()) if free(*x[1:])]
+        out += blocks
+        taken += [(s, e) for _, s, e in blocks]
     for m in _RUN.finditer(text):
         s, e = m.span()
-        if any(a <= s and e <= b for a, b in taken):
-            continue
-        data = _decoded(m[0])
-        if not data:
+        if not free(s, e):
             continue
-        if is_private_key(data):
-            out.append(("key", s, e))
-        elif data.isascii() and (inner := data.decode()).isprintable() and any(k in BASE_KINDS[:2] for k, _, _ in base_spans(inner)):
-            out.append(("encoded", s, e))
-    out += [("key", *m.span()) for m in _HEXED.finditer(text) if is_private_key(bytes.fromhex(m[0]))]
+        kind = _meaning(_decoded(m[0]))
+        if not kind and s > 1 and text[s - 2] == "\\":  # no escape, but a letter of the run
+            s -= 1
+            kind = _meaning(_decoded(text[s:e]))
+        if kind:
+            out.append((kind, s, e))
+    out += [(kind, *m.span()) for m in _HEXED.finditer(text) if free(*m.span()) and (kind := _meaning(bytes.fromhex(m[0])))]
     return out
 
 

@@ -167,6 +167,25 @@ def test_confirmed_secrets():
     assert secret_scan.confirmed_spans(pem)[0] == ("key", 0, len(pem))
 
 
+def test_secrets_in_lines_escapes_and_hexadecimal(spark):
+    b64 = lambda x: base64.b64encode(x).decode()
+    wrap = lambda t, n, by="\n": by.join(t[k : k + n] for k in range(0, len(t), n))
+    whole = lambda t: [(k, t[s:e]) for k, s, e in secret_scan.confirmed_spans(t)]
+    line, settings = b64(b"password=hunter22\n"), b64(b"host = a\n\tname = b\r\n# gr\xc3\xbc\xc3\x9fe\npassword = hunter2222\n")
+    assert whole(f"x {line} y") == [("encoded", line)] and whole(settings) == [("encoded", settings)]
+    upper = b"password=hunter22".hex().upper()
+    assert whole(f"x {upper} y") == [("encoded", upper)] and whole(f"x {upper[:-2]}0G y")[:1] != [("key", upper)]
+    for by in ("\n", "\r\n", "\\n", "\\r\\n"):
+        pem = f"-----BEGIN PRIVATE KEY-----{by}{wrap(b64(PKCS8), 64, by)}{by}-----END PRIVATE KEY-----{by}"
+        assert whole(f'"private_key": "{pem}"') == [("key", pem[: -len(by)])]
+        for said, kind in ((b64(PKCS8), "key"), (PKCS1.hex().upper(), "key"), (b64(b"a comment of some length " * 5 + b"\npassword = hunter2222\n"), "encoded")):
+            block = wrap(said, 60, by)
+            assert whole(f"see{by}{block}") == [(kind, block)] and whole(f"data: {block}{by}end of it") == [(kind, block)]
+        assert whole(f"a{by}{JWT} b") == [("token", JWT)]
+    assert whole(wrap(b64(bytes(range(256))), 64)) == [] and whole("antidisestablishmentarianism\nword\nother words") == []
+    assert [r["text"] for r in secret_scan.redact_secrets(docs(spark, [f"x {line} y"])).collect()] == ["x [ENCODED] y"]
+
+
 def test_base_secrets_brute_force(spark):
     r = random.Random(6)
     words = ["token", "Password", "api_key", "APIKEY", "secret", "=", ": ", '"', "'", "AKIA", "abcdef0123", "XYZ", " ", "é", "tok", "en=", "0" * 12, "ſecret"]
