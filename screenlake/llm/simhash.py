@@ -91,16 +91,22 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def _digest():
+    """What tells the texts of rows apart."""
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, digests: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; with ``digests`` also the text's digest."""
 
     def run(batches):
         for b in batches:
             texts = b.column(1).cast(pa.binary())
             fp = np.array([fingerprint(t.as_py() or b"", width, seed) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[_digest().alias("digest")] * digests]
+    return docs.select(*columns).mapInArrow(run, "doc_id long, fp long" + ", digest string" * digests)
 
 
 class Golay:
@@ -278,16 +284,21 @@ def near_edges(distinct: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_edges, "a long, b long").distinct()
 
 
-def simhash_components(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (hex), component_id, component_size."""
-    prints = saved(fingerprints(docs, width, seed), "simhash-prints")
+def _classes(prints: DataFrame) -> DataFrame:
+    """(fp, component, component_id, component_size) of saved fingerprints; a null id counts as the last."""
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     distinct = saved(prints.groupBy("fp").agg(F.min(order).alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     edges = saved(near_edges(distinct), "simhash-edges")
     member = components(edges)  # (node, component) of linked fingerprints
     labelled = distinct.join(member, distinct.fp == member.node, "left").select("fp", "first_id", "n", F.coalesce("component", "fp").alias("component"))
     named = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("component_size"))
-    classes = saved(labelled.select("fp", "component").join(named, "component").select("fp", "component_id", "component_size"), "simhash-classes")
+    return saved(labelled.select("fp", "component").join(named, "component").select("fp", "component", "component_id", "component_size"), "simhash-classes")
+
+
+def simhash_components(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint (hex), component_id, component_size."""
+    prints = saved(fingerprints(docs, width, seed), "simhash-prints")
+    classes = _classes(prints)
     return prints.join(classes, "fp").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
@@ -297,7 +308,21 @@ def simhash_components(docs: DataFrame, width: int = 4, seed: int = 42) -> DataF
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row (the smallest ``doc_id``) of each component, all columns kept."""
-    found = simhash_components(docs)
-    gone = saved(found.where("not doc_id <=> component_id").select(F.col("doc_id").alias("gone")).distinct(), "simhash-gone")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone")), "left_anti")
+    """``docs`` with one row (the smallest ``doc_id``) of each component, all columns kept.
+
+    Rows are told apart by id and text: of a component's rows with the smallest id the least digest
+    stays, and one of the rows that repeat both.  A component of null ids keeps one row like any other.
+    """
+    prints = saved(fingerprints(docs, digests=True), "simhash-prints")
+    several = _classes(prints).where("component_size > 1").select("fp", "component")
+    rows = saved(prints.join(several, "fp").groupBy("component", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n")), "simhash-rows")
+    least = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least"))
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest"))
+    decided = rows.join(least, "component").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), kept.alias("_kept"), "n")
+    decided = saved(decided.where("not _kept or n > 1").drop("n"), "simhash-decided")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_own"), _digest().alias("_key"))
+    met = keyed.join(decided, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")), "left").where("coalesce(_kept, true)")
+    if decided.where("_kept").isEmpty():
+        return met.select("_row.*")
+    # Some kept rows repeat both id and text: one of each stays.
+    return met.where("_kept is null").select("_row").unionByName(met.where("_kept").dropDuplicates(["_own", "_key"]).select("_row")).select("_row.*")

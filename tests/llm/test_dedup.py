@@ -136,6 +136,16 @@ def test_simhash_components(spark):
     assert kept == {v for (i, _), v in got.items() if i is not None}
 
 
+def test_near_copies_go_row_by_row(spark):
+    r = random.Random(21)
+    one, two, three, four = (" ".join(f"w{r.randrange(10_000)}" for _ in range(200)) for _ in range(4))
+    rows = [(3, one), (5, one.upper()), (5, two), (None, one), (None, three), (None, four), (None, four), (None, four.upper()), (8, None), (8, ""), (9, " ")]
+    kept = simhash.drop_near_copies(docs(spark, rows))
+    assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    got = sorted((x["doc_id"] or 0, (x["text"] or "").lower()) for x in kept.collect())
+    assert got == sorted([(3, one), (5, two), (0, three), (0, four), (8, "")])
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
