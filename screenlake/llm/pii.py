@@ -1,19 +1,21 @@
 """Personal data: patterns, and information-theoretic sanitisation of what reveals them.
 
 The base finds emails, IP addresses, card numbers and phone numbers.  Their values are the protected
-entities.  The method then asks of every word near an entity how much of the entity's information
-the word discloses, from counts over the whole corpus:
+entities.  The method then asks of every word of a text with an entity how much of the entity's
+information the word discloses, from counts over the whole corpus:
 
     IC(c) = -log2 p(c),   PMI(c, t) = log2 ( p(c, t) / (p(c) p(t)) ),   disclosure = PMI / IC
 
-p(t) is the share of documents that hold term t, p(c) and p(c, t) the shares of different contexts
-(windows of words) of entity c, and of those with t.  Disclosure is 1 when the term
-occurs only with the entity.  A term seen in at least ``SUPPORT`` different contexts of the
-entity whose disclosure reaches ``GENERALISE`` is reported (kind ``term``) where it stands by that
-entity; sanitised text shows a placeholder for it, and nothing from ``REMOVE`` up.
+p(c), p(t) and p(c, t) are the shares of different texts that hold entity c, term t, and both.
+Disclosure is 1 when the term occurs only with the entity.  A term seen with the entity in at least
+``SUPPORT`` different texts, or in as many different contexts (``WINDOW`` words on each side of the
+entity) of one text, whose disclosure reaches ``GENERALISE`` is reported (kind ``term``) wherever it
+stands in texts that hold both; sanitised text shows a placeholder for it, and nothing from
+``REMOVE`` up.
 
-Contexts that repeat word for word count once, so copies are no evidence.  Terms are counted
-with partial aggregation; texts are never shuffled.
+Texts that are equal but for case and white space count once, so copies are no evidence.  Terms are
+counted with partial aggregation.  A term in more than n_c (n / n_c) ^ (1 - GENERALISE) texts cannot reach
+the bound, so it is left out before pairs are counted.  Only texts with copies are shuffled, once.
 
 Defined results: null text counts as empty; offsets are code points, ends exclusive; repeated or
 null ids give a row each; an empty table gives no rows; other columns are ignored.
@@ -23,12 +25,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import SPACE_RUN, key_filter, may_hold, saved
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "term")
@@ -84,27 +87,32 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _DIGITS.sub('', value)}"
 
 
-def contexts(text: str, found: list[Span]) -> list[tuple[str, str, list[tuple[str, int, int]]]]:
-    """(entity, context digest, terms with their places) for each base span of a text."""
+def contexts(text: str, found: list[Span]) -> tuple[list[tuple[str, str, list[str]]], list[tuple[str, int, int]]]:
+    """((entity, context digest, its terms) for each base span, (term, start, stop) outside the spans)."""
+    if not found:
+        return [], []
+    words = [(m[0].lower(), *m.span()) for m in _TERM.finditer(text)]
+    starts, stops = [s for _, s, _ in words], [e for _, _, e in words]
+    inside = [False] * len(words)
+    for _, s, e in found:
+        k = bisect_right(stops, s)
+        while k < len(words) and starts[k] < e:
+            inside[k] = True
+            k += 1
     out = []
-    inside = [(s, e) for _, s, e in found]
     for kind, start, end in found:
-        # Words within reach: so many characters on each side hold the window in all but odd texts.
-        low, high = max(0, start - 40 * WINDOW), min(len(text), end + 40 * WINDOW)
-        before = [m for m in _TERM.finditer(text, low, start) if m.start() > low or low == 0][-WINDOW:]
-        after = [m for m in _TERM.finditer(text, end, high) if m.end() < high or high == len(text)][:WINDOW]
-        terms = [(m[0].lower(), *m.span()) for m in before + after if not any(s < m.end() and m.start() < e for s, e in inside)]
-        digest = hashlib.md5(" ".join(t for t, _, _ in terms).encode()).hexdigest()[:16]
-        out.append((entity(kind, text[start:end]), digest, terms))
-    return out
+        low, high = bisect_right(stops, start), bisect_left(starts, end)
+        near = [words[k][0] for k in (*range(max(0, low - WINDOW), low), *range(high, min(len(words), high + WINDOW))) if not inside[k]]
+        out.append((entity(kind, text[start:end]), hashlib.md5(" ".join(near).encode()).hexdigest()[:16], near))
+    return out, [w for w, skip in zip(words, inside) if not skip]
 
 
 _PLACE = pa.struct([("term", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
-_CONTEXT = pa.struct([("entity", pa.string()), ("context", pa.string()), ("terms", pa.list_(_PLACE))])
+_CONTEXT = pa.struct([("entity", pa.string()), ("context", pa.string()), ("terms", pa.list_(pa.string()))])
 _SPAN = pa.struct([("start", pa.int64()), ("kind_order", pa.int32()), ("stop", pa.int64())])
 _SCHEMA = (
     "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:long,kind_order:int,stop:long>>, "
-    "contexts array<struct<entity:string,context:string,terms:array<struct<term:string,start:long,stop:long>>>>"
+    "contexts array<struct<entity:string,context:string,terms:array<string>>>, words array<struct<term:string,start:long,stop:long>>, digest string"
 )
 
 
@@ -112,58 +120,84 @@ def joined(found: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in found)
 
 
+def _digest():
+    """One digest for texts that are equal but for case and white space."""
+    return F.md5(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), SPACE_RUN, " ")))
+
+
 def _scan(docs: DataFrame, with_text: bool) -> DataFrame:
-    """Pass over the texts: base spans and contexts of entities, saved, with a key per row."""
+    """Pass over the texts: base spans, contexts of entities and, where there are any, the places of all
+    terms; saved, with a key per row."""
 
     def run(batches):
         for b in batches:
-            columns: list[list] = [[] for _ in range(7)]
+            columns: list[list] = [[] for _ in range(8)]
             for text in b.column(1):
                 text = text.as_py() or ""
                 found = base_spans(text)
                 values = [sum(k == kind for k, _, _ in found) for kind in BASE_KINDS]
-                values += [hashlib.sha256(joined(found).encode()).hexdigest(), [(s, KINDS.index(k), e) for k, s, e in found], contexts(text, found)]
+                values += [hashlib.sha256(joined(found).encode()).hexdigest(), [(s, KINDS.index(k), e) for k, s, e in found], *contexts(text, found)]
                 for column, value in zip(columns, values):
                     column.append(value)
             spans = pa.array([[dict(zip(("start", "kind_order", "stop"), x)) for x in v] for v in columns[5]], pa.list_(_SPAN))
-            near = pa.array([[{"entity": e, "context": c, "terms": [dict(zip(("term", "start", "stop"), t)) for t in ts]} for e, c, ts in v] for v in columns[6]], pa.list_(_CONTEXT))
-            out = [b.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string()), spans, near]
-            names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "contexts"]
+            near = pa.array([[{"entity": e, "context": c, "terms": ts} for e, c, ts in v] for v in columns[6]], pa.list_(_CONTEXT))
+            words = pa.array([[dict(zip(("term", "start", "stop"), t)) for t in v] for v in columns[7]], pa.list_(_PLACE))
+            out = [b.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string()), spans, near, words, b.column(2)]
+            names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "contexts", "words", "digest"]
             yield pa.RecordBatch.from_arrays(out + ([b.column(1)] if with_text else []), names + (["text"] if with_text else []))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _digest().alias("digest"))
     return saved(rows.mapInArrow(run, _SCHEMA + ", text string" * with_text).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
 
 
-def disclosure(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the pairs with enough support; ``near`` has (entity, context, term)."""
-    seen = near.select("entity", "context", "term").distinct()
-    together = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= SUPPORT)
-    entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    pairs = saved(together.join(entities, "entity"), "pii-pairs")
-    n = docs.count()
-    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^\p{L}]+"))
-    terms = docs.select(F.explode(words).alias("term")).where(F.length("term") >= 4).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    counted = pairs.join(terms, "term")
-    pmi = F.log2(F.col("n_ct") * F.lit(float(n)) / (F.col("n_c") * F.col("n_t")))
-    return counted.select("entity", "term", (pmi / F.nullif(F.log2(F.lit(float(n)) / F.col("n_c")), F.lit(0.0))).alias("disclosure"))
+def _term_counts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(term, n_t): in how many different texts a term stands; ``repeated`` has the digests met more than once."""
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _digest().alias("digest"))
+    marked = may_hold(texts, "digest", key_filter(repeated, "digest", "pii-filter"))
+    once = marked.where("not maybe").select("text").unionByName(marked.where("maybe").dropDuplicates(["digest"]).select("text"))
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    return saved(once.select(F.explode(words).alias("term")).where(F.length("term") >= 4).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "pii-words")
+
+
+def disclosure(docs: DataFrame, scan: DataFrame) -> DataFrame:
+    """(digest, term, disclosure) of the terms of each text that disclose an entity it holds."""
+    digests = saved(scan.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), "pii-digests")
+    n = F.lit(float(digests.count()))
+    counts = _term_counts(docs, digests.where("copies > 1").select("digest"))
+    held = scan.where(F.size("contexts") > 0)
+    entities = held.select("digest", F.explode(F.array_distinct("contexts.entity")).alias("entity")).distinct()
+    sizes = saved(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")), "pii-entities")
+    # The most texts a term may stand in: disclosure is 1 - log(n_t / n_ct) / log(n / n_c), and n_ct <= n_c.
+    reach = F.col("n_c") * F.pow(n / F.col("n_c"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    several = saved(entities.join(sizes.where(F.col("n_c") >= SUPPORT), "entity").select("digest", "entity", "n_c", reach.alias("reach")), "pii-held")
+    terms = held.select("digest", F.explode(F.array_distinct("words.term")).alias("term")).join(several.select("digest").distinct(), "digest", "left_semi").distinct()
+    terms = terms.join(counts.where(F.col("n_t") >= SUPPORT), "term")
+    together = saved(terms.join(several, "digest").where("n_t <= reach").select("digest", "entity", "term"), "pii-together")
+    pairs = together.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= SUPPORT)
+    # Different contexts in one text: the term and the entity meet in that text, so n_ct is 1 there.
+    near = held.select("digest", F.explode("contexts").alias("c")).select("digest", "c.entity", "c.context", F.explode("c.terms").alias("term"))
+    near = near.groupBy("entity", "term").agg(F.min("digest").alias("digest"), F.max("digest").alias("last"), F.min("context").alias("a"), F.max("context").alias("b"))
+    near = saved(near.where("digest = last and a <> b").select("digest", "entity", "term"), "pii-near")
+    pairs = pairs.unionByName(near.select("entity", "term", F.lit(1).cast("long").alias("n_ct"))).groupBy("entity", "term").agg(F.max("n_ct").alias("n_ct"))
+    share = 1 - F.log2(F.greatest(F.col("n_t") / F.col("n_ct"), F.lit(1.0))) / F.nullif(F.log2(n / F.col("n_c")), F.lit(0.0))
+    telling = pairs.join(counts, "term").join(sizes, "entity").select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    met = together.unionByName(near).join(saved(telling, "pii-telling"), ["entity", "term"])
+    return saved(met.groupBy("digest", "term").agg(F.max("disclosure").alias("disclosure")), "pii-terms")
 
 
 def _found(docs: DataFrame, with_text: bool) -> DataFrame:
     scan = _scan(docs, with_text)
-    places = scan.where(F.size("contexts") > 0).select("row", F.explode("contexts").alias("c")).select("row", "c.entity", "c.context", F.explode("c.terms").alias("t"))
-    places = saved(places.select("row", "entity", "context", "t.term", "t.start", "t.stop"), "pii-places")
-    telling = saved(disclosure(docs, places).where(F.col("disclosure") >= GENERALISE), "pii-telling")
+    telling = disclosure(docs, scan)
+    places = scan.where(F.size("words") > 0).select("row", "digest", F.explode("words").alias("w")).select("row", "digest", "w.term", "w.start", "w.stop")
     order = KINDS.index("term")
-    terms = places.join(telling, ["entity", "term"]).groupBy("row", "start", "stop").agg(F.max("disclosure").alias("disclosure"))
-    terms = terms.groupBy("row").agg(
+    terms = places.join(telling, ["digest", "term"]).groupBy("row").agg(
         F.collect_list(F.struct("start", F.lit(order).cast("int").alias("kind_order"), "stop")).alias("terms"),
         F.collect_list(F.when(F.col("disclosure") >= REMOVE, F.col("start"))).alias("removed"),
     )
     kinds = F.array(*map(F.lit, KINDS))
     said = lambda s: F.concat_ws(":", F.element_at(kinds, s["kind_order"] + 1), s["start"].cast("string"), s["stop"].cast("string"))
     every = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast("array<struct<start:long,kind_order:int,stop:long>>"))))
-    return scan.join(saved(terms, "pii-terms"), "row", "left").withColumn("every", every).withColumn("spans", F.array_join(F.transform("every", said), ","))
+    return scan.join(saved(terms, "pii-spans"), "row", "left").withColumn("every", every).withColumn("spans", F.array_join(F.transform("every", said), ","))
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:

@@ -235,6 +235,14 @@ def test_revealing_terms_are_found_and_common_ones_left(spark):
     assert "zorblax" not in out[0]["text"] and "[EMAIL]" in out[0]["text"] and out[10]["text"] == rows[10]
 
 
+def test_copies_leave_terms_as_they_are(spark):
+    filler = ["meeting tomorrow morning", "project budget review", "weather seems lovely", "dinner plans again"]
+    rows = [f"{filler[i]} zorblax wrote anna@example.com {filler[i + 1]} {i}" for i in range(2)] + [f"{f} number {k}" for k in range(60) for f in filler]
+    spans = lambda texts: {texts[x["doc_id"]].lower().strip(): x["spans"] for x in pii.pii_spans(docs(spark, texts)).collect()}
+    once, many = spans(rows), spans(rows + rows[:2] * 40 + [t.upper() for t in rows[5:7]])
+    assert ",term:" in once[rows[0].lower()] and all(many[t] == v for t, v in once.items() if "@" in t)
+
+
 def test_chats(spark):
     r = random.Random(9)
     bits = [*chat.CONTROL, "\\", "<", "[", "text", "\n", "é", "<\\s>", "[\\\\INST]", "|>"]
