@@ -243,6 +243,20 @@ def test_copies_leave_terms_as_they_are(spark):
     assert ",term:" in once[rows[0].lower()] and all(many[t] == v for t, v in once.items() if "@" in t)
 
 
+def test_terms_far_from_their_entity_are_found(spark):
+    filler = ["meeting tomorrow morning", "project budget review", "weather seems lovely", "dinner plans again"]
+    body = lambda k: " ".join(filler[(k + j) % 4] for j in range(60))
+    letters = [f"Zorblax writes. {body(k)} zorblax {body(k + 1)} call +49 30 1234567, number {k}" for k in range(3)]
+    wide = f"{body(0)} quuxbar{' ' * 900}+49 40 7654321 first {body(1)} quuxbar{' ' * 900}+49 40 7654321 second"
+    rows = letters + [wide] + [f"{f} writes call number {k}" for k in range(60) for f in filler]
+    for x in pii.pii_spans(docs(spark, rows)).collect():
+        text = rows[x["doc_id"]]
+        found = [text[int(s) : int(e)].lower() for k, s, e in (y.split(":") for y in x["spans"].split(",") if y) if k == "term"]
+        assert found.count("zorblax") == 2 * (x["doc_id"] < 3) and found.count("quuxbar") == 2 * (x["doc_id"] == 3)
+        assert not {"meeting", "budget", "weather"} & set(found)
+    assert "orblax" not in pii.sanitise(docs(spark, rows)).where("doc_id = 0").first()["text"]
+
+
 def test_chats(spark):
     r = random.Random(9)
     bits = [*chat.CONTROL, "\\", "<", "[", "text", "\n", "é", "<\\s>", "[\\\\INST]", "|>"]
