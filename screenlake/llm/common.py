@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,11 +16,13 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder path under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset (local
-    tests, where driver and tasks are one process) a temporary folder is chosen.
+    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset and driver and tasks are
+    one process (local tests) a temporary folder is chosen; a cluster without it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -64,8 +67,9 @@ FILTER_BITS = 1 << 26
 def key_filter(keys: DataFrame, column: str, name: str) -> DataFrame:
     """A one-hash Bloom filter of a column's values as a table (bucket, bitmap, bits).
 
-    About eight bits a key, FILTER_BITS at most, so its broadcast is bounded whatever the input.  More
-    keys than that let more other rows through; they never lose one.
+    About eight bits a key, FILTER_BITS at most, so its broadcast is bounded whatever the input.  With
+    more keys than FILTER_BITS / 8 it lets a rising share of other rows through, in the end all of them:
+    what it saves then is nothing, and the join behind it moves each row once.  It never loses one.
     """
     n = keys.count()
     bits = min(FILTER_BITS, max(1 << 15, 1 << (8 * n).bit_length()))

@@ -2,14 +2,16 @@
 
 Method: the documents' digests arrive as a stream; a stateful aggregation on disk-backed
 (RocksDB) state, without watermark and so without expiry, keeps for every digest the
-smallest document id, the locator of that row and the number of rows.  A digest seen more
-than once is a hit, and on hits the full normalised bytes are compared with the kept row's.
-Only DataFrame operations are used.
+smallest document id, the locator of that row's content (file and row in it) and the number of
+rows.  A digest seen more than once is a hit, and each batch of the stream compares the full
+normalised bytes of its hits with those at the kept row's locator.  Only DataFrame operations
+are used.
 
 Why it scales: what is shuffled for grouping is one short row per digest and task
 (map-side partial aggregation), so a text that a third of all rows share costs no more than
 any other.  Texts move only for the byte check, in an equi-join whose hot keys adaptive
-execution splits.
+execution splits.  A bounded filter keeps texts without a copy out of it; from some eight million repeated
+digests on it lets more and more of them through, and the join then moves every text once.
 
 Defined results: null text counts as empty; null ``doc_id`` sorts last; rows repeated with
 one ``doc_id`` and text keep one of them; an empty table gives no rows; further columns of
@@ -20,13 +22,14 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, saved, scratch, text_or_empty
+from .common import SPACE_RUN, key_filter, may_hold, saved, scratch, text_or_empty
 
 _LAST = (1 << 63) - 1
-_FILTER_BITS = 1 << 23
+_STATE = "digest string, first_id long, first_locator struct<file:string,row:long>, n_rows long"
 
 
 def normalised(text):
@@ -39,7 +42,8 @@ def _rocksdb(spark: SparkSession):
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+        "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
         # Small stores stay small on disk: no preallocated files, and commits write changes only.
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -59,35 +63,56 @@ def keyed_state(arrivals: DataFrame) -> DataFrame:
     """Per digest: smallest id, its locator, number of rows.
 
     ``arrivals`` (digest, doc_id, locator) may be a stream: then this is the stateful
-    operator, whose state is one fixed-width row per digest and never expires.
+    operator, whose state is one short row per digest and never expires.
     """
-    order = F.coalesce(F.col("doc_id"), F.lit(_LAST))
+    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(_LAST)), "locator")
     return arrivals.groupBy("digest").agg(
-        F.min(order).alias("first_id"),
+        F.min(F.coalesce(F.col("doc_id"), F.lit(_LAST))).alias("first_id"),
         F.min_by("locator", order).alias("first_locator"),
         F.count(F.lit(1)).alias("n_rows"),
     )
 
 
-def stream_groups(spark: SparkSession, arrivals_dir: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    """Run the stateful stream over the files of ``arrivals_dir`` until all are read, and
-    return the last state of every digest.
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_locator``: the file and the row in it.  Rows that come from no file are written first."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return docs.select("*", place.alias("_locator"))
+    except AnalysisException:
+        return saved(docs, "dedup-rows").select("*", place.alias("_locator"))
+
+
+def _empty_groups(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], _STATE)
+
+
+def stream_groups(arrivals: DataFrame, check, files_per_batch: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Run the stateful stream over the files of ``arrivals`` until all are read.
+
+    Returns the last state of every digest, and what ``check`` found: each batch hands it the state of the
+    digests that the batch met again, and it returns (digest, text_sha256) of the rows that are no copies.
 
     State and progress live in the shared checkpoint folder, so a query that is stopped goes on
     from its last batch.  Each batch is written to a folder of its own; a batch that is repeated
     after a failure overwrites its folder.
     """
-    out, progress = scratch(spark, "dedup-state"), scratch(spark, "dedup-progress")
-    reader = spark.readStream.schema(schema)
+    spark = arrivals.sparkSession
+    files = arrivals.inputFiles()
+    if not files:
+        return _empty_groups(spark), None
+    out, wrong, progress = (scratch(spark, f"dedup-{name}") for name in ("state", "collisions", "progress"))
+    reader = spark.readStream.schema(arrivals.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        hits = spark.read.schema(_STATE).parquet(f"{out}/batch={batch_id}").where("n_rows > 1")
+        check(hits).write.mode("overwrite").parquet(f"{wrong}/batch={batch_id}")
 
     with _rocksdb(spark):
         query = (
-            keyed_state(reader.parquet(arrivals_dir))
+            keyed_state(reader.parquet(files[0].rsplit("/", 1)[0]))
             .writeStream.outputMode("update")
             .option("checkpointLocation", progress)
             .trigger(availableNow=True)
@@ -96,53 +121,27 @@ def stream_groups(spark: SparkSession, arrivals_dir: str, schema, files_per_batc
         )
         query.awaitTermination()
         batches = query.lastProgress["batchId"] + 1 if query.lastProgress else 0
-    state = "digest string, first_id long, first_locator long, n_rows long"
     if not batches:
-        return spark.createDataFrame([], state)
-    found = spark.read.schema(f"{state}, batch int").parquet(out)
+        return _empty_groups(spark), None
+    found = spark.read.schema(f"{_STATE}, batch int").parquet(out)
+    bad = spark.read.schema("digest string, text_sha256 string, batch int").parquet(wrong).drop("batch")
     if batches == 1:
-        return found.drop("batch")
+        return found.drop("batch"), bad
     # A digest is reported by every batch that touched it; its count only rises.
-    return found.groupBy("digest").agg(
-        F.max_by("first_id", "n_rows").alias("first_id"), F.max_by("first_locator", "n_rows").alias("first_locator"), F.max("n_rows").alias("n_rows")
-    )
+    last = [F.max_by(c, "n_rows").alias(c) for c in ("first_id", "first_locator")]
+    return found.groupBy("digest").agg(*last, F.max("n_rows").alias("n_rows")), bad.distinct()
 
 
-def _hashed(key):
-    return F.pmod(F.xxhash64(key), F.lit(_FILTER_BITS))
-
-
-def _filter(keys: DataFrame, column: str) -> DataFrame:
-    """A Bloom filter of one hash as a table (bucket, bitmap): at most _FILTER_BITS / 8 bytes, so its
-    broadcast is bounded whatever the input.  More keys than bits only let more rows through."""
-    h = _hashed(F.col(column))
-    return saved(keys.groupBy(F.bitmap_bucket_number(h).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bitmap")), "dedup-filter")
-
-
-def _may_hold(rows: DataFrame, key: str, filter_: DataFrame) -> DataFrame:
-    """``rows`` with ``maybe``: false only where the key is not among the filter's."""
-    h = _hashed(F.col(key))
-    place = F.bitmap_bit_position(h)
-    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    # The bit's own value, 2 ^ (place mod 8), as a literal table: shifts take literal widths only.
-    bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (place % 8 + 1).cast("int")).cast("long")
-    met = rows.withColumn("bucket", F.bitmap_bucket_number(h)).join(F.broadcast(filter_), "bucket", "left")
-    return met.withColumn("maybe", F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))).drop("bucket", "bitmap")
-
-
-def _collisions(docs: DataFrame, groups: DataFrame, digest) -> DataFrame:
-    """Rows whose digest was seen before though their bytes differ from the kept row's:
-    (digest, text).  The byte check of every hit."""
-    hits = groups.where("n_rows > 1").select("digest", "first_id")
-    texts = docs.select("doc_id", normalised(text_or_empty()).alias("text")).withColumn("digest", digest(F.col("text")))
+def differing(rows: DataFrame, hits: DataFrame, digest) -> DataFrame:
+    """The byte check of hits: (digest, text_sha256) of the rows of ``rows`` (text, _locator) whose digest is
+    among ``hits`` though their bytes differ from those at the kept row's locator."""
+    texts = rows.withColumn("digest", digest(F.col("text")))
     # Most texts have no copy: a filter keeps them out of the shuffle.
-    texts = _may_hold(texts, "digest", _filter(hits, "digest")).where("maybe")
-    met = saved(texts.join(hits, "digest").select("digest", "doc_id", "first_id", "text"), "dedup-hits")
-    order = F.coalesce(F.col("doc_id"), F.lit(_LAST))
-    first = met.where(order == F.col("first_id")).select("digest", F.col("text").alias("first_text"))
-    # Rows repeated with one id and digest give one text, but for a collision inside one id.
-    first = saved(first.groupBy("digest").agg(F.min("first_text").alias("first_text")), "dedup-first")
-    return met.join(first, "digest").where(F.col("text") != F.col("first_text")).select("digest", "doc_id", "text")
+    texts = may_hold(texts, "digest", key_filter(hits, "digest", "dedup-filter")).where("maybe")
+    met = saved(texts.join(hits, "digest").select("digest", "_locator", "first_locator", "text"), "dedup-hits")
+    first = met.where(F.col("_locator") == F.col("first_locator")).select("digest", F.col("text").alias("first_text"))
+    other = met.join(first, "digest").where(F.col("text") != F.col("first_text"))
+    return other.select("digest", F.sha2("text", 256).alias("text_sha256")).distinct()
 
 
 def exact_dedup(docs: DataFrame, files_per_batch: int | None = None, digest=None) -> DataFrame:
@@ -151,27 +150,18 @@ def exact_dedup(docs: DataFrame, files_per_batch: int | None = None, digest=None
     ``digest`` maps the normalised text to the key of the state; SHA-256 unless a test
     passes a weaker one to force collisions, which the byte check then resolves by text.
     """
-    spark = docs.sparkSession
     digest = digest or (lambda t: F.sha2(t, 256))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text_or_empty()).alias("text"))
-    arrivals = saved(
-        rows.select("doc_id", F.monotonically_increasing_id().alias("locator"), digest(F.col("text")).alias("digest"), F.sha2("text", 256).alias("text_sha256")),
-        "dedup-arrivals",
-    )
-    path = arrivals.inputFiles()
-    if not path:
-        groups = spark.createDataFrame([], "digest string, first_id long, first_locator long, n_rows long")
-    else:
-        groups = saved(stream_groups(spark, path[0].rsplit("/", 1)[0], arrivals.schema, files_per_batch), "dedup-groups")
-    bad = saved(_collisions(docs, groups, digest), "dedup-collisions")
-    if bad.isEmpty():
+    rows = located(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    rows = rows.withColumn("text", normalised(text_or_empty()))
+    arrivals = saved(rows.select("doc_id", F.col("_locator").alias("locator"), digest(F.col("text")).alias("digest"), F.sha2("text", 256).alias("text_sha256")), "dedup-arrivals")
+    groups, bad = stream_groups(arrivals, lambda hits: differing(rows, hits, digest), files_per_batch)
+    if bad is None or bad.isEmpty():
         return _labelled(arrivals, groups)
     # Different bytes under one digest: those rows get the digest of their own bytes as key.
-    other = bad.select("digest", F.sha2("text", 256).alias("text_sha256")).distinct()
-    split = arrivals.join(other.withColumn("other", F.lit(True)), ["digest", "text_sha256"], "left").select(
+    split = arrivals.join(bad.withColumn("other", F.lit(True)), ["digest", "text_sha256"], "left").select(
         "doc_id", "locator", F.when(F.col("other"), F.concat_ws(":", "digest", "text_sha256")).otherwise(F.col("digest")).alias("digest"), "text_sha256"
     )
-    return _labelled(split, keyed_state(split))
+    return _labelled(split, saved(keyed_state(split), "dedup-groups"))
 
 
 def _labelled(arrivals: DataFrame, groups: DataFrame) -> DataFrame:
@@ -195,7 +185,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     )
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, F.sha2(normalised(text_or_empty()), 256).alias("key"), F.col("doc_id").cast("long").alias("id"))
-    keyed = _may_hold(keyed, "key", _filter(decided, "text_sha256"))
+    keyed = may_hold(keyed, "key", key_filter(decided, "text_sha256", "dedup-filter"))
     kept = keyed.where("maybe").join(decided, F.col("key") == F.col("text_sha256"), "left").where(F.col("text_sha256").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))
     if not decided.where("repeats").isEmpty():
         # Some rows repeat both id and text: one of each stays.
