@@ -43,6 +43,8 @@ _ESCAPE = rf"([<\[])(\\*)({_REST})"
 _UNESCAPE = re.compile(rf"([<\[])(\\*)\\({_REST})")
 _OPEN = {pair[0]: (role, pair[1]) for role, pair in MARKS.items()}
 _MARK = re.compile("|".join(re.escape(c) for c in sorted(CONTROL, key=len, reverse=True)))
+_SLICE = 1 << 20  # bytes copied by one set of indices
+_BATCH = 64 << 20  # bytes of texts assembled at once, but for a longer single text
 PARTS = "conv_id long, task int, place long, n_turns long, formatted string, loss array<struct<start:long,stop:long>>, edge boolean"
 
 
@@ -57,8 +59,18 @@ def unescape(text: str) -> str:
 def _copy(out: np.ndarray, to: np.ndarray, source: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
     """Scatter source[start : start + length] to out[to : to + length], all rows at once."""
     ends = np.cumsum(length)
-    inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
-    out[np.repeat(to, length) + inside] = source[np.repeat(start, length) + inside]
+    # Indices take several words a byte, so they are made for _SLICE bytes at a time; a row of more is one range.
+    first = 0
+    while first < len(ends):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + _SLICE, "right")))
+        if last == first + 1:
+            out[to[first] : to[first] + length[first]] = source[start[first] : start[first] + length[first]]
+        else:
+            n = length[first:last]
+            inside = np.arange(ends[last - 1] - done) - np.repeat(ends[first:last] - n - done, n)
+            out[np.repeat(to[first:last], n) + inside] = source[np.repeat(start[first:last], n) + inside]
+        first = last
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,12 +118,25 @@ def assemble(role: pa.Array, text: pa.Array, part: np.ndarray) -> tuple[pa.Array
     return formatted, start, start + body_c
 
 
+def _bounded(batch: pa.RecordBatch):
+    """A batch of turns in runs of rows whose texts have at most _BATCH bytes; one longer text goes alone.
+
+    Offsets of the formatted column are 32-bit numbers, which one run can then not exceed.
+    """
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(3)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _BATCH, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def format_parts(turns: DataFrame) -> DataFrame:
     """Parts of conversations: see the module's text.  (task, place) orders a conversation's parts."""
 
     def run(batches):
         task, place = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in (x for whole in batches for x in _bounded(whole)):
             n = b.num_rows
             if not n:
                 continue
