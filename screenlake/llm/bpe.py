@@ -20,6 +20,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -257,11 +258,17 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@lru_cache(1)
+def coder_of(path: str) -> ByteBpe:
+    """One coder for all tasks of a Python worker."""
+    return ByteBpe(path)
+
+
 def bpe_encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, ids): the token ids of every whole text."""
 
     def run(batches):
-        coder = ByteBpe(tokenizer)
+        coder = coder_of(tokenizer)
         for b in batches:
             ids = [np.frombuffer(x, np.int32) for x in _in_blocks(coder, b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -273,7 +280,7 @@ def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); null ids give null."""
 
     def run(batches):
-        coder = ByteBpe(tokenizer)
+        coder = coder_of(tokenizer)
         for b in batches:
             texts = [None if ids is None else coder.decode(ids) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -298,7 +305,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; ids stay inside the task."""
 
     def run(batches):
-        coder = ByteBpe(tokenizer)
+        coder = coder_of(tokenizer)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         said = [str(i) for i in range(len(coder.bytes_of))]
         for b in batches:
