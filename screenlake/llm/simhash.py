@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, to_shuffle_width
 from .components import components
 
 BITS, REACH = 64, 4
@@ -280,7 +280,9 @@ def near_edges(distinct: DataFrame) -> DataFrame:
                 rows, keys = fuzzy_keys(part, code)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], ["key", "fp"])
 
-    keys = distinct.select("fp").mapInArrow(keyed, "key long, fp long")
+    # Fingerprints are few bytes in few files, their keys many: they are spread before keys are made.
+    spread = distinct.select("fp").repartition(to_shuffle_width(distinct), "fp")
+    keys = spread.mapInArrow(keyed, "key long, fp long")
     return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_edges, "a long, b long").distinct()
 
 
