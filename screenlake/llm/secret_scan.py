@@ -4,7 +4,8 @@ Candidates come from three patterns (assignments, access key ids, hexadecimal ru
 reported as they stand, and from encoded runs, which are reported only when decoding confirms them:
 
 * ``key``: base64 or hexadecimal that decodes to a private key: DER whose nested lengths add up
-  exactly (PKCS#1, PKCS#8, SEC1), or the OpenSSH container with its length-prefixed fields;
+  exactly, the wrapped key included (PKCS#1, PKCS#8, plain or encrypted, SEC1), or the OpenSSH container
+  with all its length-prefixed fields; PEM bodies sealed as a whole say so in their header lines;
 * ``token``: a signed token whose header decodes to a JSON object naming an algorithm and whose
   payload is a JSON object;
 * ``encoded``: base64 or hexadecimal of text (white space included) that itself holds an assignment or
@@ -12,7 +13,7 @@ reported as they stand, and from encoded runs, which are reported only when deco
 
 Runs wrapped over lines of one length, by line breaks or by the escapes of JSON, are joined first.
 
-Work is one pass over the texts; nothing is shuffled.  A text without a word of 20 characters and
+Work is one pass over the texts; nothing is shuffled.  A text without a word of 16 characters and
 without a keyword costs a split and a few substring searches.
 
 Defined results: null text counts as empty; offsets are code points, ends exclusive; rows are
@@ -32,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "key", "token", "encoded")
 
@@ -40,12 +43,14 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 # Both classes match maximal runs, so a least length inside the pattern drops what is too short.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nr])+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:\s|\\+[nr])*(?:(?:[A-Za-z-]+: [^\n\\]*)(?:\s|\\+[nr])+)*)((?:[A-Za-z0-9+/=\s]|\\+[nr])+)-----END \1-----")
+#: The header lines of a body that is encrypted as a whole.
+_SEALED = re.compile(r"Proc-Type: 4,ENCRYPTED(?:\s|\\+[nr])+DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]{16,}")
 _JWT = re.compile(r"(?:(?<![A-Za-z0-9_.-])|(?<=\\[nrt]))(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 # The letter of an escape is not part of the run that follows it.
 _START = r"(?:(?<=\\[nrt])|(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt]))"
 _RUN = re.compile(_START + r"[A-Za-z0-9+/_-]{24,}={0,2}")
-_LINES = re.compile(_START + r"[A-Za-z0-9+/_-]{20,}(?:(?:\r?\n|(?:\\+r)?\\+n)[ \t>]*[A-Za-z0-9+/_-]+={0,2})+")
+_LINES = re.compile(_START + r"[A-Za-z0-9+/_-]{16,}(?:(?:\r?\n|(?:\\+r)?\\+n)[ \t>]*[A-Za-z0-9+/_-]+={0,2})+")
 _BREAK = re.compile(r"(?:\r?\n|(?:\\+r)?\\+n)[ \t>]*")
 _ESCAPE = re.compile(r"\\+[nr]|\s+")
 _HEXED = re.compile(r"(?:[0-9a-f]{2}){12,}|(?:[0-9A-F]{2}){12,}")
@@ -88,28 +93,121 @@ def _items(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
-def is_private_key(data: bytes) -> bool:
-    """Whether bytes are a private key by their structure."""
-    if data.startswith(b"openssh-key-v1\0"):
-        at = 15
-        for _ in range(3):  # cipher, key derivation, its options
-            if at + 4 > len(data):
-                return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 64
+def _positive(data: bytes) -> bool:
+    """Whether an INTEGER's content is a positive number in its shortest form."""
+    return bool(data) and data[0] < 128 and any(data) and not (len(data) > 1 and data[0] == 0 and data[1] < 128)
+
+
+def _rsa(inner) -> bool:
+    """PKCS#1: version, then modulus, exponents, primes and the rest as positive numbers."""
+    tags = [t for t, _ in inner]
+    others = tags[9:] == ([] if inner[0][1] == b"\0" else [0x30])
+    return tags[:9] == [0x02] * 9 and others and all(_positive(v) for _, v in inner[1:9])
+
+
+def _sec1(inner) -> bool:
+    """SEC1: version 1, the number's bytes, then the curve and the public point, each in its own wrapper."""
+    if inner[0][1] != b"\1" or len(inner) < 2 or inner[1][0] != 0x04 or not 16 <= len(inner[1][1]) <= 66:
+        return False
+    for tag, data in inner[2:]:
+        held = _items(data)
+        if not held or len(held) != 1 or (tag, held[0][0]) not in ((0xA0, 0x06), (0xA0, 0x30), (0xA1, 0x03)):
+            return False
+        if tag == 0xA1 and held[0][1][:2] not in (b"\0\2", b"\0\3", b"\0\4"):
+            return False
+    return len(inner) <= 4
+
+
+def _sequence(data: bytes):
+    """The items of the one SEQUENCE that fills ``data``, if it is one."""
     outer = _items(data)
-    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
+    return _items(outer[0][1]) if outer and len(outer) == 1 and outer[0][0] == 0x30 else None
+
+
+# Object identifiers of key algorithms, as DER holds them, and what they wrap.
+_RSA, _EC = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201")
+_EDWARDS = {bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56, bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57}
+_PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
+def _pkcs8(inner) -> bool:
+    """PKCS#8: version, algorithm, a wrapped key of that algorithm, attributes."""
+    algorithm, wrapped = _items(inner[1][1]), inner[2][1]
+    if not algorithm or algorithm[0][0] != 0x06 or len(algorithm) > 2 or not all(t in (0xA0, 0xA1, 0x81) for t, _ in inner[3:]):
+        return False
+    name, held = algorithm[0][1], _items(wrapped)
+    if not held or len(held) != 1:
         return False
-    inner = _items(outer[0][1])
-    if not inner or inner[0][0] != 0x02 or len(inner[0][1]) != 1 or inner[0][1][0] > 1:
+    if name in _EDWARDS:
+        return held[0][0] == 0x04 and len(held[0][1]) == _EDWARDS[name]
+    if name in (_RSA, _EC):
+        key = _sequence(wrapped)
+        return bool(key) and key[0][0] == 0x02 and len(key[0][1]) == 1 and (_rsa if name == _RSA else _sec1)(key)
+    return held[0][0] == 0x02 and _positive(held[0][1])  # DSA, DH: one number
+
+
+def _strings(data: bytes, count: int, at: int = 0):
+    """(``count`` length-prefixed strings, where they end), or None where they do not fit."""
+    out = []
+    for _ in range(count):
+        if at + 4 > len(data):
+            return None
+        n = int.from_bytes(data[at : at + 4], "big")
+        at += 4 + n
+        if at > len(data):
+            return None
+        out.append(data[at - n : at])
+    return out, at
+
+
+# How many strings the private part of an OpenSSH key of a type holds.
+_SSH_FIELDS = {b"ssh-rsa": 6, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3}
+
+
+def _openssh(data: bytes) -> bool:
+    """All fields of an OpenSSH container, to its last byte of padding."""
+    head = _strings(data, 3, 15)
+    if not head or head[1] + 4 > len(data):
+        return False
+    (cipher, derivation, options), at = head
+    keys = int.from_bytes(data[at : at + 4], "big")
+    rest = _strings(data, keys + 1, at + 4) if 1 <= keys <= 64 else None
+    if not rest or rest[1] != len(data) or (cipher == b"none") != (derivation == b"none"):
+        return False
+    *public, private = rest[0]
+    names = [(_strings(k, 1) or ([b""], 0))[0][0] for k in public]
+    if not all(n in _SSH_FIELDS for n in names) or len(private) < 16 or len(private) % 8:
+        return False
+    if cipher != b"none":
+        salt = _strings(options, 1)
+        return bool(cipher and salt) and len(salt[0][0]) >= 8 and salt[1] + 4 == len(options)
+    if options or private[:4] != private[4:8]:
+        return False
+    at = 8
+    for name in names:
+        found = _strings(private, 2 + _SSH_FIELDS[name], at)  # type, fields, comment
+        if not found or found[0][0] != name or not all(found[0][1:-1]):
+            return False
+        at = found[1]
+    return private[at:] == bytes(range(1, len(private) - at + 1)) and len(private) - at < 16
+
+
+def is_private_key(data: bytes) -> bool:
+    """Whether bytes are a private key by their structure, parsed to the end."""
+    if data.startswith(b"openssh-key-v1\0"):
+        return _openssh(data)
+    inner = _sequence(data)
+    if not inner:
         return False
     tags = [t for t, _ in inner]
-    if len(tags) >= 9 and all(t == 0x02 for t in tags[:9]):
-        return True  # PKCS#1: version, modulus, exponents, primes
-    if tags[1:3] == [0x30, 0x04]:  # PKCS#8: algorithm, wrapped key
-        algorithm = _items(inner[1][1])
-        return bool(algorithm) and algorithm[0][0] == 0x06 and bool(inner[2][1])
-    return tags[1:2] == [0x04] and 16 <= len(inner[1][1]) <= 66 and all(t in (0xA0, 0xA1) for t in tags[2:])  # SEC1
+    if tags == [0x30, 0x04]:  # an encrypted PKCS#8 key: how, and the cipher's blocks
+        how = _items(inner[0][1])
+        return bool(how) and len(how) == 2 and [t for t, _ in how] == [0x06, 0x30] and how[0][1].startswith(_PASSWORD_BASED) and bool(_items(how[1][1])) and len(inner[1][1]) >= 16 and len(inner[1][1]) % 8 == 0
+    if tags[0] != 0x02 or inner[0][1] not in (b"\0", b"\1"):
+        return False
+    if tags[1:3] == [0x30, 0x04]:
+        return _pkcs8(inner)
+    return _rsa(inner) or _sec1(inner)
 
 
 def _decoded(run: str) -> bytes | None:
@@ -122,6 +220,11 @@ def _decoded(run: str) -> bytes | None:
         return None
 
 
+def _is_pem(m: re.Match) -> bool:
+    body = _decoded(_ESCAPE.sub("", m[3])) or b""
+    return is_private_key(body) or (bool(_SEALED.search(m[2])) and len(body) >= 16 and len(body) % 8 == 0)
+
+
 def _is_token(m: re.Match) -> bool:
     parts = []
     for k in (1, 2):
@@ -181,7 +284,7 @@ def confirmed_spans(text: str) -> list[Span]:
     """Encoded candidates that decoding and parsing confirm."""
     out: list[Span] = []
     if "-----BEGIN" in text:
-        out += [("key", *m.span()) for m in _PEM.finditer(text) if is_private_key(_decoded(_ESCAPE.sub("", m[2])) or b"")]
+        out += [("key", *m.span()) for m in _PEM.finditer(text) if _is_pem(m)]
     if "eyJ" in text:
         out += [("token", *m.span()) for m in _JWT.finditer(text) if _is_token(m)]
     taken = [(s, e) for _, s, e in out]
@@ -206,7 +309,7 @@ def confirmed_spans(text: str) -> list[Span]:
 
 def spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by start and then kind."""
-    long_word = any(len(w) >= 20 for w in text.split())
+    long_word = any(len(w) >= 16 for w in text.split()) or "-----BEGIN" in text
     if not long_word:
         low = text.lower()
         if not any(k in low for k in _KEYWORDS):
@@ -237,7 +340,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], list(names))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"
     )
 
@@ -259,11 +362,12 @@ def redacted(text: str) -> str:
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets in ``text`` replaced by their kinds; ``n_chars`` follows where present."""
 
-    @F.pandas_udf("string")
     def clean(texts):
-        return texts.map(lambda t: t if t is None else redacted(t))
+        said = (t.as_py() for t in texts)
+        return pa.array([t if t is None else redacted(t) for t in said], pa.string())
 
-    out = docs.withColumn("text", clean(F.col("text").cast("string")))
+    clean.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    out = in_batches(docs).withColumn("text", F.arrow_udf(clean, "string")(F.col("text").cast("string")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -144,17 +144,57 @@ def der(tag, body):
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82]) + n.to_bytes(2, "big")) + body
 
 
-INT = lambda b: der(0x02, b)
-PKCS8 = der(0x30, INT(b"\0") + der(0x30, der(0x06, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + der(0x05, b"")) + der(0x04, bytes(range(200))))
-PKCS1 = der(0x30, INT(b"\0") + b"".join(INT(bytes([k]) * 40) for k in range(1, 9)))
+INT = lambda b: der(0x02, (b"\0" if b[0] > 127 else b"") + b)
+OID = lambda h: der(0x06, bytes.fromhex(h))
+PKCS1 = der(0x30, der(0x02, b"\0") + b"".join(INT(bytes([k]) * 40) for k in range(1, 9)))
+PKCS8 = der(0x30, der(0x02, b"\0") + der(0x30, OID("2a864886f70d010101") + der(0x05, b"")) + der(0x04, PKCS1))
+SEC1 = der(0x30, der(0x02, b"\1") + der(0x04, bytes(range(1, 33))) + der(0xA0, OID("2a8648ce3d030107")) + der(0xA1, der(0x03, b"\0\4" + bytes(64))))
+ED25519 = der(0x30, der(0x02, b"\0") + der(0x30, OID("2b6570")) + der(0x04, der(0x04, bytes(range(32)))))
+SEALED = der(0x30, der(0x30, OID("2a864886f70d01050d") + der(0x30, der(0x30, OID("2a864886f70d01050c") + der(0x30, der(0x04, bytes(8)))) + der(0x30, OID("608648016503040102")))) + der(0x04, bytes(range(64))))
+field = lambda b: len(b).to_bytes(4, "big") + b
+
+
+def openssh(kind=b"ssh-ed25519", fields=2, cipher=b"none"):
+    private = bytes(8) + field(kind) + b"".join(field(bytes([k + 1]) * 32) for k in range(fields)) + field(b"me@host")
+    private += bytes(range(1, -len(private) % 16 + 1))
+    options = b"" if cipher == b"none" else field(bytes(16)) + (16).to_bytes(4, "big")
+    return b"openssh-key-v1\0" + field(cipher) + field(b"none" if cipher == b"none" else b"bcrypt") + field(options) + (1).to_bytes(4, "big") + field(field(kind) + field(bytes(32))) + field(private)
+
+
 JWT = ".".join(base64.urlsafe_b64encode(x).rstrip(b"=").decode() for x in (json.dumps({"alg": "HS256"}).encode(), b'{"sub":"1"}', b"s" * 32))
 
 
-def test_key_structure():
-    assert secret_scan.is_private_key(PKCS8) and secret_scan.is_private_key(PKCS1)
-    assert not secret_scan.is_private_key(PKCS8[:-1]) and not secret_scan.is_private_key(PKCS8 + b"x") and not secret_scan.is_private_key(bytes(300))
-    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big")
-    assert secret_scan.is_private_key(ssh) and not secret_scan.is_private_key(ssh[:20])
+KEYS = {"PKCS1": PKCS1, "PKCS8": PKCS8, "SEC1": SEC1, "Ed25519": ED25519, "sealed": SEALED, "ssh": openssh(), "ssh rsa": openssh(b"ssh-rsa", 6), "ssh sealed": openssh(cipher=b"aes256-ctr")}
+
+
+@pytest.mark.parametrize("name", KEYS)
+def test_key_structure(name):
+    key = KEYS[name]
+    assert secret_scan.is_private_key(key)
+    assert not secret_scan.is_private_key(key + b"x") and not secret_scan.is_private_key(bytes(len(key)))
+    assert not any(secret_scan.is_private_key(key[:n]) for n in range(len(key)))
+    broken = bytearray(key)
+    broken[1 if key[0] == 0x30 else 18] ^= 1
+    assert not secret_scan.is_private_key(bytes(broken))
+    # Wrapped at any width and without armour, and in armour.
+    said = base64.b64encode(key).decode()
+    for width in (16, 64):
+        lines = "\n".join(said[k : k + width] for k in range(0, len(said), width))
+        assert [k for k, _, _ in secret_scan.confirmed_spans(f"see\n{lines}\n")] == ["key"]
+        pem = f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----"
+        assert secret_scan.spans(pem)[1] == [("key", 0, len(pem))]
+
+
+def test_what_only_looks_like_a_key():
+    wrapped = lambda inner, oid="2a864886f70d010101": der(0x30, der(0x02, b"\0") + der(0x30, OID(oid) + der(0x05, b"")) + der(0x04, inner))
+    head = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big")
+    for data in (wrapped(bytes(20)), wrapped(bytes(range(200))), wrapped(SEC1), wrapped(PKCS1[:-1]), head, head + field(b"") + field(bytes(16)), openssh(b"ssh-unknown"), openssh(fields=1), der(0x30, der(0x02, b"\0") * 9)):
+        assert not secret_scan.is_private_key(data)
+    assert secret_scan.is_private_key(wrapped(SEC1, "2a8648ce3d0201"))
+    body = base64.b64encode(bytes(range(64))).decode()
+    sealed = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert secret_scan.confirmed_spans(sealed)[0] == ("key", 0, len(sealed))
+    assert secret_scan.confirmed_spans(sealed.replace("Proc-Type: 4,ENCRYPTED\n", "")) == []
 
 
 def test_confirmed_secrets():
