@@ -38,6 +38,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Bytes of an Arrow batch.  Ten thousand rows of whole texts would hold tens of megabytes several times over.
+BATCH_BYTES = 4 << 20
+
+
+def in_batches(rows: DataFrame) -> DataFrame:
+    """``rows`` for a function on Arrow batches, which are bounded by bytes from here on in the session, unless
+    the session has a limit of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if rows.sparkSession.conf.get(key, None) is None:
+        rows.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

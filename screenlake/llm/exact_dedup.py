@@ -47,6 +47,8 @@ def _rocksdb(spark: SparkSession):
         # Small stores stay small on disk: no preallocated files, and commits write changes only.
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # Stores that no query uses any more are closed soon.
+        "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
     before = {k: spark.conf.get(k, None) for k in wanted}

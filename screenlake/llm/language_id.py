@@ -5,8 +5,9 @@ a linear layer with softmax gives the language; both are trained together by sto
 descent in numpy.  A calibration fold fits a temperature and the threshold of rejection.
 
 Training uses a bounded sample: at most about ``ROWS_PER_LANGUAGE`` labelled rows of each
-language, taken by a hash of the id, as bucket counts of their whole texts.  Prediction is one pass
-over whole texts; a word's part of the result is looked up after its first time.
+language, taken by a hash of the id and text, as bucket counts of their whole texts, which the tasks
+that read the texts compute.  Prediction is one pass over whole texts; a word's part of the result is
+looked up after its first time.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and is rejected; with
 no labelled rows every text is ``und``; rows are answered one by one; an empty table gives no rows;
@@ -22,11 +23,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 BUCKETS, DIMENSIONS = 1 << 14, 16
 GRAMS = (1, 2, 3)
 ROWS_PER_LANGUAGE = 800
@@ -34,7 +36,8 @@ EPOCHS, BATCH, RATE, EMBEDDING_RATE = 8, 32, 1.0, 10.0
 #: Rejection costs at most this share of rightly labelled calibration rows, and takes no score above the other.
 REJECT_AT_MOST, REJECT_BELOW = 0.002, 0.4
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHED = 200_000
+#: Bytes of a task's table of word results, whatever the number of languages, and its most words.
+_TABLE_BYTES, _CACHED = 8 << 20, 60_000
 
 
 def held_out(doc_id="doc_id"):
@@ -74,10 +77,11 @@ class LanguageModel:
     def predictor(self):
         """A function text -> (language, score), with a bounded table of words seen."""
         size = len(self.languages)
-        rows, table = np.zeros((_CACHED, size + 1)), {}
+        most = max(1, min(_CACHED, _TABLE_BYTES // (8 * (size + 1))))
+        rows, table = np.zeros((most, size + 1)), {}
 
         def at(word: str) -> int:
-            if len(table) >= _CACHED:
+            if len(table) >= most:
                 return -1
             found = word_buckets(word)
             k = table[word] = len(table)
@@ -88,7 +92,7 @@ class LanguageModel:
             words = words_of(text)
             if not words or not size:
                 return "und", 0.0
-            if len(table) >= _CACHED:
+            if len(table) >= most:
                 table.clear()
             total = np.zeros(size + 1)
             for start in range(0, len(words), 1 << 16):
@@ -164,9 +168,9 @@ def training_rows(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
-    unit = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 20)) / (1 << 20)
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1 << 20)) / (1 << 20)
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / n)))])
-    sample = labelled.where(unit < F.element_at(share, F.col("lang"))).limit(2 * rows_per_language * len(counts))
+    sample = labelled.where(unit < F.element_at(share, F.col("lang")))
 
     def features(batches):
         for b in batches:
@@ -177,7 +181,9 @@ def training_rows(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -
                 ["lang", "buckets", "shares", "calibration", "doc_id"],
             )
 
-    got = sample.mapInArrow(features, "lang string, buckets array<int>, shares array<float>, calibration boolean, doc_id long").toArrow()
+    found = in_batches(sample).mapInArrow(features, "lang string, buckets array<int>, shares array<float>, calibration boolean, doc_id long")
+    # The limit binds only where one id and text repeat so often that the hash takes all of them.
+    got = found.limit(2 * rows_per_language * len(counts)).toArrow()
     # The order of arrival depends on tasks; training must not.
     got = got.sort_by([("doc_id", "ascending"), ("lang", "ascending")]).drop_columns(["doc_id"])
     lang, calibration = got["lang"].to_pylist(), got["calibration"].to_pylist()
@@ -203,7 +209,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return in_batches(rows).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -215,11 +221,11 @@ def drop_rejected(docs: DataFrame, model: LanguageModel | None = None) -> DataFr
     """``docs`` without the rows whose language is rejected, all columns kept."""
     model = model or fit(docs)
 
-    @F.pandas_udf("boolean")
-    def accepted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def accepted(batches):
         one = model.predictor()
         for texts in batches:
-            found = [one(t) for t in texts]
-            yield pd.Series([name != "und" and score >= model.threshold for name, score in found])
+            found = (one(t.as_py()) for t in texts)
+            yield pa.array([name != "und" and score >= model.threshold for name, score in found], pa.bool_())
 
-    return docs.where(accepted(F.col("text").cast("string")))
+    accepted.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return in_batches(docs).where(F.arrow_udf(accepted, "boolean")(F.col("text").cast("string")))

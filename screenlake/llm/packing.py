@@ -14,11 +14,14 @@ The pieces then take their places by rank within their length.  Ranks come from
 share is spread over many groups.
 
 Defined results: null text counts as empty (one piece that holds the end id); an empty table gives
-no rows; repeated rows are packed each; other columns are ignored.
+no rows; rows that repeat an id or have none are packed each, under the id they have; pieces of one
+length take their places in the order in which they were written; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 import zlib
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, to_shuffle_width
+from .common import in_batches, saved, to_shuffle_width
 
 CAPACITY = 4096
 END_ID = 1
@@ -40,7 +43,9 @@ END_ID = 1
 #: tokenizer does: ASCII and the Latin-1 letters with precomposed accents.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-_CACHED = 250_000
+_CACHED = 30_000  # entries of a generation of a table: some 10 MB a table in all
+#: What the library must say as the tables do before they are used with a vocabulary.
+_PROBES = ("It's WE'LL don't 'S", "naïve Über-cool x_1 23.5%", "(a)b [c] #d !? ...--", "ÀÉÎÕÜ ßþÿ", "e-mail: a.b@c.de")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -53,9 +58,11 @@ def _byte_letters() -> dict[int, int]:
 class WordEncoder:
     """Ids of whole texts as the tokenizers library gives them.
 
-    The vocabulary drops white space, so a text's ids are those of its words in a row; words come
-    back often, and each is encoded once by the library and then looked up (two bounded tables).
-    Texts with other characters, or with the strings of added tokens, go whole to the library.
+    Where the vocabulary drops white space and cuts words by the rules above, a text's ids are those of
+    its words in a row; words come back often, and each is encoded once by the library and then looked
+    up.  Two tables are bounded and have two generations, so frequent words outlive rare ones.  Words
+    with other characters, texts with the strings of added tokens, and all texts under a vocabulary with
+    other rules (which probes tell) go whole to the library.
     """
 
     def __init__(self, path: str):
@@ -71,31 +78,40 @@ class WordEncoder:
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+        self.by_word = all(b"".join(map(self._word, p.split())) == self._whole(p) for p in _PROBES)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            if len(self.parts) >= _CACHED:
-                self.parts.clear()
-            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            found = self.parts[part] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            found = self.old_parts.get(part)
+            if found is None:
+                shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+                found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            if len(part) <= 64:
+                if len(self.parts) >= _CACHED:
+                    self.old_parts, self.parts = self.parts, {}
+                self.parts[part] = found
         return found
 
     def _word(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word):
-            found = b"".join(map(self._part, _CUT.findall(word.lower())))
-        else:
-            found = array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(word) <= 64:
-            if len(self.words) >= _CACHED:
-                self.words.clear()
+        found = self.old_words.get(word)
+        if found is None:
+            found = b"".join(map(self._part, _CUT.findall(word.lower()))) if _PLAIN.fullmatch(word) else self._whole(word)
+        if len(word) <= 64 and len(self.words) < 2 * _CACHED:
             self.words[word] = found
         return found
 
     def ids(self, text: str) -> bytes:
         """Unsigned 32-bit ids, in the machine's (little-endian) order."""
-        if any(a in text for a in self.apart):
-            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if not self.by_word or any(a in text for a in self.apart):
+            return self._whole(text)
+        if len(self.words) >= _CACHED:
+            self.old_words, self.words = self.words, {}
         get, word = self.words.get, self._word
         return b"".join([get(w) or word(w) for w in text.split()])
 
@@ -119,7 +135,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
@@ -235,10 +251,12 @@ def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
 
 def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
     """Pieces with their sequence and offset: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = saved(pieces(docs, tokenizer, capacity), "packing-pieces")
+    # The number of a row spreads rows that repeat an id, or have none, over the salts like any others.
+    cut = saved(pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
     salts = salts or 16 * to_shuffle_width(cut)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = saved(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "packing-counts")
+    step = max(1, math.isqrt(salts))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    counts = saved(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.floor(F.col("salt") / step).cast("int")), "packing-counts")
     # At most `capacity` rows come to the driver, whatever the input.
     by_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     spark = docs.sparkSession
@@ -248,9 +266,12 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, sal
     firsts = np.nonzero(np.concatenate(([True], slots[1:, 0] != slots[:-1, 0])))[0] if len(slots) else []
     table = [(int(s[0, 0]), *([int(x) for x in s[:, k]] for k in (1, 3, 4))) for s in np.split(slots, firsts[1:]) if len(s)]
     places = spark.createDataFrame(table, "length long, ranks array<long>, sequences array<long>, offsets array<long>")
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    # Rows of a length before a salt, in two steps: before its part, and before it in its part, so that no
+    # window has more than about the square root of ``salts`` rows.
+    earlier = lambda keys, by: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.groupBy("length", "part").agg(F.sum("n").alias("n")).select("length", "part", earlier(["length"], "part").alias("parts_before"))
+    starts = counts.withColumn("before", earlier(["length", "part"], "salt")).join(parts, ["length", "part"]).select("length", "salt", (F.col("before") + F.col("parts_before")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1
     ranked = salted.withColumn("inside", inside).join(starts, ["length", "salt"]).withColumn("rank", F.col("inside") + F.col("before"))
     placed = ranked.join(F.broadcast(places), "length")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, key_filter, may_hold, saved
+from .common import SPACE_RUN, in_batches, key_filter, may_hold, saved
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "term")
@@ -147,7 +147,7 @@ def _scan(docs: DataFrame, with_text: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(out + ([b.column(1)] if with_text else []), names + (["text"] if with_text else []))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _digest().alias("digest"))
-    return saved(rows.mapInArrow(run, _SCHEMA + ", text string" * with_text).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
+    return saved(in_batches(rows).mapInArrow(run, _SCHEMA + ", text string" * with_text).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
 
 
 def _term_counts(docs: DataFrame, repeated: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, to_shuffle_width
+from .common import in_batches, saved, to_shuffle_width
 from .components import components
 
 BITS, REACH = 64, 4
@@ -106,7 +106,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, digests: bool
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[_digest().alias("digest")] * digests]
-    return docs.select(*columns).mapInArrow(run, "doc_id long, fp long" + ", digest string" * digests)
+    return in_batches(docs.select(*columns)).mapInArrow(run, "doc_id long, fp long" + ", digest string" * digests)
 
 
 class Golay:
