@@ -135,15 +135,18 @@ def stream_groups(arrivals: DataFrame, check, files_per_batch: int | None = None
 
 
 def differing(rows: DataFrame, hits: DataFrame, digest) -> DataFrame:
-    """The byte check of hits: (digest, text_sha256) of the rows of ``rows`` (text, _locator) whose digest is
-    among ``hits`` though their bytes differ from those at the kept row's locator."""
+    """The byte check of hits: (digest, text_sha256) of the rows of ``rows`` (doc_id, text, _locator) whose digest
+    is among ``hits`` though their bytes differ from those at the kept row's locator.
+
+    Rows are grouped by digest and whole text; the group that holds the kept row's locator is right.  Partial
+    aggregation leaves one row per text and task, so a text with any number of copies is no hot key.
+    """
     texts = rows.withColumn("digest", digest(F.col("text")))
     # Most texts have no copy: a filter keeps them out of the shuffle.
     texts = may_hold(texts, "digest", key_filter(hits, "digest", "dedup-filter")).where("maybe")
-    met = saved(texts.join(hits, "digest").select("digest", "_locator", "first_locator", "text"), "dedup-hits")
-    first = met.where(F.col("_locator") == F.col("first_locator")).select("digest", F.col("text").alias("first_text"))
-    other = met.join(first, "digest").where(F.col("text") != F.col("first_text"))
-    return other.select("digest", F.sha2("text", 256).alias("text_sha256")).distinct()
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col("_locator").alias("at"))).alias("least")
+    groups = texts.groupBy("digest", "text").agg(least).select("digest", F.sha2("text", 256).alias("text_sha256"), "least")
+    return groups.join(hits, "digest").where(F.col("least.at") != F.col("first_locator")).select("digest", "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, files_per_batch: int | None = None, digest=None) -> DataFrame:
