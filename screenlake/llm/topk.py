@@ -1,7 +1,7 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors become integers, floor(256 x) of each component.  A task sorts its vectors by length and cuts
-them into buckets.  For a query whose k-th best score so far is t, a bucket with greatest length L
+Vectors become integers, floor(256 x) of each component.  The vectors of an Arrow batch are sorted by
+length and cut into buckets.  For a query whose k-th best score so far is t, a bucket with greatest length L
 can only hold better vectors if |q| L >= t, and then only those whose cosine with the query
 reaches the bucket's local threshold t / (|q| L):
 
@@ -19,8 +19,8 @@ parallel without a shuffle, and a task returns at most k rows per query.
 Defined results: vectors that are null or hold a null or non-finite component take no part; only
 vectors of one dimension meet; rows with the query's own id are no candidates; an id that repeats
 among the queries is one query (its smallest vector), among candidates each row counts; fewer
-candidates give fewer rows; an empty table gives no rows; other columns are ignored.  Products are exact
-while they stay below 2^53 in size.
+candidates give fewer rows; an empty table gives no rows; other columns are ignored.  Products are exact at
+every size; past a long's range they count as its ends.
 """
 
 from __future__ import annotations
@@ -36,8 +36,9 @@ QUERIES_PER_ROUND = 8192
 LONGEST = 2048
 BUCKET = 1024
 SCALE = 256
-#: Coordinate pruning pays while its interval holds at most this share of a bucket.
-WORTH = 0.25
+#: Coordinate pruning pays while its interval holds at most this share of a bucket: a row taken by itself
+#: costs some thirty times what it costs in a product of matrices.
+WORTH = 1 / 32
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -47,6 +48,11 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where(~odd)
 
 
+#: Below this size sums of products held as doubles are exact.
+EXACT = 2.0**52
+_MOST = (1 << 63) - 1
+
+
 def _whole(flat: np.ndarray) -> np.ndarray:
     return np.floor(flat * SCALE)
 
@@ -69,18 +75,48 @@ class Best:
         self.query = self.score = self.vec = np.empty(0, np.int64)
 
     def take(self, query: np.ndarray, score: np.ndarray, vec: np.ndarray) -> None:
+        """Offers of a whole bucket.  Only the lists of queries with an offer are sorted again."""
         good = (score >= self.least[query]) & (vec != self.ids[query])
-        query, score, vec = (np.concatenate((a, b[good])) for a, b in ((self.query, query), (self.score, score), (self.vec, vec)))
+        if not good.any():
+            return
+        asked = np.zeros(len(self.ids), bool)
+        asked[query[good]] = True
+        again = asked[self.query]
+        rest = [x[~again] for x in (self.query, self.score, self.vec)]
+        query, score, vec = (np.concatenate((a[again], b[good])) for a, b in ((self.query, query), (self.score, score), (self.vec, vec)))
         order = np.lexsort((vec, -score, query))
         query, score, vec = query[order], score[order], vec[order]
-        starts = np.searchsorted(query, np.arange(len(self.ids)))
-        rank = np.arange(len(query)) - starts[query]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
         keep = rank < self.k
-        self.query, self.score, self.vec = query[keep], score[keep], vec[keep]
+        self.query, self.score, self.vec = (np.concatenate((a, b[keep])) for a, b in zip(rest, (query, score, vec)))
         last = rank == self.k - 1
         self.least[query[last]] = np.maximum(self.least[query[last]], score[last])
 
 
+def _products(x: np.ndarray, q: np.ndarray, bound: float) -> np.ndarray:
+    """Row by row inner products as longs; past what doubles hold exactly, by whole numbers of any size."""
+    if bound < EXACT:
+        return np.einsum("ij,ij->i", x, q).astype(np.int64)
+    return np.array([max(-_MOST, min(_MOST, sum(int(a) * int(b) for a, b in zip(u, v)))) for u, v in zip(x.tolist(), q.tolist())], np.int64)
+
+
+def _intervals(bucket, norm, at_focus, focus, local, live):
+    """Coordinate pruning: (query, first, last, rows in order) of the queries whose focus coordinate leaves few rows."""
+    # Feasible interval of the focus coordinate of unit vectors with cosine >= local.
+    wide = np.sqrt(np.maximum(0.0, (1 - local**2) * (1 - at_focus**2))) + 1e-9
+    low, high = local * at_focus - wide, local * at_focus + wide
+    # Cosines above the threshold shift the centre outwards: to the far end where it can be reached.
+    low = np.where((at_focus < 0) & (-at_focus >= local), -1.0, low)
+    high = np.where((at_focus > 0) & (at_focus >= local), 1.0, high)
+    for f in np.unique(focus[local > 0]).tolist():
+        mine = np.nonzero((focus == f) & (local > 0))[0]
+        line = bucket[:, f] / np.maximum(norm, 1e-12)
+        by = np.argsort(line, kind="stable")
+        a, b = (np.searchsorted(line[by], edge[mine], side) for edge, side in ((low, "left"), (high, "right")))
+        few = (b - a) <= WORTH * len(by)
+        yield live[mine[few]], a[few], np.maximum(a, b)[few], by
+
+
 def scan(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, best: Best) -> None:
     """Offer the vectors of one block to every query, bucket by bucket."""
     norm, qnorm = np.sqrt((x * x).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
@@ -95,36 +131,30 @@ def scan(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, best: Best) -> Non
         live = np.nonzero(qnorm * longest * (1 + 1e-9) + 1e-6 >= best.least)[0]
         if not len(live):
             continue
+        bound = float(longest * qnorm[live].max())
         with np.errstate(divide="ignore", invalid="ignore"):
             local = np.where(qnorm[live] * longest > 0, best.least[live] / (qnorm[live] * longest), -1.0)
         local = np.clip(local - 1e-9, -1.0, 1.0)
-        near = np.zeros(len(live), bool)
+        near, offers = np.zeros(len(queries), bool), []
         if queries.shape[1]:
-            # Feasible interval of the focus coordinate of unit vectors with cosine >= local.
-            wide = np.sqrt(np.maximum(0.0, (1 - local**2) * (1 - at_focus[live] ** 2))) + 1e-9
-            low, high = local * at_focus[live] - wide, local * at_focus[live] + wide
-            # Cosines above the threshold shift the centre outwards: to the far end where it can be reached.
-            low = np.where((at_focus[live] < 0) & (-at_focus[live] >= local), -1.0, low)
-            high = np.where((at_focus[live] > 0) & (at_focus[live] >= local), 1.0, high)
-            unit = bucket / np.maximum(norm[rows], 1e-12)[:, None]
-            for f in np.unique(focus[live][local > 0]).tolist():
-                mine = np.nonzero((focus[live] == f) & (local > 0))[0]
-                by = np.argsort(unit[:, f], kind="stable")
-                line = unit[by, f]
-                a, b = np.searchsorted(line, low[mine], "left"), np.searchsorted(line, high[mine], "right")
-                few = (b - a) <= WORTH * len(rows)
-                near[mine[few]] = True
-                for q, s, e in zip(live[mine[few]].tolist(), a[few].tolist(), b[few].tolist()):
-                    if e > s:
-                        hit = by[s:e]
-                        best.take(np.full(e - s, q), (bucket[hit] @ queries[q]).astype(np.int64), ids[rows[hit]])
-        full = live[~near]
+            for who, first, last, by in _intervals(bucket, norm[rows], at_focus[live], focus[live], local, live):
+                near[who] = True
+                n = last - first
+                for part in np.array_split(np.arange(len(who)), max(1, int(n.sum()) >> 15)):
+                    q = np.repeat(who[part], n[part])
+                    inside = np.arange(len(q)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+                    r = by[np.repeat(first[part], n[part]) + inside]
+                    offers.append((q, _products(bucket[r], queries[q], bound), ids[rows[r]]))
+        full = live[~near[live]]
         for part in range(0, len(full), 2048):
             q = full[part : part + 2048]
-            score = bucket @ queries[q].T  # whole numbers below 2^53: exact
-            r, c = np.nonzero(score >= best.least[q][None, :])
+            score = bucket @ queries[q].T
+            r, c = np.nonzero(score >= best.least[q][None, :] - (0 if bound < EXACT else bound * 1e-12))
             if len(r):
-                best.take(q[c], score[r, c].astype(np.int64), ids[rows[r]])
+                exact = score[r, c].astype(np.int64) if bound < EXACT else _products(bucket[r], queries[q[c]], bound)
+                offers.append((q[c], exact, ids[rows[r]]))
+        if offers:
+            best.take(*map(np.concatenate, zip(*offers)))
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, queries_per_round: int = QUERIES_PER_ROUND) -> DataFrame:

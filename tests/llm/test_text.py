@@ -334,3 +334,33 @@ def test_top_k(spark):
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
     assert set(got) == {i for i, _ in whole if i % 50 == 0}
     assert topk.top_k(d.where("false")).count() == 0
+
+
+def test_large_products_are_exact(spark):
+    rows = [(0, [2.0**23, 2.0**22 + 1, 3.0]), (50, [2.0**23, 2.0**22, 4.0]), (1, [2.0**23, 2.0**22 + 1, 2.0]), (2, [-(2.0**23), 1.0, 1.0]), (3, [2.0**23, 2.0**22 + 1, 2.0])]
+    whole = {i: [int(256 * v) for v in x] for i, x in rows}
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()))
+    want = []
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], y)), i) for i, y in whole.items() if i != q)[:3]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == want and max(s for *_, s in got) > 2**53
+
+
+def test_pruning_changes_nothing(monkeypatch):
+    r = np.random.default_rng(1)
+    x = np.floor(r.normal(size=(3000, 12)) * r.gamma(1, 60, size=(3000, 1)))
+    x[:40] = x[40:80] * 2
+    ids, queries = np.arange(3000), x[::50]
+    found = []
+    for worth in (1.0, 1 / 32, 0.0):
+        monkeypatch.setattr(topk, "WORTH", worth)
+        best = topk.Best(ids[::50], np.full(60, -np.inf), 5)
+        for part in range(0, 3000, 500):
+            topk.scan(x[part : part + 500], ids[part : part + 500], queries, best)
+        found.append(sorted(zip(best.query.tolist(), (-best.score).tolist(), best.vec.tolist())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 300
+    scores = queries @ x.T
+    for q in range(60):
+        order = sorted((-scores[q, v], v) for v in range(3000) if v != 50 * q)[:5]
+        assert [(a, b) for who, a, b in found[0] if who == q] == order
