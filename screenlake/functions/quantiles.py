@@ -7,6 +7,7 @@ grouped rows.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -61,8 +62,19 @@ def t_quantile(p: float, df: int) -> float:
 
 
 def t_critical(df: Column, p: float, most: int = 200) -> Column:
-    """t quantiles for degrees of freedom 1 to ``most`` as a literal table."""
-    return F.element_at(F.array(*[F.lit(t_quantile(p, k)) for k in range(1, most + 1)]), F.when((df >= 1) & (df <= most), df).cast("int"))
+    """t quantiles for any degrees of freedom, null under 1: a literal table up to ``most``, from there on the
+    expansion about the normal quantile in powers of 1 / df, whose rest is under 1e-9 there."""
+    z = NormalDist().inv_cdf(p)
+    terms = [
+        z,
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    ]
+    many = sum((F.lit(c) / F.pow(df.cast("double"), F.lit(float(k))) for k, c in enumerate(terms[1:], 1)), F.lit(terms[0]))
+    table = F.array(*[F.lit(t_quantile(p, k)) for k in range(1, most + 1)])
+    return F.when(df > most, many).when(df >= 1, F.get(table, (df - 1).cast("int")))
 
 
 def clopper_pearson(x: int, n: int, alpha: float, sided: int = 2) -> tuple[float | None, float | None]:

@@ -87,8 +87,12 @@ def sticky_sample(col, seed, start: int, stop: int, epsilon: float) -> Column:
 
 
 def token_prefix(token, bits: int) -> Column:
-    """The leading bits (at most 60) of a hexadecimal token as a number."""
+    """The leading bits of a hexadecimal token: up to 60 as a number, more as hexadecimal digits whose last one
+    has its unused low bits cleared."""
     digits = -(-bits // 4)
+    if bits > 60:
+        last = F.conv(F.substring(_c(token), digits, 1), 16, 10).cast("int").bitwiseAND(F.lit(16 - (1 << (4 * digits - bits))))
+        return F.lower(F.concat(F.substring(_c(token), 1, digits - 1), F.hex(last)))
     return F.shiftright(F.conv(F.substring(_c(token), 1, digits), 16, 10).cast("long"), 4 * digits - bits)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,8 +62,11 @@ def pareto_front(df: DataFrame, mins: list[str], group: list[str]) -> DataFrame:
     """Rows no other row of the group dominates (no worse in all of ``mins``, better in one).
 
     Two criteria: a running minimum over the sorted group.  Three: rows are first reduced to distinct
-    criteria that survive the two-dimensional test on each value of the third, then compared.
+    criteria that survive the two-dimensional test on each value of the third, then compared.  A row with a null
+    criterion is on no front and beats none.
     """
+    for c in mins:
+        df = df.where(F.col(c).isNotNull())
     if len(mins) == 2:
         x, y = mins
         least_before = F.min("_y").over(Window.partitionBy(*group).orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
@@ -97,11 +100,17 @@ def certified_front(df: DataFrame, group: list[str], memory: str, low: str, high
     return df.join(best, [*group, memory]).where(F.col(low) <= F.col("_h")).drop("_h")
 
 
-def expand_grid(spark, axes: dict[str, list]) -> DataFrame:
-    """The grid of all combinations of the axes' values, a bounded list each."""
-    out = spark.range(1).select()
+def expand_grid(spark, axes: dict[str, list], rows: DataFrame | None = None, when: dict[str, Column] | None = None) -> DataFrame:
+    """The grid of all combinations of the axes' values, a bounded list each, for each of ``rows`` if given.
+
+    ``when`` has conditions over earlier axes: an axis whose condition fails is null in one row instead of spread.
+    """
+    out = rows if rows is not None else spark.range(1).select()
     for name, values in axes.items():
-        out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+        spread = F.array(*map(F.lit, values))
+        if when and name in when:
+            spread = F.when(when[name], spread).otherwise(F.array(F.lit(None)))
+        out = out.withColumn(name, F.explode(spread))
     return out
 
 

@@ -11,6 +11,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,76 +202,125 @@ def coalesce_batches(trace: DataFrame, width: int, key: list[str], position: str
     )
 
 
-def replay_interval(trace: DataFrame, start: int, stop: int, quota: int, policy: str, ttl: int | None, shard: list[str], key: list[str], bin_column: str = "bin", at: str = "event_index", time: str = "ts_ms") -> DataFrame:
+class _Denied:
+    """What one shard's negative cache knows: at most ``room`` keys in order of use, each valid for ``life``."""
+
+    def __init__(self, room: int, life: float | None, wants_second: bool):
+        self.room, self.life, self.wants_second = room, life, wants_second
+        self.since: OrderedDict = OrderedDict()
+        self.met_once: set = set()
+
+    def ask(self, key, now) -> tuple[bool, bool, bool, bool]:
+        """(hit, expired, admitted, evicted) of a request."""
+        since = self.since.get(key)
+        expired = since is not None and self.life is not None and now > since + self.life
+        if since is not None and not expired:
+            self.since.move_to_end(key)
+            return True, False, False, False
+        if expired:
+            self.since.pop(key)
+        if self.room <= 0 or (self.wants_second and key not in self.met_once):
+            self.met_once.add(key)
+            return False, expired, False, False
+        full = len(self.since) == self.room
+        if full:
+            self.since.popitem(last=False)
+        self.since[key] = now
+        return False, expired, True, full
+
+
+def cache_outcomes(rows: DataFrame, shard: list[str], key: list[str], at: str, time: str, quota: str, policy: str, ttl: float | None = None) -> DataFrame:
+    """``rows`` (shard, quota, policy, extras) with what a cache of the shard says to each: hit, expired, admitted, evicted.
+
+    ``quota`` and ``policy`` ('always', 'second_hit', 'none') are columns that are constant in a shard, so a grid of
+    options replays side by side, a shard in one sorted pass.  A row with a null time never expires anything.
+    """
+    flags = ["hit", "expired", "admitted", "evicted"]
+    kept = list(dict.fromkeys([*shard, quota, policy, "extras"]))
+    columns = list(dict.fromkeys([*kept, at, time, *key]))
+
+    def run(batches):
+        now, cache = None, None
+        for b in batches:
+            c = {n: b.column(k).to_pylist() for k, n in enumerate(columns)}
+            out = []
+            for s, k, t, room, how in zip(zip(*(c[n] for n in shard)), zip(*(c[n] for n in key)), c[time], c[quota], c[policy]):
+                if cache is None or s != now:
+                    now, cache = s, _Denied(0 if how == "none" else room, ttl, how == "second_hit")
+                out.append(cache.ask(k, float("-inf") if t is None else t))
+            told = [pa.array(x, pa.bool_()) for x in zip(*out)] if out else [pa.array([], pa.bool_())] * 4
+            yield pa.RecordBatch.from_arrays([*(b.column(columns.index(n)) for n in kept), *told], [*kept, *flags])
+
+    types = dict(rows.dtypes)
+    schema = ", ".join([f"`{n}` {types[n]}" for n in kept] + [f"{f} boolean" for f in flags])
+    return rows.select(*columns).repartition(*shard).sortWithinPartitions(*shard, at).mapInArrow(run, schema)
+
+
+def _counters() -> list:
+    miss = lambda c: F.sum(F.when(F.col("hit"), 0).otherwise(c)).cast("long")
+    return [
+        miss(1 + F.col("extras")).alias("backend_checks"), miss(F.lit(1)).alias("base_confirmations"), miss(F.col("extras")).alias("race_extras"),
+        F.count_if("hit").alias("cache_hits"), F.count_if("evicted").alias("evictions"), F.count_if("expired").alias("expirations"), F.count_if("admitted").alias("admitted"),
+    ]
+
+
+def replay_interval(trace: DataFrame, start: int, stop: int, quota: int, policy: str, ttl: float | None, shard: list[str], key: list[str], bin_column: str = "bin", at: str = "event_index", time: str = "ts_ms", extras: str | None = None) -> DataFrame:
     """Counters of an exact negative cache per shard over the bins [start, stop), in trace order.
 
-    Policies: 'always', 'second_hit' (admit at the second miss) and 'none'.  The cache holds at most
-    ``quota`` entries; counts of misses are kept only for 'second_hit'.
+    Policies: 'always', 'second_hit' (admit from the second miss on) and 'none'.  A request that misses costs one
+    confirmation and its ``extras`` (a column of checks that raced with it).
     """
-    names = [*shard, "backend_checks", "cache_hits", "evictions", "expirations", "admitted"]
+    rows = trace.where((F.col(bin_column) >= start) & (F.col(bin_column) < stop))
+    rows = rows.withColumns({"_quota": F.lit(quota), "_policy": F.lit(policy), "extras": F.col(extras).cast("long") if extras else F.lit(0).cast("long")})
+    return cache_outcomes(rows, shard, key, at, time, "_quota", "_policy", ttl).groupBy(*shard).agg(*_counters())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: OrderedDict = OrderedDict()
-        missed: set = set()
-        now, c = None, [0] * 5
-        for pdf in batches:
-            done = []
-            for s, k, t in zip(zip(*(pdf[x] for x in shard)), zip(*(pdf[x] for x in key)), pdf[time]):
-                if s != now:
-                    if now is not None:
-                        done.append((*now, *c))
-                    now, c = s, [0] * 5
-                    cache.clear()
-                    missed.clear()
-                if k in cache and ttl is not None and t - cache[k] > ttl:
-                    del cache[k]
-                    c[3] += 1
-                if k in cache:
-                    cache.move_to_end(k)
-                    c[1] += 1
-                    continue
-                c[0] += 1
-                if quota and policy != "none" and (policy == "always" or k in missed):
-                    if len(cache) >= quota:
-                        cache.popitem(last=False)
-                        c[2] += 1
-                    cache[k] = t
-                    c[4] += 1
-                if policy == "second_hit":
-                    missed.add(k)
-            yield pd.DataFrame(done, columns=names)
-        if now is not None:
-            yield pd.DataFrame([(*now, *c)], columns=names)
 
-    types = dict(trace.dtypes)
-    schema = ", ".join([f"{x} {types[x]}" for x in shard] + [f"{x} long" for x in names[len(shard) :]])
-    rows = trace.where((F.col(bin_column) >= start) & (F.col(bin_column) < stop)).select(*dict.fromkeys([*shard, at, time, *key]))
-    return rows.repartition(*shard).sortWithinPartitions(*shard, at).mapInPandas(run, schema)
-
-
-def option_table(trace: DataFrame, intervals: DataFrame, memories: list[int], quotas: list[int], policies: list[str], seeds: list[int], beta: float, key: str = "token_key", bin_column: str = "bin") -> DataFrame:
+def option_table(
+    trace: DataFrame, intervals: DataFrame, memories: list[int], quotas: list[int], policies: list[str], seeds: list[int], beta: float, key: str = "token_key", bin_column: str = "bin",
+    ttl: float | None = None, at: str = "event_index", time: str = "ts_ms", extras: str | None = None, memory_bytes: int = 1, entry_bytes: int = 64, resource_quantum: int = 1024, compromise_quantum: float = 1.0,
+) -> DataFrame:
     """Costs of screening options per interval of bins, memory, quota and policy, over seeds.
 
-    A screen of memory m lets an identity through when its sticky hash lies under
-    epsilon = exp(-beta m / N), N the interval's identities.  With no quota every request of
-    what passes is checked; with one, each identity costs min(n, 1) or min(n, 2) by policy.
-    Requests are aggregated per (interval, identity) before options multiply them.
+    ``intervals`` (start_bin, end_bin and, if the caller has them, occupancy and compromise) is the caller's small grid;
+    occupancy defaults to the interval's identities, compromise to 1.  A screen of memory m lets an identity
+    through when its sticky hash lies under epsilon = exp(-beta m / occupancy).  What passes is replayed against a
+    cache of the option's quota, policy and ``ttl``.  Caches that can't fill and whose entries don't expire need
+    no replay: an identity then costs its requests, one or at most two of them.
     """
-    i = F.broadcast(intervals)  # the caller's grid of intervals
-    ids = trace.join(i, (F.col(bin_column) >= i.start_bin) & (F.col(bin_column) < i.end_bin)).groupBy("start_bin", "end_bin", key).agg(F.count(F.lit(1)).alias("n"))
-    size = ids.groupBy("start_bin", "end_bin").agg(F.count(F.lit(1)).alias("identities"))
-    ids = ids.withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))).withColumn("memory", F.explode(F.array(*map(F.lit, memories))))
-    ids = ids.join(F.broadcast(size), ["start_bin", "end_bin"])
+    extra = F.col(extras).cast("long") if extras else F.lit(0).cast("long")
+    i = intervals
+    rows = trace.withColumn("extras", extra).join(i, (F.col(bin_column) >= i.start_bin) & (F.col(bin_column) < i.end_bin))
+    span = ["start_bin", "end_bin"]
+    size = rows.groupBy(*span).agg(F.count_distinct(key).alias("identities"))
+    size = size.join(i, span)
+    size = size.withColumns({c: F.col(c) if c in i.columns else d for c, d in (("occupancy", F.col("identities").cast("double")), ("compromise", F.lit(1.0)))}).select(*span, "identities", "occupancy", "compromise")
+    options = lambda df: df.withColumns({"seed": F.explode(F.array(*map(F.lit, seeds)))}).withColumn("memory", F.explode(F.array(*map(F.lit, memories))))
+    epsilon = F.exp(-F.lit(float(beta)) * F.col("memory") * memory_bytes / F.col("occupancy"))
     unit = S.hash32(F.concat_ws("|", F.concat_ws(":", "seed", "start_bin", "end_bin"), F.col(key))) / float(1 << 32)
-    passed = ids.where(unit < F.exp(-F.lit(beta) * F.col("memory") / F.col("identities")))
-    sums = passed.groupBy("start_bin", "end_bin", "memory", "seed").agg(F.sum("n").alias("none"), F.count(F.lit(1)).alias("always"), F.sum(F.least(F.col("n"), F.lit(2))).alias("second_hit"))
-    cost = F.col("none")
-    for p in ("always", "second_hit"):
-        cost = F.when((F.col("quota") > 0) & (F.col("policy") == p), F.col(p)).otherwise(cost)
-    options = sums.withColumn("quota", F.explode(F.array(*map(F.lit, quotas)))).withColumn("policy", F.explode(F.array(*map(F.lit, policies)))).withColumn("cost", cost)
-    return options.groupBy("start_bin", "end_bin", "memory", "quota", "policy").agg(
-        F.avg("cost").alias("mean_cost"), (F.stddev_samp("cost") / F.sqrt(F.count(F.lit(1)))).alias("stderr"), F.sort_array(F.collect_list("cost")).alias("seed_costs")
+    screen = [*span, "memory", "seed"]
+    # Requests are aggregated per identity before options multiply them.
+    ids = options(rows.groupBy(*span, key).agg(F.count(F.lit(1)).alias("n"), F.sum("extras").alias("x")).join(size, span)).where(unit < epsilon)
+    sums = ids.groupBy(*screen).agg(F.sum(F.col("n") + F.col("x")).alias("none"), F.count(F.lit(1)).alias("always"), F.sum(F.least("n", F.lit(2))).alias("second_hit"), F.sum("x").alias("x"))
+    # A screen that lets nothing through costs nothing; its row must not be missing.
+    every = options(size).select(*screen, "identities", "occupancy", "compromise")
+    grid = every.join(sums, screen, "left").withColumn("quota", F.explode(F.array(*map(F.lit, quotas)))).withColumn("policy", F.explode(F.array(*map(F.lit, policies))))
+    uncached = (F.col("quota") == 0) | (F.col("policy") == "none") | F.col("none").isNull()
+    closed = F.coalesce(F.col("x"), F.lit(0)) == 0
+    closed = closed & (F.col("quota") >= F.col("always")) if ttl is None else F.lit(False)
+    cost = F.when(F.col("none").isNull(), 0).when(uncached, F.col("none")).when(F.col("policy") == "always", F.col("always")).otherwise(F.col("second_hit"))
+    grid = grid.withColumn("cost", F.when(uncached | closed, cost))
+    shard = [*screen, "quota", "policy"]
+    replayed = grid.where("cost is null").select(*shard, "occupancy")
+    through = rows.select(*span, key, at, time, "extras").join(replayed, span).where(unit < epsilon)
+    found = cache_outcomes(through, shard, [key], at, time, "quota", "policy", ttl).groupBy(*shard).agg(F.sum(F.when(F.col("hit"), 0).otherwise(1 + F.col("extras"))).alias("replayed"))
+    grid = grid.join(found, shard, "left").withColumn("cost", F.coalesce("cost", "replayed"))
+    total = F.col("memory") * memory_bytes + F.col("quota") * entry_bytes
+    out = grid.groupBy(*span, "memory", "quota", "policy").agg(
+        F.avg("cost").alias("mean_cost"), (F.stddev_samp("cost") / F.sqrt(F.count(F.lit(1)))).alias("stderr"), F.sort_array(F.collect_list("cost")).alias("seed_costs"), F.max(epsilon).alias("epsilon"), F.max("compromise").alias("_c")
     )
+    return out.withColumns(
+        {"memory_quanta": F.ceil(total / resource_quantum), "compromise_mass": F.col("_c") * F.col("epsilon"), "compromise_quanta": F.floor(F.col("_c") * F.col("epsilon") / compromise_quantum + 1e-12)}
+    ).drop("_c")
 
 
 def chronological_split(trace: DataFrame, at: str = "event_index", train: float = 0.5, validation: float = 0.7) -> DataFrame:
@@ -279,9 +329,9 @@ def chronological_split(trace: DataFrame, at: str = "event_index", train: float
     n, low, high = trace.agg(F.count(F.lit(1)), F.min(at), F.max(at)).first()
     if not n:
         return trace.select(at, F.lit(None).cast("double").alias("fraction"), F.lit(None).cast("string").alias("role"))
-    width = max(1, (high - low + 1) // 256)
+    width = max(1, -(-(high - low + 1) // max(256, 4 * int(trace.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     rows = trace.withColumn("_range", F.floor((F.col(at) - low) / width).cast("long"))
-    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # at most 257 rows
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # as few rows as ranges
     before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(at)) - 1
     fraction = (F.col("_before") + rank) / n

@@ -32,9 +32,9 @@ def _(spark, d):
     return rounded(T.mean_t_ci(points(spark, d), ["method", "profile", "load"], "p99"), 4)
 
 
-@query("i2_log_t_summary", f"{P}, g AS (SELECT method, profile, count(*) AS n, avg(ln(p99)) AS m, stddev_samp(ln(p99)) / sqrt(count(*)) AS se FROM points WHERE load = 3 GROUP BY ALL), h AS (SELECT *, {t_sql(0.995, 'n - 1')} * se AS h FROM g) SELECT method, profile, n, round(exp(m), 4) AS geometric_mean, round(exp(m - h), 4) AS ci_low, round(exp(m + h), 4) AS ci_high, round(exp(h) - 1, 9) AS relative_half_width, h <= ln(1.05) AS precise FROM h")
+@query("i2_log_t_summary", f"{P}, g AS (SELECT method, profile, load, count(*) AS n, avg(ln(p99)) AS m, stddev_samp(ln(p99)) / sqrt(count(*)) AS se FROM points GROUP BY ALL), h AS (SELECT *, {t_sql(0.995, 'n - 1')} * se AS h FROM g) SELECT method, profile, load, n, round(exp(m), 4) AS geometric_mean, round(exp(m - h), 4) AS ci_low, round(exp(m + h), 4) AS ci_high, round(exp(h) - 1, 9) AS relative_half_width, h <= ln(1.05) AS precise FROM h")
 def _(spark, d):
-    return rounded(T.log_t_summary(points(spark, d).where("load = 3"), ["method", "profile"], "p99", 0.01).withColumn("relative_half_width", F.round("relative_half_width", 9)), 9).withColumns({c: F.round(c, 4) for c in ("geometric_mean", "ci_low", "ci_high")})
+    return rounded(T.log_t_summary(points(spark, d), ["method", "profile", "load"], "p99", 0.01).withColumn("relative_half_width", F.round("relative_half_width", 9)), 9).withColumns({c: F.round(c, 4) for c in ("geometric_mean", "ci_low", "ci_high")})
 
 
 PAIRS = "pairs AS (SELECT c.seed, c.method, c.profile, c.load, c.p99, b.p99 AS base_p99, c.checks, b.checks AS base_checks, c.offered, b.offered AS base_offered FROM points c JOIN points b ON b.method = 'A' AND c.method <> 'A' AND c.seed = b.seed AND c.profile = b.profile AND c.load = b.load)"
@@ -201,10 +201,10 @@ def _(spark, d):
     return rounded(C.summarize_saturation(brackets(spark, d), "method", "seed", "A", ["profile"]))
 
 
-@query("j4_capacity_lower_bound", f"""WITH {SAFE}, best AS (SELECT profile, seed, arg_max(checks, load) AS c FROM passed WHERE passed AND method = 'R' GROUP BY ALL), g AS (SELECT profile, count(*) AS n, avg(ln(c)) AS m, stddev_samp(ln(c)) / sqrt(count(*)) AS se FROM best GROUP BY 1)
+@query("j4_capacity_lower_bound", f"""WITH {SAFE}, best AS (SELECT method || '-' || profile AS profile, seed, arg_max(checks, load) AS c FROM passed WHERE passed AND load > 0 GROUP BY ALL), g AS (SELECT profile, count(*) AS n, avg(ln(c)) AS m, stddev_samp(ln(c)) / sqrt(count(*)) AS se FROM best GROUP BY 1)
     SELECT profile, n, CASE WHEN n = 20 THEN round(exp(m), 4) END AS geometric_mean, CASE WHEN n = 20 THEN round(exp(m - {t_sql(0.975, 'n - 1')} * se), 4) END AS lower_bound, CASE WHEN n = 20 THEN 'VALID_COMPLETE' ELSE 'INDETERMINATE' END AS status FROM g""")
 def _(spark, d):
-    return rounded(C.capacity_lower_bound(safe(spark, d).where("method = 'R'"), "profile", "seed", "load", "checks", 0.025, 20), 4)
+    return rounded(C.capacity_lower_bound(safe(spark, d).withColumn("profile", F.concat_ws("-", "method", "profile")), "profile", "seed", "load", "checks", 0.025, 20), 4)
 
 
 @query("j5_saturation_ratio", f"""WITH {BRACKET}, pr AS (SELECT c.method, c.profile, c.lower_ AS l, b.upper_ AS u FROM brackets c JOIN brackets b ON b.method = 'A' AND c.method <> 'A' AND c.seed = b.seed AND c.profile = b.profile),
@@ -376,16 +376,16 @@ def _(spark, d):
     return K.backend_work_gate(p, "dropped", "timed_out", "checks").select("seed", "method", "near_bound", "tenfold", "decision")
 
 
-@query("k8_look_decision", f"{P}, g AS (SELECT method, profile, {t_sql(0.995, 'count(*) - 1')} * stddev_samp(ln(p99)) / sqrt(count(*)) AS h FROM points WHERE load = 3 GROUP BY ALL) SELECT round(max(exp(h) - 1), 6) AS widest, count(DISTINCT profile) AS strata, CASE WHEN max(exp(h) - 1) <= 0.05 AND count(DISTINCT profile) = 1 THEN 'STOP' ELSE 'EXTEND' END AS decision FROM g")
+@query("k8_look_decision", f"{P}, g AS (SELECT method, profile, load, {t_sql(0.995, 'count(*) - 1')} * stddev_samp(ln(p99)) / sqrt(count(*)) AS h FROM points GROUP BY ALL) SELECT round(max(exp(h) - 1), 6) AS widest, count(DISTINCT profile) AS strata, CASE WHEN max(exp(h) - 1) <= 0.05 AND count(DISTINCT profile) = 1 THEN 'STOP' ELSE 'EXTEND' END AS decision FROM g")
 def _(spark, d):
-    s = T.log_t_summary(points(spark, d).where("load = 3"), ["method", "profile"], "p99", 0.01)
+    s = T.log_t_summary(points(spark, d), ["method", "profile", "load"], "p99", 0.01)
     return rounded(K.look_decision(s, "relative_half_width", 0.05, "profile"))
 
 
-@query("k9_invalid_reason_subset", "SELECT user_id, len(list_filter(list(DISTINCT event_type), lambda x: x NOT IN ('click', 'view', 'error'))) = 0 AS only_allowed FROM events WHERE value > 60 GROUP BY 1")
+@query("k9_invalid_reason_subset", "SELECT user_id, len(list_filter(list(DISTINCT event_type), lambda x: x NOT IN ('click', 'view', 'error', 'signup'))) = 0 AS only_allowed FROM events GROUP BY 1")
 def _(spark, d):
-    r = src.table(spark, d, "events").where("value > 60").groupBy("user_id").agg(F.collect_set("event_type").alias("reasons"))
-    return K.invalid_reason_subset(r, "reasons", ["click", "view", "error"]).select("user_id", "only_allowed")
+    r = src.table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("reasons"))
+    return K.invalid_reason_subset(r, "reasons", ["click", "view", "error", "signup"]).select("user_id", "only_allowed")
 
 
 @query("k10_state_invariants", """WITH s AS (SELECT user_id, list(DISTINCT event_type) FILTER (event_id % 5 = 0) AS cached, list(DISTINCT event_type) FILTER (event_id % 7 = 0) AS valid, count(*) % 3 > 0 AS certain, count(*) % 5 AS ev, count(*) % 7 AS dv, count(*) % 7 - (user_id % 10 = 0)::INT AS bv FROM events GROUP BY 1)
@@ -432,8 +432,7 @@ def _(spark, d):
     return K.replication_check(p.where("profile = 'F'"), p.where("profile = 'O'"), ["method", "load"], "p99", "base_p99", 0.05, 14, 1.05)
 
 
-@query("k15_discrepancy_check", f"{SP}, r AS (SELECT spec, memory / 50.0::DOUBLE AS density, ffr, pow(memory / 50.0::DOUBLE, 3) AS re FROM specs) SELECT spec, abs(ffr - re) <= 0.2 AS explained FROM r WHERE abs(ffr - 0.5) > 0.05")
+@query("k15_discrepancy_check", f"{SP}, r AS (SELECT spec, memory / 50.0::DOUBLE AS density, ffr, pow(memory / 50.0::DOUBLE, 3) AS re FROM specs) SELECT spec, abs(ffr - re) <= 0.05 AS explained FROM r WHERE abs(ffr - 0.5) > 0.05")
 def _(spark, d):
     r = src.read_specs(spark, d).withColumns({"density": F.col("memory") / 50.0, "analytic": F.lit(0.5)})
-    a = K.discrepancy_check(r, "ffr", "analytic", "density", 3, 0.05)
-    return a.select("spec", (F.abs(F.col("ffr") - F.pow("density", F.lit(3))) <= 0.2).alias("explained"))
+    return K.discrepancy_check(r, "ffr", "analytic", "density", 3, 0.05).select("spec", "explained")

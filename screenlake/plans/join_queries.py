@@ -116,11 +116,12 @@ def _(spark, d):
 
 @query(
     "c9_expand_grid",
-    f"WITH {SPECS} SELECT family, bits, hashes, n FROM (SELECT family, count(*) AS n FROM specs GROUP BY 1), (VALUES (8), (12), (16)) b(bits), range(1, 5) h(hashes)",
+    f"WITH {SPECS} SELECT family, bits, hashes, n FROM (SELECT family, count(*) AS n FROM specs GROUP BY 1), (VALUES (8), (12), (16)) b(bits), range(1, 5) h(hashes) WHERE bits > 8 UNION ALL SELECT family, 8, NULL, count(*) FROM specs GROUP BY 1",
 )
 def _(spark, d):
     n = src.read_specs(spark, d).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("bits", F.explode(F.array(*map(F.lit, (8, 12, 16))))).withColumn("hashes", F.explode(F.array(*[F.lit(x).cast("long") for x in range(1, 5)]))).select("family", "bits", "hashes", "n")
+    grid = J.expand_grid(spark, {"bits": [8, 12, 16], "hashes": [1, 2, 3, 4]}, n, {"hashes": F.col("bits") > 8})
+    return grid.select("family", "bits", F.col("hashes").cast("long").alias("hashes"), "n")
 
 
 @query("c10_replicate_trace", "SELECT s_suppkey AS key, copy, copy * (SELECT count(*) FROM supplier) + s_suppkey AS pos, (copy * (SELECT count(*) FROM supplier) + s_suppkey) * 25 AS ts_ms FROM supplier, range(0, 10) c(copy)")

@@ -53,10 +53,10 @@ def _(spark, d):
     return src.table(spark, d, "events").where(S.sticky_sample("user_id", 3, 0, 16, 0.25)).select("event_id")
 
 
-@query("b9_token_prefix", f"SELECT n_nationkey, {", ".join(f"CAST('0x' || substr(sha256(n_name), 1, {-(-b // 4)}) AS BIGINT) >> {-b % 4} AS p{b}" for b in (8, 12, 18, 20, 32))} FROM nation")
+@query("b9_token_prefix", f"SELECT n_nationkey, {", ".join(f"CAST('0x' || substr(sha256(n_name), 1, {-(-b // 4)}) AS BIGINT) >> {-b % 4} AS p{b}" for b in (8, 12, 18, 20, 32))}, substr(sha256(n_name), 1, 16) AS p64, substr(sha256(n_name), 1, 15) || printf('%x', CAST('0x' || substr(sha256(n_name), 16, 1) AS INT) & 12) AS p62, substr(sha256(n_name), 1, 32) AS p128 FROM (SELECT event_id AS n_nationkey, event_type || event_id AS n_name FROM events)")
 def _(spark, d):
-    n = src.table(spark, d, "nation").withColumn("t", F.sha2("n_name", 256))
-    return n.select("n_nationkey", *[S.token_prefix("t", b).alias(f"p{b}") for b in (8, 12, 18, 20, 32)])
+    e = src.table(spark, d, "events").select(F.col("event_id").alias("n_nationkey"), F.sha2(F.concat("event_type", F.col("event_id").cast("string")), 256).alias("t"))
+    return e.select("n_nationkey", *[S.token_prefix("t", b).alias(f"p{b}") for b in (8, 12, 18, 20, 32, 62, 64, 128)])
 
 
 @query("b10_probe_positions", f"SELECT event_id, i, ({h32('event_id::VARCHAR')} + i * ({h32('event_id::VARCHAR', 1)} | 1)) % 1000 AS position FROM events, range(0, 4) r(i)")
@@ -306,10 +306,11 @@ def _(spark, d):
     return rounded(M.matched_system_totals(src.read_points(spark, d), "method", "dropped", "checks", "p99", 300), 4)
 
 
-@query("e20_order_digest")
+@query("e20_order_digest", """WITH h AS (SELECT event_id // 500 AS shard, list(sha256(concat_ws(chr(31), event_id, user_id, event_type, event_id % 97)) ORDER BY event_id) AS rows, count(*) AS n FROM events GROUP BY 1)
+    SELECT shard, n, list_reduce(list_prepend('', rows), lambda s, r: sha256(s || r)) AS digest FROM h""")
 def _(spark, d):
     e = src.table(spark, d, "events").withColumn("shard", F.floor(F.col("event_id") / 500).cast("long"))
-    return M.order_digest(e, ["shard"], "event_id", "event_id", "user_id", "event_type", "value")
+    return M.order_digest(e.withColumn("rest", F.col("event_id") % 97), ["shard"], "event_id", "event_id", "user_id", "event_type", "rest")
 
 
 BINS = "bins AS (SELECT least(19, floor(u * 20))::BIGINT AS bin, count(*) FILTER (event_type = 'purchase') AS members, count(*) FILTER (event_type <> 'purchase') AS others FROM (SELECT event_type, value / 200.0 AS u FROM events) GROUP BY 1)"

@@ -13,7 +13,7 @@ from ..sources import tables as src
 from ..sources.scratch import arrivals, scratch
 from ..streaming import attempts as M
 from .registry import ATTEMPTS, h32, query, rounded
-from .trace_queries import _ttl_sql
+from .trace_queries import _lru_sql, _ttl_sql
 
 A = f"WITH {ATTEMPTS}"
 KEY = "account, generation, version, token"
@@ -122,9 +122,9 @@ def _(spark, d):
 
 
 # -- streams: each answer equals the batch operator's --------------------------------------------
-def _stream(spark, d, name, *extra):
+def _stream(spark, d, name, *extra, key=None):
     a = src.read_attempts(spark, d).withColumns({"ts": F.timestamp_millis("ts_ms"), "exact_mismatch": F.lit(True), "invalid": S.is_existing_invalid("label")})
-    return arrivals(a.select("event_index", "account", "generation", "version", "token", "ts_ms", "ts", "exact_mismatch", "invalid", "value", *extra), "event_index", 4, name)
+    return arrivals(a.select("event_index", "account", "generation", "version", "token", "ts_ms", "ts", "exact_mismatch", "invalid", "value", *extra), "event_index", 4, name, key)
 
 
 def _end(spark, stream, mode="append"):
@@ -137,21 +137,28 @@ def _(spark, d):
     return out.groupBy("account", "token").agg(F.count(F.lit(1)).alias("n"), F.count_if("forwarded").alias("checks"))
 
 
+@query("m1_stream_suppress_quota", _lru_sql(2, "account").replace("SELECT shard, count(*)", "SELECT shard AS account, count(*)", 1).replace("greatest(0,", "-- ", 1).split("-- ")[0].rstrip(", \n ") + " FROM r GROUP BY shard")
+def _(spark, d):
+    """A quota that binds: two entries an account, which outlive the trace."""
+    out = _end(spark, M.stream_suppress(_stream(spark, d, "m1q"), 1 << 50, 2))
+    return out.groupBy("account").agg(F.count_if(~F.col("forwarded")).alias("hits"), F.count_if("forwarded").alias("misses"))
+
+
 @query("m2_stream_coalesce", f"{A} SELECT account, token, min(event_index) AS event_index FROM attempts GROUP BY ALL")
 def _(spark, d):
-    out = _end(spark, M.stream_coalesce(_stream(spark, d, "m2"), "3650 days"))
+    out = _end(spark, M.stream_coalesce(_stream(spark, d, "m2", key="account"), "3650 days"))
     return out.select("account", "token", "event_index")
 
 
 @query(
     "m3_stream_metrics",
-    """SELECT count(*) AS windows, sum(n)::BIGINT AS offered, sum(dr)::BIGINT AS dropped, round(sum(g), 4) AS greatest FROM (SELECT time_bucket(INTERVAL '6 hours', ts) AS w, count(*) AS n, count(*) FILTER (value > 80) AS dr, max(value) AS g FROM events GROUP BY 1)
+    """SELECT count(*) AS windows, sum(n)::BIGINT AS offered, sum(dr)::BIGINT AS dropped, round(sum(g), 4) AS greatest, round(sum(p50), 4) AS p50, round(sum(p99), 4) AS p99, round(sum(dr / n::DOUBLE), 6) AS drop_rate FROM (SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99, time_bucket(INTERVAL '6 hours', ts) AS w, count(*) AS n, count(*) FILTER (value > 80) AS dr, max(value) AS g FROM events GROUP BY w)
     WHERE w + INTERVAL '6 hours' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)""",
 )
 def _(spark, d):
     e = _stream(spark, d, "m3").withColumn("dropped", F.col("value") > 80)
     out = _end(spark, M.stream_metrics(e, "6 hours", "10 minutes"))
-    return rounded(out.agg(F.count(F.lit(1)).alias("windows"), F.sum("offered").alias("offered"), F.sum("dropped").alias("dropped"), F.sum("greatest").alias("greatest")), 4)
+    return rounded(out.agg(F.count(F.lit(1)).alias("windows"), F.sum("offered").alias("offered"), F.sum("dropped").alias("dropped"), *[F.round(F.sum(c), 4).alias(c) for c in ("greatest", "p50", "p99")], F.sum("drop_rate").alias("drop_rate")), 6)
 
 
 @query(
@@ -177,18 +184,19 @@ def _(spark, d):
 
 @query(
     "m6_stream_late_audit",
-    """WITH r AS (SELECT event_id, ts, ts + INTERVAL '1 second' * (value / 2)::INT AS done FROM events) SELECT done > ts + INTERVAL '20 seconds' OR event_id % 10 = 0 AS timed_out, count(*) AS n FROM r WHERE ts < (SELECT max(ts) - INTERVAL '2 days' FROM events) GROUP BY 1""",
+    """WITH r AS (SELECT event_id, ts, ts + INTERVAL '1 second' * (value / 2)::INT AS done FROM events) SELECT done > ts + INTERVAL '20 seconds' OR event_id % 10 = 0 AS timed_out, count(*) AS n FROM r GROUP BY 1""",
 )
 def _(spark, d):
-    """Requests and their completions as two streams; the last two days are left to later batches."""
+    """Requests and their completions as two streams.  A last row far ahead moves both watermarks past all others."""
     a = src.table(spark, d, "events").select(F.col("event_id").alias("request"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    end = a.agg(F.max("ts") - F.expr("INTERVAL 2 DAYS")).first()[0]
-    done = a.where("request % 10 > 0").select("request", (F.col("ts") + F.make_dt_interval(secs=F.rint(F.col("value") / 2))).alias("done_at"))
+    last = a.agg((F.max("request") + 1).alias("request"), (F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), F.lit(0.0).alias("value"))
+    a = a.unionByName(last.where("request is not null"))
+    done = a.join(last.select(F.col("request").alias("_last")), F.col("request") == F.col("_last"), "left").where("request % 10 > 0 or _last is not null").select("request", (F.col("ts") + F.make_dt_interval(secs=F.rint(F.col("value") / 2))).alias("done_at"))
     r = arrivals(a.select("request", "ts"), "request", 4, "m6-requests")
     out = _end(spark, M.stream_late_audit(r, arrivals(done, "request", 4, "m6-done"), "20 seconds", "1 hour"))
-    return out.where(F.col("ts") < F.lit(end)).groupBy("timed_out").agg(F.count(F.lit(1)).alias("n"))
+    return out.join(last.select("request"), "request", "left_anti").groupBy("timed_out").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("h3_single_commit", "SELECT count(*) = 0 AS single FROM (SELECT event_id FROM events GROUP BY 1 HAVING count(*) > 1)")
+@query("h3_single_commit", """SELECT "column", "values", "values" = 1 AS single FROM (SELECT 'event_type' AS "column", count(DISTINCT event_type) AS "values" FROM events UNION ALL SELECT 'year', count(DISTINCT year(ts)) FROM events)""")
 def _(spark, d):
-    return K.duplicate_ids(src.table(spark, d, "events"), ["event_id"]).agg((F.count(F.lit(1)) == 0).alias("single"))
+    return K.single_provenance(src.table(spark, d, "events").withColumn("year", F.year("ts")), ["event_type", "year"])

@@ -133,7 +133,7 @@ def _(spark, d):
 
 @query(
     "f10_replay_interval",
-    _lru_sql(25, REGION).replace("FROM attempts WINDOW", f"FROM attempts WHERE {h32('token')} % 16 BETWEEN 2 AND 10 WINDOW").replace("AS hits", "AS cache_hits").replace("AS misses", "AS backend_checks").replace("FROM r GROUP BY shard", f", count(*) FILTER (p IS NULL OR between_ >= 25) AS admitted, 0::BIGINT AS expirations FROM r GROUP BY shard"),
+    _lru_sql(25, REGION).replace("FROM attempts WINDOW", f"FROM attempts WHERE {h32('token')} % 16 BETWEEN 2 AND 10 WINDOW").replace("AS hits", "AS cache_hits").replace("AS misses", "AS backend_checks").replace("FROM r GROUP BY shard", f", count(*) FILTER (p IS NULL OR between_ >= 25) AS base_confirmations, 0::BIGINT AS race_extras, count(*) FILTER (p IS NULL OR between_ >= 25) AS admitted, 0::BIGINT AS expirations FROM r GROUP BY shard"),
 )
 def _(spark, d):
     a = src.read_attempts(spark, d).withColumns({"shard": S.hash_region(src.REGIONS, "account"), "bin": S.hash32("token") % 16})
@@ -147,14 +147,27 @@ def _(spark, d):
     sized AS (SELECT *, count(*) OVER (PARTITION BY start_bin, end_bin) AS identities FROM ids),
     passed AS (SELECT start_bin, end_bin, memory, seed, sum(n) AS c_none, count(*) AS c_always, sum(least(n, 2)) AS c_second FROM sized, (VALUES (0), (2000), (8000)) AS m(memory), (VALUES (1), (2), (3), (4)) AS z(seed)
         WHERE {h32("seed || ':' || start_bin || ':' || end_bin || '|' || k")} / 4294967296.0::DOUBLE < exp(-0.5 * memory / identities) GROUP BY ALL),
-    o AS (SELECT start_bin, end_bin, memory, quota, policy, CASE WHEN quota > 0 AND policy = 'always' THEN c_always WHEN quota > 0 AND policy = 'second_hit' THEN c_second ELSE c_none END::BIGINT AS cost
-        FROM passed, (VALUES (0), (100)) AS q(quota), (VALUES ('always'), ('second_hit'), ('none')) AS p(policy))
+    every AS (SELECT * FROM (SELECT DISTINCT start_bin, end_bin FROM ids), (VALUES (0), (2000), (8000)) AS m(memory), (VALUES (1), (2), (3), (4)) AS z(seed)),
+    o AS (SELECT start_bin, end_bin, memory, quota, policy, coalesce(CASE WHEN quota > 0 AND policy = 'always' THEN c_always WHEN quota > 0 AND policy = 'second_hit' THEN c_second ELSE c_none END, 0)::BIGINT AS cost
+        FROM every LEFT JOIN passed USING (start_bin, end_bin, memory, seed), (VALUES (0), (100000000)) AS q(quota), (VALUES ('always'), ('second_hit'), ('none')) AS p(policy))
     SELECT start_bin, end_bin, memory, quota, policy, round(avg(cost), 6) AS mean_cost, round(stddev_samp(cost) / sqrt(count(*)), 6) AS stderr, list_sort(list(cost))::VARCHAR AS seed_costs FROM o GROUP BY ALL""",
 )
 def _(spark, d):
-    a = src.read_attempts(spark, d).select((S.hash32("token") % 16).alias("bin"), F.concat_ws("/", "account", "token").alias("token_key"))
+    """Caches that never fill: the closed forms."""
+    out = _options(spark, d, [0, 100_000_000], None).drop("epsilon", "memory_quanta", "compromise_mass", "compromise_quanta")
+    return rounded(out).withColumn("seed_costs", F.col("seed_costs").cast("string"))
+
+
+def _options(spark, d, quotas, ttl):
+    a = src.read_attempts(spark, d).select("event_index", "ts_ms", (S.hash32("token") % 16).alias("bin"), F.concat_ws("/", "account", "token").alias("token_key"))
     grid = spark.sql("SELECT * FROM VALUES (0, 8), (8, 16), (0, 16) AS v(start_bin, end_bin)")
-    return rounded(T.option_table(a, grid, [0, 2000, 8000], [0, 100], ["always", "second_hit", "none"], [1, 2, 3, 4], 0.5)).withColumn("seed_costs", F.col("seed_costs").cast("string"))
+    return T.option_table(a, grid, [0, 2000, 8000], quotas, ["always", "second_hit", "none"], [1, 2, 3, 4], 0.5, ttl=ttl)
+
+
+@query("f11_option_table_bounded")
+def _(spark, d):
+    """Caches of 50 entries that last a day, replayed; held against a plain replay in the tests."""
+    return rounded(_options(spark, d, [0, 50], 86_400_000.0))
 
 
 @query(

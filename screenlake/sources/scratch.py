@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -13,16 +15,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     temporary one is taken."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def arrivals(df: DataFrame, by: str, slices: int, name: str) -> DataFrame:
-    """``df`` as a stream: written slice by slice in the order of ``by``, read one slice per batch."""
+def arrivals(df: DataFrame, by: str, slices: int, name: str, key: str | None = None) -> DataFrame:
+    """``df`` as a stream: slices in the order of ``by``, each written by all tasks as one number of files and read
+    as one batch.  With a ``key`` all rows of one are in one file, in order."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     low, high = df.selectExpr(f"min({by})", f"max({by})").first()
-    edges = [low + (high + 1 - low) * k // slices for k in range(slices + 1)] if low is not None else []
-    for a, b in zip(edges, edges[1:]):
-        df.where(f"{by} >= {a} AND {by} < {b}").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files, width = 1, max(1, (high - low + slices) // slices) if low is not None else 1
+    if low is not None:
+        numbered = df.withColumn("_slice", F.floor((F.col(by) - low) / width).cast("int"))
+        each = F.floor(F.approx_count_distinct(key) / 32) if key else F.count(F.lit(1))
+        counts = [r["n"] for r in numbered.groupBy("_slice").agg(each.alias("n")).collect()]  # a row for each slice
+        # No file may be empty, since a batch is as many files as a slice has.
+        files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), *counts))
+        for k in range(slices):
+            rows = numbered.where(F.col("_slice") == k).drop("_slice")
+            rows = rows.repartition(files, key).sortWithinPartitions(by) if key else rows.repartition(files)
+            rows.write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
