@@ -10,8 +10,9 @@ p(c), p(t) and p(c, t) are the shares of different texts that hold entity c, ter
 Disclosure is 1 when the term occurs only with the entity.  A term seen with the entity in at least
 ``SUPPORT`` different texts, or in as many different contexts (``WINDOW`` words on each side of the
 entity) of one text, whose disclosure reaches ``GENERALISE`` is reported (kind ``term``) wherever it
-stands in texts that hold both; sanitised text shows a placeholder for it, and nothing from
-``REMOVE`` up.
+stands in texts that hold both.  Sanitised text shows nothing for it from ``REMOVE`` up.  Below, it shows
+something more general: the longest beginning of the term that is itself a term of the corpus in so many
+texts that it discloses no such entity, or a placeholder where there is none.
 
 Texts that are equal but for case and white space count once, so copies are no evidence.  Terms are
 counted with partial aggregation.  A term in more than n_c (n / n_c) ^ (1 - GENERALISE) texts cannot reach
@@ -160,7 +161,8 @@ def _term_counts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def disclosure(docs: DataFrame, scan: DataFrame) -> DataFrame:
-    """(digest, term, disclosure) of the terms of each text that disclose an entity it holds."""
+    """(digest, term, disclosure, general) of the terms of each text that disclose an entity it holds; ``general`` is
+    the more general term that may stand for it, if any."""
     digests = saved(scan.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), "pii-digests")
     n = F.lit(float(digests.count()))
     counts = _term_counts(docs, digests.where("copies > 1").select("digest"))
@@ -180,9 +182,15 @@ def disclosure(docs: DataFrame, scan: DataFrame) -> DataFrame:
     near = saved(near.where("digest = last and a <> b").select("digest", "entity", "term"), "pii-near")
     pairs = pairs.unionByName(near.select("entity", "term", F.lit(1).cast("long").alias("n_ct"))).groupBy("entity", "term").agg(F.max("n_ct").alias("n_ct"))
     share = 1 - F.log2(F.greatest(F.col("n_t") / F.col("n_ct"), F.lit(1.0))) / F.nullif(F.log2(n / F.col("n_c")), F.lit(0.0))
-    telling = pairs.join(counts, "term").join(sizes, "entity").select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
-    met = together.unionByName(near).join(saved(telling, "pii-telling"), ["entity", "term"])
-    return saved(met.groupBy("digest", "term").agg(F.max("disclosure").alias("disclosure")), "pii-terms")
+    telling = pairs.join(counts, "term").join(sizes, "entity").select("entity", "term", "n_c", share.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    telling = saved(telling, "pii-telling")
+    # A shorter term in n_t texts discloses at most log(n / n_t) / log(n / n_c) of an entity in n_c; most for the largest n_c.
+    shorter = F.explode(F.transform(F.sequence(F.lit(4), F.length("term") - 1), lambda k: F.substring(F.col("term"), F.lit(1), k)))
+    wider = telling.where(F.length("term") > 4).groupBy("term").agg(F.max("n_c").alias("n_c")).select("term", "n_c", shorter.alias("general"))
+    wider = wider.join(counts.select(F.col("term").alias("general"), "n_t"), "general").where((F.col("n_t") >= F.col("n_c")) & (F.log2(n / F.col("n_t")) < GENERALISE * F.log2(n / F.col("n_c"))))
+    wider = wider.groupBy("term").agg(F.max_by("general", F.length("general")).alias("general"))
+    met = together.unionByName(near).join(telling.drop("n_c"), ["entity", "term"])
+    return saved(met.groupBy("digest", "term").agg(F.max("disclosure").alias("disclosure")).join(wider, "term", "left"), "pii-terms")
 
 
 def _found(docs: DataFrame, with_text: bool) -> DataFrame:
@@ -192,7 +200,7 @@ def _found(docs: DataFrame, with_text: bool) -> DataFrame:
     order = KINDS.index("term")
     terms = places.join(telling, ["digest", "term"]).groupBy("row").agg(
         F.collect_list(F.struct("start", F.lit(order).cast("int").alias("kind_order"), "stop")).alias("terms"),
-        F.collect_list(F.when(F.col("disclosure") >= REMOVE, F.col("start"))).alias("removed"),
+        F.collect_list(F.when(F.col("disclosure") >= REMOVE, F.struct("start", F.lit("").alias("shown"))).when(F.col("general").isNotNull(), F.struct("start", F.col("general").alias("shown")))).alias("instead"),
     )
     kinds = F.array(*map(F.lit, KINDS))
     said = lambda s: F.concat_ws(":", F.element_at(kinds, s["kind_order"] + 1), s["start"].cast("string"), s["stop"].cast("string"))
@@ -206,12 +214,15 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     return _found(docs, False).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", F.greatest(n_terms, F.lit(0)).cast("long").alias("n_terms"))
 
 
-def sanitised(text: str, found: list[Span], removed: set[int]) -> str:
-    """The text with base spans and terms replaced; the longest of overlapping spans counts."""
+def sanitised(text: str, found: list[Span], instead: dict[int, str]) -> str:
+    """The text with base spans and terms replaced; the longest of overlapping spans counts.
+
+    ``instead`` has what a term that starts at a place shows, where that is not the placeholder of its kind.
+    """
     out, at = [], 0
     for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2])):
         if s >= at:
-            out += [text[at:s], "" if kind == "term" and s in removed else f"[{kind.upper()}]"]
+            out += [text[at:s], instead[s] if kind == "term" and s in instead else f"[{kind.upper()}]"]
             at = e
         elif e > at:
             at = e
@@ -224,9 +235,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = []
-            for text, spans, removed in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
+            for text, spans, instead in zip(*(b.column(k) for k in (1, 2, 3))):
+                text, spans, instead = text.as_py(), spans.as_py(), {x["start"]: x["shown"] for x in instead.as_py() or ()}
                 found = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in spans.split(","))] if spans else []
-                texts.append(None if text is None else sanitised(text, found, set(removed or ())))
+                texts.append(None if text is None else sanitised(text, found, instead))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return _found(docs, True).select("doc_id", "text", "spans", "removed").mapInArrow(run, "doc_id long, text string")
+    return _found(docs, True).select("doc_id", "text", "spans", "instead").mapInArrow(run, "doc_id long, text string")

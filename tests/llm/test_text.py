@@ -283,6 +283,16 @@ def test_copies_leave_terms_as_they_are(spark):
     assert ",term:" in once[rows[0].lower()] and all(many[t] == v for t, v in once.items() if "@" in t)
 
 
+def test_terms_become_more_general_where_they_can(spark):
+    filler = ["meeting tomorrow morning", "project budget review", "weather seems lovely", "dinner plans again"]
+    rows = [f"{filler[k % 4]} berliner writes to ann@example.com about {filler[(k + 1) % 4]} {k}" for k in range(6)] + [f"{filler[k]} berliner {k} alone" for k in range(4)]
+    rows += [f"berlin {f} number {k}" for k in range(30) for f in filler]
+    got = pii.sanitise(docs(spark, rows)).orderBy("doc_id").collect()
+    # Six of the ten texts with the term hold the entity: telling, but not enough to go, and "berlin" is everywhere.
+    assert all(x["text"].split()[3] == "berlin" and "[EMAIL]" in x["text"] for x in got[:6])
+    assert all(x["text"] == t for x, t in zip(got[6:], rows[6:]))
+
+
 def test_terms_far_from_their_entity_are_found(spark):
     filler = ["meeting tomorrow morning", "project budget review", "weather seems lovely", "dinner plans again"]
     body = lambda k: " ".join(filler[(k + j) % 4] for j in range(60))
