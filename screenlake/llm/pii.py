@@ -113,7 +113,7 @@ _CONTEXT = pa.struct([("entity", pa.string()), ("context", pa.string()), ("terms
 _SPAN = pa.struct([("start", pa.int64()), ("kind_order", pa.int32()), ("stop", pa.int64())])
 _SCHEMA = (
     "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:long,kind_order:int,stop:long>>, "
-    "contexts array<struct<entity:string,context:string,terms:array<string>>>, words array<struct<term:string,start:long,stop:long>>, digest string"
+    "contexts array<struct<entity:string,context:string,terms:array<string>>>, words array<struct<term:string,start:long,stop:long>>, digest binary"
 )
 
 
@@ -123,7 +123,7 @@ def joined(found: list[Span]) -> str:
 
 def _digest():
     """One digest for texts that are equal but for case and white space."""
-    return F.md5(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), SPACE_RUN, " ")))
+    return F.unhex(F.md5(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), SPACE_RUN, " "))))
 
 
 def _scan(docs: DataFrame, with_text: bool) -> DataFrame:
@@ -198,6 +198,8 @@ def _found(docs: DataFrame, with_text: bool) -> DataFrame:
     telling = disclosure(docs, scan)
     places = scan.where(F.size("words") > 0).select("row", "digest", F.explode("words").alias("w")).select("row", "digest", "w.term", "w.start", "w.stop")
     order = KINDS.index("term")
+    # Few terms tell anything: the places of the others stay where they are.
+    places = may_hold(places, "term", key_filter(telling.select("term").distinct(), "term", "pii-filter")).where("maybe").drop("maybe")
     terms = places.join(telling, ["digest", "term"]).groupBy("row").agg(
         F.collect_list(F.struct("start", F.lit(order).cast("int").alias("kind_order"), "stop")).alias("terms"),
         F.collect_list(F.when(F.col("disclosure") >= REMOVE, F.struct("start", F.lit("").alias("shown"))).when(F.col("general").isNotNull(), F.struct("start", F.col("general").alias("shown")))).alias("instead"),
