@@ -191,6 +191,27 @@ def memory_bytes(entries, entry_bytes: int, alignment: int, load_factor: float,
     return F.ceil(_c(entries) / load_factor) * aligned + fixed
 
 
+def slot_bytes(entry_bytes: int, alignment: int, load_num: int, load_den: int, overhead: int) -> int:
+    """Bytes of one slot of a cache's table: the aligned entry, its share of empty slots, the allocator's part."""
+    aligned = -(-entry_bytes // alignment) * alignment
+    return -(-aligned * load_den // load_num) + overhead
+
+
+def cache_memory(capacity, policy, slot: int, per_policy: dict[str, int], fixed: int) -> dict[str, Column]:
+    """Bytes of a cache by part and in total.
+
+    No cache (null policy) takes none.  A policy outside ``per_policy`` has no packed layout: its own bytes and
+    the total are null, and ``accounted`` is false.
+    """
+    n, p = _c(capacity).cast("long"), _c(policy)
+    none, known = p.isNull(), p.isin(list(per_policy))
+    each = F.element_at(F.create_map(*[F.lit(x) for kv in per_policy.items() for x in kv]), p)
+    parts = {"entry_bytes": n * slot, "policy_bytes": n * F.when(known, each), "fixed_bytes": F.lit(fixed)}
+    out = {k: F.when(none, F.lit(0)).otherwise(v).cast("long") for k, v in parts.items()}
+    total = out["entry_bytes"] + out["policy_bytes"] + out["fixed_bytes"]
+    return out | {"total_bytes": total, "accounted": none | known}
+
+
 def timing_features(timings: list, sizes) -> dict[str, Column]:
     """Log timings and the shape of an array of sizes."""
     s = _c(sizes)

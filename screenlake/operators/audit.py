@@ -43,23 +43,57 @@ def measurement_validity(df: DataFrame, reasons: dict[str, Column]) -> DataFrame
     return df.withColumn("reasons", found).withColumn("status", F.when(F.size("reasons") == 0, "VALID").otherwise("INVALID"))
 
 
-def resource_violations(df: DataFrame, ids: list[str], limits: dict[str, float]) -> DataFrame:
-    """Long table of observations over their limits, or missing."""
+def _observations(df: DataFrame, ids: list[str], limits: dict[str, float]) -> DataFrame:
+    """A row for each row and resource with its limit."""
     long = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in limits]).unpivot(ids, list(limits), "resource", "observed")
     limit = F.element_at(F.create_map(*[F.lit(x) for p in limits.items() for x in p]), F.col("resource")).cast("double")
-    return long.withColumn("limit", limit).where(F.col("observed").isNull() | (F.col("observed") > F.col("limit"))).withColumn("problem", F.when(F.col("observed").isNull(), "missing").otherwise("over"))
+    return long.withColumn("limit", limit)
+
+
+def resource_maxima(df: DataFrame, ids: list[str], limits: dict[str, float]) -> DataFrame:
+    """Per resource its rows, how many lack it, and its greatest value with the row that holds it (ties: least ids)."""
+    top = F.min(F.when(F.col("observed").isNotNull(), F.struct((-F.col("observed")).alias("_least"), *ids)))
+    out = _observations(df, ids, limits).groupBy("resource", "limit").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("observed").isNull()).alias("missing"), top.alias("t"))
+    return out.select("resource", "n", "missing", (-F.col("t._least")).alias("greatest"), *[F.col(f"t.{c}").alias(c) for c in ids], "limit", (-F.col("t._least") <= F.col("limit")).alias("within_limit"))
+
+
+def missing_observations(df: DataFrame, ids: list[str], resources: list[str]) -> DataFrame:
+    """The rows and resources without an observation."""
+    return _observations(df, ids, dict.fromkeys(resources, 0.0)).where("observed IS NULL").select(*ids, "resource")
+
 
+def resource_violations(df: DataFrame, ids: list[str], limits: dict[str, float]) -> DataFrame:
+    """Long table of observations over their limits, or missing."""
+    return _observations(df, ids, limits).where(F.col("observed").isNull() | (F.col("observed") > F.col("limit"))).withColumn("problem", F.when(F.col("observed").isNull(), "missing").otherwise("over"))
 
-def safety_summary(events: DataFrame, group: list[str]) -> DataFrame:
-    """Counters of a fault log: false rejects, failures to accept, fail-open and forwarding violations.
 
-    Columns: expected_valid, accepted, rejected, require_fail_open, fail_open, require_backend, backend_calls.
+def safety_summary(events: DataFrame, group: list[str], guards: DataFrame | None = None) -> DataFrame:
+    """Counters of a fault log: false rejects, wrong acceptances both ways, fail-open, forwarding and recovery
+    violations, and failed guards.
+
+    Columns: expected_valid, accepted, rejected, require_fail_open, fail_open, require_backend, backend_calls,
+    recovery_check, directory_present, backend_match; ``guards``: group and passed.  An answer that is missing
+    (null) counts as a failure; a group without events or guards counts 0.
     """
-    valid = F.col("expected_valid")
-    return events.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("attempts"), F.count_if(valid).alias("valid_attempts"), F.count_if(valid & F.col("rejected")).alias("false_rejects"), F.count_if(valid & ~F.col("accepted")).alias("acceptance_failures"),
-        F.count_if(F.col("require_fail_open") & ~F.col("fail_open")).alias("fail_open_violations"), F.count_if(F.col("require_backend") & (F.col("backend_calls") < 1)).alias("forward_violations"),
-    )
+    valid, yes = F.col("expected_valid"), lambda c: F.coalesce(F.col(c), F.lit(False))
+    counters = {
+        "attempts": F.lit(True),
+        "valid_attempts": valid,
+        "false_rejects": valid & F.col("rejected"),
+        "acceptance_failures": valid & ~yes("accepted"),
+        "invalid_acceptance_failures": ~valid & F.coalesce(F.col("accepted"), F.lit(True)),
+        "fail_open_expectations": F.col("require_fail_open"),
+        "fail_open_violations": F.col("require_fail_open") & ~yes("fail_open"),
+        "forward_violations": F.col("require_backend") & (F.coalesce("backend_calls", F.lit(0)) < 1),
+        "recovery_checks": F.col("recovery_check"),
+        "recovery_failures": F.col("recovery_check") & ~(yes("accepted") & ~yes("rejected") & yes("directory_present") & yes("backend_match")),
+    }
+    out = events.groupBy(*group).agg(*[F.count_if(c).alias(name) for name, c in counters.items()])
+    if guards is None:
+        return out
+    held = guards.groupBy(*group).agg(F.count(F.lit(1)).alias("guard_expectations"), F.count_if(~yes("passed")).alias("guard_failures"))
+    names = [*counters, "guard_expectations", "guard_failures"]
+    return out.join(held, group, "full").select(*group, *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
 
 
 def coverage_floors(counts: DataFrame, floors: DataFrame, key: str) -> DataFrame:
@@ -88,10 +122,18 @@ def backend_work_gate(pairs: DataFrame, checks: str, distinct: str, base: str) -
     )
 
 
-def look_decision(summary: DataFrame, half_width: str, limit: float, stratum: str) -> DataFrame:
-    """Stop when every interval is within the limit and there is one stratum, else extend."""
-    out = summary.agg(F.max(half_width).alias("widest"), F.count_distinct(stratum).alias("strata"))
-    return out.withColumn("decision", F.when((F.col("widest") <= limit) & (F.col("strata") == 1), "STOP").otherwise("EXTEND"))
+def look_decision(summary: DataFrame, half_width: str, limit: float, stratum: str, timer: str, least_ratio: float) -> DataFrame:
+    """Whether a first look ends: more than one stratum or too coarse a timer ends it without a result, intervals
+    all within the limit end it with one, else it is extended.
+
+    ``timer``: the least ratio of a point's measures to the clock's own cost.  A null fails its rule.
+    """
+    meets = lambda ok: F.every(F.coalesce(ok, F.lit(False)))
+    out = summary.agg(
+        F.max(half_width).alias("widest"), F.count_distinct(stratum).alias("strata"), meets(F.col(half_width) <= limit).alias("precise"), meets(F.col(timer) >= least_ratio).alias("timer_pass")
+    )
+    decision = F.when(F.col("strata") != 1, "STOP_STRATA").when(~F.col("timer_pass"), "STOP_TIMER").when(F.col("precise"), "STOP_PRECISE").otherwise("EXTEND")
+    return out.withColumn("decision", decision)
 
 
 def invalid_reason_subset(df: DataFrame, reasons: str, allowed: list[str]) -> DataFrame:

@@ -14,18 +14,20 @@ INVALID_ROWS, NO_BASELINE = "INVALID_MEASUREMENT_ROWS", "BASELINE_REFERENCE_INVA
 CENSORED, BELOW, BRACKETED = "LOWER_BOUND_CENSORED", "BELOW_TESTED_GRID", "BRACKETED"
 
 
-def safe_points(rows: DataFrame, baseline: str, keys: list[str], max_timeout: float, max_drop: float, regression: float) -> DataFrame:
-    """Flags of each point, and whether it passes all: valid, timeouts, drops, latency against the baseline
-    method at the same keys."""
+def safe_points(rows: DataFrame, baseline: str, keys: list[str], max_timeout: float, max_drop: float, min_throughput: float, regression: float) -> DataFrame:
+    """Flags of each point: timeouts, drops, throughput (``succeeded`` of ``offered``), whether it is
+    ``operational`` (valid and these three), latency against the baseline method at the same keys, and whether
+    it passes all."""
     base = rows.where(F.col("method") == baseline).select(*keys, F.col("p99").alias("base_p99"), F.col("valid").alias("base_valid"))
     out = rows.join(base, keys, "left")
     flags = {
         "timeout_pass": F.coalesce(F.try_divide("timed_out", "offered") <= max_timeout, F.lit(False)),
         "drop_pass": F.coalesce(F.try_divide("dropped", "offered") <= max_drop, F.lit(False)),
+        "throughput_pass": F.coalesce(F.col("succeeded") >= F.col("offered") * min_throughput, F.lit(False)),
         "p99_pass": F.coalesce(F.col("base_valid") & (F.col("p99") <= F.col("base_p99") * (1 + regression)), F.lit(False)),
     }
-    out = out.withColumns(flags)
-    return out.withColumn("passed", F.col("valid") & F.col("timeout_pass") & F.col("drop_pass") & F.col("p99_pass"))
+    out = out.withColumns(flags).withColumn("operational", F.col("valid") & F.col("timeout_pass") & F.col("drop_pass") & F.col("throughput_pass"))
+    return out.withColumn("passed", F.col("operational") & F.col("p99_pass"))
 
 
 def bracket_saturation(points: DataFrame, curve: list[str], load: str) -> DataFrame:

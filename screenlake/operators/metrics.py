@@ -142,8 +142,17 @@ def pooled_and_stratified(df: DataFrame, stratum: str, aggs: list[Column]) -> Da
 
 
 def delivery_shapes(df: DataFrame, group: list[str], shape: Column, port: str) -> DataFrame:
-    rows = df.withColumn("_shape", shape)
-    return rows.groupBy(*group).agg(F.count_distinct("_shape").alias("shapes"), F.count_distinct(port).alias("ports"), F.min(F.size("_shape")).alias("fewest_calls"), F.max(F.size("_shape")).alias("most_calls"))
+    """Distinct shapes and ports, and the distribution of the number of calls; ``shape_counts`` has the shapes."""
+    rows = df.withColumn("_shape", shape).withColumn("_calls", F.size("_shape"))
+    return rows.groupBy(*group).agg(
+        F.count_distinct("_shape").alias("shapes"), F.count_distinct(port).alias("ports"), F.min("_calls").alias("fewest_calls"), F.max("_calls").alias("most_calls"),
+        F.avg("_calls").alias("mean_calls"), *[F.percentile("_calls", p).alias(f"p{round(100 * p)}_calls") for p in (0.5, 0.95, 0.99)],
+    )
+
+
+def shape_counts(df: DataFrame, group: list[str], shape: Column) -> DataFrame:
+    """A row for each distinct shape of a group with its count."""
+    return df.groupBy(*group, shape.alias("shape")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def response_signature_count(df: DataFrame, group: list[str], signature: Column) -> DataFrame:

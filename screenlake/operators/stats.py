@@ -64,14 +64,36 @@ def cluster_bootstrap(df: DataFrame, group: list[str], seed: str, value: str, dr
     Draw b takes, for each place i, the seed whose number is a hash of (namespace, b, i) modulo the number
     of seeds.  Per group there is one row per seed; draws are an explode and an equi-join.
     """
+    means = _bootstrap_means(df, group, seed, {"m": F.col(value)}, draws, namespace)
+    ci = means.groupBy(*group).agg(F.percentile("m", low).alias("ci_low"), F.percentile("m", high).alias("ci_high"))
+    return df.groupBy(*group).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n_seeds")).join(ci, group)
+
+
+def _bootstrap_means(df: DataFrame, group: list[str], seed: str, values: dict[str, Column], draws: int, namespace: str) -> DataFrame:
+    """(group, b): the means of the values over the seeds of draw b."""
     w = Window.partitionBy(*group)
-    rows = df.select(*group, seed, value).withColumns({"k": F.row_number().over(w.orderBy(seed)) - 1, "n": F.count(F.lit(1)).over(w)})
+    rows = df.select(*group, seed, *[v.alias(k) for k, v in values.items()])
+    rows = rows.withColumns({"k": F.row_number().over(w.orderBy(seed)) - 1, "n": F.count(F.lit(1)).over(w)})
     places = rows.select(*group, F.col("k").alias("i"), "n").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     pick = S.hash32(F.concat_ws("|", F.lit(namespace), "b", "i")) % F.col("n")
-    drawn = places.withColumn("k", pick.cast("int")).join(rows.select(*group, "k", value), [*group, "k"])
-    means = drawn.groupBy(*group, "b").agg(F.avg(value).alias("m"))
-    ci = means.groupBy(*group).agg(F.expr(f"percentile(m, {low})").alias("ci_low"), F.expr(f"percentile(m, {high})").alias("ci_high"))
-    return rows.groupBy(*group).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n_seeds")).join(ci, group)
+    drawn = places.withColumn("k", pick.cast("int")).join(rows.select(*group, "k", *values), [*group, "k"])
+    return drawn.groupBy(*group, "b").agg(*[F.avg(k).alias(k) for k in values])
+
+
+def auc_bootstrap(df: DataFrame, group: list[str], seed: str, auc: str, draws: int, namespace: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """Intervals of the mean AUC over resampled seeds, in three forms from the same draws.
+
+    Raw; fixed: one direction for all seeds, so an interval round one half reaches down to it; oracle: each
+    seed in its better direction.
+    """
+    a = F.col(auc)
+    forms = {"raw": a, "oracle": F.greatest(a, 1 - a)}
+    ends = [F.percentile(k, p).alias(f"{k}_{e}") for k in forms for p, e in ((low, "low"), (high, "high"))]
+    ci = _bootstrap_means(df, group, seed, forms, draws, namespace).groupBy(*group).agg(*ends)
+    means = df.groupBy(*group).agg(*[F.avg(v).alias(k) for k, v in forms.items()], F.count(F.lit(1)).alias("n_seeds"))
+    out, better = means.join(ci, group), lambda c: F.greatest(F.col(c), 1 - F.col(c))
+    least = F.when(F.lit(0.5).between(F.col("raw_low"), F.col("raw_high")), 0.5).otherwise(F.least(better("raw_low"), better("raw_high")))
+    return out.withColumns({"fixed": better("raw"), "fixed_low": least, "fixed_high": F.greatest(F.col("raw_high"), 1 - F.col("raw_low"))})
 
 
 def auc(df: DataFrame, group: list[str], positive: str, score: str) -> DataFrame:

@@ -97,6 +97,19 @@ def _(spark, d):
     return rounded(T.auc(scores(spark, d), ["g", "seed"], "pos", "x"))
 
 
+@query("i6_auc_bootstrap", f"""WITH {SCORES}, r AS (SELECT *, rank() OVER (PARTITION BY g, seed ORDER BY x) + (count(*) OVER (PARTITION BY g, seed, x) - 1) / 2.0::DOUBLE AS r FROM s),
+    u AS (SELECT g, seed, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS q, sum(r) FILTER (pos) AS rs FROM r GROUP BY ALL), a AS (SELECT g, seed, (rs - p * (p + 1) / 2.0::DOUBLE) / (p * q) AS v FROM u WHERE p > 0 AND q > 0),
+    k AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY seed) - 1 AS k, count(*) OVER (PARTITION BY g) AS n FROM a),
+    m AS (SELECT a.g, b, avg(x.v) AS m, avg(greatest(x.v, 1 - x.v)) AS o FROM k a, range(0, 200) t(b) JOIN k x ON x.g = a.g AND x.k = {h32("'auc|' || b || '|' || a.k")} % a.n GROUP BY ALL),
+    c AS (SELECT g, quantile_cont(m, 0.025) AS raw_low, quantile_cont(m, 0.975) AS raw_high, quantile_cont(o, 0.025) AS oracle_low, quantile_cont(o, 0.975) AS oracle_high FROM m GROUP BY g),
+    e AS (SELECT g, avg(v) AS raw, avg(greatest(v, 1 - v)) AS oracle, count(*) AS n_seeds FROM k GROUP BY g),
+    z AS (SELECT *, greatest(raw, 1 - raw) AS fixed, CASE WHEN raw_low <= 0.5 AND raw_high >= 0.5 THEN 0.5 ELSE least(greatest(raw_low, 1 - raw_low), greatest(raw_high, 1 - raw_high)) END AS fixed_low, greatest(raw_high, 1 - raw_low) AS fixed_high FROM e JOIN c USING (g))
+    SELECT g, n_seeds, {', '.join(f'round({form}{end}::DOUBLE, 6) AS {form}{end}' for form in ('raw', 'oracle', 'fixed') for end in ('', '_low', '_high'))} FROM z""")
+def _(spark, d):
+    per_seed = T.auc(scores(spark, d), ["g", "seed"], "pos", "x").where("auc is not null")
+    return rounded(T.auc_bootstrap(per_seed, ["g"], "seed", "auc", 200, "auc"))
+
+
 @query("i8_ks", f"""WITH {SCORES}, c AS (SELECT g, seed, x, count(*) FILTER (pos) AS a, count(*) FILTER (NOT pos) AS b FROM s GROUP BY ALL)
     SELECT g, seed, round(max(abs(ca / ta::DOUBLE - cb / tb::DOUBLE)), 6) AS ks FROM (SELECT *, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY g, seed) AS ta, sum(b) OVER (PARTITION BY g, seed) AS tb FROM c WINDOW w AS (PARTITION BY g, seed ORDER BY x)) GROUP BY ALL""")
 def _(spark, d):
@@ -168,9 +181,9 @@ def _(spark, d):
 
 # -- saturation curves --------------------------------------------------------------------------
 SAFE = f"""{POINTS}, v AS (SELECT *, (seed * 7 + load) % 41 <> 0 AS valid FROM points),
-    safe AS (SELECT a.*, b.valid AS base_valid, coalesce(timed_out / offered::DOUBLE <= 0.30, false) AS timeout_pass, coalesce(dropped / offered::DOUBLE <= 0.36, false) AS drop_pass, coalesce(b.valid AND a.p99 <= b.p99 * 1.25, false) AS p99_pass
+    safe AS (SELECT a.*, b.valid AS base_valid, coalesce(timed_out / offered::DOUBLE <= 0.30, false) AS timeout_pass, offered - dropped - timed_out >= offered * 0.45::DOUBLE AS throughput_pass, coalesce(dropped / offered::DOUBLE <= 0.36, false) AS drop_pass, coalesce(b.valid AND a.p99 <= b.p99 * 1.25, false) AS p99_pass
         FROM v a LEFT JOIN (SELECT seed, profile, load, valid, p99 FROM v WHERE method = 'A') b USING (seed, profile, load)),
-    passed AS (SELECT *, valid AND timeout_pass AND drop_pass AND p99_pass AS passed FROM safe)"""
+    passed AS (SELECT *, valid AND timeout_pass AND drop_pass AND throughput_pass AS operational, valid AND timeout_pass AND drop_pass AND throughput_pass AND p99_pass AS passed FROM safe)"""
 BRACKET = f"""{SAFE}, ff AS (SELECT *, min(CASE WHEN NOT passed THEN load END) OVER (PARTITION BY seed, method, profile) AS ff FROM passed),
     br AS (SELECT seed, method, profile, max(load) FILTER (passed AND (ff IS NULL OR load < ff)) AS l, max(ff) AS u, count(*) FILTER (passed AND load > ff) > 0 AS nonmonotone, bool_or(NOT valid) AS inv, bool_or(NOT coalesce(base_valid, false)) AS nb FROM ff GROUP BY ALL),
     brackets AS (SELECT seed, method, profile, CASE WHEN NOT inv AND NOT nb THEN l END AS lower_, CASE WHEN NOT inv AND NOT nb THEN u END AS upper_, nonmonotone,
@@ -178,17 +191,17 @@ BRACKET = f"""{SAFE}, ff AS (SELECT *, min(CASE WHEN NOT passed THEN load END) O
 
 
 def safe(spark, d):
-    p = points(spark, d).withColumn("valid", (F.col("seed") * 7 + F.col("load")) % 41 != 0)
-    return C.safe_points(p, "A", ["seed", "profile", "load"], 0.30, 0.36, 0.25)
+    p = points(spark, d).withColumns({"valid": (F.col("seed") * 7 + F.col("load")) % 41 != 0, "succeeded": F.col("offered") - F.col("dropped") - F.col("timed_out")})
+    return C.safe_points(p, "A", ["seed", "profile", "load"], 0.30, 0.36, 0.45, 0.25)
 
 
 def brackets(spark, d):
     return C.bracket_saturation(safe(spark, d), CURVE, "load")
 
 
-@query("j1_safe_points", f"WITH {SAFE} SELECT seed, method, profile, load, timeout_pass, drop_pass, p99_pass, passed FROM passed")
+@query("j1_safe_points", f"WITH {SAFE} SELECT seed, method, profile, load, timeout_pass, drop_pass, throughput_pass, operational, p99_pass, passed FROM passed")
 def _(spark, d):
-    return safe(spark, d).select(*CURVE, "load", "timeout_pass", "drop_pass", "p99_pass", "passed")
+    return safe(spark, d).select(*CURVE, "load", "timeout_pass", "drop_pass", "throughput_pass", "operational", "p99_pass", "passed")
 
 
 @query("j2_bracket_saturation", f'WITH {BRACKET} SELECT seed, method, profile, lower_ AS "lower", upper_ AS "upper", nonmonotone, status FROM brackets')
@@ -331,20 +344,45 @@ def _(spark, d):
 
 @query("k2_resource_violations", f"{P}, l AS (SELECT seed, method, profile, load, CASE WHEN seed % 6 > 0 THEN dropped END::DOUBLE AS dropped, timed_out::DOUBLE AS timed_out FROM points), u AS (FROM l UNPIVOT INCLUDE NULLS (observed FOR resource IN (dropped, timed_out))), m AS (SELECT *, CASE resource WHEN 'dropped' THEN 28.0 ELSE 24.0 END::DOUBLE AS \"limit\" FROM u) SELECT seed, method, profile, load, resource, observed, \"limit\", CASE WHEN observed IS NULL THEN 'missing' ELSE 'over' END AS problem FROM m WHERE observed IS NULL OR observed > \"limit\"")
 def _(spark, d):
-    p = points(spark, d).withColumn("dropped", F.when(F.col("seed") % 6 > 0, F.col("dropped")))
-    return K.resource_violations(p, ["seed", "method", "profile", "load"], {"dropped": 28.0, "timed_out": 24.0})
+    return K.resource_violations(observed(spark, d), [*CURVE, "load"], {"dropped": 28.0, "timed_out": 24.0})
+
 
+def observed(spark, d):
+    return points(spark, d).withColumn("dropped", F.when(F.col("seed") % 6 > 0, F.col("dropped")))
 
-FAULTS = "f AS (SELECT event_id, user_id % 13 AS scenario, event_type = 'purchase' AS expected_valid, value < 70 AS accepted, value > 90 AS rejected, user_id % 13 < 4 AS require_fail_open, value < 80 AS fail_open, user_id % 13 > 8 AS require_backend, event_id % 4 AS backend_calls FROM events)"
+
+OBSERVED = f"{P}, l AS (SELECT seed, method, profile, load, CASE WHEN seed % 6 > 0 THEN dropped END::DOUBLE AS dropped, timed_out::DOUBLE AS timed_out FROM points), u AS (FROM l UNPIVOT INCLUDE NULLS (observed FOR resource IN (dropped, timed_out)))"
+
+
+@query("k2_resource_maxima", f"""{OBSERVED}, r AS (SELECT *, row_number() OVER (PARTITION BY resource ORDER BY observed DESC NULLS LAST, seed, method, profile, load) AS k, count(*) OVER w AS n, count(*) FILTER (observed IS NULL) OVER w AS missing, CASE resource WHEN 'dropped' THEN 28.0 ELSE 24.0 END::DOUBLE AS "limit" FROM u WINDOW w AS (PARTITION BY resource))
+    SELECT resource, n, missing, observed AS greatest, seed, method, profile, load, "limit", observed <= "limit" AS within_limit FROM r WHERE k = 1""")
+def _(spark, d):
+    return K.resource_maxima(observed(spark, d), [*CURVE, "load"], {"dropped": 28.0, "timed_out": 24.0})
+
+
+@query("k2_missing_observations", f"{OBSERVED} SELECT seed, method, profile, load, resource FROM u WHERE observed IS NULL")
+def _(spark, d):
+    return K.missing_observations(observed(spark, d), [*CURVE, "load"], ["dropped", "timed_out"])
+
+
+FAULTS = "f AS (SELECT event_id, user_id % 13 AS scenario, event_type = 'purchase' AS expected_valid, value < 70 AS accepted, value > 90 AS rejected, user_id % 13 < 4 AS require_fail_open, value < 80 AS fail_open, user_id % 13 > 8 AS require_backend, event_id % 4 AS backend_calls, event_id % 17 = 0 AS recovery_check, value < 60 AS directory_present, event_id % 5 > 0 AS backend_match FROM events), guards AS (SELECT (user_id + event_id) % 14 AS scenario, CASE WHEN event_type <> 'view' THEN value < 95 END AS passed FROM events)"
 
 
 def faults(spark, d):
-    return src.table(spark, d, "events").selectExpr("event_id", "user_id % 13 AS scenario", "event_type = 'purchase' AS expected_valid", "value < 70 AS accepted", "value > 90 AS rejected", "user_id % 13 < 4 AS require_fail_open", "value < 80 AS fail_open", "user_id % 13 > 8 AS require_backend", "event_id % 4 AS backend_calls")
+    return src.table(spark, d, "events").selectExpr("event_id", "user_id % 13 AS scenario", "event_type = 'purchase' AS expected_valid", "value < 70 AS accepted", "value > 90 AS rejected", "user_id % 13 < 4 AS require_fail_open", "value < 80 AS fail_open", "user_id % 13 > 8 AS require_backend", "event_id % 4 AS backend_calls", "event_id % 17 = 0 AS recovery_check", "value < 60 AS directory_present", "event_id % 5 > 0 AS backend_match")
+
+
+SAFETY = ["attempts", "valid_attempts", "false_rejects", "acceptance_failures", "invalid_acceptance_failures", "fail_open_expectations", "fail_open_violations", "forward_violations", "recovery_checks", "recovery_failures", "guard_expectations", "guard_failures"]
 
 
-@query("k3_safety_summary", f"WITH {FAULTS} SELECT scenario, count(*) AS attempts, count(*) FILTER (expected_valid) AS valid_attempts, count(*) FILTER (expected_valid AND rejected) AS false_rejects, count(*) FILTER (expected_valid AND NOT accepted) AS acceptance_failures, count(*) FILTER (require_fail_open AND NOT fail_open) AS fail_open_violations, count(*) FILTER (require_backend AND backend_calls < 1) AS forward_violations FROM f GROUP BY 1")
+@query("k3_safety_summary", f"""WITH {FAULTS}, e AS (SELECT scenario, count(*) AS attempts, count(*) FILTER (expected_valid) AS valid_attempts, count(*) FILTER (expected_valid AND rejected) AS false_rejects, count(*) FILTER (expected_valid AND accepted IS NOT TRUE) AS acceptance_failures,
+        count(*) FILTER (NOT expected_valid AND accepted IS NOT FALSE) AS invalid_acceptance_failures, count(*) FILTER (require_fail_open) AS fail_open_expectations, count(*) FILTER (require_fail_open AND fail_open IS NOT TRUE) AS fail_open_violations, count(*) FILTER (require_backend AND coalesce(backend_calls, 0) < 1) AS forward_violations,
+        count(*) FILTER (recovery_check) AS recovery_checks, count(*) FILTER (recovery_check AND (accepted IS NOT TRUE OR rejected IS TRUE OR directory_present IS NOT TRUE OR backend_match IS NOT TRUE)) AS recovery_failures FROM f GROUP BY 1),
+    g AS (SELECT scenario, count(*) AS guard_expectations, count(*) FILTER (passed IS NOT TRUE) AS guard_failures FROM guards GROUP BY 1)
+    SELECT scenario, {', '.join(f'coalesce({c}, 0) AS {c}' for c in SAFETY)} FROM e FULL JOIN g USING (scenario)""")
 def _(spark, d):
-    return K.safety_summary(faults(spark, d), ["scenario"])
+    guards = src.table(spark, d, "events").selectExpr("(user_id + event_id) % 14 AS scenario", "CASE WHEN event_type <> 'view' THEN value < 95 END AS passed")
+    return K.safety_summary(faults(spark, d), ["scenario"], guards)
 
 
 @query("k4_coverage_floors", f"WITH {FAULTS} SELECT s AS scenario, count(f.event_id) AS n, 600 AS floor, count(f.event_id) >= 600 AS complete FROM range(0, 15) r(s) LEFT JOIN f ON f.scenario = s GROUP BY 1")
@@ -376,10 +414,14 @@ def _(spark, d):
     return K.backend_work_gate(p, "dropped", "timed_out", "checks").select("seed", "method", "near_bound", "tenfold", "decision")
 
 
-@query("k8_look_decision", f"{P}, g AS (SELECT method, profile, load, {t_sql(0.995, 'count(*) - 1')} * stddev_samp(ln(p99)) / sqrt(count(*)) AS h FROM points GROUP BY ALL) SELECT round(max(exp(h) - 1), 6) AS widest, count(DISTINCT profile) AS strata, CASE WHEN max(exp(h) - 1) <= 0.05 AND count(DISTINCT profile) = 1 THEN 'STOP' ELSE 'EXTEND' END AS decision FROM g")
+@query("k8_look_decision", f"""{P}, g AS (SELECT method, profile, load, {t_sql(0.995, 'count(*) - 1')} * stddev_samp(ln(p99)) / sqrt(count(*)) AS h, min(p99) / 250 AS m FROM points GROUP BY ALL),
+    a AS (SELECT round(max(exp(h) - 1), 6) AS widest, count(DISTINCT profile) AS strata, bool_and(coalesce(exp(h) - 1 <= 0.05, false)) AS precise, bool_and(coalesce(m >= 100, false)) AS timer_pass FROM g)
+    SELECT *, CASE WHEN strata <> 1 THEN 'STOP_STRATA' WHEN NOT timer_pass THEN 'STOP_TIMER' WHEN precise THEN 'STOP_PRECISE' ELSE 'EXTEND' END AS decision FROM a""")
 def _(spark, d):
-    s = T.log_t_summary(points(spark, d), ["method", "profile", "load"], "p99", 0.01)
-    return rounded(K.look_decision(s, "relative_half_width", 0.05, "profile"))
+    keys = ["method", "profile", "load"]
+    s = T.log_t_summary(points(spark, d), keys, "p99", 0.01)
+    s = s.join(points(spark, d).groupBy(*keys).agg((F.min("p99") / 250).alias("timer")), keys)
+    return rounded(K.look_decision(s, "relative_half_width", 0.05, "profile", "timer", 100))
 
 
 @query("k9_invalid_reason_subset", "SELECT user_id, len(list_filter(list(DISTINCT event_type), lambda x: x NOT IN ('click', 'view', 'error', 'signup'))) = 0 AS only_allowed FROM events GROUP BY 1")

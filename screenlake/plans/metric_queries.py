@@ -105,6 +105,18 @@ def _(spark, d):
     return src.read_specs(spark, d).select("spec", S.memory_bytes("memory", 41, 16, 0.75, 1024).alias("bytes"))
 
 
+@query(
+    "b15_cache_memory",
+    f"""WITH {SPECS}, c AS (SELECT spec, memory, ['lru', 'fixed_ttl', 'lfu', 'tinylfu', NULL][1 + spec % 5] AS policy FROM specs), b AS (SELECT *, CASE WHEN policy IS NULL THEN 0 ELSE memory * 76 END AS entry_bytes,
+        CASE policy WHEN 'lru' THEN memory * 8 WHEN 'fixed_ttl' THEN memory * 8 WHEN 'lfu' THEN memory * 16 WHEN 'tinylfu' THEN NULL ELSE 0 END AS policy_bytes, CASE WHEN policy IS NULL THEN 0 ELSE 96 END AS fixed_bytes FROM c)
+    SELECT spec, entry_bytes::BIGINT AS entry_bytes, policy_bytes::BIGINT AS policy_bytes, fixed_bytes::BIGINT AS fixed_bytes, (entry_bytes + policy_bytes + fixed_bytes)::BIGINT AS total_bytes, policy IS DISTINCT FROM 'tinylfu' AS accounted FROM b""",
+)
+def _(spark, d):
+    policy = F.array(*map(F.lit, ["lru", "fixed_ttl", "lfu", "tinylfu", None]))[(F.col("spec") % 5).cast("int")]
+    bytes_ = S.cache_memory("memory", policy, S.slot_bytes(41, 8, 4, 5, 16), {"lru": 8, "fixed_ttl": 8, "lfu": 16}, 96)
+    return src.read_specs(spark, d).select("spec", *[c.alias(name) for name, c in bytes_.items()])
+
+
 @query(
     "b16_timing_features",
     """WITH s AS (SELECT o_orderkey, o_totalprice, list(l_quantity::BIGINT ORDER BY l_linenumber, l_partkey, l_quantity) AS q FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
@@ -283,14 +295,27 @@ def _(spark, d):
 
 @query(
     "e16_delivery_shapes",
-    "WITH s AS (SELECT l_orderkey % 8 AS g, l_orderkey % 50 AS port, list(l_linenumber ORDER BY l_linenumber) AS q FROM lineitem GROUP BY l_orderkey) SELECT g, count(DISTINCT q) AS shapes, count(DISTINCT port) AS ports, min(len(q))::BIGINT AS fewest_calls, max(len(q))::BIGINT AS most_calls FROM s GROUP BY g",
+    "WITH s AS (SELECT l_orderkey % 8 AS g, l_orderkey % 50 AS port, list(l_linenumber ORDER BY l_linenumber) AS q FROM lineitem GROUP BY l_orderkey) SELECT g, count(DISTINCT q) AS shapes, count(DISTINCT port) AS ports, min(len(q))::BIGINT AS fewest_calls, max(len(q))::BIGINT AS most_calls, round(avg(len(q)), 6) AS mean_calls, quantile_cont(len(q)::DOUBLE, 0.5) AS p50_calls, quantile_cont(len(q)::DOUBLE, 0.95) AS p95_calls, quantile_cont(len(q)::DOUBLE, 0.99) AS p99_calls FROM s GROUP BY g",
 )
 def _(spark, d):
-    s = src.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("q")).withColumns({"g": F.col("l_orderkey") % 8, "port": F.col("l_orderkey") % 50})
-    out = M.delivery_shapes(s, ["g"], F.col("q"), "port")
+    out = rounded(M.delivery_shapes(deliveries(spark, d), ["g"], F.col("q"), "port"))
     return out.withColumns({c: F.col(c).cast("long") for c in ("fewest_calls", "most_calls")})
 
 
+def deliveries(spark, d):
+    s = src.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("q"))
+    return s.withColumns({"g": F.col("l_orderkey") % 8, "port": F.col("l_orderkey") % 50})
+
+
+@query(
+    "e16_shape_counts",
+    "WITH s AS (SELECT l_orderkey % 8 AS g, list(l_linenumber ORDER BY l_linenumber) AS q FROM lineitem GROUP BY l_orderkey) SELECT g, array_to_string(q, ',') AS shape, count(*) AS n FROM s GROUP BY g, q",
+)
+def _(spark, d):
+    out = M.shape_counts(deliveries(spark, d), ["g"], F.col("q"))
+    return out.select("g", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), "n")
+
+
 @query("e17_response_signatures", "SELECT l_linenumber, count(DISTINCT l_returnflag || '|' || l_linestatus) AS signatures, count(DISTINCT l_returnflag || '|' || l_linestatus) = 1 AS uniform FROM lineitem GROUP BY 1")
 def _(spark, d):
     return M.response_signature_count(src.table(spark, d, "lineitem"), ["l_linenumber"], S.semantic_id("l_returnflag", "l_linestatus"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from screenlake.functions import quantiles as Q
 from screenlake.functions import scalars as S
-from screenlake.operators import joins, models, stats, trace
+from screenlake.operators import audit, joins, models, stats, trace
 from screenlake.sources import scratch
 from screenlake.streaming import attempts as M
 
@@ -182,3 +182,32 @@ def test_slices_arrive_as_batches_and_late_rows_are_told(spark):
                 if len(held) == 2:
                     held.popitem(last=False)
                 held[token] = t
+
+
+@pytest.mark.parametrize(
+    "rows, want",
+    [
+        ([("a", 0.01, 200.0), ("a", 0.04, 100.0)], "STOP_PRECISE"),
+        ([("a", 0.01, 200.0), ("a", 0.06, 100.0)], "EXTEND"),
+        ([("a", 0.01, 200.0), ("a", None, 100.0)], "EXTEND"),
+        ([("a", 0.01, 200.0), ("a", 0.04, 99.0)], "STOP_TIMER"),
+        ([("a", 0.01, None)], "STOP_TIMER"),
+        ([("a", 0.01, 200.0), ("b", 0.01, 1.0)], "STOP_STRATA"),
+    ],
+)
+def test_first_look(spark, rows, want):
+    df = spark.createDataFrame(rows, "host string, half double, timer double")
+    assert audit.look_decision(df, "half", 0.05, "host", "timer", 100).first()["decision"] == want
+
+
+def test_missing_answers_are_failures(spark):
+    columns = "g string, expected_valid boolean, accepted boolean, rejected boolean, require_fail_open boolean, fail_open boolean, require_backend boolean, backend_calls int, recovery_check boolean, directory_present boolean, backend_match boolean"
+    good = ("x", True, True, False, True, True, True, 1, True, True, True)
+    events = spark.createDataFrame([good, ("x", True, None, None, True, None, True, None, True, None, None), ("x", False, None, None, False, None, False, None, False, None, None)], columns)
+    guards = spark.createDataFrame([("x", True), ("x", None), ("y", False)], "g string, passed boolean")
+    got = {r["g"]: r.asDict() for r in audit.safety_summary(events, ["g"], guards).collect()}
+    assert got["x"] == {
+        "g": "x", "attempts": 3, "valid_attempts": 2, "false_rejects": 0, "acceptance_failures": 1, "invalid_acceptance_failures": 1, "fail_open_expectations": 2, "fail_open_violations": 1,
+        "forward_violations": 1, "recovery_checks": 2, "recovery_failures": 1, "guard_expectations": 2, "guard_failures": 1,
+    }
+    assert got["y"]["attempts"] == 0 and got["y"]["guard_failures"] == 1
