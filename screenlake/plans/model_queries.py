@@ -152,13 +152,14 @@ def _(spark, d):
 
 @query(
     "m3_stream_metrics",
-    """SELECT count(*) AS windows, sum(n)::BIGINT AS offered, sum(dr)::BIGINT AS dropped, round(sum(g), 4) AS greatest, round(sum(p50), 4) AS p50, round(sum(p99), 4) AS p99, round(sum(dr / n::DOUBLE), 6) AS drop_rate FROM (SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99, time_bucket(INTERVAL '6 hours', ts) AS w, count(*) AS n, count(*) FILTER (value > 80) AS dr, max(value) AS g FROM events GROUP BY w)
+    """SELECT count(*) AS windows, sum(n)::BIGINT AS offered, sum(dr)::BIGINT AS dropped, sum(t)::BIGINT AS timed_out, sum(rc)::BIGINT AS route_click, sum(rv)::BIGINT AS route_view, sum(n - rc - rv)::BIGINT AS route_other, round(sum(t / n::DOUBLE), 6) AS timeout_rate, round(sum(g), 4) AS greatest, round(sum(p50), 4) AS p50, round(sum(p99), 4) AS p99, round(sum(dr / n::DOUBLE), 6) AS drop_rate FROM (SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99, time_bucket(INTERVAL '6 hours', ts) AS w, count(*) AS n, count(*) FILTER (value > 80) AS dr, count(*) FILTER (value > 60 AND event_id % 3 = 0) AS t, count(*) FILTER (event_type = 'click') AS rc, count(*) FILTER (event_type = 'view') AS rv, max(value) AS g FROM events GROUP BY w)
     WHERE w + INTERVAL '6 hours' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)""",
 )
 def _(spark, d):
-    e = _stream(spark, d, "m3").withColumn("dropped", F.col("value") > 80)
-    out = _end(spark, M.stream_metrics(e, "6 hours", "10 minutes"))
-    return rounded(out.agg(F.count(F.lit(1)).alias("windows"), F.sum("offered").alias("offered"), F.sum("dropped").alias("dropped"), *[F.round(F.sum(c), 4).alias(c) for c in ("greatest", "p50", "p99")], F.sum("drop_rate").alias("drop_rate")), 6)
+    e = _stream(spark, d, "m3", F.col("event_type").alias("route")).withColumns({"dropped": F.col("value") > 80, "timed_out": (F.col("value") > 60) & (F.col("event_index") % 3 == 0)})
+    out = _end(spark, M.stream_metrics(e, "6 hours", "10 minutes", routes=("click", "view")))
+    whole = ["offered", "dropped", "timed_out", "route_click", "route_view", "route_other", "drop_rate", "timeout_rate"]
+    return rounded(out.agg(F.count(F.lit(1)).alias("windows"), *[F.sum(c).alias(c) for c in whole], *[F.round(F.sum(c), 4).alias(c) for c in ("greatest", "p50", "p99")]), 6)
 
 
 @query(
@@ -172,14 +173,36 @@ def _(spark, d):
     return _end(spark, M.stream_prefix_features(_stream(spark, d, "m4")))
 
 
-@query(
-    "m5_stream_epoch_watermark",
-    """SELECT event_id AS event_index, account, epoch, coalesce(epoch < m, false) AS regressed, greatest(epoch, coalesce(m, epoch)) AS watermark FROM (SELECT *, max(epoch) OVER (PARTITION BY account ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m
-    FROM (SELECT user_id AS account, event_id, event_id // 100 - CASE WHEN value > 60 THEN 30 ELSE 0 END AS epoch FROM events))""",
-)
+# The acknowledgements of an account at an edge, folded in order: those behind in either epoch change nothing.
+ACKS = """k AS (SELECT user_id % 5 AS edge, user_id AS account, event_id, event_id // 100 - CASE WHEN value > 60 THEN 30 ELSE 0 END AS epoch, event_id // 150 - CASE WHEN event_id % 7 = 0 THEN 20 ELSE 0 END AS representation FROM events),
+    l AS (SELECT edge, account, list({'i': event_id, 'd': epoch, 'r': representation, 'n': 0} ORDER BY event_id) AS acks FROM k GROUP BY ALL),
+    f AS (SELECT edge, account, len(acks) AS n, list_reduce(acks, lambda a, x: CASE WHEN x.d >= a.d AND x.r >= a.r THEN {'i': x.i, 'd': x.d, 'r': x.r, 'n': a.n} ELSE {'i': a.i, 'd': a.d, 'r': a.r, 'n': a.n + 1} END) AS top FROM l)"""
+
+
+def acks(spark, d, name):
+    e = F.col("event_index")
+    epoch, representation = F.floor(e / 100) - F.when(F.col("value") > 60, 30).otherwise(0), F.floor(e / 150) - F.when(e % 7 == 0, 20).otherwise(0)
+    return _stream(spark, d, name).withColumns({"edge": F.col("account") % 5, "epoch": epoch.cast("long"), "representation": representation.cast("long")})
+
+
+def epochs(spark, d, name):
+    return M.split_to_end(M.stream_epoch_watermark(acks(spark, d, name)), F.col("regressed"), scratch(spark, "epochs"), scratch(spark, "regressions"), scratch(spark, "epochs-progress"))
+
+
+@query("m5_stream_epoch_watermark", f"WITH {ACKS} SELECT edge, account, n, top.n AS regressions, top.i AS event_index, top.d AS watermark, top.r AS representation_watermark FROM f")
+def _(spark, d):
+    kept, back = epochs(spark, d, "m5")
+    keys, last = ["edge", "account"], F.max(F.struct("event_index", "watermark", "representation_watermark")).alias("t")
+    out = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("kept"), last).join(back.groupBy(*keys).agg(F.count(F.lit(1)).alias("b")), keys, "left").withColumn("regressions", F.coalesce("b", F.lit(0)))
+    return out.select(*keys, (F.col("kept") + F.col("regressions")).alias("n"), "regressions", "t.*")
+
+
+@query("m5_edge_certainty", f"""WITH {ACKS}, a AS (SELECT edge, max(top.i) AS last_ack FROM f GROUP BY 1), c AS (SELECT user_id % 5 AS edge, max(event_id) AS last_crash FROM events WHERE event_type = 'error' AND value > 60 GROUP BY 1)
+    SELECT edge, last_ack, last_crash, last_ack IS NOT NULL AND coalesce(last_ack > last_crash, true) AS certain FROM a FULL JOIN c USING (edge)""")
 def _(spark, d):
-    e = _stream(spark, d, "m5").withColumn("epoch", (F.floor(F.col("event_index") / 100) - F.when(F.col("value") > 60, 30).otherwise(0)).cast("long"))
-    return _end(spark, M.stream_epoch_watermark(e))
+    kept, _ = epochs(spark, d, "m5-edges")
+    crashes = src.table(spark, d, "events").where("event_type = 'error' and value > 60").selectExpr("event_id AS event_index", "user_id % 5 AS edge")
+    return M.edge_certainty(kept, crashes)
 
 
 @query(

@@ -69,13 +69,19 @@ def stream_waiters(attempts: DataFrame, span: str, delay: str) -> DataFrame:
     return counts.select(F.col("w.start").alias("start"), "account", "token", (F.col("n") - 1).alias("waiters"))
 
 
-def stream_metrics(events: DataFrame, span: str, delay: str, slide: str | None = None) -> DataFrame:
-    """Offered, dropped, rates and percentiles per event-time window; late rows beyond the delay are left out."""
+def stream_metrics(events: DataFrame, span: str, delay: str, slide: str | None = None, routes: tuple[str, ...] = ()) -> DataFrame:
+    """Offered, dropped, timed out, rates and percentiles per event-time window, and the rows of each named
+    ``route`` and of all others; late rows beyond the delay are left out."""
     w = F.window("ts", span, slide) if slide else F.window("ts", span)
+    taken = {r: F.col("route") == r for r in routes}
+    if routes:
+        taken["other"] = ~F.coalesce(F.col("route").isin(list(routes)), F.lit(False))
     out = events.withWatermark("ts", delay).groupBy(w.alias("w")).agg(
-        F.count(F.lit(1)).alias("offered"), F.count_if("dropped").alias("dropped"), F.percentile_approx("value", [0.5, 0.99], 10_000).alias("p"), F.max("value").alias("greatest")
+        F.count(F.lit(1)).alias("offered"), F.count_if("dropped").alias("dropped"), F.count_if("timed_out").alias("timed_out"), *[F.count_if(c).alias(f"route_{r}") for r, c in taken.items()],
+        F.percentile_approx("value", [0.5, 0.99], 10_000).alias("p"), F.max("value").alias("greatest")
     )
-    return out.select(F.col("w.start").alias("start"), "offered", "dropped", F.try_divide("dropped", "offered").alias("drop_rate"), F.col("p")[0].alias("p50"), F.col("p")[1].alias("p99"), "greatest")
+    rates = [F.try_divide(c, "offered").alias(r) for c, r in (("dropped", "drop_rate"), ("timed_out", "timeout_rate"))]
+    return out.select(F.col("w.start").alias("start"), "offered", "dropped", "timed_out", *[f"route_{r}" for r in taken], *rates, F.col("p")[0].alias("p50"), F.col("p")[1].alias("p99"), "greatest")
 
 
 def stream_prefix_features(attempts: DataFrame) -> DataFrame:
@@ -103,24 +109,56 @@ def stream_prefix_features(attempts: DataFrame) -> DataFrame:
 
 
 def stream_epoch_watermark(acks: DataFrame) -> DataFrame:
-    """Acknowledgements with ``regressed`` (behind an earlier epoch of the key) and the key's watermark.
+    """Acknowledgements with ``regressed`` and the (edge, account)'s watermark after each.
 
-    Columns: event_index, account, epoch, ts_ms.
+    Columns: event_index, edge, account, epoch (of the directory), representation, ts_ms.  An acknowledgement
+    behind the watermark in either epoch regresses and changes nothing; any other becomes the watermark.
     """
 
     def step(key, batches, state: GroupState):
-        top = state.get[0] if state.exists else None
+        top = tuple(state.get) if state.exists else None
         out = []
         for row in _ordered(batches).itertuples(index=False):
-            back = top is not None and row.epoch < top
-            top = row.epoch if top is None else max(top, row.epoch)
-            out.append((row.event_index, key[0], row.epoch, bool(back), top))
-        state.update((top,))
-        yield pd.DataFrame(out, columns=["event_index", "account", "epoch", "regressed", "watermark"])
-
-    return acks.select("event_index", "account", "epoch", "ts_ms").groupBy("account").applyInPandasWithState(
-        step, "event_index long, account long, epoch long, regressed boolean, watermark long", "top long", "append", GroupStateTimeout.NoTimeout
-    )
+            now = (row.epoch, row.representation)
+            back = top is not None and (now[0] < top[0] or now[1] < top[1])
+            if not back:
+                top = now
+            out.append((row.event_index, *key, *now, back, *top))
+        state.update(top)
+        yield pd.DataFrame(out, columns=["event_index", "edge", "account", "epoch", "representation", "regressed", "watermark", "representation_watermark"])
+
+    return acks.select("event_index", "edge", "account", "epoch", "representation", "ts_ms").groupBy("edge", "account").applyInPandasWithState(
+        step, "event_index long, edge long, account long, epoch long, representation long, regressed boolean, watermark long, representation_watermark long", "top long, representation long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def edge_certainty(answered: DataFrame, crashes: DataFrame) -> DataFrame:
+    """Per edge whether it is certain: its last crash (event_index, edge) lies before its last accepted
+    acknowledgement in any scope (``answered``: event_index, edge, regressed).  An edge that crashed and has
+    acknowledged nothing since screens nothing.
+
+    One aggregation without a window, so it also runs over streams (update or complete mode), a row of state an edge.
+    """
+    kept = answered.where(~F.col("regressed")).select("edge", F.col("event_index").alias("ack"), F.lit(None).cast("long").alias("crash"))
+    every = kept.unionByName(crashes.select("edge", F.lit(None).cast("long").alias("ack"), F.col("event_index").alias("crash")))
+    out = every.groupBy("edge").agg(F.max("ack").alias("last_ack"), F.max("crash").alias("last_crash"))
+    return out.withColumn("certain", F.col("last_ack").isNotNull() & F.coalesce(F.col("last_ack") > F.col("last_crash"), F.lit(True)))
+
+
+def split_to_end(stream: DataFrame, side, main_path: str, side_path: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+    """Run a stream over what its source holds now into two outputs: rows for which ``side`` holds go to the
+    second.  A batch has a folder of its own in each, so one that is run again replaces its rows."""
+
+    def write(batch: DataFrame, number: int):
+        batch = batch.persist()
+        for path, rows in ((main_path, batch.where(~side)), (side_path, batch.where(side))):
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.unpersist()
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    read = stream.sparkSession.read.schema(stream.schema)
+    return tuple(read.option("recursiveFileLookup", True).parquet(path) for path in (main_path, side_path))
 
 
 def stream_late_audit(requests: DataFrame, completions: DataFrame, deadline: str, delay: str) -> DataFrame:
