@@ -174,7 +174,7 @@ def _(spark, d):
 
 
 # The acknowledgements of an account at an edge, folded in order: those behind in either epoch change nothing.
-ACKS = """k AS (SELECT user_id % 5 AS edge, user_id AS account, event_id, event_id // 100 - CASE WHEN value > 60 THEN 30 ELSE 0 END AS epoch, event_id // 150 - CASE WHEN event_id % 7 = 0 THEN 20 ELSE 0 END AS representation FROM events),
+ACKS = """k AS (SELECT user_id % 40 AS edge, user_id AS account, event_id, event_id // 100 - CASE WHEN value > 60 THEN 30 ELSE 0 END AS epoch, event_id // 150 - CASE WHEN event_id % 7 = 0 THEN 20 ELSE 0 END AS representation FROM events),
     l AS (SELECT edge, account, list({'i': event_id, 'd': epoch, 'r': representation, 'n': 0} ORDER BY event_id) AS acks FROM k GROUP BY ALL),
     f AS (SELECT edge, account, len(acks) AS n, list_reduce(acks, lambda a, x: CASE WHEN x.d >= a.d AND x.r >= a.r THEN {'i': x.i, 'd': x.d, 'r': x.r, 'n': a.n} ELSE {'i': a.i, 'd': a.d, 'r': a.r, 'n': a.n + 1} END) AS top FROM l)"""
 
@@ -182,7 +182,7 @@ ACKS = """k AS (SELECT user_id % 5 AS edge, user_id AS account, event_id, event_
 def acks(spark, d, name):
     e = F.col("event_index")
     epoch, representation = F.floor(e / 100) - F.when(F.col("value") > 60, 30).otherwise(0), F.floor(e / 150) - F.when(e % 7 == 0, 20).otherwise(0)
-    return _stream(spark, d, name).withColumns({"edge": F.col("account") % 5, "epoch": epoch.cast("long"), "representation": representation.cast("long")})
+    return _stream(spark, d, name).withColumns({"edge": F.col("account") % 40, "epoch": epoch.cast("long"), "representation": representation.cast("long")})
 
 
 def epochs(spark, d, name):
@@ -197,11 +197,11 @@ def _(spark, d):
     return out.select(*keys, (F.col("kept") + F.col("regressions")).alias("n"), "regressions", "t.*")
 
 
-@query("m5_edge_certainty", f"""WITH {ACKS}, a AS (SELECT edge, max(top.i) AS last_ack FROM f GROUP BY 1), c AS (SELECT user_id % 5 AS edge, max(event_id) AS last_crash FROM events WHERE event_type = 'error' AND value > 60 GROUP BY 1)
+@query("m5_edge_certainty", f"""WITH {ACKS}, a AS (SELECT edge, max(top.i) AS last_ack FROM f GROUP BY 1), c AS (SELECT user_id % 40 AS edge, max(event_id) AS last_crash FROM events WHERE event_type = 'error' GROUP BY 1)
     SELECT edge, last_ack, last_crash, last_ack IS NOT NULL AND coalesce(last_ack > last_crash, true) AS certain FROM a FULL JOIN c USING (edge)""")
 def _(spark, d):
     kept, _ = epochs(spark, d, "m5-edges")
-    crashes = src.table(spark, d, "events").where("event_type = 'error' and value > 60").selectExpr("event_id AS event_index", "user_id % 5 AS edge")
+    crashes = src.table(spark, d, "events").where("event_type = 'error'").selectExpr("event_id AS event_index", "user_id % 40 AS edge")
     return M.edge_certainty(kept, crashes)
 
 
