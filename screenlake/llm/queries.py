@@ -15,6 +15,7 @@ from .secret_scan import secret_spans
 from .simhash import simhash_components
 from .substring_dedup import repeated_passages
 from .topk import top_k
+from .warc import warc_round_trip
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
@@ -72,6 +77,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
+    "op11_warc": op11_warc,
 }
 
 ORACLE_SQL = {
@@ -110,6 +116,21 @@ ORACLE_SQL = {
                    + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE length(role) + 23 END)::BIGINT AS formatted_chars
         FROM c GROUP BY conv_id
     """,
+    "op11_warc": r"""
+        WITH p AS (
+            SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+        ), r AS (
+            SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first,
+                   list_transform(range(0, 8), lambda i: ('0x' || substr(h, 5 * i + 1, 5))::BIGINT) AS fives
+            FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id NULLS LAST, url NULLS LAST)
+        )
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((fives[j // 4 + 1] >> (5 * (3 - j % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+               CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN place > 1 THEN first END AS refers_to, url, true AS intact
+        FROM r
+    """,
 }
 
 
