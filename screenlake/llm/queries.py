@@ -13,6 +13,7 @@ from .packing import best_fit_pack
 from .pii import pii_spans
 from .secret_scan import secret_spans
 from .simhash import simhash_components
+from .spelling import spelling_variants
 from .substring_dedup import repeated_passages
 from .topk import top_k
 from .warc import warc_round_trip
@@ -66,6 +67,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
@@ -78,8 +83,14 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
     "op11_warc": op11_warc,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
+#: CRC-32 in SQL: its table as a list, and a fold over the bytes of ``{0}``.
+_CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc"""
+_CRC = """xor(4294967295, list_reduce(list_transform(range(1, length(hex({0})), 2), lambda i: ('0x' || substr(hex({0}), i, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295))"""
+
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
         WITH t AS (
@@ -131,6 +142,33 @@ ORACLE_SQL = {
                CASE WHEN place > 1 THEN first END AS refers_to, url, true AS intact
         FROM r
     """,
+    "op13_spelling_variants": f"""
+        WITH RECURSIVE k AS MATERIALIZED ({_CRC_TABLE}), t AS (
+            SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+        ), c AS (
+            SELECT doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM t WHERE length(run) >= 6 GROUP BY 1, 2
+        ), h AS (
+            SELECT run, n, {_CRC.format("(doc || ':' || run)")} AS h FROM c, k
+        ), v AS MATERIALIZED (
+            SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, sum(n)::BIGINT AS n
+            FROM h GROUP BY 1 HAVING sum(n) >= 5 AND length(word) >= 6
+        ), d AS MATERIALIZED (
+            SELECT word, n, i, word[:i - 1] || word[i + 1:] AS less FROM v, unnest(range(1, length(word) + 1)) AS u(i)
+        ), p AS (
+            SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.i = b.i AND a.less = b.less AND length(a.word) = length(b.word) AND a.word <> b.word
+            UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.less
+            UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.less
+        ), b AS MATERIALIZED (
+            SELECT word, count(*) AS n_near, min(struct_pack(o := -near_n, near := near)) AS best FROM p GROUP BY 1
+        ), f AS MATERIALIZED (
+            SELECT v.word, CASE WHEN -best.o >= 5 * n THEN best.near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.o >= 5 * n THEN -best.o END AS form_n
+            FROM v LEFT JOIN b USING (word)
+        ), w AS (
+            SELECT word, word AS at, form AS after FROM f
+            UNION ALL SELECT w.word, f.word, f.form FROM w JOIN f ON f.word = w.after
+        )
+        SELECT f.word, form, w.at AS root, n, n_near, form_n FROM f JOIN w ON w.word = f.word AND w.after IS NULL
+    """,
 }
 
 
