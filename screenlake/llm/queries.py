@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .language_id import identify
 from .packing import best_fit_pack
 from .pii import pii_spans
+from .prefix_trie import conversation_trie
 from .secret_scan import secret_spans
 from .simhash import simhash_components
 from .spelling import spelling_variants
@@ -67,6 +68,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
     "op11_warc": op11_warc,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -142,6 +148,36 @@ ORACLE_SQL = {
                CASE WHEN place > 1 THEN first END AS refers_to, url, true AS intact
         FROM r
     """,
+    "op12_prefix_trie": f"""
+        WITH k AS MATERIALIZED ({_CRC_TABLE}), o AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+                PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), ids AS MATERIALIZED (
+            SELECT c, c - c % 5 AS base, {_CRC.format("c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id AS c FROM o), k
+        ), r AS (
+            SELECT c, 0 AS own, pos, role, text FROM ids JOIN o ON conv_id = base AND pos <= h UNION ALL SELECT c, 1, pos, role, text FROM ids JOIN o ON conv_id = c AND pos > h
+        ), n AS (
+            SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS d, sha256(role) || sha256(text) AS turn, strlen(text) AS bytes FROM r
+        ), p AS MATERIALIZED (
+            SELECT c, d, bytes, sha256(string_agg(turn, '') OVER (PARTITION BY c ORDER BY d)) AS key FROM n UNION ALL SELECT c, 0, 0, '' FROM ids
+        ), node AS (
+            SELECT d, key, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY ALL
+        ), path AS MATERIALIZED (
+            SELECT p.c, p.d, conv_id, n_convs, node.bytes FROM p JOIN node USING (d, key)
+        ), up AS MATERIALIZED (
+            SELECT a.conv_id, a.d, b.conv_id AS parent, a.n_convs, a.bytes FROM path a LEFT JOIN path b ON b.c = a.c AND b.d = a.d - 1 WHERE a.c = a.conv_id
+        ), kids AS (
+            SELECT parent AS conv_id, d - 1 AS d, count(*) AS n_children FROM up WHERE d > 0 GROUP BY ALL
+        ), sums AS (
+            SELECT path.conv_id, path.d, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((up.n_convs - 1) * up.bytes)::BIGINT AS saved_tokens
+            FROM up LEFT JOIN kids USING (conv_id, d) JOIN path ON path.c = up.conv_id AND path.d <= up.d GROUP BY ALL
+        ), ends AS (
+            SELECT conv_id, d, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends_sha256 FROM path WHERE (c, d) IN (SELECT (c, max(d)) FROM p GROUP BY c) GROUP BY ALL
+        )
+        SELECT conv_id, d::BIGINT AS depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+        FROM up LEFT JOIN kids USING (conv_id, d) JOIN sums USING (conv_id, d) LEFT JOIN ends USING (conv_id, d)
+    """,
     "op13_spelling_variants": f"""
         WITH RECURSIVE k AS MATERIALIZED ({_CRC_TABLE}), t AS (
             SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
