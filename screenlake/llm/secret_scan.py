@@ -28,6 +28,8 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,16 +45,19 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 # Both classes match maximal runs, so a least length inside the pattern drops what is too short.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:\s|\\+[nr])*(?:(?:[A-Za-z-]+: [^\n\\]*)(?:\s|\\+[nr])+)*)((?:[A-Za-z0-9+/=\s]|\\+[nr])+)-----END \1-----")
-#: The header lines of a body that is encrypted as a whole.
-_SEALED = re.compile(r"Proc-Type: 4,ENCRYPTED(?:\s|\\+[nr])+DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]{16,}")
+# Every pattern reads a text in linear time: no repetition holds another that can match the same characters.
+_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+_MARK = re.compile(r"-----(?:BEGIN|END) ")
+_SEALED = re.compile(r"\s*Proc-Type: 4,ENCRYPTED\s+DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]{16,}(?=\s)")
+_HEADER = re.compile(r"[A-Za-z-]+: ")
+_BASE64 = re.compile(r"[A-Za-z0-9+/=]+")
 _JWT = re.compile(r"(?:(?<![A-Za-z0-9_.-])|(?<=\\[nrt]))(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 # The letter of an escape is not part of the run that follows it.
 _START = r"(?:(?<=\\[nrt])|(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt]))"
 _RUN = re.compile(_START + r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _LINES = re.compile(_START + r"[A-Za-z0-9+/_-]{16,}(?:(?:\r?\n|(?:\\+r)?\\+n)[ \t>]*[A-Za-z0-9+/_-]+={0,2})+")
 _BREAK = re.compile(r"(?:\r?\n|(?:\\+r)?\\+n)[ \t>]*")
-_ESCAPE = re.compile(r"\\+[nr]|\s+")
+_ESCAPE = re.compile(r"(?<!\\)\\+[nr]")
 _HEXED = re.compile(r"(?:[0-9a-f]{2}){12,}|(?:[0-9A-F]{2}){12,}")
 
 Span = tuple[str, int, int]
@@ -220,9 +225,40 @@ def _decoded(run: str) -> bytes | None:
         return None
 
 
-def _is_pem(m: re.Match) -> bool:
-    body = _decoded(_ESCAPE.sub("", m[3])) or b""
-    return is_private_key(body) or (bool(_SEALED.search(m[2])) and len(body) >= 16 and len(body) % 8 == 0)
+def _is_key_body(inside: str) -> bool:
+    """Whether what stands between the marks of a PEM block is a key: header lines, then base64 over lines, whose
+    breaks may be the escapes of JSON.  A body sealed as a whole says so in its first two headers."""
+    inside = _ESCAPE.sub("\n", inside)
+    sealed = _SEALED.match(inside)
+    lines = inside[sealed.end() if sealed else 0 :].split("\n")
+    first = next((i for i, line in enumerate(lines) if line.strip() and not _HEADER.match(line.lstrip())), len(lines))
+    body = "".join("".join(lines[first:]).split())
+    if not _BASE64.fullmatch(body):
+        return False
+    data = _decoded(body) or b""
+    return is_private_key(data) or (bool(sealed) and len(data) >= 16 and len(data) % 8 == 0)
+
+
+def _pem_spans(text: str) -> list[Span]:
+    """Blocks from a BEGIN to the END of the same label with no other mark between them."""
+    out = []
+    for m in _BEGIN.finditer(text):
+        mark, end = _MARK.search(text, m.end()), f"-----END {m[1]}-----"
+        if mark and text.startswith(end, mark.start()) and _is_key_body(text[m.end() : mark.start()]):
+            out.append(("key", m.start(), mark.start() + len(end)))
+    return out
+
+
+class _Taken:
+    """Which stretches lie inside a span that is already reported."""
+
+    def __init__(self, found: list[Span]):
+        self.starts = sorted(s for _, s, _ in found)
+        self.reach = list(accumulate((e for _, _, e in sorted(found, key=lambda x: x[1])), max))
+
+    def free(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start)
+        return not k or self.reach[k - 1] < end
 
 
 def _is_token(m: re.Match) -> bool:
@@ -284,15 +320,13 @@ def confirmed_spans(text: str) -> list[Span]:
     """Encoded candidates that decoding and parsing confirm."""
     out: list[Span] = []
     if "-----BEGIN" in text:
-        out += [("key", *m.span()) for m in _PEM.finditer(text) if _is_pem(m)]
+        out += _pem_spans(text)
     if "eyJ" in text:
         out += [("token", *m.span()) for m in _JWT.finditer(text) if _is_token(m)]
-    taken = [(s, e) for _, s, e in out]
-    free = lambda s, e: not any(a <= s and e <= b for a, b in taken)
-    for m in _LINES.finditer(text):
-        blocks = [x for x in _wrapped(text, *m.span()) if free(*x[1:])]
-        out += blocks
-        taken += [(s, e) for _, s, e in blocks]
+    free = _Taken(out).free
+    # Stretches of lines don't overlap, so one is never inside another's blocks.
+    out += [x for m in _LINES.finditer(text) for x in _wrapped(text, *m.span()) if free(*x[1:])]
+    free = _Taken(out).free
     for m in _RUN.finditer(text):
         s, e = m.span()
         if not free(s, e):

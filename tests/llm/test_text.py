@@ -374,3 +374,52 @@ def test_pruning_changes_nothing(monkeypatch):
     for q in range(60):
         order = sorted((-scores[q, v], v) for v in range(3000) if v != 50 * q)[:5]
         assert [(a, b) for who, a, b in found[0] if who == q] == order
+
+
+def _rsa_pem(label="RSA PRIVATE KEY", headers="", width=64, newline="\n", size=100):
+    number = lambda n: b"\x02" + bytes([n]) + b"\x01" * n
+    inner = b"\x02\x01\x00" + b"".join(number(size) for _ in range(8))
+    der = base64.b64encode(b"\x30\x82" + len(inner).to_bytes(2, "big") + inner).decode()
+    lines = [der[i : i + width] for i in range(0, len(der), width)]
+    return newline.join([f"-----BEGIN {label}-----", *filter(None, headers.split("\n")), *lines, f"-----END {label}-----"])
+
+
+@pytest.mark.parametrize(
+    "tail",
+    ["A: x " * 200_000, "Note: see this: that: \n" * 50_000, "\n" * 1_000_000, "\\" * 1_000_000, "\\n" * 500_000, " \\\\n" * 200_000, "A: x\\n" * 200_000, "-----BEGIN PRIVATE KEY-----" * 40_000, "A " * 500_000, "QUJD\n" * 200_000],
+)
+def test_unfinished_keys_take_linear_time(tail):
+    """What follows an unfinished key's mark used to be tried in exponentially many ways."""
+    import time
+
+    for text in (f"-----BEGIN PRIVATE KEY-----{tail}", f"-----BEGIN PRIVATE KEY-----\n{tail}-----END PRIVATE KEY-----", f"-----BEGIN {tail}"):
+        began = time.process_time()
+        assert not [s for s in secret_scan.confirmed_spans(text) if s[0] == "key"]
+        assert time.process_time() - began < 3
+
+
+def test_key_blocks_and_their_headers():
+    for pem in (
+        _rsa_pem(), _rsa_pem(newline="\\n"), _rsa_pem(newline="\r\n"), _rsa_pem(newline=" "), _rsa_pem(headers="Comment: a: b -- c\nX-Y: "), _rsa_pem(headers="Comment: x\\ny: z", newline="\\\\n"),
+        _rsa_pem(headers="Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF"),
+    ):
+        text = f"before -----BEGIN PRIVATE KEY----- x {pem} after"
+        at = text.index(pem)
+        assert ("key", at, at + len(pem)) in secret_scan.confirmed_spans(text), pem[:120]
+    sealed = base64.b64encode(bytes(range(64))).decode()
+    head = "-----BEGIN RSA PRIVATE KEY-----\n"
+    for middle, found in (("Proc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,0123456789ABCDEF\n\n", True), ("Proc-Type: 4,ENCRYPTED DEK-Info: DES-CBC,0123456789ABCDEF ", True), ("Proc-Type: 4,CLEAR\n", False), ("", False)):
+        text = f"{head}{middle}{sealed}\n-----END RSA PRIVATE KEY-----"
+        assert [k for k, *_ in secret_scan.confirmed_spans(text)].count("key") == found
+    other = _rsa_pem().replace("END RSA", "END DSA")
+    assert ("key", 0, len(other)) not in secret_scan.confirmed_spans(other)
+
+
+def test_many_keys_in_one_text_take_linear_time():
+    import time
+
+    one = _rsa_pem()
+    text = "\n\n".join([one] * 800)
+    began = time.process_time()
+    assert [k for k, *_ in secret_scan.confirmed_spans(text)] == ["key"] * 800
+    assert time.process_time() - began < 8
