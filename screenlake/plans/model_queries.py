@@ -127,20 +127,30 @@ def _stream(spark, d, name, *extra, key=None):
     return arrivals(a.select("event_index", "account", "generation", "version", "token", "ts_ms", "ts", "exact_mismatch", "invalid", "value", *extra), "event_index", 4, name, key)
 
 
+def _to_the_end(spark, d, name):
+    """The stream of attempts and a last row far ahead, which moves the watermark past all others and is never answered."""
+    a = src.read_attempts(spark, d).withColumns({"exact_mismatch": F.lit(True), "invalid": S.is_existing_invalid("label")})
+    a = a.select("event_index", "account", "generation", "version", "token", "ts_ms", "exact_mismatch", "invalid")
+    far = [F.lit(-1).cast("long").alias(c) for c in ("account", "generation", "version")]
+    last = a.agg((F.max("event_index") + 1).alias("event_index"), (F.max("ts_ms") + 3650 * 86_400_000).alias("ts_ms")).where("event_index is not null")
+    last = last.select("event_index", *far, F.lit("").alias("token"), "ts_ms", F.lit(False).alias("exact_mismatch"), F.lit(False).alias("invalid"))
+    return arrivals(a.unionByName(last), "event_index", 4, name)
+
+
 def _end(spark, stream, mode="append"):
     return M.run_to_end(stream, scratch(spark, "stream-out"), scratch(spark, "stream-progress"), mode)
 
 
 @query("m1_stream_suppress", _ttl_sql(">=").replace("SELECT account, token, n, checks, checks - 1 AS expirations FROM", "SELECT account, token, n, checks FROM"))
 def _(spark, d):
-    out = _end(spark, M.stream_suppress(_stream(spark, d, "m1"), 172_800_000, 1000))
+    out = _end(spark, M.stream_suppress(_to_the_end(spark, d, "m1"), 172_800_000, 1000, span_ms=86_400_000))
     return out.groupBy("account", "token").agg(F.count(F.lit(1)).alias("n"), F.count_if("forwarded").alias("checks"))
 
 
 @query("m1_stream_suppress_quota", _lru_sql(2, "account").replace("SELECT shard, count(*)", "SELECT shard AS account, count(*)", 1).replace("greatest(0,", "-- ", 1).split("-- ")[0].rstrip(", \n ") + " FROM r GROUP BY shard")
 def _(spark, d):
     """A quota that binds: two entries an account, which outlive the trace."""
-    out = _end(spark, M.stream_suppress(_stream(spark, d, "m1q"), 1 << 50, 2))
+    out = _end(spark, M.stream_suppress(_to_the_end(spark, d, "m1q"), 1 << 50, 2, span_ms=86_400_000))
     return out.groupBy("account").agg(F.count_if(~F.col("forwarded")).alias("hits"), F.count_if("forwarded").alias("misses"))
 
 
@@ -170,7 +180,7 @@ def _(spark, d):
     FROM x WINDOW s AS (PARTITION BY account, generation, version ORDER BY event_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
 def _(spark, d):
-    return _end(spark, M.stream_prefix_features(_stream(spark, d, "m4")))
+    return _end(spark, M.stream_prefix_features(_to_the_end(spark, d, "m4"), span_ms=86_400_000)).drop("late")
 
 
 # The acknowledgements of an account at an edge, folded in order: those behind in either epoch change nothing.

@@ -14,48 +14,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .ordered import InOrder, in_order, rocksdb
+
 
 def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(["ts_ms", "event_index"], kind="stable")
 
 
-def stream_suppress(attempts: DataFrame, ttl_ms: int, quota: int) -> DataFrame:
+class _Suppress(InOrder):
+    """An account's cache: token -> when it was inserted and when last used."""
+
+    kept = {"token": "string", "exact_mismatch": "boolean"}
+    outputs = ["event_index", "account", "token", "forwarded", "late"]
+
+    def __init__(self, span_ms: int, ttl_ms: int, quota: int):
+        super().__init__(span_ms)
+        self.ttl, self.quota = ttl_ms, quota
+
+    def init(self, handle):
+        super().init(handle)
+        self.entries = handle.getMapState("entries", "token string", "inserted long, used long")
+
+    def late(self, key, row):
+        return row[1], key[0], row[2], True, True
+
+    def answer(self, key, rows):
+        held = {t: tuple(v) for (t,), v in self.entries.iterator()}
+        cache = dict(sorted(held.items(), key=lambda e: e[1][1]))  # in order of use, the oldest first
+        clock = max((used for _, used in held.values()), default=0)
+        out = []
+        for ts, number, token, mismatch in rows:
+            clock += 1
+            since = cache[token][0] if token in cache else None
+            if since is not None and ts - since >= self.ttl:
+                del cache[token]
+                since = None
+            if since is not None:
+                del cache[token]
+                cache[token] = (since, clock)
+            elif mismatch and self.quota:
+                if len(cache) >= self.quota:
+                    del cache[next(iter(cache))]
+                cache[token] = (ts, clock)
+            out.append((number, key[0], token, since is None, False))
+        for token in held.keys() - cache.keys():
+            self.entries.removeKey((token,))
+        for token, entry in cache.items():
+            if held.get(token) != entry:
+                self.entries.updateValue((token,), entry)
+        if cache and cache != held:
+            self.wake(max(since for since, _ in cache.values()) + self.ttl)
+        return out
+
+    def idle(self, now):
+        """A cache leaves state when the last of its entries has expired."""
+        if all(inserted + self.ttl <= now for _, (inserted, _) in self.entries.iterator()):
+            self.entries.clear()
+
+
+def stream_suppress(attempts: DataFrame, ttl_ms: int, quota: int, delay: str = "1 hour", span_ms: int = 3_600_000) -> DataFrame:
     """Attempts with ``forwarded``: whether no live entry of the account's cache covers them.
 
     Columns: event_index, account, token, ts_ms, exact_mismatch.  Entries live ``ttl_ms`` from
     insertion, are inserted for exact mismatches only, and an account holds at most ``quota``, the
-    least recently used leaving first.  A row older than what its account has seen is late: it is
-    forwarded and changes nothing.
+    least recently used leaving first.  Attempts are answered in event order when the watermark (``delay``
+    behind) passes their span; a late one is forwarded and changes nothing.  State is a cache of at most
+    ``quota`` entries per account until the last has expired, then none.
     """
-
-    def step(key, batches, state: GroupState):
-        tokens, inserted, last = ([], [], -1) if not state.exists else (list(state.get[0]), list(state.get[1]), state.get[2])
-        cache = dict(zip(tokens, inserted))  # in order of use, the oldest first
-        out = []
-        for row in _ordered(batches).itertuples(index=False):
-            late = row.ts_ms < last
-            hit = False
-            if not late:
-                last = row.ts_ms
-                since = cache.get(row.token)
-                if since is not None and row.ts_ms - since >= ttl_ms:
-                    del cache[row.token]
-                    since = None
-                hit = since is not None
-                if hit:
-                    cache[row.token] = cache.pop(row.token)
-                elif row.exact_mismatch and quota:
-                    if len(cache) >= quota:
-                        del cache[next(iter(cache))]
-                    cache[row.token] = row.ts_ms
-            out.append((row.event_index, key[0], row.token, not hit, late))
-        state.update((list(cache), list(cache.values()), last))
-        yield pd.DataFrame(out, columns=["event_index", "account", "token", "forwarded", "late"])
-
-    rows = attempts.select("event_index", "account", "token", "ts_ms", "exact_mismatch")
-    return rows.groupBy("account").applyInPandasWithState(
-        step, "event_index long, account long, token string, forwarded boolean, late boolean", "tokens array<string>, inserted array<long>, last long", "append", GroupStateTimeout.NoTimeout
-    )
+    schema = "event_index long, account long, token string, forwarded boolean, late boolean"
+    return in_order(attempts, ["account"], _Suppress(span_ms, ttl_ms, quota), schema, delay)
 
 
 def stream_coalesce(attempts: DataFrame, span: str) -> DataFrame:
@@ -84,28 +111,59 @@ def stream_metrics(events: DataFrame, span: str, delay: str, slide: str | None =
     return out.select(F.col("w.start").alias("start"), "offered", "dropped", "timed_out", *[f"route_{r}" for r in taken], *rates, F.col("p")[0].alias("p50"), F.col("p")[1].alias("p99"), "greatest")
 
 
-def stream_prefix_features(attempts: DataFrame) -> DataFrame:
-    """Prior counts per tuple and per scope, each row seen after it is answered.
-
-    Columns: event_index, account, generation, version, token, ts_ms, invalid.
+class _Prefix(InOrder):
+    """A scope's counts: of invalid attempts per token, in all, and of tokens."""
+
+    kept = {"token": "string", "invalid": "boolean"}
+    outputs = ["event_index", "same_count", "scope_invalid", "scope_distinct", "late"]
+
+    def __init__(self, span_ms: int, retire_ms: int):
+        super().__init__(span_ms)
+        self.retire = retire_ms
+
+    def init(self, handle):
+        super().init(handle)
+        self.counts = handle.getMapState("counts", "token string", "n long")
+        self.totals = handle.getValueState("totals", "invalid long, tokens long, last long")
+
+    def late(self, key, row):
+        return row[1], None, None, None, True
+
+    def answer(self, key, rows):
+        invalid, tokens, _ = self.totals.get() if self.totals.exists() else (0, 0, 0)
+        counts, changed, out = {}, set(), []
+        for _, number, token, bad in rows:
+            if token not in counts:
+                counts[token] = self.counts.getValue((token,))[0] if self.counts.containsKey((token,)) else 0
+            out.append((number, counts[token], invalid, tokens, False))
+            if bad:
+                tokens += counts[token] == 0
+                counts[token] += 1
+                invalid += 1
+                changed.add(token)
+        for token in changed:
+            self.counts.updateValue((token,), (counts[token],))
+        last = rows[-1][0]
+        self.totals.update((invalid, tokens, last))
+        self.wake(last + self.retire)
+        return out
+
+    def idle(self, now):
+        """A scope without attempts for the retirement time leaves state."""
+        if self.totals.exists() and self.totals.get()[2] + self.retire <= now:
+            self.counts.clear()
+            self.totals.clear()
+
+
+def stream_prefix_features(attempts: DataFrame, delay: str = "1 hour", span_ms: int = 3_600_000, retire_ms: int = 90 * 86_400_000) -> DataFrame:
+    """Prior counts per tuple and per scope, each row seen after it is answered; a late row has none.
+
+    Columns: event_index, account, generation, version, token, ts_ms, invalid.  A row costs one lookup of its
+    token's count, whatever the scope holds.  A scope (a retired version above all) is forgotten ``retire_ms`` after
+    its last attempt.
     """
-
-    def step(key, batches, state: GroupState):
-        tokens, counts = ([], []) if not state.exists else state.get
-        seen = dict(zip(tokens, counts))
-        out = []
-        for row in _ordered(batches).itertuples(index=False):
-            same = seen.get(row.token, 0)
-            out.append((row.event_index, same, sum(seen.values()), len(seen)))
-            if row.invalid:
-                seen[row.token] = same + 1
-        state.update((list(seen), list(seen.values())))
-        yield pd.DataFrame(out, columns=["event_index", "same_count", "scope_invalid", "scope_distinct"])
-
-    rows = attempts.select("event_index", "account", "generation", "version", "token", "ts_ms", "invalid")
-    return rows.groupBy("account", "generation", "version").applyInPandasWithState(
-        step, "event_index long, same_count long, scope_invalid long, scope_distinct long", "tokens array<string>, counts array<long>", "append", GroupStateTimeout.NoTimeout
-    )
+    schema = "event_index long, same_count long, scope_invalid long, scope_distinct long, late boolean"
+    return in_order(attempts, ["account", "generation", "version"], _Prefix(span_ms, retire_ms), schema, delay)
 
 
 def stream_epoch_watermark(acks: DataFrame) -> DataFrame:
@@ -169,8 +227,11 @@ def stream_late_audit(requests: DataFrame, completions: DataFrame, deadline: str
     return met.select("request", "ts", "done_at", F.col("done_at").isNull().alias("timed_out"))
 
 
-def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what its source holds now and return the files it wrote."""
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", progress: list | None = None) -> DataFrame:
+    """Run a stream over what its source holds now and return the files it wrote; ``progress`` collects its batches."""
+    with rocksdb(stream.sparkSession):
+        query = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     return stream.sparkSession.read.schema(stream.schema).parquet(out)

@@ -162,11 +162,16 @@ def test_logistic_fits_reach_the_gradient_s_zero(spark):
 def test_slices_arrive_as_batches_and_late_rows_are_told(spark):
     r = random.Random(5)
     rows = [(i, i % 7, f"t{min(r.randrange(5), r.randrange(5))}", 100 * i, True) for i in range(700)]
-    df = spark.createDataFrame(rows, "event_index long, account long, token string, ts_ms long, exact_mismatch boolean")
+    df = spark.createDataFrame(rows + [(1007, 99, "far", 10_000_000, False), (1500, 99, "far", 20_000_000, False)], "event_index long, account long, token string, ts_ms long, exact_mismatch boolean")
     late = df.where("event_index < 7").withColumn("event_index", F.col("event_index") + 1000)
-    stream = scratch.arrivals(df.unionByName(late), "event_index", 4, "test-late")
-    out = M.run_to_end(M.stream_suppress(stream, 5_000, 2), scratch.scratch(spark, "test-out"), scratch.scratch(spark, "test-progress")).collect()
+    stream, progress = scratch.arrivals(df.unionByName(late), "event_index", 4, "test-late"), []
+    stream = M.stream_suppress(stream, 5_000, 2, delay="0 seconds", span_ms=1_000)
+    out = M.run_to_end(stream, scratch.scratch(spark, "test-out"), scratch.scratch(spark, "test-progress"), progress=progress).collect()
+    out = [x for x in out if x["account"] < 99]
     assert len(out) == 707 and {x["event_index"] for x in out if x["late"]} == set(range(1000, 1007)) and all(x["forwarded"] for x in out if x["late"])
+    # Rows far ahead have moved the watermark past every expiry: the last alone (and its timer) is left in state.
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in progress]
+    assert max(state) > 60 and state[-1] <= 3
     got = {x["event_index"]: x["forwarded"] for x in out}
     for account in range(7):
         held = OrderedDict()
@@ -184,6 +189,19 @@ def test_slices_arrive_as_batches_and_late_rows_are_told(spark):
                 held[token] = t
 
 
+def test_prefix_features_forget_a_scope(spark):
+    """Rows out of order within a batch are answered in event order; a scope unseen for the retirement time starts anew."""
+    at = {0: 0, 1: 1_000, 2: 1_000, 3: 2_500, 4: 9_000, 5: 60_000, 6: 61_000, 9: 10_000_000}
+    rows = [(i, 1, 1, 1, f"t{i % 2}", t, i != 3) for i, t in at.items()]
+    df = spark.createDataFrame(rows[:4][::-1] + rows[4:], "event_index long, account long, generation long, version long, token string, ts_ms long, invalid boolean")
+    stream, progress = scratch.arrivals(df, "event_index", 3, "test-prefix"), []
+    stream = M.stream_prefix_features(stream, delay="0 seconds", span_ms=2_000, retire_ms=20_000)
+    out = M.run_to_end(stream, scratch.scratch(spark, "test-out"), scratch.scratch(spark, "test-progress"), progress=progress)
+    got = {r["event_index"]: (r["same_count"], r["scope_invalid"], r["scope_distinct"]) for r in out.collect()}
+    assert got == {0: (0, 0, 0), 1: (0, 1, 1), 2: (1, 2, 2), 3: (1, 3, 2), 4: (2, 3, 2), 5: (0, 0, 0), 6: (0, 1, 1)}
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 3
+
+
 @pytest.mark.parametrize(
     "rows, want",
     [
