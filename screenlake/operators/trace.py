@@ -1,21 +1,22 @@
 """Operators over ordered attempt traces: prefix features, labels of future reuse, and how many backend
 checks remain under caches.
 
-Windows and folds are always per key or shard.  Where one key may hold a large share of the rows,
-the ``*_scan`` forms stream a sorted partition and hold only the current key's state.
+Windows are per key or shard; caches are told from reuse distances and chains of episodes, which spread a
+shard or key of any size over all tasks.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
-from collections.abc import Iterator
+import math
+from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.scratch import saved
+from .ordered import numbered, running, same_keys, smaller_before, width_of
 
 TUPLE = ["account", "generation", "version", "token"]
 SCOPE = ["account", "generation", "version"]
@@ -73,114 +74,98 @@ def suppress_unbounded(attempts: DataFrame, by: str = "region") -> DataFrame:
     return attempts.groupBy(by, *TUPLE).agg(F.count(F.lit(1)).alias("n")).groupBy(by).agg(F.sum("n").alias("static_checks"), F.count(F.lit(1)).alias("adaptive_checks"))
 
 
-def _reuse(trace: DataFrame, shard: list[str], key: list[str], at: str) -> DataFrame:
-    w = Window.partitionBy(*shard, *key).orderBy(at)
-    return trace.withColumns({"previous": F.lag(at).over(w), "following": F.lead(at).over(w)})
+#: Most rows of a block of positions or of a range of previous uses, each one task's work in ``reuse_distance``.
+BLOCK = 1 << 18
 
 
-def reuse_distance(trace: DataFrame, shard: list[str], key: list[str], at: str = "event_index") -> DataFrame:
-    """Distinct other keys of the shard since the key's last use: (shard, at, distance), null at first use.
+def reuse_distance(trace: DataFrame, shard: list[str], key: list[str], at: str = "event_index", carry: list[str] = (), block: int = BLOCK) -> DataFrame:
+    """Distinct other keys of the shard since the key's last use: ``trace``'s shard, key, ``at`` and ``carry`` with
+    ``distance``, null at first use.  It decides every capacity of a least-recently-used cache at once.
 
-    A key counts once, at its last occurrence in between: the one whose next use lies beyond.
-    The self-join is equi on the shard; shards are to be small (``suppress_lru_scan`` has no such limit).
+    All shards are one line of positions.  The keys used between p, the previous use, and i, this one, are the rows
+    before i that are first uses or whose own previous use is before p, less the rows up to p.  Positions and
+    previous uses are both dense, so equal blocks of either hold equally many rows however skewed shards and keys
+    are: rows in earlier blocks with previous uses in earlier ranges come from a table of counts per cell, those in
+    the row's own block or its own range from one task each.
     """
-    rows = _reuse(trace, shard, key, at)
-    now = rows.select(*shard, F.col(at).alias("i"), F.col("previous").alias("p"))
-    mid = rows.select(*[F.col(c).alias(f"_{c}") for c in shard], F.col(at).alias("j"), F.coalesce("following", F.lit((1 << 62))).alias("n"))
-    same = [now[c].eqNullSafe(mid[f"_{c}"]) for c in shard]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    met = now.join(mid, cond & (F.col("j") > F.col("p")) & (F.col("j") < F.col("i")) & (F.col("n") > F.col("i")), "left")
-    return met.groupBy(*shard, "i", "p").agg(F.count("j").alias("between")).select(*shard, F.col("i").alias(at), F.when(F.col("p").isNotNull(), F.col("between")).alias("distance"))
+    columns = list(dict.fromkeys([*shard, *key, at, *carry]))
+    rows = numbered(trace.select(*columns), [*dict.fromkeys([*shard, at])], "_i")
+    rows = saved(running(rows, list(dict.fromkeys([*shard, *key])), ["_i"], {"_p": ("last", "_i")}, before=True), "reuse-rows")
+    n = rows.count()
+    blocks = max(1, min(n, width_of(rows)), -(-n // block))
+    size = max(1, -(-n // blocks))
+    rows = rows.withColumns({"_b": F.floor(F.col("_i") / size).cast("long"), "_r": F.floor(F.col("_p") / size).cast("long")})
+
+    def inside(table: pa.Table) -> pa.Table:
+        """A block: rows before this one in it that are first uses or have an earlier previous use."""
+        table = table.sort_by("_i")
+        p = table.column("_p").fill_null(-1).to_numpy()
+        return table.append_column("_in", pa.array(smaller_before(p)))
+
+    def across(table: pa.Table) -> pa.Table:
+        """A range of previous uses: rows with an earlier one there, in earlier blocks."""
+        table = table.sort_by("_p")
+        return pa.table({"_i": table.column("_i"), "_across": pa.array(smaller_before(table.column("_b").to_numpy()))})
+
+    types = dict(rows.dtypes)
+    own = rows.groupBy("_b").applyInArrow(inside, ", ".join([f"`{c}` {types[c]}" for c in rows.columns] + ["_in long"]))
+    again = rows.where("_p is not null")
+    other = again.select("_i", "_p", "_b", "_r").groupBy("_r").applyInArrow(across, "_i long, _across long")
+    # Counts of whole cells: over blocks, then over ranges.  First uses count for every later block.
+    cells = rows.groupBy("_b", F.coalesce("_r", F.lit(-1)).alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    grid = rows.sparkSession.range(blocks * (blocks + 1)).select(F.floor(F.col("id") / (blocks + 1)).cast("long").alias("_b"), (F.col("id") % (blocks + 1) - 1).alias("_r"))
+    earlier = lambda by, then: Window.partitionBy(by).orderBy(then).rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.join(cells, ["_b", "_r"], "left").withColumn("_n", F.sum("_n").over(earlier("_r", "_b")))
+    grid = grid.withColumn("_cells", F.coalesce(F.sum("_n").over(earlier("_b", "_r")), F.lit(0))).select("_b", "_r", "_cells")
+    met = own.where("_p is not null").join(grid, ["_b", "_r"]).join(other, "_i")
+    first = own.where("_p is null").select(*columns, F.lit(None).cast("long").alias("distance"))
+    return met.select(*columns, (F.col("_in") + F.col("_across") + F.col("_cells") - F.col("_p") - 1).alias("distance")).unionByName(first)
 
 
 def suppress_lru(trace: DataFrame, capacity: int, shard: list[str], key: list[str], at: str = "event_index") -> DataFrame:
     """Hits, misses and evictions of a least-recently-used cache per shard."""
     hit = F.coalesce(F.col("distance") < capacity, F.lit(False))
-    return (
-        reuse_distance(trace, shard, key, at)
-        .groupBy(*shard)
-        .agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"))
-        .withColumn("evictions", F.greatest(F.lit(0), F.col("misses") - capacity))
-    )
+    counts = reuse_distance(trace, shard, key, at).groupBy(*shard).agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.count_if(F.col("distance").isNull()).alias("_keys"))
+    # What was put in and is not there at the end has been evicted.
+    kept = F.least(F.lit(capacity), F.col("_keys"))
+    return counts.select(*shard, "hits", "misses", F.when(F.lit(capacity > 0), F.col("misses") - kept).otherwise(0).alias("evictions"))
+
+
+def chain_sums(nodes: DataFrame, key: list[str], at: str, link: str, sums: list[str]) -> DataFrame:
+    """Per key the sums of ``sums`` over the nodes met from its first on, following ``link`` (the ``at`` of the next).
 
+    Pointer doubling: each round a link reaches twice as far and has added up what it passes, so a chain takes as
+    many rounds as its length has bits, and every round is one join on (key, at)."""
+    found = saved(nodes.select(*key, at, F.col(link).alias("_link"), *sums), "chain")
+    while not found.where("_link is not null").isEmpty():
+        there = found.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col(at).alias("_at"), F.col("_link").alias("_next"), *[F.col(s).alias(f"_and_{s}") for s in sums])
+        on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)], F.col("_link") == F.col("_at"))
+        ended = found.where("_link is null")
+        further = found.where("_link is not null").join(there, on, "left").select(*key, at, F.col("_next").alias("_link"), *[(F.col(s) + F.col(f"_and_{s}")).alias(s) for s in sums])
+        found = saved(further.unionByName(ended), "chain")
+    least = found.groupBy(*key).agg(F.min_by(F.struct(*sums), at).alias("_sums"))
+    return least.select(*key, "_sums.*")
 
-def suppress_lru_scan(trace: DataFrame, capacity: int, shard: list[str], key: list[str], at: str = "event_index") -> DataFrame:
-    """The same by one pass over sorted partitions, holding at most ``capacity`` keys."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: OrderedDict = OrderedDict()
-        now, hits, misses, evictions = None, 0, 0, 0
-        for pdf in batches:
-            done = []
-            for s, k in zip(zip(*(pdf[c] for c in shard)), zip(*(pdf[c] for c in key))):
-                if s != now:
-                    if now is not None:
-                        done.append((*now, hits, misses, evictions))
-                    now, hits, misses, evictions = s, 0, 0, 0
-                    cache.clear()
-                if k in cache:
-                    cache.move_to_end(k)
-                    hits += 1
-                    continue
-                misses += 1
-                if capacity:
-                    if len(cache) >= capacity:
-                        cache.popitem(last=False)
-                        evictions += 1
-                    cache[k] = True
-            yield pd.DataFrame(done, columns=[*shard, "hits", "misses", "evictions"])
-        if now is not None:
-            yield pd.DataFrame([(*now, hits, misses, evictions)], columns=[*shard, "hits", "misses", "evictions"])
-
-    types = dict(trace.dtypes)
-    schema = ", ".join([f"{c} {types[c]}" for c in shard] + ["hits long", "misses long", "evictions long"])
-    rows = trace.select(*dict.fromkeys([*shard, at, *key]))
-    return rows.repartition(*shard).sortWithinPartitions(*shard, at).mapInPandas(run, schema)
+
+def _next_episode(times: DataFrame, key: list[str], at: str, after) -> DataFrame:
+    """``times`` (key, at, distinct) with ``_next``: the key's least time from ``after`` on."""
+    probes = times.withColumns({"_x": -after, "_probe": F.lit(1), "_seen": F.lit(None).cast("long")})
+    events = times.withColumns({"_x": -F.col(at), "_probe": F.lit(0), "_seen": F.col(at)})
+    both = running(events.unionByName(probes), key, ["_x", "_probe"], {"_next": ("last", "_seen")})
+    return both.where("_probe = 1").drop("_x", "_probe", "_seen")
 
 
 def suppress_ttl(trace: DataFrame, ttl: int, boundary: str, key: list[str], at: str = "ts_ms") -> DataFrame:
     """Episodes of a cache whose entries live ``ttl`` from insertion: (key, n, checks, expirations).
 
-    ``boundary``: 'inclusive' ends an entry at age ttl, 'exclusive' after it.  Per key one fold over
-    its sorted times; ``suppress_ttl_scan`` has no list per key.
+    ``boundary``: 'inclusive' ends an entry at age ttl, 'exclusive' after it.  Each time points at the first that its
+    entry would no longer cover; the episodes are the chain of pointers from the key's first time.
     """
-    start = F.struct(F.lit(None).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
-
-    def step(acc, t):
-        age = t - acc["at"]
-        live = acc["at"].isNotNull() & ((age < ttl) if boundary == "inclusive" else (age <= ttl))
-        return F.when(live, acc).otherwise(F.struct(t.alias("at"), (acc["n"] + 1).alias("n")))
-
-    times = trace.groupBy(*key).agg(F.sort_array(F.collect_list(F.col(at).cast("long"))).alias("times"))
-    checks = F.aggregate("times", start, step)["n"]
-    return times.select(*key, F.size("times").cast("long").alias("n"), checks.alias("checks"), (checks - 1).alias("expirations"))
-
-
-def suppress_ttl_scan(trace: DataFrame, ttl: int, boundary: str, key: list[str], at: str = "ts_ms") -> DataFrame:
-    """The same by one pass over sorted partitions: a key's state is one time and two counts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*key, "n", "checks", "expirations"]
-        now, cached, n, checks = None, None, 0, 0
-        for pdf in batches:
-            done = []
-            for k, t in zip(zip(*(pdf[c] for c in key)), pdf[at]):
-                if k != now:
-                    if now is not None:
-                        done.append((*now, n, checks, checks - 1))
-                    now, cached, n, checks = k, None, 0, 0
-                n += 1
-                if cached is None or (t - cached >= ttl if boundary == "inclusive" else t - cached > ttl):
-                    cached, checks = t, checks + 1
-            yield pd.DataFrame(done, columns=names)
-        if now is not None:
-            yield pd.DataFrame([(*now, n, checks, checks - 1)], columns=names)
-
-    types = dict(trace.dtypes)
-    schema = ", ".join([f"{c} {types[c]}" for c in key] + ["n long", "checks long", "expirations long"])
-    return trace.select(*key, F.col(at).cast("long").alias(at)).repartition(*key).sortWithinPartitions(*key, at).mapInPandas(run, schema)
+    times = trace.groupBy(*key, F.col(at).cast("long").alias("_t")).agg(F.count(F.lit(1)).alias("n"))
+    linked = _next_episode(times, key, "_t", F.col("_t") + ttl + int(boundary != "inclusive"))
+    checks = chain_sums(linked.withColumn("checks", F.lit(1).cast("long")), key, "_t", "_next", ["checks"])
+    every = times.groupBy(*key).agg(F.sum("n").alias("n"))
+    return every.join(checks, same_keys(every, checks, key)).select(*[every[k] for k in key], "n", "checks", (F.col("checks") - 1).alias("expirations"))
 
 
 def suppress_second_hit(trace: DataFrame, key: list[str], by: list[str]) -> DataFrame:
@@ -191,7 +176,7 @@ def suppress_second_hit(trace: DataFrame, key: list[str], by: list[str]) -> Data
 
 def suppress_account_quota(trace: DataFrame, quota: int) -> DataFrame:
     """A least-recently-used cache of ``quota`` entries per account (exact while no global limit binds)."""
-    return suppress_lru_scan(trace, quota, ["account"], TUPLE)
+    return suppress_lru(trace, quota, ["account"], TUPLE)
 
 
 def coalesce_batches(trace: DataFrame, width: int, key: list[str], position: str, waiters_cap: int) -> DataFrame:
@@ -202,66 +187,53 @@ def coalesce_batches(trace: DataFrame, width: int, key: list[str], position: str
     )
 
 
-class _Denied:
-    """What one shard's negative cache knows: at most ``room`` keys in order of use, each valid for ``life``."""
-
-    def __init__(self, room: int, life: float | None, wants_second: bool):
-        self.room, self.life, self.wants_second = room, life, wants_second
-        self.since: OrderedDict = OrderedDict()
-        self.met_once: set = set()
-
-    def ask(self, key, now) -> tuple[bool, bool, bool, bool]:
-        """(hit, expired, admitted, evicted) of a request."""
-        since = self.since.get(key)
-        expired = since is not None and self.life is not None and now > since + self.life
-        if since is not None and not expired:
-            self.since.move_to_end(key)
-            return True, False, False, False
-        if expired:
-            self.since.pop(key)
-        if self.room <= 0 or (self.wants_second and key not in self.met_once):
-            self.met_once.add(key)
-            return False, expired, False, False
-        full = len(self.since) == self.room
-        if full:
-            self.since.popitem(last=False)
-        self.since[key] = now
-        return False, expired, True, full
-
-
-def cache_outcomes(rows: DataFrame, shard: list[str], key: list[str], at: str, time: str, quota: str, policy: str, ttl: float | None = None) -> DataFrame:
-    """``rows`` (shard, quota, policy, extras) with what a cache of the shard says to each: hit, expired, admitted, evicted.
-
-    ``quota`` and ``policy`` ('always', 'second_hit', 'none') are columns that are constant in a shard, so a grid of
-    options replays side by side, a shard in one sorted pass.  A row with a null time never expires anything.
-    """
-    flags = ["hit", "expired", "admitted", "evicted"]
-    kept = list(dict.fromkeys([*shard, quota, policy, "extras"]))
-    columns = list(dict.fromkeys([*kept, at, time, *key]))
-
-    def run(batches):
-        now, cache = None, None
-        for b in batches:
-            c = {n: b.column(k).to_pylist() for k, n in enumerate(columns)}
-            out = []
-            for s, k, t, room, how in zip(zip(*(c[n] for n in shard)), zip(*(c[n] for n in key)), c[time], c[quota], c[policy]):
-                if cache is None or s != now:
-                    now, cache = s, _Denied(0 if how == "none" else room, ttl, how == "second_hit")
-                out.append(cache.ask(k, float("-inf") if t is None else t))
-            told = [pa.array(x, pa.bool_()) for x in zip(*out)] if out else [pa.array([], pa.bool_())] * 4
-            yield pa.RecordBatch.from_arrays([*(b.column(columns.index(n)) for n in kept), *told], [*kept, *flags])
+_COUNTERS = ["backend_checks", "base_confirmations", "race_extras", "cache_hits", "evictions", "expirations", "admitted"]
 
-    types = dict(rows.dtypes)
-    schema = ", ".join([f"`{n}` {types[n]}" for n in kept] + [f"{f} boolean" for f in flags])
-    return rows.select(*columns).repartition(*shard).sortWithinPartitions(*shard, at).mapInArrow(run, schema)
 
+def cache_counters(rows: DataFrame, shard: list[str], key: list[str], at: str, time: str, quotas: list[int], policies: list[str], ttl: float | None = None) -> DataFrame:
+    """Per shard, quota and policy what a negative cache of the shard does to ``rows`` (shard, key, at, time, extras).
 
-def _counters() -> list:
-    miss = lambda c: F.sum(F.when(F.col("hit"), 0).otherwise(c)).cast("long")
-    return [
-        miss(1 + F.col("extras")).alias("backend_checks"), miss(F.lit(1)).alias("base_confirmations"), miss(F.col("extras")).alias("race_extras"),
-        F.count_if("hit").alias("cache_hits"), F.count_if("evicted").alias("evictions"), F.count_if("expired").alias("expirations"), F.count_if("admitted").alias("admitted"),
-    ]
+    Nothing is replayed.  A cache always holds the keys used last, so an entry is there if fewer than ``quota`` other
+    keys were used since; 'second_hit' is the same cache without the first requests of keys.  From one such insertion to
+    the next, entries that expire follow the chain of episodes, a first time past ``ttl`` after another.
+    What was inserted and is not among the last ``quota`` keys has been evicted.  ``time`` (whole numbers) counts as not
+    running backwards in a shard: a null or an earlier time is the latest before it.
+    """
+    each = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
+    totals = rows.groupBy(*shard).agg(F.count(F.lit(1)).alias("_n"), F.sum("extras").alias("_x"))
+    grid = totals.select("*", each("quota", quotas)).select("*", each("policy", policies))
+    per, live, admitting = [*shard, "policy", "quota"], [q for q in quotas if q > 0], [p for p in policies if p != "none"]
+    no_cache = (F.col("quota") <= 0) | (F.col("policy") == "none")
+    if not live or not admitting:
+        zero = F.lit(0).cast("long")
+        return grid.select(*per, (F.col("_n") + F.col("_x")).alias("backend_checks"), F.col("_n").alias("base_confirmations"), F.col("_x").alias("race_extras"), *[zero.alias(c) for c in _COUNTERS[3:]])
+    columns = list(dict.fromkeys([*shard, *key, at, time, "extras"]))
+    marked = running(rows.select(*columns).withColumn("_one", F.lit(1).cast("long")), list(dict.fromkeys([*shard, *key])), [at], {"_seen": ("sum", "_one")})
+    first = marked.where("_seen = 1").groupBy(*shard).agg(F.count(F.lit(1)).alias("_first"), F.sum("extras").alias("_first_x"))
+    used = marked.select("*", each("policy", admitting)).where("policy = 'always' or _seen > 1").drop("_one", "_seen")
+    if ttl is not None:
+        used = running(used, [*shard, "policy"], [at], {"_t": ("max", time)}).withColumn("_t", F.coalesce(F.col("_t").cast("long"), F.lit(-(1 << 60))))
+    met = reuse_distance(used, [*shard, "policy"], key, at, [*(["_t"] if ttl is not None else []), "extras"])
+    met = met.select("*", each("quota", live)).withColumn("_enters", F.coalesce(F.col("distance") >= F.col("quota"), F.lit(True)).cast("long"))
+    entered = met.groupBy(*per).agg(F.sum("_enters").alias("_entries"), F.count_if(F.col("distance").isNull()).alias("_keys"), F.sum(F.col("_enters") * F.col("extras")).alias("_missed_x"))
+    if ttl is None:
+        found = entered.withColumn("_misses", F.col("_entries"))
+    else:
+        one = list(dict.fromkeys([*per, *key]))
+        stays = running(saved(met, "cache-rows"), one, [at], {"_stay": ("sum", "_enters")})
+        times = stays.groupBy(*one, "_stay", "_t").agg(F.min_by("extras", at).alias("_missed_x")).withColumn("_misses", F.lit(1).cast("long"))
+        life = int(math.floor(ttl))
+        chains = chain_sums(_next_episode(times, [*one, "_stay"], "_t", F.col("_t") + life + 1), [*one, "_stay"], "_t", "_next", ["_misses", "_missed_x"])
+        found = entered.drop("_missed_x").join(chains.groupBy(*per).agg(F.sum("_misses").alias("_misses"), F.sum("_missed_x").alias("_missed_x")), per)
+    out = grid.join(found, per, "left").join(first, shard, "left")
+    second = F.when(F.col("policy") == "second_hit", 1).otherwise(0)
+    held = lambda c: F.when(no_cache, 0).otherwise(F.coalesce(c, F.lit(0))).cast("long")
+    misses = F.when(no_cache, F.col("_n")).otherwise(F.coalesce("_misses", F.lit(0)) + second * F.col("_first"))
+    extras = F.when(no_cache, F.col("_x")).otherwise(F.coalesce("_missed_x", F.lit(0)) + second * F.col("_first_x"))
+    return out.select(
+        *per, (misses + extras).alias("backend_checks"), misses.alias("base_confirmations"), extras.alias("race_extras"), (F.col("_n") - misses).alias("cache_hits"),
+        held(F.col("_entries") - F.least("quota", "_keys")).alias("evictions"), held(F.col("_misses") - F.col("_entries")).alias("expirations"), held(F.col("_misses")).alias("admitted"),
+    )
 
 
 def replay_interval(trace: DataFrame, start: int, stop: int, quota: int, policy: str, ttl: float | None, shard: list[str], key: list[str], bin_column: str = "bin", at: str = "event_index", time: str = "ts_ms", extras: str | None = None) -> DataFrame:
@@ -271,8 +243,8 @@ def replay_interval(trace: DataFrame, start: int, stop: int, quota: int, policy:
     confirmation and its ``extras`` (a column of checks that raced with it).
     """
     rows = trace.where((F.col(bin_column) >= start) & (F.col(bin_column) < stop))
-    rows = rows.withColumns({"_quota": F.lit(quota), "_policy": F.lit(policy), "extras": F.col(extras).cast("long") if extras else F.lit(0).cast("long")})
-    return cache_outcomes(rows, shard, key, at, time, "_quota", "_policy", ttl).groupBy(*shard).agg(*_counters())
+    rows = rows.withColumn("extras", F.col(extras).cast("long") if extras else F.lit(0).cast("long"))
+    return cache_counters(rows, shard, key, at, time, [quota], [policy], ttl).drop("quota", "policy")
 
 
 def option_table(
@@ -283,9 +255,9 @@ def option_table(
 
     ``intervals`` (start_bin, end_bin and, if the caller has them, occupancy and compromise) is the caller's small grid;
     occupancy defaults to the interval's identities, compromise to 1.  A screen of memory m lets an identity
-    through when its sticky hash lies under epsilon = exp(-beta m / occupancy).  What passes is replayed against a
-    cache of the option's quota, policy and ``ttl``.  Caches that can't fill and whose entries don't expire need
-    no replay: an identity then costs its requests, one or at most two of them.
+    through when its sticky hash lies under epsilon = exp(-beta m / occupancy).  What passes meets a
+    cache of the option's quota, policy and ``ttl`` (``cache_counters``).  Caches that can't fill and whose entries don't
+    expire need none of that: an identity then costs its requests, one or at most two of them.
     """
     extra = F.col(extras).cast("long") if extras else F.lit(0).cast("long")
     i = intervals
@@ -309,11 +281,14 @@ def option_table(
     closed = closed & (F.col("quota") >= F.col("always")) if ttl is None else F.lit(False)
     cost = F.when(F.col("none").isNull(), 0).when(uncached, F.col("none")).when(F.col("policy") == "always", F.col("always")).otherwise(F.col("second_hit"))
     grid = grid.withColumn("cost", F.when(uncached | closed, cost))
-    shard = [*screen, "quota", "policy"]
-    replayed = grid.where("cost is null").select(*shard, "occupancy")
-    through = rows.select(*span, key, at, time, "extras").join(replayed, span).where(unit < epsilon)
-    found = cache_outcomes(through, shard, [key], at, time, "quota", "policy", ttl).groupBy(*shard).agg(F.sum(F.when(F.col("hit"), 0).otherwise(1 + F.col("extras"))).alias("replayed"))
-    grid = grid.join(found, shard, "left").withColumn("cost", F.coalesce("cost", "replayed"))
+    option = [*screen, "quota", "policy"]
+    grid = saved(grid, "options")
+    open_ = grid.where("cost is null").select(*screen, "occupancy").distinct()
+    if not open_.isEmpty():
+        # What passes a screen is the same for all quotas and policies.
+        through = rows.select(*span, key, at, time, "extras").join(open_, span).where(unit < epsilon)
+        found = cache_counters(through, screen, [key], at, time, quotas, policies, ttl).select(*option, "backend_checks")
+        grid = grid.join(found, option, "left").withColumn("cost", F.coalesce("cost", "backend_checks")).drop("backend_checks")
     total = F.col("memory") * memory_bytes + F.col("quota") * entry_bytes
     out = grid.groupBy(*span, "memory", "quota", "policy").agg(
         F.avg("cost").alias("mean_cost"), (F.stddev_samp("cost") / F.sqrt(F.count(F.lit(1)))).alias("stderr"), F.sort_array(F.collect_list("cost")).alias("seed_costs"), F.max(epsilon).alias("epsilon"), F.max("compromise").alias("_c")

@@ -88,7 +88,7 @@ def _(spark, d):
 @query("f5_suppress_lru_scan", _lru_sql(40, REGION))
 def _(spark, d):
     a = src.read_attempts(spark, d).withColumn("shard", S.hash_region(src.REGIONS, "account"))
-    return T.suppress_lru_scan(a, 40, ["shard"], ["account", "token"])
+    return T.suppress_lru(a, 40, ["shard"], ["account", "token"])
 
 
 def _ttl_sql(op: str) -> str:
@@ -105,7 +105,7 @@ def _(spark, d):
 
 @query("f6_suppress_ttl_scan", _ttl_sql(">"))
 def _(spark, d):
-    return T.suppress_ttl_scan(src.read_attempts(spark, d), 172_800_000, "exclusive", ["account", "token"])
+    return T.suppress_ttl(src.read_attempts(spark, d), 172_800_000, "exclusive", ["account", "token"])
 
 
 @query(

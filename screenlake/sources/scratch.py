@@ -22,6 +22,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: later plans start from the files, and a lost executor costs
+    no recomputation."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def arrivals(df: DataFrame, by: str, slices: int, name: str, key: str | None = None) -> DataFrame:
     """``df`` as a stream: slices in the order of ``by``, each written by all tasks as one number of files and read
     as one batch.  With a ``key`` all rows of one are in one file, in order."""
