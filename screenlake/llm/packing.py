@@ -4,10 +4,10 @@ Documents are encoded with a public tokenizer and one end id each; pieces longer
 are cut.  Packing works on the *counts of lengths*, at most ``capacity`` numbers whatever the
 input: the plan is a list of patterns (lengths that share a sequence, how many sequences).
 
-Method.  From the longest length down, the gap a length leaves is looked up among the single, pair
-and triple sums of the lengths still available; a combination that fills the gap exactly is
-consumed as often as the counts allow.  What has no exact complement is packed best fit, largest
-first, again many equal sequences at a time.
+Method.  The gap a length leaves is looked up in an index of the single, pair and triple sums of the
+lengths still available (``SumIndex``); a combination that fills the gap exactly is consumed as often as
+the counts allow, and the index follows.  What has no exact complement is packed best fit, largest first,
+again many equal sequences at a time.
 
 The pieces then take their places by rank within their length.  Ranks come from counts per
 (length, salt) and a row number inside each salted group, so a length that a third of all rows
@@ -140,65 +140,102 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     )
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths of one sequence, number of sequences) that use each length exactly as
-    often as ``counts`` says.  Work depends on the number of different lengths, not on the counts."""
-    left = Counter({n: c for n, c in counts.items() if c > 0})
-    lengths = sorted(left)
-    out: list[tuple[tuple[int, ...], int]] = []
-    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # gap -> patterns with that gap
-
-    def use(combination: tuple[int, ...]) -> int:
-        need = Counter(combination)
-        times = min(left[n] // k for n, k in need.items())
-        for n, k in need.items():
-            left[n] -= k * times
-            if not left[n]:
-                lengths.pop(bisect_left(lengths, n))
-        return times
-
-    def available(combination) -> bool:
-        return all(left[n] >= k for n, k in Counter(combination).items())
-
-    def complement(first: int, gap: int):
-        """Lengths that fill ``gap`` next to ``first``: one, two or three, the largest first."""
-        if left[gap] and available((first, gap)):
-            return (gap,)
-        pair = two(first, gap)
-        if pair:
-            return pair
-        for a in reversed(lengths[: bisect_left(lengths, gap)]):
-            if 3 * a < gap:
-                break
-            pair = two(first, gap - a, a)
-            if pair:
-                return (a, *pair)
-        return None
-
-    def two(first: int, gap: int, *more: int):
-        """A pair with sum ``gap``, found by its complement."""
-        for a in reversed(lengths[: bisect_left(lengths, gap)]):
-            if 2 * a < gap:
-                return None
-            if left[gap - a] and available((first, *more, a, gap - a)):
-                return (a, gap - a)
+Pattern = tuple[tuple[int, ...], int]  # the lengths of a sequence, the number of such sequences
+
+
+class SumIndex:
+    """Which single, pair and triple sums the lengths still available have, as arrays over sums.
+
+    ``pairs[s]`` counts the ordered pairs of available lengths that sum to s; a triple of sum s is a single beside a
+    pair of the rest, so its index is read off both.  A length that is used up leaves with one shift per array.
+    Lengths that a combination repeats are told apart by the exact counts."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity = capacity
+        self.left = np.zeros(capacity + 1, np.int64)
+        for n, c in counts.items():
+            self.left[n] = c
+        self.single = (self.left > 0).astype(np.int64)
+        size = 2 * capacity + 1
+        spectrum = np.fft.rfft(self.single, 2 * size)
+        self.pairs = np.rint(np.fft.irfft(spectrum * spectrum, 2 * size)).astype(np.int64)[: capacity + 1]
+
+    def fits(self, combination: tuple[int, ...]) -> int:
+        """How many such combinations the counts allow."""
+        return min(int(self.left[n]) // k for n, k in Counter(combination).items())
+
+    def use(self, combination: tuple[int, ...], times: int) -> None:
+        for n in combination:
+            self.left[n] -= times
+        for n in set(combination):
+            if not self.left[n]:
+                # Pairs (n, m) and (m, n) go, (n, n) once.
+                self.pairs[n:] -= 2 * self.single[: self.capacity + 1 - n]
+                if 2 * n <= self.capacity:
+                    self.pairs[2 * n] += 1
+                self.single[n] = 0
+
+    def _by_middle(self, places: np.ndarray, share: float):
+        """The places in the order of their distance from ``share``: even parts first, so that short ones are kept."""
+        return places[np.argsort(np.abs(places - share), kind="stable")]
+
+    def pair(self, gap: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
+        if gap < 2 or not self.pairs[gap]:
+            return None
+        low = np.flatnonzero(self.single[: gap // 2 + 1] & self.single[gap : gap - gap // 2 - 1 : -1])
+        return next(((gap - int(a), int(a)) for a in self._by_middle(low, gap / 2) if self.fits((*taken, gap - int(a), int(a)))), None)
+
+    def triple(self, gap: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
+        if gap < 3:
+            return None
+        third = np.flatnonzero(self.single[1 : gap - 1] * self.pairs[gap - 1 : 1 : -1]) + 1
+        for c in self._by_middle(third, gap / 3):
+            if self.left[c] > taken.count(int(c)) and (two := self.pair(gap - int(c), (*taken, int(c)))):
+                return (int(c), *two)
         return None
 
-    rest: list[tuple[int, int]] = []
-    while lengths:
-        n = lengths[-1]
-        if n == capacity:
-            out.append(((n,), use((n,))))
-            continue
-        found = complement(n, capacity - n)
-        if found is None:
-            rest.append((n, left.pop(n)))
-            lengths.pop()
-        else:
-            out.append(((n, *found), use((n, *found))))
-    # Best fit for the rest, largest first: equal sequences are filled together.
+    def complement(self, n: int, parts: int) -> tuple[int, ...] | None:
+        """Available lengths, ``parts`` of them, that exactly fill what ``n`` leaves."""
+        gap = self.capacity - n
+        if parts == 1:
+            return (gap,) if self.single[gap] and self.fits((n, gap)) else None
+        return self.pair(gap, (n,)) if parts == 2 else self.triple(gap, (n,))
+
+
+def exact_complements(counts: dict[int, int], capacity: int, parts: int) -> tuple[list[Pattern], dict[int, int]]:
+    """Sequences filled exactly by a length and up to ``parts`` others, and what is left: singles for all lengths first,
+    then pairs, then triples, each from the longest length down."""
+    index = SumIndex(counts, capacity)
+    out: list[Pattern] = []
+    if index.left[capacity]:
+        out.append(((capacity,), int(index.left[capacity])))
+        index.use((capacity,), int(index.left[capacity]))
+    for k in range(1, parts + 1):
+        for n in range(capacity - 1, 0, -1):
+            while index.left[n] and (found := index.complement(n, k)):
+                times = index.fits((n, *found))
+                index.use((n, *found), times)
+                out.append(((n, *found), times))
+    return out, {int(n): int(index.left[n]) for n in np.flatnonzero(index.left)}
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
+    """Best fit decreasing on counts: equal sequences are filled together."""
+    out: list[Pattern] = []
+    open_: dict[int, list[Pattern]] = {}  # gap -> patterns with that gap
     gaps: list[int] = []
-    for n, many in rest:
+
+    def leave(gap: int, pattern: tuple[int, ...], times: int) -> None:
+        if not gap:
+            out.append((pattern, times))
+            return
+        if gap not in open_:
+            open_[gap] = []
+            insort(gaps, gap)
+        open_[gap].append((pattern, times))
+
+    for n in sorted(counts, reverse=True):
+        many = counts[n]
         while many:
             at = bisect_left(gaps, n)
             if at == len(gaps):
@@ -206,14 +243,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
                 full, odd = divmod(many, each)
                 for k, times in ((each, full), (odd, 1)):
                     if k and times:
-                        gap = capacity - k * n
-                        if gap not in open_:
-                            open_[gap] = []
-                            insort(gaps, gap)
-                        open_[gap].append(((n,) * k, times))
+                        leave(capacity - k * n, (n,) * k, times)
                 break
             gap = gaps[at]
             pattern, times = open_[gap].pop()
+            # A gap takes as many as fit; the last ones may be fewer.
             each = min(gap // n, many)
             now = min(times, many // each)
             many -= now * each
@@ -222,19 +256,26 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             if not open_[gap]:
                 del open_[gap]
                 gaps.pop(at)
-            new = gap - each * n
-            if new:
-                if new not in open_:
-                    open_[new] = []
-                    insort(gaps, new)
-                open_[new].append((pattern + (n,) * each, now))
-            else:
-                out.append((pattern + (n,) * each, now))
+            leave(gap - each * n, pattern + (n,) * each, now)
     for patterns in open_.values():
         out.extend(patterns)
     return out
 
 
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
+    """Patterns that use each length exactly as often as ``counts`` says, in as few sequences as the ways tried give.
+
+    Exact combinations that spend the short lengths can leave long ones that nothing fills, so complements of up to
+    three, two, one and no parts are each followed by best fit, and the fewest sequences win: never more than best
+    fit alone.  Work depends on the number of different lengths (at most ``capacity``), not on the counts."""
+    counts = {n: c for n, c in counts.items() if c > 0}
+    ways = []
+    for parts in (3, 2, 1, 0):
+        exact, rest = exact_complements(counts, capacity, parts) if parts else ([], counts)
+        ways.append(exact + best_fit(rest, capacity))
+    return min(ways, key=lambda patterns: sum(times for _, times in patterns))
+
+
 def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
     """Ranks of a length -> places: (length, first rank, ranks, first sequence, offset)."""
     seen: Counter = Counter()

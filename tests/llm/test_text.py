@@ -91,6 +91,58 @@ def test_plan_finds_exact_complements():
     assert sum(t for _, t in packing.plan({33: 10**9, 31: 10**9}, 64)) == 10**9
 
 
+@pytest.mark.parametrize(
+    "shape", ["each length", "narrow", "nothing fits", "log-normal", "one hot length"]
+)
+def test_plans_never_need_more_than_best_fit(shape):
+    r, n = random.Random(11), np.random.default_rng(11)
+    counts = {
+        "each length": {k: r.randrange(1, 12) for k in range(1, 4097)}, "narrow": {k: r.randrange(1, 12) for k in range(1000, 2200)}, "nothing fits": {k: 3 for k in range(1366, 2731)},
+        "log-normal": {int(k): int(c) for k, c in zip(*np.unique(np.clip(np.exp(n.normal(7, 0.6, 10_000)).astype(int), 1, 4096), return_counts=True))}, "one hot length": {**{k: 2 for k in range(100, 900)}, 700: 10**9},
+    }[shape]
+    found = packing.plan(counts)
+    used = {}
+    for lengths, times in found:
+        assert times > 0 and sum(lengths) <= 4096
+        for k in lengths:
+            used[k] = used.get(k, 0) + times
+    assert used == counts
+    total = lambda patterns: sum(times for _, times in patterns)
+    # Best fit decreasing, piece by piece, on the counts small enough for it.
+    if shape != "one hot length":
+        gaps = []
+        for k in sorted((k for k, c in counts.items() for _ in range(c)), reverse=True):
+            fit = min((g for g in gaps if g >= k), default=None)
+            if fit is None:
+                gaps.append(4096 - k)
+            else:
+                gaps.remove(fit)
+                gaps.append(fit - k)
+        assert total(found) <= len(gaps)
+    assert total(found) <= total(packing.best_fit(counts, 4096))
+
+
+def test_sum_index_follows_the_counts():
+    r = random.Random(12)
+    counts = {r.randrange(1, 65): r.randrange(1, 4) for _ in range(25)}
+    index = packing.SumIndex(counts, 64)
+    for _ in range(200):
+        left = {k: int(c) for k, c in enumerate(index.left) if c}
+        for s in range(65):
+            assert index.pairs[s] == sum(1 for a in left for b in left if a + b == s)
+            for parts, found in ((2, index.pair(s, ())), (3, index.triple(s, ()))):
+                lists = lambda p, rest: [[]] if not p and not rest else [[a, *x] for a in left if p and a <= rest for x in lists(p - 1, rest - a)]
+                possible = [x for x in lists(parts, s) if all(x.count(a) <= left[a] for a in x)] if s % 8 == len(left) % 8 else None
+                if possible is not None:
+                    assert (found is not None) == bool(possible)
+                if found:
+                    assert sum(found) == s and index.fits(found)
+        if not left:
+            break
+        k = r.choice(list(left))
+        index.use((k,), r.randrange(1, left[k] + 1))
+
+
 def test_packing(spark):
     theirs = Tokenizer.from_file(WORDS)
     texts = [*TEXTS, None, "word " * 9000] + ["same text here"] * 50
