@@ -2,7 +2,8 @@
 
 The base finds emails, IP addresses, card numbers and phone numbers.  Their values are the protected
 entities.  The method then asks of every word of a text with an entity how much of the entity's
-information the word discloses, from counts over the whole corpus:
+information the word discloses, from counts over the whole corpus.  A word (term) is a maximal run of
+characters that are alphanumeric but no decimal digits, of any length and script, in lower case:
 
     IC(c) = -log2 p(c),   PMI(c, t) = log2 ( p(c, t) / (p(c) p(t)) ),   disclosure = PMI / IC
 
@@ -11,12 +12,15 @@ Disclosure is 1 when the term occurs only with the entity.  A term seen with the
 ``SUPPORT`` different texts, or in as many different contexts (``WINDOW`` words on each side of the
 entity) of one text, whose disclosure reaches ``GENERALISE`` is reported (kind ``term``) wherever it
 stands in texts that hold both.  Sanitised text shows nothing for it from ``REMOVE`` up.  Below, it shows
-something more general: the longest beginning of the term that is itself a term of the corpus in so many
-texts that it discloses no such entity, or a placeholder where there is none.
+something more general: the longest beginning of the term, of ``STEM`` letters, that is itself a term of the corpus
+in so many texts that it discloses no such entity, or a placeholder where there is none.
 
-Texts that are equal but for case and white space count once, so copies are no evidence.  Terms are
-counted with partial aggregation.  A term in more than n_c (n / n_c) ^ (1 - GENERALISE) texts cannot reach
-the bound, so it is left out before pairs are counted.  Only texts with copies are shuffled, once.
+Texts that are equal but for case and white space count once, so copies are no evidence.  One pass reads
+the texts, finds entities and counts terms, each task adding up its own; what copies counted too often is taken
+off again.  Pairs are counted between classes: entities held by the same texts are one class, terms held by
+the same texts with entities another, so a list of thousands of addresses in two texts is one class and not
+thousands of times its words.  A term in more than n_c (n / n_c) ^ (1 - GENERALISE) texts cannot reach the
+bound, so it is left out before pairs are counted.  Only texts with copies are shuffled, once.
 
 Defined results: null text counts as empty; offsets are code points, ends exclusive; repeated or
 null ids give a row each; an empty table gives no rows; other columns are ignored.
@@ -27,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +43,10 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "term")
 WINDOW = 8
 SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
+#: Least and greatest length of what may be shown for a term.
+STEM = (4, 32)
+#: Different terms that a task counts before it passes its counts on.
+_COUNTED = 100_000
 
 # The email pattern from its sign on, to which the letters before it belong.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -47,7 +56,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_TERM = re.compile(r"[^\W\d_]+")
 
 Span = tuple[str, int, int]
 
@@ -113,8 +122,15 @@ _CONTEXT = pa.struct([("entity", pa.string()), ("context", pa.string()), ("terms
 _SPAN = pa.struct([("start", pa.int64()), ("kind_order", pa.int32()), ("stop", pa.int64())])
 _SCHEMA = (
     "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:long,kind_order:int,stop:long>>, "
-    "contexts array<struct<entity:string,context:string,terms:array<string>>>, words array<struct<term:string,start:long,stop:long>>, digest binary"
+    "contexts array<struct<entity:string,context:string,terms:array<string>>>, words array<struct<term:string,start:long,stop:long>>, digest binary, text string, counted string, n_rows long"
 )
+_ARROW = [pa.int64()] * 5 + [pa.string(), pa.list_(_SPAN), pa.list_(_CONTEXT), pa.list_(_PLACE), pa.binary(), pa.string(), pa.string(), pa.int64()]
+_NAMES = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "contexts", "words", "digest", "text", "counted", "n_rows"]
+
+
+def terms_of(text: str) -> set[str]:
+    """The different terms of a text."""
+    return {w.lower() for w in set(_TERM.findall(text))}
 
 
 def joined(found: list[Span]) -> str:
@@ -126,76 +142,118 @@ def _digest():
     return F.unhex(F.md5(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), SPACE_RUN, " "))))
 
 
-def _scan(docs: DataFrame, with_text: bool) -> DataFrame:
-    """Pass over the texts: base spans, contexts of entities and, where there are any, the places of all
-    terms; saved, with a key per row."""
+def _scan(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame]:
+    """One pass over the texts: (rows, counts).  Rows have base spans, contexts of entities and, where there are any, the
+    places of all terms, with a key per row; counts (counted, n_rows) are the rows that hold a term."""
 
     def run(batches):
+        counter = Counter()
+
+        def counts():
+            told = [pa.array(list(c), t) for c, t in zip((counter.keys(), counter.values()), (pa.string(), pa.int64()))]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(counter), t) for t in _ARROW[:-2]), *told], _NAMES)
+
         for b in batches:
             columns: list[list] = [[] for _ in range(8)]
             for text in b.column(1):
                 text = text.as_py() or ""
+                counter.update(terms_of(text))
                 found = base_spans(text)
                 values = [sum(k == kind for k, _, _ in found) for kind in BASE_KINDS]
                 values += [hashlib.sha256(joined(found).encode()).hexdigest(), [(s, KINDS.index(k), e) for k, s, e in found], *contexts(text, found)]
                 for column, value in zip(columns, values):
                     column.append(value)
+                if len(counter) >= _COUNTED:
+                    yield counts()
+                    counter.clear()
             spans = pa.array([[dict(zip(("start", "kind_order", "stop"), x)) for x in v] for v in columns[5]], pa.list_(_SPAN))
             near = pa.array([[{"entity": e, "context": c, "terms": ts} for e, c, ts in v] for v in columns[6]], pa.list_(_CONTEXT))
             words = pa.array([[dict(zip(("term", "start", "stop"), t)) for t in v] for v in columns[7]], pa.list_(_PLACE))
             out = [b.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string()), spans, near, words, b.column(2)]
-            names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "contexts", "words", "digest"]
-            yield pa.RecordBatch.from_arrays(out + ([b.column(1)] if with_text else []), names + (["text"] if with_text else []))
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([*out, b.column(1) if with_text else pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], _NAMES)
+        if counter:
+            yield counts()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _digest().alias("digest"))
-    return saved(in_batches(rows).mapInArrow(run, _SCHEMA + ", text string" * with_text).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
+    both = saved(in_batches(rows).mapInArrow(run, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
+    scan = both.where("counted is null").drop("counted", "n_rows")
+    return scan if with_text else scan.drop("text"), both.where("counted is not null").select("counted", "n_rows")
+
 
+def _term_counts(docs: DataFrame, counts: DataFrame, digests: DataFrame) -> DataFrame:
+    """(term, n_t): in how many different texts a term stands: the rows that hold it, less the copies of one text beyond
+    the first (``digests``: digest, copies)."""
 
-def _term_counts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(term, n_t): in how many different texts a term stands; ``repeated`` has the digests met more than once."""
+    def run(batches):
+        counter = Counter()
+        for b in batches:
+            for text, copies in zip(b.column(0), b.column(1).to_pylist()):
+                for term in terms_of(text.as_py()):
+                    counter[term] -= copies - 1
+                if len(counter) >= _COUNTED:
+                    yield pa.RecordBatch.from_pydict({"counted": list(counter.keys()), "n_rows": list(counter.values())})
+                    counter.clear()
+        if counter:
+            yield pa.RecordBatch.from_pydict({"counted": list(counter.keys()), "n_rows": list(counter.values())})
+
+    repeated = saved(digests.where("copies > 1"), "pii-copies")
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _digest().alias("digest"))
-    marked = may_hold(texts, "digest", key_filter(repeated, "digest", "pii-filter"))
-    once = marked.where("not maybe").select("text").unionByName(marked.where("maybe").dropDuplicates(["digest"]).select("text"))
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    return saved(once.select(F.explode(words).alias("term")).where(F.length("term") >= 4).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "pii-words")
+    texts = may_hold(texts, "digest", key_filter(repeated, "digest", "pii-filter")).where("maybe").dropDuplicates(["digest"])
+    often = in_batches(texts.join(repeated, "digest").select("text", "copies")).mapInArrow(run, "counted string, n_rows long")
+    return saved(counts.unionByName(often).groupBy(F.col("counted").alias("term")).agg(F.sum("n_rows").alias("n_t")), "pii-words")
+
+
+def _classes(held: DataFrame, column: str) -> DataFrame:
+    """``column``'s values with how many of the texts hold them and a name for that set of texts: the sums of four
+    32-bit hashes of its digests, so that values held by the same texts share it."""
+    h = [F.xxhash64(F.lit(k), "digest") for k in (1, 2)]
+    sums = [F.sum(x) for y in h for x in (y.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(y, 32))]
+    return held.groupBy(column).agg(F.count(F.lit(1)).alias("n_held"), F.concat_ws(".", F.count(F.lit(1)), *sums).alias("texts"))
 
 
-def disclosure(docs: DataFrame, scan: DataFrame) -> DataFrame:
+def disclosure(docs: DataFrame, scan: DataFrame, counts: DataFrame) -> DataFrame:
     """(digest, term, disclosure, general) of the terms of each text that disclose an entity it holds; ``general`` is
     the more general term that may stand for it, if any."""
     digests = saved(scan.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), "pii-digests")
     n = F.lit(float(digests.count()))
-    counts = _term_counts(docs, digests.where("copies > 1").select("digest"))
+    counts = _term_counts(docs, counts, digests)
+    share = 1 - F.log2(F.greatest(F.col("n_t") / F.col("n_ct"), F.lit(1.0))) / F.nullif(F.log2(n / F.col("n_c")), F.lit(0.0))
     held = scan.where(F.size("contexts") > 0)
     entities = held.select("digest", F.explode(F.array_distinct("contexts.entity")).alias("entity")).distinct()
-    sizes = saved(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")), "pii-entities")
+    sizes = saved(_classes(entities, "entity").select("entity", F.col("n_held").alias("n_c"), F.col("texts").alias("holders")), "pii-entities")
     # The most texts a term may stand in: disclosure is 1 - log(n_t / n_ct) / log(n / n_c), and n_ct <= n_c.
     reach = F.col("n_c") * F.pow(n / F.col("n_c"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
-    several = saved(entities.join(sizes.where(F.col("n_c") >= SUPPORT), "entity").select("digest", "entity", "n_c", reach.alias("reach")), "pii-held")
-    terms = held.select("digest", F.explode(F.array_distinct("words.term")).alias("term")).join(several.select("digest").distinct(), "digest", "left_semi").distinct()
-    terms = terms.join(counts.where(F.col("n_t") >= SUPPORT), "term")
-    together = saved(terms.join(several, "digest").where("n_t <= reach").select("digest", "entity", "term"), "pii-together")
-    pairs = together.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= SUPPORT)
+    several = entities.join(sizes.where(F.col("n_c") >= SUPPORT), "entity").select("digest", "holders", "n_c", reach.alias("reach")).distinct()
+    several = saved(several, "pii-held")
+    furthest = several.groupBy("digest").agg(F.max("reach").alias("furthest"))
+    terms = held.select("digest", F.explode(F.array_distinct("words.term")).alias("term")).join(furthest, "digest").distinct()
+    terms = saved(terms.join(counts.where(F.col("n_t") >= SUPPORT), "term").where("n_t <= furthest").select("digest", "term", "n_t"), "pii-held-terms")
+    kinds = _classes(terms, "term").where(F.col("n_held") >= SUPPORT)
+    terms = saved(terms.join(kinds, "term").select("digest", "term", F.concat_ws(".", "n_t", "texts").alias("word"), "n_t"), "pii-term-classes")
+    words = terms.select("digest", "word", "n_t").distinct()
+    together = saved(words.join(several, "digest").where("n_t <= reach").select("digest", "holders", "word", "n_c", "n_t"), "pii-together")
+    pairs = together.groupBy("holders", "word").agg(F.count(F.lit(1)).alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t")).where(F.col("n_ct") >= SUPPORT)
+    pairs = pairs.select("holders", "word", "n_c", share.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    told = together.select("digest", "holders", "word").join(pairs, ["holders", "word"]).groupBy("digest", "word").agg(F.max("disclosure").alias("disclosure"), F.max("n_c").alias("n_c"))
+    told = terms.join(told, ["digest", "word"]).select("digest", "term", "disclosure", "n_c")
     # Different contexts in one text: the term and the entity meet in that text, so n_ct is 1 there.
     near = held.select("digest", F.explode("contexts").alias("c")).select("digest", "c.entity", "c.context", F.explode("c.terms").alias("term"))
     near = near.groupBy("entity", "term").agg(F.min("digest").alias("digest"), F.max("digest").alias("last"), F.min("context").alias("a"), F.max("context").alias("b"))
-    near = saved(near.where("digest = last and a <> b").select("digest", "entity", "term"), "pii-near")
-    pairs = pairs.unionByName(near.select("entity", "term", F.lit(1).cast("long").alias("n_ct"))).groupBy("entity", "term").agg(F.max("n_ct").alias("n_ct"))
-    share = 1 - F.log2(F.greatest(F.col("n_t") / F.col("n_ct"), F.lit(1.0))) / F.nullif(F.log2(n / F.col("n_c")), F.lit(0.0))
-    telling = pairs.join(counts, "term").join(sizes, "entity").select("entity", "term", "n_c", share.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
-    telling = saved(telling, "pii-telling")
+    near = near.where("digest = last and a <> b").select("digest", "entity", "term", F.lit(1).alias("n_ct")).join(sizes, "entity").join(counts, "term")
+    near = near.select("digest", "term", share.alias("disclosure"), "n_c").where(F.col("disclosure") >= GENERALISE)
+    telling = saved(told.unionByName(near).groupBy("digest", "term").agg(F.max("disclosure").alias("disclosure"), F.max("n_c").alias("n_c")), "pii-telling")
     # A shorter term in n_t texts discloses at most log(n / n_t) / log(n / n_c) of an entity in n_c; most for the largest n_c.
-    shorter = F.explode(F.transform(F.sequence(F.lit(4), F.length("term") - 1), lambda k: F.substring(F.col("term"), F.lit(1), k)))
-    wider = telling.where(F.length("term") > 4).groupBy("term").agg(F.max("n_c").alias("n_c")).select("term", "n_c", shorter.alias("general"))
+    shorter = F.explode(F.transform(F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length("term") - 1)), lambda k: F.substring(F.col("term"), F.lit(1), k)))
+    wider = telling.where(F.length("term") > STEM[0]).groupBy("term").agg(F.max("n_c").alias("n_c")).select("term", "n_c", shorter.alias("general"))
     wider = wider.join(counts.select(F.col("term").alias("general"), "n_t"), "general").where((F.col("n_t") >= F.col("n_c")) & (F.log2(n / F.col("n_t")) < GENERALISE * F.log2(n / F.col("n_c"))))
     wider = wider.groupBy("term").agg(F.max_by("general", F.length("general")).alias("general"))
-    met = together.unionByName(near).join(telling.drop("n_c"), ["entity", "term"])
-    return saved(met.groupBy("digest", "term").agg(F.max("disclosure").alias("disclosure")).join(wider, "term", "left"), "pii-terms")
+    return saved(telling.drop("n_c").join(wider, "term", "left"), "pii-terms")
 
 
 def _found(docs: DataFrame, with_text: bool) -> DataFrame:
-    scan = _scan(docs, with_text)
-    telling = disclosure(docs, scan)
+    scan, counts = _scan(docs, with_text)
+    telling = disclosure(docs, scan, counts)
     places = scan.where(F.size("words") > 0).select("row", "digest", F.explode("words").alias("w")).select("row", "digest", "w.term", "w.start", "w.stop")
     order = KINDS.index("term")
     # Few terms tell anything: the places of the others stay where they are.
