@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_right
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import saved
+from .ordered import HOT_ROWS, numbered, running, width_of
+
+#: Most points of a block of a front in three criteria, one task's work.
+FRONT_BLOCK = 1 << 17
+
 
 def pair_with_baseline(rows: DataFrame, baseline: str, method: str, keys: list[str], values: list[str], must_match: list[str] = ()) -> DataFrame:
     """Each other method's row beside the baseline's of the same keys, with the paired fields that disagree."""
@@ -20,7 +30,8 @@ def directory_asof(attempts: DataFrame, versions: DataFrame, replicas: DataFrame
     ``attempts`` (event_index, edge, account), ``versions`` (account, version, valid_from: authoritative),
     ``replicas`` (edge, account, version, valid_from: what reached the edge).  MISSING: no
     authoritative record; UNCERTAIN: the edge has no replica; STALE: the edge's version is behind.
-    One union and one window per side replace a range join.
+    One union and one running value per side replace a range join; an account of any share of the attempts is
+    cut into slices of its time.
     """
     if aliases is not None:
         a = aliases.select(F.col("alias").alias("account"), F.col("canonical"))
@@ -30,8 +41,7 @@ def directory_asof(attempts: DataFrame, versions: DataFrame, replicas: DataFrame
         both = rows.select(*rows.columns, F.col("event_index").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_v")).unionByName(
             log.select(*keys, F.col("valid_from").alias("_at"), F.lit(0).alias("_side"), F.col("version").alias("_v")), allowMissingColumns=True
         )
-        w = Window.partitionBy(*keys).orderBy("_at", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-        return both.withColumn(name, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_at", "_side", "_v")
+        return running(both, keys, ["_at", "_side", "_v"], {name: ("last", "_v")}).where("_side = 1").drop("_at", "_side", "_v")
 
     rows = latest(versions, ["account"], "current", attempts)
     rows = latest(replicas, ["edge", "account"], "seen", rows)
@@ -58,45 +68,77 @@ def case_pairs(df: DataFrame, keys: list[str], case: str, value: str) -> DataFra
     return df.select(*keys, F.col(case).alias("case_a"), F.col(value).alias("value_a")).join(right, keys).where("case_a < case_b")
 
 
-def pareto_front(df: DataFrame, mins: list[str], group: list[str]) -> DataFrame:
+def pareto_front(df: DataFrame, mins: list[str], group: list[str], hot_rows: int = HOT_ROWS, block: int = FRONT_BLOCK) -> DataFrame:
     """Rows no other row of the group dominates (no worse in all of ``mins``, better in one).
 
-    Two criteria: a running minimum over the sorted group.  Three: rows are first reduced to distinct
-    criteria that survive the two-dimensional test on each value of the third, then compared.  A row with a null
+    Two criteria: a running minimum over the sorted group.  Three: see ``_front_of_three``.  A row with a null
     criterion is on no front and beats none.
     """
     for c in mins:
         df = df.where(F.col(c).isNotNull())
     if len(mins) == 2:
         x, y = mins
-        least_before = F.min("_y").over(Window.partitionBy(*group).orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
         # Per x only its least y can survive; it must be under every y of smaller x.
         per_x = df.groupBy(*group, x).agg(F.min(y).alias("_y"))
-        front = per_x.withColumn("_b", least_before).where(F.col("_b").isNull() | (F.col("_y") < F.col("_b"))).select(*group, x, F.col("_y").alias(y))
-        return df.join(front, [*group, *mins], "left_semi")
-    points = df.select(*group, *mins).distinct()
-    # Cheapest possible partners: for equal leading criteria only the least of the last.
-    reduced = points.groupBy(*group, *mins[:-1]).agg(F.min(mins[-1]).alias(mins[-1]))
-    other = reduced.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], *[F.col(c).alias(f"_m{i}") for i, c in enumerate(mins)])
-    cond = F.lit(True)
-    for i, c in enumerate(group):
-        cond = cond & (F.col(c) == F.col(f"_g{i}"))
-    better = F.lit(False)
-    for i, c in enumerate(mins):
-        cond = cond & (F.col(f"_m{i}") <= F.col(c))
-        better = better | (F.col(f"_m{i}") < F.col(c))
-    front = reduced.join(other, cond & better, "left_anti")
-    return df.join(front, [*group, *mins], "left_semi")
-
-
-def certified_front(df: DataFrame, group: list[str], memory: str, low: str, high: str) -> DataFrame:
+        front = running(per_x, group, [x], {"_b": ("min", "_y")}, before=True, hot_rows=hot_rows)
+        front = front.where(F.col("_b").isNull() | (F.col("_y") < F.col("_b"))).select(*group, x, F.col("_y").alias(y))
+    else:
+        front = _front_of_three(df, mins, group, hot_rows, block)
+    keys = [*group, *mins]
+    return df.join(front.select(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(keys)]), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_f{i}")) for i, c in enumerate(keys)]), "left_semi")
+
+
+def _front_of_three(df: DataFrame, mins: list[str], group: list[str], hot_rows: int, block: int) -> DataFrame:
+    """The different points (group, mins) on the fronts, by divide and conquer.
+
+    Points in the order of (group, first, second, third criterion) are cut into equal blocks.  A block keeps its own
+    front (a staircase of the other two criteria).  Then blocks merge in pairs: a point on the right is beaten if
+    the least third criterion among points on the left with no greater second is no greater than its own, a running
+    minimum.  Beaten points beat nothing that others don't, so each round sorts fronts only."""
+    x, y, z = mins
+    points = numbered(df.groupBy(*group, x, y).agg(F.min(z).alias(z)), [*group, x, y], "_i")
+    n = points.count()
+    blocks = max(1, min(n, width_of(points)), -(-n // block))
+    points = points.withColumn("_block", F.floor(F.col("_i") / max(1, -(-n // blocks))).cast("long")).drop("_i")
+    types = dict(points.dtypes)
+
+    def own(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in (*group, x, y, z)])
+        of = list(zip(*(table.column(c).to_pylist() for c in group))) if group else [()] * len(table)
+        now, ys, zs, kept = None, [], [], []
+        for k, (g, b, c) in enumerate(zip(of, table.column(y).to_pylist(), table.column(z).to_pylist())):
+            if g != now:
+                now, ys, zs = g, [], []
+            # The staircase: second criterion rising, third falling.
+            at = bisect_right(ys, b)
+            if at and zs[at - 1] <= c:
+                continue
+            kept.append(k)
+            stop = at
+            while stop < len(ys) and zs[stop] >= c:
+                stop += 1
+            start = at - 1 if at and ys[at - 1] == b else at
+            ys[start:stop], zs[start:stop] = [b], [c]
+        return table.take(pa.array(kept, pa.int64()))
+
+    front = saved(points.groupBy("_block").applyInArrow(own, ", ".join(f"`{c}` {t}" for c, t in points.dtypes)), "front")
+    while blocks > 1:
+        blocks = (blocks + 1) // 2
+        sides = front.withColumns({"_side": F.col("_block") % 2, "_block": F.floor(F.col("_block") / 2).cast("long")})
+        sides = sides.withColumn("_left", F.when(F.col("_side") == 0, F.col(z)).cast(types[z]))
+        met = running(sides, [*group, "_block"], [y, "_side"], {"_least": ("min", "_left")}, hot_rows=hot_rows)
+        front = saved(met.where((F.col("_side") == 0) | F.col("_least").isNull() | (F.col("_least") > F.col(z))).drop("_side", "_left", "_least"), "front")
+    return front.drop("_block")
+
+
+def certified_front(df: DataFrame, group: list[str], memory: str, low: str, high: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows whose lower bound no other row's upper bound beats at no more memory.
 
     The least upper bound at smaller or equal memory decides; a row does not dominate itself because
     low <= high.
     """
     best = df.groupBy(*group, memory).agg(F.min(high).alias("_h"))
-    best = best.withColumn("_h", F.min("_h").over(Window.partitionBy(*group).orderBy(memory)))
+    best = running(best, group, [memory], {"_least": ("min", "_h")}, hot_rows=hot_rows).drop("_h").withColumnRenamed("_least", "_h")
     return df.join(best, [*group, memory]).where(F.col(low) <= F.col("_h")).drop("_h")
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import saved
+from .ordered import running
+
 
 def region_traffic(attempts: DataFrame, region: str, keys: list[str], invalid: Column, valid: Column, missed: Column, positive: Column) -> DataFrame:
     """Per region: accounts, distinct invalid tuples, request counts, cache misses and positive ones.
@@ -80,18 +85,38 @@ def log_histogram(df: DataFrame, group: list[str], value: str, growth: float, qu
     )
 
 
+def percentiles(df: DataFrame, group: list[str], value: str, ps: dict[str, float], n: str | None = None) -> DataFrame:
+    """Exact interpolated percentiles by selection: different values are counted, running counts place them, and the
+    values at the two ranks of each percentile are picked.  No task holds a group's values.
+
+    ``n`` names a column of counts where ``df`` already has one row per different value."""
+    rows = df.where(F.col(value).isNotNull())
+    counts = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n")) if n is None else rows.select(*group, value, F.col(n).alias("_n"))
+    counts = running(counts, group, [value], {"_upto": ("sum", "_n")})
+    total = counts.groupBy(*group).agg(F.sum("_n").alias("_total")).select(*[F.col(g).alias(f"_t{i}") for i, g in enumerate(group)], "_total")
+    on = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_t{i}")) for i, g in enumerate(group)]) if group else None
+    counts = counts.join(total, on) if group else counts.crossJoin(F.broadcast(total))  # one row
+    picks = []
+    for i, p in enumerate(ps.values()):
+        at = p * (F.col("_total") - 1)
+        picks += [F.min(F.when(F.col("_upto") > F.floor(at), F.col(value))).alias(f"_low{i}"), F.min(F.when(F.col("_upto") > F.ceil(at), F.col(value))).alias(f"_high{i}"), F.max(at - F.floor(at)).alias(f"_part{i}")]
+    out = counts.groupBy(*group).agg(*picks)
+    return out.select(*group, *[((1 - F.col(f"_part{i}")) * F.col(f"_low{i}") + F.col(f"_part{i}") * F.col(f"_high{i}")).alias(name) for i, name in enumerate(ps)])
+
+
 def distribution(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Count, least, interpolated percentiles, greatest, mean."""
-    p = F.expr(f"percentile({value}, array(0.5, 0.95, 0.99))")
-    out = df.groupBy(*group).agg(F.count(value).alias("n"), F.min(value).alias("least"), p.alias("p"), F.max(value).alias("greatest"), F.avg(value).alias("mean"))
-    return out.select(*group, "n", "least", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "greatest", "mean")
+    out = df.groupBy(*group).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.avg(value).alias("mean"))
+    p = percentiles(df, group, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}).withColumnsRenamed({g: f"_p{i}" for i, g in enumerate(group)})
+    on = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_p{i}")) for i, g in enumerate(group)])
+    return out.join(p, on, "left").select(*group, "n", "least", "p50", "p95", "p99", "greatest", "mean")
 
 
 def nearest_rank(df: DataFrame, group: list[str], value: str, num: int, den: int) -> DataFrame:
     """The value at rank ceil(n * num / den).  Equal values are counted first."""
-    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*group)
-    rows = counts.withColumns({"upto": F.sum("n").over(w.orderBy(value)), "total": F.sum("n").over(w)})
+    counts = running(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n")), group, [value], {"upto": ("sum", "n")})
+    total = counts.groupBy(*group).agg(F.sum("n").alias("total"))
+    rows = counts.join(total, group)
     return rows.where(F.col("upto") * den >= F.col("total") * num).groupBy(*group).agg(F.min(value).alias("nearest_rank"))
 
 
@@ -104,12 +129,7 @@ def value_histogram(df: DataFrame, group: list[str], value: str) -> DataFrame:
 def histogram_percentile(df: DataFrame, group: list[str], p: float) -> DataFrame:
     """The interpolated percentile of the values a histogram stands for."""
     rows = df.select(*group, F.explode("histogram").alias("h")).select(*group, "h.value", "h.count")
-    w = Window.partitionBy(*group)
-    rows = rows.withColumns({"upto": F.sum("count").over(w.orderBy("value")), "n": F.sum("count").over(w)})
-    at = p * (F.col("n") - 1)
-    low = F.min(F.when(F.col("upto") > F.floor(at), F.col("value")))
-    high = F.min(F.when(F.col("upto") > F.ceil(at), F.col("value")))
-    return rows.groupBy(*group).agg(low.alias("low"), high.alias("high"), F.max(at - F.floor(at)).alias("f")).select(*group, (F.col("low") + F.col("f") * (F.col("high") - F.col("low"))).alias("percentile"))
+    return percentiles(rows, group, "value", {"percentile": p}, "count")
 
 
 def resource_summary(samples: DataFrame, group: list[str], rss: str, queue: str) -> DataFrame:
@@ -181,6 +201,30 @@ def order_digest(df: DataFrame, shard: list[str], at: str, *columns: str) -> Dat
     return rows.select(*shard, F.size("rows").cast("long").alias("n"), chain.alias("digest"))
 
 
+def digest_tree(df: DataFrame, shard: list[str], at: str, *columns: str, leaf: int = 1024) -> DataFrame:
+    """Per shard of any size a digest of its rows in order: shard, n, digest.
+
+    A leaf digests the digests of ``leaf`` rows that follow each other, a node those of ``leaf`` nodes below it; a shard's
+    digest is its first node that stands alone.  Every level is made by all tasks, and no group holds more than
+    ``leaf`` digests."""
+    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
+    rows = running(df.select(*shard, at, row.alias("_h"), F.lit(1).cast("long").alias("_one")), shard, [at, "_h"], {"_k": ("sum", "_one")})
+    level = rows.select(*shard, (F.col("_k") - 1).alias("_k"), "_h", F.col("_one").alias("_n"))
+    done = None
+    while True:
+        inside = F.array_sort(F.collect_list(F.struct((F.col("_k") % leaf).alias("k"), F.col("_h").alias("h"))))
+        level = level.groupBy(*shard, F.floor(F.col("_k") / leaf).cast("long").alias("_k")).agg(F.sha2(F.array_join(F.transform(inside, lambda x: x["h"]), ""), 256).alias("_h"), F.sum("_n").alias("_n"))
+        level = saved(level, "digest-level")
+        # Nodes are numbered from 0 without gaps: a shard with a second one goes on.
+        more = level.where("_k = 1").select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(shard)])
+        on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(shard)])
+        ended = level.where("_k = 0").join(more, on, "left_anti").select(*shard, F.col("_n").alias("n"), F.col("_h").alias("digest"))
+        done = ended if done is None else done.unionByName(ended)
+        if more.isEmpty():
+            return done
+        level = level.join(more, on, "left_semi")
+
+
 def bin_counts(scores: DataFrame, score: str, bins: int, member: Column) -> DataFrame:
     """Member and other mass per equal-width bin of [0, 1]."""
     bin_ = F.least(F.lit(bins - 1), F.floor(F.col(score) * bins)).cast("long")

@@ -6,10 +6,16 @@ tuples before they probe, so repeats cost nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.scratch import saved
 
 
 def exact_screen(attempts: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,19 +43,74 @@ def bloom_pack(bits: DataFrame) -> DataFrame:
     return bits.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
-def bloom_probe(queries: DataFrame, keys: list[str], positions: Column, bits: DataFrame, k: int) -> DataFrame:
-    """Distinct keys with ``represented`` (all k places set) and ``probes`` (places read until the first zero)."""
-    asked = queries.select(*keys, F.posexplode(positions).alias("i", "position"))
-    met = asked.join(bits.withColumn("_set", F.lit(True)), "position", "left")
-    out = met.groupBy(*keys).agg(F.count("_set").alias("n_set"), F.min(F.when(F.col("_set").isNull(), F.col("i") + 1)).alias("first_zero"))
-    return out.select(*keys, (F.col("n_set") == k).alias("represented"), F.coalesce("first_zero", F.lit(k)).cast("long").alias("probes"))
-
-
-def bloom_probe_packed(queries: DataFrame, keys: list[str], positions: Column, words: DataFrame, k: int) -> DataFrame:
-    """The same against packed words: a 32nd of the rows on the screen's side."""
-    asked = queries.select(*keys, F.explode(positions).alias("position")).withColumn("word", F.floor(F.col("position") / 32).cast("long"))
-    hit = F.coalesce(F.expr("shiftright(bits, cast(position % 32 as int)) & 1"), F.lit(0))
-    return asked.join(words, "word", "left").groupBy(*keys).agg((F.sum(hit) == k).alias("represented"))
+#: A filter of at most so many bits (16 MB) is carried to the queries; a larger one is asked by joins.
+CARRIED_BITS = 1 << 27
+
+
+def bloom_probe(queries: DataFrame, keys: list[str], positions: Column, bits: DataFrame, k: int, m: int) -> DataFrame:
+    """Distinct keys with ``represented`` (all k places set) and ``probes`` (places read until the first zero).
+
+    ``m`` is the filter's size.  Up to CARRIED_BITS it goes to the tasks whole and no query moves.  Beyond, the
+    places are asked one after the other and only queries that are still alive go on, so a query moves as often as it
+    probes: about twice for one that is not a member."""
+    asked = queries.select(*keys, positions.alias("_at"))
+    return _probe_carried(asked, keys, bits, k, m) if m <= CARRIED_BITS else _probe_in_turn(asked, keys, bits, k)
+
+
+def _probe_carried(asked: DataFrame, keys: list[str], bits: DataFrame, k: int, m: int) -> DataFrame:
+    words = np.zeros(-(-m // 32), np.uint32)
+    for word, value in bloom_pack(bits).toLocalIterator():
+        words[word] = value
+    carried = asked.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = carried.value
+        for b in batches:
+            at = b.column(len(keys)).flatten().to_numpy().reshape(-1, k)
+            hit = (words[at >> 5] >> (at & 31).astype(np.uint32)) & 1
+            probes = np.where(hit.all(axis=1), k, np.argmin(hit, axis=1) + 1)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(hit.all(axis=1)), pa.array(probes.astype(np.int64))], [*keys, "represented", "probes"])
+
+    types = dict(asked.dtypes)
+    return asked.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keys] + ["represented boolean", "probes long"]))
+
+
+def _probe_in_turn(asked: DataFrame, keys: list[str], bits: DataFrame, k: int) -> DataFrame:
+    known = bits.select(F.col("position").alias("_p"), F.lit(True).alias("_set"))
+    alive, out = asked, []
+    for i in range(k):
+        met = saved(alive.join(known, F.element_at("_at", i + 1) == F.col("_p"), "left").drop("_p"), "probe")
+        out.append(met.where("_set is null").select(*keys, F.lit(False).alias("represented"), F.lit(i + 1).cast("long").alias("probes")))
+        alive = met.where("_set").drop("_set")
+    out.append(alive.select(*keys, F.lit(True).alias("represented"), F.lit(k).cast("long").alias("probes")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def blocked_bloom_build(members: DataFrame, positions: Column, k: int) -> DataFrame:
+    """A row per block of 512 bits: block and its eight words.  A member sets its bits in one row of masks; nothing is
+    exploded."""
+    rows = members.select(positions.alias("_at"))
+    rows = rows.select(F.floor(F.element_at("_at", 1) / 512).cast("long").alias("block"), F.transform("_at", lambda p: p % 512).alias("_bits"))
+    one = F.expr("transform(_bits, b -> shiftleft(1L, cast(b % 64 as int)))")
+    word = F.transform("_bits", lambda b: F.floor(b / 64).cast("int"))
+    rows = rows.select("block", one.alias("_ones"), word.alias("_words"))
+    masks = []
+    for w in range(8):
+        mask = F.lit(0).cast("long")
+        for i in range(k):
+            mask = mask.bitwiseOR(F.when(F.element_at("_words", i + 1) == w, F.element_at("_ones", i + 1)).otherwise(F.lit(0).cast("long")))
+        masks.append(F.bit_or(mask).alias(f"w{w}"))
+    return rows.groupBy("block").agg(*masks)
+
+
+def blocked_bloom_probe(queries: DataFrame, keys: list[str], positions: Column, blocks: DataFrame, k: int) -> DataFrame:
+    """``bloom_probe`` against blocks: one equi-join on the block, then bit tests in its words.  A query is one row."""
+    asked = queries.select(*keys, positions.alias("_at")).withColumn("block", F.floor(F.element_at("_at", 1) / 512).cast("long"))
+    words = blocks.select("block", F.array(*[F.col(f"w{w}") for w in range(8)]).alias("_words"))
+    met = asked.join(words, "block", "left")
+    hits = F.expr("transform(_at, p -> coalesce(shiftright(element_at(_words, cast(floor((p % 512) / 64) as int) + 1), cast(p % 64 as int)) & 1, 0L))")
+    met = met.withColumn("_miss", F.array_position(hits, 0))
+    return met.select(*keys, (F.col("_miss") == 0).alias("represented"), F.when(F.col("_miss") == 0, k).otherwise(F.col("_miss")).cast("long").alias("probes"))
 
 
 def bit_density(bits: DataFrame, m: int) -> DataFrame:

@@ -163,7 +163,7 @@ def filter_summary(df: DataFrame, group: list[str], seed: str, hits: Column, mem
     rates = ffr_envelope(df, group, seed, hits, alpha)
     means = df.groupBy(*group).agg(F.avg(memory).alias("memory"), F.avg(latency).alias("latency"))
     rows = rates.join(means, group).withColumn("everything", F.lit(1))
-    front = pareto_front(rows, ["memory", "rate"], ["everything"]).select(*group, F.lit(True).alias("on_front"))
+    front = pareto_front(rows, ["memory", "rate"], ["everything"], hot_rows=0).select(*group, F.lit(True).alias("on_front"))
     return rows.join(front, group, "left").withColumn("on_front", F.coalesce("on_front", F.lit(False))).drop("everything")
 
 
@@ -172,7 +172,7 @@ def point_summary(df: DataFrame, group: list[str], value: str, alpha: float, mem
     from .joins import certified_front, pareto_front
 
     rows = log_t_summary(df, group, value, alpha).join(df.groupBy(*group).agg(F.min(memory).alias("memory"), F.avg(value).alias("mean")), group).withColumn("everything", F.lit(1))
-    plain = pareto_front(rows, ["memory", "geometric_mean"], ["everything"]).select(*group, F.lit(True).alias("on_front"))
-    sure = certified_front(rows, ["everything"], "memory", "ci_low", "ci_high").select(*group, F.lit(True).alias("not_certainly_beaten"))
+    plain = pareto_front(rows, ["memory", "geometric_mean"], ["everything"], hot_rows=0).select(*group, F.lit(True).alias("on_front"))
+    sure = certified_front(rows, ["everything"], "memory", "ci_low", "ci_high", hot_rows=0).select(*group, F.lit(True).alias("not_certainly_beaten"))
     out = rows.join(plain, group, "left").join(sure, group, "left").drop("everything")
     return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("on_front", "not_certainly_beaten")})

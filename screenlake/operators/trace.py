@@ -299,19 +299,11 @@ def option_table(
 
 
 def chronological_split(trace: DataFrame, at: str = "event_index", train: float = 0.5, validation: float = 0.7) -> DataFrame:
-    """Roles by the share of the trace before a row.  Positions come from counts per range of the
-    ordering column, so no window spans the table."""
-    n, low, high = trace.agg(F.count(F.lit(1)), F.min(at), F.max(at)).first()
-    if not n:
-        return trace.select(at, F.lit(None).cast("double").alias("fraction"), F.lit(None).cast("string").alias("role"))
-    width = max(1, -(-(high - low + 1) // max(256, 4 * int(trace.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    rows = trace.withColumn("_range", F.floor((F.col(at) - low) / width).cast("long"))
-    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # as few rows as ranges
-    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(at)) - 1
-    fraction = (F.col("_before") + rank) / n
-    placed = rows.join(F.broadcast(before), "_range").withColumn("fraction", fraction)
-    return placed.select(at, "fraction", F.when(F.col("fraction") < train, "train").when(F.col("fraction") < validation, "validation").otherwise("test").alias("role"))
+    """Roles by the share of the trace before a row.  Positions come from ranges of equally many rows, so neither a
+    window spans the table nor does it matter how the ordering column is spread."""
+    rows = numbered(trace.select(at), [at], "_i")
+    fraction = F.col("_i") / F.lit(max(1, rows.count()))
+    return rows.select(at, fraction.alias("fraction")).withColumn("role", F.when(F.col("fraction") < train, "train").when(F.col("fraction") < validation, "validation").otherwise("test"))
 
 
 def epoch_regression(acks: DataFrame, keys: list[str], at: str, epochs: list[str]) -> DataFrame:

@@ -197,21 +197,21 @@ def _(spark, d):
 @query("d3_bloom_screen", f"{AMT}, {BITS}, {PROBE} SELECT account, token, represented FROM probe")
 def _(spark, d):
     a = src.read_attempts(spark, d)
-    words = C.bloom_pack(C.bloom_build(_tokens(src.read_members(a)), _positions()))
-    return C.bloom_probe_packed(_tokens(a.select("account", "token").distinct()), ["account", "token"], _positions(), words, K)
+    bits = C.bloom_build(_tokens(src.read_members(a)), _positions())
+    return C.bloom_probe(_tokens(a.select("account", "token").distinct()), ["account", "token"], _positions(), bits, K, M).drop("probes")
 
 
 @query("d4_blocked_bloom_screen", f"{AMT}, {BBITS}, {PROBE.replace(POS, BPOS)} SELECT account, token, represented, probes FROM probe")
 def _(spark, d):
     a = src.read_attempts(spark, d)
     at = S.blocked_positions("t", K, BLOCKS)
-    return C.bloom_probe(_tokens(a.select("account", "token").distinct()), ["account", "token"], at, C.bloom_build(_tokens(src.read_members(a)), at), K)
+    return C.blocked_bloom_probe(_tokens(a.select("account", "token").distinct()), ["account", "token"], at, C.blocked_bloom_build(_tokens(src.read_members(a)), at, K), K)
 
 
 @query("d5_probe_count", f"{AMT}, {BITS}, {PROBE} SELECT probes, represented, count(*) AS n FROM probe GROUP BY ALL")
 def _(spark, d):
     a = src.read_attempts(spark, d)
-    out = C.bloom_probe(_tokens(a.select("account", "token").distinct()), ["account", "token"], _positions(), C.bloom_build(_tokens(src.read_members(a)), _positions()), K)
+    out = C.bloom_probe(_tokens(a.select("account", "token").distinct()), ["account", "token"], _positions(), C.bloom_build(_tokens(src.read_members(a)), _positions()), K, M)
     return out.groupBy("probes", "represented").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -231,8 +231,8 @@ SCREENED = f"sc AS (SELECT a.*, {h32(encoded('a.account'))} % 8 AS region, p.rep
 
 def _screened(spark, d):
     a = src.read_attempts(spark, d).withColumn("region", S.hash_region(src.REGIONS, "account"))
-    words = C.bloom_pack(C.bloom_build(_tokens(src.read_members(a)), _positions()))
-    probe = C.bloom_probe_packed(_tokens(a.select("account", "token").distinct()), ["account", "token"], _positions(), words, K)
+    bits = C.bloom_build(_tokens(src.read_members(a)), _positions())
+    probe = C.bloom_probe(_tokens(a.select("account", "token").distinct()), ["account", "token"], _positions(), bits, K, M)
     return a.join(probe, ["account", "token"]).withColumn("invalid", S.is_existing_invalid("label"))
 
 

@@ -338,6 +338,16 @@ def _(spark, d):
     return M.order_digest(e.withColumn("rest", F.col("event_id") % 97), ["shard"], "event_id", "event_id", "user_id", "event_type", "rest")
 
 
+@query("e20_digest_tree", """WITH h AS (SELECT user_id % 3 AS shard, sha256(concat_ws(chr(31), event_id, user_id, event_type)) AS h, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1 AS k FROM events),
+    l AS (SELECT shard, k // 64 AS k, count(*) AS n, sha256(string_agg(h, '' ORDER BY k)) AS h FROM h GROUP BY shard, h.k // 64),
+    m AS (SELECT shard, k // 64 AS k, sum(n) AS n, count(*) AS c, sha256(string_agg(h, '' ORDER BY k)) AS h, min(h) AS one FROM l GROUP BY shard, l.k // 64),
+    t AS (SELECT shard, sum(n)::BIGINT AS n, count(*) AS c, sum(c) AS leaves, sha256(string_agg(h, '' ORDER BY k)) AS h, min(h) AS two, min(one) AS one FROM m GROUP BY shard)
+    SELECT shard, n, CASE WHEN leaves = 1 THEN one WHEN c = 1 THEN two ELSE h END AS digest FROM t""")
+def _(spark, d):
+    """Shards of a third of all rows each; up to 64 ^ 3 rows a shard are three levels."""
+    return M.digest_tree(src.table(spark, d, "events").withColumn("shard", F.col("user_id") % 3), ["shard"], "event_id", "event_id", "user_id", "event_type", leaf=64)
+
+
 BINS = "bins AS (SELECT least(19, floor(u * 20))::BIGINT AS bin, count(*) FILTER (event_type = 'purchase') AS members, count(*) FILTER (event_type <> 'purchase') AS others FROM (SELECT event_type, value / 200.0 AS u FROM events) GROUP BY 1)"
 
 

@@ -125,10 +125,36 @@ def test_bloom_screen_loses_no_member(spark):
     members = spark.range(500).select(F.col("id").cast("string").alias("t"))
     for at in (S.probe_positions("t", 4, 4096), S.blocked_positions("t", 4, 8)):
         bits = screens.bloom_build(members, at)
-        asked = screens.bloom_probe(members, ["t"], at, bits, 4)
-        assert asked.where("not represented").isEmpty()
-    packed = screens.bloom_probe_packed(members, ["t"], S.probe_positions("t", 4, 4096), screens.bloom_pack(screens.bloom_build(members, S.probe_positions("t", 4, 4096))), 4)
-    assert packed.where("not represented").isEmpty()
+        asked = screens.bloom_probe(members, ["t"], at, bits, 4, 4096)
+        assert asked.where("not represented").isEmpty() and asked.count() == 500
+
+
+def test_bloom_probes_agree(spark, monkeypatch):
+    """The carried filter, the filter asked in turn, the packed blocks and plain Python say the same, probes included."""
+    from screenlake.functions import scalars as S
+
+    members = spark.range(300).select(F.col("id").cast("string").alias("t"))
+    queries = spark.range(200, 900).select(F.col("id").cast("string").alias("t"), (F.col("id") % 2).alias("account"))
+    for at, blocked in ((S.probe_positions("t", 5, 4096), False), (S.blocked_positions("t", 5, 8), True)):
+        held = {p for r in members.select(at.alias("p")).collect() for p in r["p"]}
+        want = {}
+        for r in queries.select("t", "account", at.alias("p")).collect():
+            miss = next((i for i, p in enumerate(r["p"]) if p not in held), None)
+            want[r["t"], r["account"]] = (miss is None, 5 if miss is None else miss + 1)
+        told = lambda df: {(r["t"], r["account"]): (r["represented"], r["probes"]) for r in df.collect()}
+        bits = screens.bloom_build(members, at)
+        assert told(screens.bloom_probe(queries, ["t", "account"], at, bits, 5, 4096)) == want
+        if blocked:
+            probe = screens.blocked_bloom_probe(queries, ["t", "account"], at, screens.blocked_bloom_build(members, at, 5), 5)
+            assert told(probe) == want
+            assert "Generate" not in probe._jdf.queryExecution().toString()  # nothing is exploded
+        else:
+            monkeypatch.setattr(screens, "CARRIED_BITS", 0)
+            assert told(screens.bloom_probe(queries, ["t", "account"], at, bits, 5, 4096)) == want
+            monkeypatch.undo()
+    none = members.where("false")
+    at = S.blocked_positions("t", 5, 8)
+    assert screens.blocked_bloom_probe(queries, ["t"], at, screens.blocked_bloom_build(none, at, 5), 5).where("represented or probes <> 1").isEmpty()
 
 
 def test_pareto_front_brute_force(spark):
@@ -140,7 +166,10 @@ def test_pareto_front_brute_force(spark):
     for mins in (["x", "y"], ["x", "y", "z"]):
         k = [" ixyz".index(c) - 1 for c in mins]
         front = {p[0] for p in pts if not any(all(q[j] <= p[j] for j in k) and any(q[j] < p[j] for j in k) for q in pts)}
-        assert {t[0] for t in rows(joins.pareto_front(df, mins, ["g"]), "i")} == front
+        for how in ({}, {"hot_rows": 0, "block": 9}):
+            found = joins.pareto_front(df, mins, ["g"], **how)
+            assert {t[0] for t in rows(found, "i")} == front
+            assert how or "NestedLoop" not in found._jdf.queryExecution().toString()
 
 
 def test_tampered_replay_counters_are_found(spark):

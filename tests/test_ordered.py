@@ -106,3 +106,63 @@ def test_plans_have_no_row_loops(spark):
     df = spark.createDataFrame(rows_of(6, 50), SCHEMA)
     plan = trace.suppress_ttl(df, 5, "inclusive", ["shard", "k"])._jdf.queryExecution().toString()
     assert "Python" not in plan and "collect_list" not in plan
+
+
+def test_fronts_of_groups_and_nulls(spark):
+    from screenlake.operators import joins
+
+    r = random.Random(8)
+    pts = [(i, r.choice(["a", "a", "a", "b", None]), *(r.choice([None, *range(12)]) if r.random() < 0.1 else r.randrange(12) for _ in range(3))) for i in range(400)]
+    df = spark.createDataFrame(pts, "i int, g string, x int, y int, z int").repartition(3)
+    for k in (2, 3):
+        whole = [p for p in pts if None not in p[2 : 2 + k]]
+        beats = lambda q, p: q[1] == p[1] and all(a <= b for a, b in zip(q[2 : 2 + k], p[2 : 2 + k])) and q[2 : 2 + k] != p[2 : 2 + k]  # noqa: B023, E731
+        front = {p[0] for p in whole if not any(beats(q, p) for q in whole)}
+        for hot_rows, block in ((0, 20), (10_000, 1 << 17)):
+            assert {row["i"] for row in joins.pareto_front(df, ["x", "y", "z"][:k], ["g"], hot_rows, block).collect()} == front
+
+
+def test_percentiles_by_selection(spark):
+    from screenlake.operators import metrics
+
+    rows = rows_of(9, 400)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["shard"]: r for r in metrics.distribution(df, ["shard"], "v").collect()}
+    for shard in (0, 1, None):
+        v = [r[4] for r in rows if r[1] == shard and r[4] is not None]
+        want = (len(v), min(v), *(float(x) for x in np.percentile(v, [50, 95, 99])), max(v))
+        assert tuple(got[shard][c] for c in ("n", "least", "p50", "p95", "p99", "greatest")) == pytest.approx(want)
+    alone = metrics.percentiles(df, [], "v", {"p": 0.3}).first()["p"]
+    assert alone == pytest.approx(np.percentile([r[4] for r in rows if r[4] is not None], 30))
+    assert metrics.distribution(df.withColumn("v", df.v * None), ["shard"], "v").where("p50 is not null").isEmpty()
+
+
+def test_digest_tree_tells_order_and_content(spark):
+    import hashlib
+
+    from screenlake.operators import metrics
+
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+
+    def tree(values, leaf):
+        level = [sha(str(v)) for v in values]
+        while True:
+            level = [sha("".join(level[i : i + leaf])) for i in range(0, len(level), leaf)]
+            if len(level) == 1:
+                return level[0]
+
+    rows = [(s, i, (i * 7) % 31) for s, n in (("a", 1), ("b", 4), ("c", 5), ("d", 70)) for i in range(n)]
+    told = lambda rows: {r["s"]: (r["n"], r["digest"]) for r in metrics.digest_tree(spark.createDataFrame(rows, "s string, i long, v long").repartition(3), ["s"], "i", "v", leaf=4).collect()}
+    first = told(rows)
+    assert first == {s: (len(v), tree(v, 4)) for s in "abcd" for v in [[r[2] for r in rows if r[0] == s]]}
+    moved = [(s, {20: 21, 21: 20}.get(i, i) if s == "d" else i, v) for s, i, v in rows]
+    assert {s for s in "abcd" if told(moved)[s] != first[s]} == {"d"}
+
+
+def test_split_of_a_skewed_trace(spark):
+    """Nine tenths of the rows within one hour of a year."""
+    r = random.Random(10)
+    at = sorted(r.sample(range(3600), 900)) + [10**7 * (k + 1) for k in range(100)]
+    df = spark.createDataFrame([(t,) for t in at], "event_index long").repartition(5)
+    got = {x["event_index"]: (x["fraction"], x["role"]) for x in trace.chronological_split(df).collect()}
+    assert got == {t: (i / 1000, "train" if i < 500 else "validation" if i < 700 else "test") for i, t in enumerate(at)}
