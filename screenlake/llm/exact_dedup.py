@@ -3,14 +3,14 @@
 Method: the documents' digests arrive as a stream; a stateful aggregation on disk-backed
 (RocksDB) state, without watermark and so without expiry, keeps for every digest the
 smallest document id, the locator of that row's content (file and row in it) and the number of
-rows.  A digest seen more than once is a hit, and each batch of the stream compares the full
-normalised bytes of its hits with those at the kept row's locator.  Only DataFrame operations
-are used.
+rows.  A digest seen more than once is a hit; when the stream has read what there is, the full
+normalised bytes of all hits are compared with those at the kept rows' locators, in one scan.  With a
+folder of the caller, state and progress outlive a call.  Only DataFrame operations are used.
 
 Why it scales: what is shuffled for grouping is one short row per digest and task
 (map-side partial aggregation), so a text that a third of all rows share costs no more than
-any other.  Texts move only for the byte check, in an equi-join whose hot keys adaptive
-execution splits.  A bounded filter keeps texts without a copy out of it; from some eight million repeated
+any other.  Texts move only for the byte check, once for each task that holds one with copies.
+A bounded filter keeps texts without a copy out of it; from some eight million repeated
 digests on it lets more and more of them through, and the join then moves every text once.
 
 Defined results: null text counts as empty; null ``doc_id`` sorts last; rows repeated with
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_RUN, key_filter, may_hold, saved, scratch, text_or_empty
 
 _LAST = (1 << 63) - 1
+_ARRIVAL = "doc_id long, locator struct<file:string,row:long>, digest string, text_sha256 string"
 _STATE = "digest string, first_id long, first_locator struct<file:string,row:long>, n_rows long"
 
 
@@ -84,84 +85,98 @@ def located(docs: DataFrame) -> DataFrame:
         return saved(docs, "dedup-rows").select("*", place.alias("_locator"))
 
 
-def _empty_groups(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], _STATE)
-
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows under ``path``, none if nothing has been written there."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
 
-def stream_groups(arrivals: DataFrame, check, files_per_batch: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Run the stateful stream over the files of ``arrivals`` until all are read.
 
-    Returns the last state of every digest, and what ``check`` found: each batch hands it the state of the
-    digests that the batch met again, and it returns (digest, text_sha256) of the rows that are no copies.
+def stream_groups(arrivals: str, home: str, spark: SparkSession, files_per_batch: int | None = None) -> DataFrame:
+    """Run the stateful stream over the files under ``arrivals`` that ``home``'s progress has not met, and return the
+    last state of every digest with the last ``batch`` that touched it.
 
-    State and progress live in the shared checkpoint folder, so a query that is stopped goes on
-    from its last batch.  Each batch is written to a folder of its own; a batch that is repeated
-    after a failure overwrites its folder.
+    State and progress live under ``home``: a stream that was stopped goes on behind its last batch, and later files
+    meet the state of all earlier ones.  Each batch is written to a folder of its own; one that is repeated after a
+    failure overwrites its folder.
     """
-    spark = arrivals.sparkSession
-    files = arrivals.inputFiles()
-    if not files:
-        return _empty_groups(spark), None
-    out, wrong, progress = (scratch(spark, f"dedup-{name}") for name in ("state", "collisions", "progress"))
-    reader = spark.readStream.schema(arrivals.schema)
+    out = f"{home}/state"
+    reader = spark.readStream.schema(_ARRIVAL)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        hits = spark.read.schema(_STATE).parquet(f"{out}/batch={batch_id}").where("n_rows > 1")
-        check(hits).write.mode("overwrite").parquet(f"{wrong}/batch={batch_id}")
 
     with _rocksdb(spark):
         query = (
-            keyed_state(reader.parquet(files[0].rsplit("/", 1)[0]))
+            keyed_state(reader.option("recursiveFileLookup", True).parquet(arrivals))
             .writeStream.outputMode("update")
-            .option("checkpointLocation", progress)
+            .option("checkpointLocation", f"{home}/progress")
             .trigger(availableNow=True)
             .foreachBatch(write)
             .start()
         )
         query.awaitTermination()
-        batches = query.lastProgress["batchId"] + 1 if query.lastProgress else 0
-    if not batches:
-        return _empty_groups(spark), None
-    found = spark.read.schema(f"{_STATE}, batch int").parquet(out)
-    bad = spark.read.schema("digest string, text_sha256 string, batch int").parquet(wrong).drop("batch")
-    if batches == 1:
-        return found.drop("batch"), bad
+    found = _read(spark, out, f"{_STATE}, batch int")
+    last = query.lastProgress["batchId"] if query.lastProgress else 0
+    if not last:
+        return found
     # A digest is reported by every batch that touched it; its count only rises.
-    last = [F.max_by(c, "n_rows").alias(c) for c in ("first_id", "first_locator")]
-    return found.groupBy("digest").agg(*last, F.max("n_rows").alias("n_rows")), bad.distinct()
+    return found.groupBy("digest").agg(*[F.max_by(c, "n_rows").alias(c) for c in ("first_id", "first_locator")], F.max("n_rows").alias("n_rows"), F.max("batch").alias("batch"))
 
 
 def differing(rows: DataFrame, hits: DataFrame, digest) -> DataFrame:
     """The byte check of hits: (digest, text_sha256) of the rows of ``rows`` (doc_id, text, _locator) whose digest
     is among ``hits`` though their bytes differ from those at the kept row's locator.
 
-    Rows are grouped by digest and whole text; the group that holds the kept row's locator is right.  Partial
-    aggregation leaves one row per text and task, so a text with any number of copies is no hot key.
+    Rows are grouped by digest and whole text, partially in each task, so a text with any number of copies is no hot
+    key; the bytes at the locators are one row per digest.
     """
     texts = rows.withColumn("digest", digest(F.col("text")))
     # Most texts have no copy: a filter keeps them out of the shuffle.
-    texts = may_hold(texts, "digest", key_filter(hits, "digest", "dedup-filter")).where("maybe")
-    least = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col("_locator").alias("at"))).alias("least")
-    groups = texts.groupBy("digest", "text").agg(least).select("digest", F.sha2("text", 256).alias("text_sha256"), "least")
-    return groups.join(hits, "digest").where(F.col("least.at") != F.col("first_locator")).select("digest", "text_sha256")
+    groups = may_hold(texts, "digest", key_filter(hits, "digest", "dedup-filter")).where("maybe").groupBy("digest", "text").agg(F.count(F.lit(1)))
+    at = hits.select(F.col("digest").alias("_digest"), F.concat_ws(":", "first_locator.file", "first_locator.row").alias("_at"))
+    named = rows.select("text", F.concat_ws(":", "_locator.file", "_locator.row").alias("_at"))
+    kept = may_hold(named, "_at", key_filter(at, "_at", "dedup-places")).where("maybe").join(at, "_at").select("_digest", F.col("text").alias("_kept"))
+    met = groups.join(kept, groups["digest"] == kept["_digest"]).where(F.col("text") != F.col("_kept"))
+    return met.select("digest", F.sha2("text", 256).alias("text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, files_per_batch: int | None = None, digest=None) -> DataFrame:
+def exact_dedup(docs: DataFrame, files_per_batch: int | None = None, digest=None, home: str | None = None, delivery: str = "all", batches: int = 1) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     ``digest`` maps the normalised text to the key of the state; SHA-256 unless a test
     passes a weaker one to force collisions, which the byte check then resolves by text.
+
+    With ``home`` (a shared folder of the caller) state, progress, digests and contents stay there.  A call under the
+    same ``delivery`` goes on where the last one stopped, another delivery is held against all before it, and the
+    result has the rows of all deliveries.  ``batches`` spreads the arrivals over so many batches, unless
+    ``files_per_batch`` says how many files make one.
     """
-    digest = digest or (lambda t: F.sha2(t, 256))
-    rows = located(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    spark, digest = docs.sparkSession, digest or (lambda t: F.sha2(t, 256))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("text", normalised(text_or_empty()))
-    arrivals = saved(rows.select("doc_id", F.col("_locator").alias("locator"), digest(F.col("text")).alias("digest"), F.sha2("text", 256).alias("text_sha256")), "dedup-arrivals")
-    groups, bad = stream_groups(arrivals, lambda hits: differing(rows, hits, digest), files_per_batch)
-    if bad is None or bad.isEmpty():
-        return _labelled(arrivals, groups)
+    if home:
+        if _read(spark, f"{home}/contents/delivery={delivery}", "doc_id long").isEmpty():
+            rows.write.mode("overwrite").parquet(f"{home}/contents/delivery={delivery}")
+        new = located(spark.read.schema(rows.schema).parquet(f"{home}/contents/delivery={delivery}"))
+        rows = located(_read(spark, f"{home}/contents", "doc_id long, text string"))
+    else:
+        home, rows = scratch(spark, "dedup"), located(docs).select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"), "_locator")
+        new = rows
+    folder = f"{home}/arrivals/delivery={delivery}"
+    if _read(spark, folder, "digest string").isEmpty():
+        new.select("doc_id", F.col("_locator").alias("locator"), digest(F.col("text")).alias("digest"), F.sha2("text", 256).alias("text_sha256")).write.mode("overwrite").parquet(folder)
+    arrivals = spark.read.option("recursiveFileLookup", True).schema(_ARRIVAL).parquet(f"{home}/arrivals")
+    if batches > 1 and not files_per_batch:
+        files_per_batch = -(-len(arrivals.inputFiles()) // batches)
+    groups = stream_groups(f"{home}/arrivals", home, spark, files_per_batch)
+    several = groups.where("n_rows > 1")
+    bad = saved(differing(rows, several, digest), "dedup-collisions").distinct()
+    if bad.isEmpty():
+        return _labelled(arrivals, groups.drop("batch"))
     # Different bytes under one digest: those rows get the digest of their own bytes as key.
     split = arrivals.join(bad.withColumn("other", F.lit(True)), ["digest", "text_sha256"], "left").select(
         "doc_id", "locator", F.when(F.col("other"), F.concat_ws(":", "digest", "text_sha256")).otherwise(F.col("digest")).alias("digest"), "text_sha256"

@@ -46,6 +46,83 @@ def test_exact_dedup_over_several_batches(spark):
     assert {r["keep_id"] for r in many} == set(range(7))
 
 
+@pytest.fixture
+def flagged(monkeypatch):
+    """How many texts each byte check found to differ."""
+    found, check = [], exact_dedup.differing
+
+    def counting(*a):
+        out = check(*a)
+        found.append(out.distinct().count())
+        return out
+
+    monkeypatch.setattr(exact_dedup, "differing", counting)
+    return found
+
+
+def plain(rows):
+    """(doc_id, keep_id, group_size, kept) of rows without nulls or repeats."""
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    return sorted((i, min(groups[t]), len(groups[t]), i == min(groups[t])) for i, t in rows)
+
+
+def decided(df):
+    return sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in df.collect())
+
+
+def test_smaller_ids_in_later_batches_are_no_collisions(spark, flagged):
+    rows = [(99 - i, f"t{i % 7}") for i in range(70)]
+    df = docs(spark, rows).repartitionByRange(5, F.col("doc_id").desc())
+    assert decided(exact_dedup.exact_dedup(df, files_per_batch=1)) == plain(rows)
+    assert decided(exact_dedup.exact_dedup(df, batches=3)) == plain(rows)
+    assert flagged == [0, 0]
+
+
+def test_deliveries_meet_the_state_of_earlier_ones(spark, flagged, tmp_path):
+    home = f"file://{tmp_path}/home"
+    first, second = [(i, f"t{i % 5}") for i in range(10, 40)], [(i, f"t{i % 7}") for i in range(10)]
+    assert decided(exact_dedup.exact_dedup(docs(spark, first), home=home, delivery="a", files_per_batch=1)) == plain(first)
+    both = exact_dedup.exact_dedup(docs(spark, second).repartition(3), home=home, delivery="b", files_per_batch=1)
+    assert decided(both) == plain(first + second)
+    # The same delivery again changes nothing: its rows are there, its stream has no new file.
+    assert decided(exact_dedup.exact_dedup(docs(spark, second), home=home, delivery="b")) == plain(first + second)
+    assert flagged == [0, 0, 0]
+
+
+def test_a_stopped_stream_goes_on(spark, flagged, tmp_path, monkeypatch):
+    home, rows = f"file://{tmp_path}/home", [(i, f"t{i % 6}") for i in range(60)]
+    df = docs(spark, rows).repartition(4)
+    made, stateful = [], exact_dedup.keyed_state
+
+    def stops(arrivals):
+        out = stateful(arrivals)
+        broken = F.when(F.col("n_rows") > 4, F.raise_error("stopped")).otherwise(F.col("n_rows"))
+        return out.withColumn("n_rows", broken.cast("long")) if arrivals.isStreaming and not made else out
+
+    monkeypatch.setattr(exact_dedup, "keyed_state", stops)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a task and so an arrival file for each file
+    try:
+        with pytest.raises(Exception, match="stopped"):
+            exact_dedup.exact_dedup(df, home=home, files_per_batch=1)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    made.append(True)
+    done = len(list((tmp_path / "home" / "state").glob("batch=*")))
+    assert 0 < done < 4
+    times = {p: p.stat().st_mtime_ns for p in (tmp_path / "home" / "state" / "batch=0").glob("part*")}
+    assert decided(exact_dedup.exact_dedup(df, home=home, files_per_batch=1)) == plain(rows)
+    assert times and {p: p.stat().st_mtime_ns for p in (tmp_path / "home" / "state" / "batch=0").glob("part*")} == times  # not done again
+    assert flagged == [0]
+
+
+def test_hits_that_differ_are_seen_in_any_batch(spark, flagged):
+    rows = [(20 - i, f"t{i % 3}") for i in range(12)]
+    weak = exact_dedup.exact_dedup(docs(spark, rows).repartition(4), digest=lambda t: F.lit("same").cast("string"), files_per_batch=1)
+    assert decided(weak) == plain(rows) and flagged == [2]
+
+
 def test_colliding_digests_are_told_apart_by_bytes(spark):
     rows = [(1, "aa"), (2, "bb"), (3, "aa"), (4, "bb"), (5, "c")]
     weak = exact_dedup.exact_dedup(docs(spark, rows), digest=lambda t: F.lit("same").cast("string"))
