@@ -92,7 +92,7 @@ def test_deliveries_meet_the_state_of_earlier_ones(spark, flagged, tmp_path):
 
 
 def test_a_stopped_stream_goes_on(spark, flagged, tmp_path, monkeypatch):
-    home, rows = f"file://{tmp_path}/home", [(i, f"t{i % 6}") for i in range(60)]
+    home, rows = f"file://{tmp_path}/home", [(i, f"t{i % 7}") for i in range(60)]
     df = docs(spark, rows).repartition(4)
     made, stateful = [], exact_dedup.keyed_state
 
