@@ -39,7 +39,7 @@ def test_exact_dedup(spark):
 
 
 def test_exact_dedup_over_several_batches(spark):
-    rows = [(i, f"t{i % 7}") for i in range(60)]
+    rows = [(i, f"t{i % 6}") for i in range(60)]
     one = exact_dedup.exact_dedup(docs(spark, rows).repartition(5)).collect()
     many = exact_dedup.exact_dedup(docs(spark, rows).repartition(5), files_per_batch=1).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, many))
@@ -92,13 +92,13 @@ def test_deliveries_meet_the_state_of_earlier_ones(spark, flagged, tmp_path):
 
 
 def test_a_stopped_stream_goes_on(spark, flagged, tmp_path, monkeypatch):
-    home, rows = f"file://{tmp_path}/home", [(i, f"t{i % 7}") for i in range(60)]
+    home, rows = f"file://{tmp_path}/home", [(i, f"t{i % 6}") for i in range(60)]
     df = docs(spark, rows).repartition(4)
     made, stateful = [], exact_dedup.keyed_state
 
     def stops(arrivals):
         out = stateful(arrivals)
-        broken = F.when(F.col("n_rows") > 4, F.raise_error("stopped")).otherwise(F.col("n_rows"))
+        broken = F.when(F.col("n_rows") > 7, F.raise_error("stopped")).otherwise(F.col("n_rows"))
         return out.withColumn("n_rows", broken.cast("long")) if arrivals.isStreaming and not made else out
 
     monkeypatch.setattr(exact_dedup, "keyed_state", stops)
@@ -109,7 +109,7 @@ def test_a_stopped_stream_goes_on(spark, flagged, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
     made.append(True)
-    done = len(list((tmp_path / "home" / "state").glob("batch=*")))
+    done = sum(1 for _ in (tmp_path / "home" / "state").glob("batch=*/_SUCCESS"))
     assert 0 < done < 4
     times = {p: p.stat().st_mtime_ns for p in (tmp_path / "home" / "state" / "batch=0").glob("part*")}
     assert decided(exact_dedup.exact_dedup(df, home=home, files_per_batch=1)) == plain(rows)
