@@ -97,35 +97,38 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _DIGITS.sub('', value)}"
 
 
-def contexts(text: str, found: list[Span]) -> tuple[list[tuple[str, str, list[str]]], list[tuple[str, int, int]]]:
-    """((entity, context digest, its terms) for each base span, (term, start, stop) outside the spans)."""
-    if not found:
-        return [], []
+def words_of(text: str, found: list[Span]) -> tuple[list[tuple[str, int, int]], list[bool]]:
+    """(term, start, stop) of all words, and whether each touches a span."""
     words = [(m[0].lower(), *m.span()) for m in _TERM.finditer(text)]
-    starts, stops = [s for _, s, _ in words], [e for _, _, e in words]
-    inside = [False] * len(words)
+    inside, stops = [False] * len(words), [e for _, _, e in words]
     for _, s, e in found:
         k = bisect_right(stops, s)
-        while k < len(words) and starts[k] < e:
+        while k < len(words) and words[k][1] < e:
             inside[k] = True
             k += 1
+    return words, inside
+
+
+def contexts(text: str, found: list[Span]) -> tuple[list[tuple[str, str, list[str]]], list[str]]:
+    """((entity, context digest, its terms) for each base span, the different terms outside the spans)."""
+    if not found:
+        return [], []
+    words, inside = words_of(text, found)
+    starts, stops = [s for _, s, _ in words], [e for _, _, e in words]
     out = []
     for kind, start, end in found:
         low, high = bisect_right(stops, start), bisect_left(starts, end)
         near = [words[k][0] for k in (*range(max(0, low - WINDOW), low), *range(high, min(len(words), high + WINDOW))) if not inside[k]]
         out.append((entity(kind, text[start:end]), hashlib.md5(" ".join(near).encode()).hexdigest()[:16], near))
-    return out, [w for w, skip in zip(words, inside) if not skip]
+    return out, sorted({w for (w, _, _), skip in zip(words, inside) if not skip})
 
 
-_PLACE = pa.struct([("term", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
 _CONTEXT = pa.struct([("entity", pa.string()), ("context", pa.string()), ("terms", pa.list_(pa.string()))])
-_SPAN = pa.struct([("start", pa.int64()), ("kind_order", pa.int32()), ("stop", pa.int64())])
-_SCHEMA = (
-    "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:long,kind_order:int,stop:long>>, "
-    "contexts array<struct<entity:string,context:string,terms:array<string>>>, words array<struct<term:string,start:long,stop:long>>, digest binary, text string, counted string, n_rows long"
-)
-_ARROW = [pa.int64()] * 5 + [pa.string(), pa.list_(_SPAN), pa.list_(_CONTEXT), pa.list_(_PLACE), pa.binary(), pa.string(), pa.string(), pa.int64()]
-_NAMES = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "contexts", "words", "digest", "text", "counted", "n_rows"]
+_TOLD = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long"
+_SCHEMA = f"{_TOLD}, contexts array<struct<entity:string,context:string,terms:array<string>>>, words array<string>, digest binary, counted string, n_rows long"
+_NAMES = [f.split()[0] for f in _TOLD.split(", ")] + ["contexts", "words", "digest", "counted", "n_rows"]
+_TOLD_ARROW = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.int64()]
+_ARROW = [*_TOLD_ARROW, pa.list_(_CONTEXT), pa.list_(pa.string()), pa.binary(), pa.string(), pa.int64()]
 
 
 def terms_of(text: str) -> set[str]:
@@ -142,9 +145,18 @@ def _digest():
     return F.unhex(F.md5(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), SPACE_RUN, " "))))
 
 
-def _scan(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame]:
-    """One pass over the texts: (rows, counts).  Rows have base spans, contexts of entities and, where there are any, the
-    places of all terms, with a key per row; counts (counted, n_rows) are the rows that hold a term."""
+def _base_columns(found: list[Span]) -> list:
+    said = joined(found)
+    return [*(sum(k == kind for k, _, _ in found) for kind in BASE_KINDS), hashlib.sha256(said.encode()).hexdigest(), said, 0]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _digest().alias("digest"))
+
+
+def _scan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One pass over the texts: (rows, counts).  Rows have what the base finds and, where it finds anything, contexts of
+    entities and different terms; counts (counted, n_rows) are the rows that hold a term."""
 
     def run(batches):
         counter = Counter()
@@ -154,31 +166,25 @@ def _scan(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame]:
             return pa.RecordBatch.from_arrays([*(pa.nulls(len(counter), t) for t in _ARROW[:-2]), *told], _NAMES)
 
         for b in batches:
-            columns: list[list] = [[] for _ in range(8)]
+            columns: list[list] = [[] for _ in range(9)]
             for text in b.column(1):
                 text = text.as_py() or ""
                 counter.update(terms_of(text))
                 found = base_spans(text)
-                values = [sum(k == kind for k, _, _ in found) for kind in BASE_KINDS]
-                values += [hashlib.sha256(joined(found).encode()).hexdigest(), [(s, KINDS.index(k), e) for k, s, e in found], *contexts(text, found)]
-                for column, value in zip(columns, values):
+                for column, value in zip(columns, (*_base_columns(found), *contexts(text, found))):
                     column.append(value)
                 if len(counter) >= _COUNTED:
                     yield counts()
                     counter.clear()
-            spans = pa.array([[dict(zip(("start", "kind_order", "stop"), x)) for x in v] for v in columns[5]], pa.list_(_SPAN))
-            near = pa.array([[{"entity": e, "context": c, "terms": ts} for e, c, ts in v] for v in columns[6]], pa.list_(_CONTEXT))
-            words = pa.array([[dict(zip(("term", "start", "stop"), t)) for t in v] for v in columns[7]], pa.list_(_PLACE))
-            out = [b.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string()), spans, near, words, b.column(2)]
+            near = pa.array([[{"entity": e, "context": c, "terms": ts} for e, c, ts in v] for v in columns[7]], _ARROW[8])
+            told = [pa.array(c, t) for c, t in zip(columns[:7], _ARROW[1:8])]
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([*out, b.column(1) if with_text else pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], _NAMES)
+            yield pa.RecordBatch.from_arrays([b.column(0), *told, near, pa.array(columns[8], _ARROW[9]), b.column(2), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], _NAMES)
         if counter:
             yield counts()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _digest().alias("digest"))
-    both = saved(in_batches(rows).mapInArrow(run, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
-    scan = both.where("counted is null").drop("counted", "n_rows")
-    return scan if with_text else scan.drop("text"), both.where("counted is not null").select("counted", "n_rows")
+    both = saved(in_batches(_rows(docs)).mapInArrow(run, _SCHEMA), "pii-scan")
+    return both.where("counted is null").drop("counted", "n_rows"), both.where("counted is not null").select("counted", "n_rows")
 
 
 def _term_counts(docs: DataFrame, counts: DataFrame, digests: DataFrame) -> DataFrame:
@@ -219,7 +225,8 @@ def disclosure(docs: DataFrame, scan: DataFrame, counts: DataFrame) -> DataFrame
     n = F.lit(float(digests.count()))
     counts = _term_counts(docs, counts, digests)
     share = 1 - F.log2(F.greatest(F.col("n_t") / F.col("n_ct"), F.lit(1.0))) / F.nullif(F.log2(n / F.col("n_c")), F.lit(0.0))
-    held = scan.where(F.size("contexts") > 0)
+    # One row for each different text with entities: its terms travel as one list.
+    held = scan.where(F.size("contexts") > 0).select("digest", "contexts", "words")
     entities = held.select("digest", F.explode(F.array_distinct("contexts.entity")).alias("entity")).distinct()
     sizes = saved(_classes(entities, "entity").select("entity", F.col("n_held").alias("n_c"), F.col("texts").alias("holders")), "pii-entities")
     # The most texts a term may stand in: disclosure is 1 - log(n_t / n_ct) / log(n / n_c), and n_ct <= n_c.
@@ -227,8 +234,11 @@ def disclosure(docs: DataFrame, scan: DataFrame, counts: DataFrame) -> DataFrame
     several = entities.join(sizes.where(F.col("n_c") >= SUPPORT), "entity").select("digest", "holders", "n_c", reach.alias("reach")).distinct()
     several = saved(several, "pii-held")
     furthest = several.groupBy("digest").agg(F.max("reach").alias("furthest"))
-    terms = held.select("digest", F.explode(F.array_distinct("words.term")).alias("term")).join(furthest, "digest").distinct()
-    terms = saved(terms.join(counts.where(F.col("n_t") >= SUPPORT), "term").where("n_t <= furthest").select("digest", "term", "n_t"), "pii-held-terms")
+    shared = counts.where(F.col("n_t") >= SUPPORT)
+    # Texts that are equal but for white space may differ in what the base finds in them: their terms add up.
+    lists = held.join(furthest, "digest").groupBy("digest", "furthest").agg(F.array_distinct(F.flatten(F.collect_set("words"))).alias("words"))
+    terms = may_hold(lists.select("digest", "furthest", F.explode("words").alias("term")), "term", key_filter(shared.select("term"), "term", "pii-shared")).where("maybe")
+    terms = saved(terms.join(shared, "term").where("n_t <= furthest").select("digest", "term", "n_t"), "pii-held-terms")
     kinds = _classes(terms, "term").where(F.col("n_held") >= SUPPORT)
     terms = saved(terms.join(kinds, "term").select("digest", "term", F.concat_ws(".", "n_t", "texts").alias("word"), "n_t"), "pii-term-classes")
     words = terms.select("digest", "word", "n_t").distinct()
@@ -251,27 +261,45 @@ def disclosure(docs: DataFrame, scan: DataFrame, counts: DataFrame) -> DataFrame
     return saved(telling.drop("n_c").join(wider, "term", "left"), "pii-terms")
 
 
-def _found(docs: DataFrame, with_text: bool) -> DataFrame:
-    scan, counts = _scan(docs, with_text)
-    telling = disclosure(docs, scan, counts)
-    places = scan.where(F.size("words") > 0).select("row", "digest", F.explode("words").alias("w")).select("row", "digest", "w.term", "w.start", "w.stop")
-    order = KINDS.index("term")
-    # Few terms tell anything: the places of the others stay where they are.
-    places = may_hold(places, "term", key_filter(telling.select("term").distinct(), "term", "pii-filter")).where("maybe").drop("maybe")
-    terms = places.join(telling, ["digest", "term"]).groupBy("row").agg(
-        F.collect_list(F.struct("start", F.lit(order).cast("int").alias("kind_order"), "stop")).alias("terms"),
-        F.collect_list(F.when(F.col("disclosure") >= REMOVE, F.struct("start", F.lit("").alias("shown"))).when(F.col("general").isNotNull(), F.struct("start", F.col("general").alias("shown")))).alias("instead"),
-    )
-    kinds = F.array(*map(F.lit, KINDS))
-    said = lambda s: F.concat_ws(":", F.element_at(kinds, s["kind_order"] + 1), s["start"].cast("string"), s["stop"].cast("string"))
-    every = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast("array<struct<start:long,kind_order:int,stop:long>>"))))
-    return scan.join(saved(terms, "pii-spans"), "row", "left").withColumn("every", every).withColumn("spans", F.array_join(F.transform("every", said), ","))
+def _telling(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the scan, telling): ``telling`` has for each text that holds a telling term (digest) the list of them
+    with what stands for each: nothing, a more general term, or null for the placeholder."""
+    scan, counts = _scan(docs)
+    shown = F.when(F.col("disclosure") >= REMOVE, F.lit("")).otherwise(F.col("general"))
+    found = disclosure(docs, scan, counts).groupBy("digest").agg(F.collect_list(F.struct("term", shown.alias("shown"))).alias("telling"))
+    return scan, saved(found, "pii-lists")
+
+
+def _all_spans(text: str, telling: dict) -> tuple[list[Span], list[Span]]:
+    """(base spans, all spans by start and kind) of a text with its telling terms."""
+    found = base_spans(text)
+    if not found or not telling:
+        return found, found
+    words, inside = words_of(text, found)
+    terms = [("term", s, e) for (w, s, e), skip in zip(words, inside) if not skip and w in telling]
+    return found, sorted(found + terms, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms."""
-    n_terms = F.coalesce(F.size("terms"), F.lit(0))
-    return _found(docs, False).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", F.greatest(n_terms, F.lit(0)).cast("long").alias("n_terms"))
+    scan, telling = _telling(docs)
+    told = [f.split()[0] for f in _TOLD.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            columns: list[list] = [b.column(0).to_pylist(), *([] for _ in told[1:])]
+            for text, terms in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                found, every = _all_spans(text or "", {t["term"] for t in terms})
+                for column, value in zip(columns[1:], (*_base_columns(found)[:-2], joined(every), len(every) - len(found))):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TOLD_ARROW)], told)
+
+    # Few texts hold a telling term: they alone are read again, the rows of all others stand as the scan wrote them.
+    known = key_filter(telling, "digest", "pii-filter")
+    scan = may_hold(scan.select(*told, "digest"), "digest", known)
+    plain = scan.where("not maybe").select(*told).unionByName(scan.where("maybe").join(telling.select("digest"), "digest", "left_anti").select(*told))
+    again = may_hold(_rows(docs), "digest", known).where("maybe").join(telling, "digest").select("doc_id", "text", "telling")
+    return plain.unionByName(in_batches(again).mapInArrow(run, _TOLD))
 
 
 def sanitised(text: str, found: list[Span], instead: dict[int, str]) -> str:
@@ -291,14 +319,21 @@ def sanitised(text: str, found: list[Span], instead: dict[int, str]) -> str:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """(doc_id, text): the sanitised texts."""
+    _, telling = _telling(docs)
 
     def run(batches):
         for b in batches:
             texts = []
-            for text, spans, instead in zip(*(b.column(k) for k in (1, 2, 3))):
-                text, spans, instead = text.as_py(), spans.as_py(), {x["start"]: x["shown"] for x in instead.as_py() or ()}
-                found = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in spans.split(","))] if spans else []
-                texts.append(None if text is None else sanitised(text, found, instead))
+            for text, terms in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                shown = {t["term"]: t["shown"] for t in terms or ()}
+                if text is not None:
+                    _, every = _all_spans(text, shown)
+                    instead = {s: shown[w] for k, s, e in every if k == "term" and shown[w := text[s:e].lower()] is not None}
+                    text = sanitised(text, every, instead)
+                texts.append(text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return _found(docs, True).select("doc_id", "text", "spans", "instead").mapInArrow(run, "doc_id long, text string")
+    rows = may_hold(_rows(docs), "digest", key_filter(telling, "digest", "pii-filter"))
+    none = F.lit(None).cast(telling.schema["telling"].dataType)
+    plain = rows.where("not maybe").select("doc_id", "text", none.alias("telling"))
+    return in_batches(plain.unionByName(rows.where("maybe").join(telling, "digest", "left").select("doc_id", "text", "telling"))).mapInArrow(run, "doc_id long, text string")
