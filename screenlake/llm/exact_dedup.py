@@ -131,17 +131,16 @@ def differing(rows: DataFrame, hits: DataFrame, digest) -> DataFrame:
     """The byte check of hits: (digest, text_sha256) of the rows of ``rows`` (doc_id, text, _locator) whose digest
     is among ``hits`` though their bytes differ from those at the kept row's locator.
 
-    Rows are grouped by digest and whole text, partially in each task, so a text with any number of copies is no hot
-    key; the bytes at the locators are one row per digest.
+    Rows are grouped by digest and whole text, and the group that holds the row at the kept locator is right: state and
+    rows cover the same deliveries, so that row is its group's least.  Partial aggregation leaves one row per text and
+    task, so a text with any number of copies is no hot key.
     """
     texts = rows.withColumn("digest", digest(F.col("text")))
     # Most texts have no copy: a filter keeps them out of the shuffle.
-    groups = may_hold(texts, "digest", key_filter(hits, "digest", "dedup-filter")).where("maybe").groupBy("digest", "text").agg(F.count(F.lit(1)))
-    at = hits.select(F.col("digest").alias("_digest"), F.concat_ws(":", "first_locator.file", "first_locator.row").alias("_at"))
-    named = rows.select("text", F.concat_ws(":", "_locator.file", "_locator.row").alias("_at"))
-    kept = may_hold(named, "_at", key_filter(at, "_at", "dedup-places")).where("maybe").join(at, "_at").select("_digest", F.col("text").alias("_kept"))
-    met = groups.join(kept, groups["digest"] == kept["_digest"]).where(F.col("text") != F.col("_kept"))
-    return met.select("digest", F.sha2("text", 256).alias("text_sha256"))
+    texts = may_hold(texts, "digest", key_filter(hits, "digest", "dedup-filter")).where("maybe")
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col("_locator").alias("at"))).alias("least")
+    groups = texts.groupBy("digest", "text").agg(least).select("digest", F.sha2("text", 256).alias("text_sha256"), "least")
+    return groups.join(hits, "digest").where(F.col("least.at") != F.col("first_locator")).select("digest", "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, files_per_batch: int | None = None, digest=None, home: str | None = None, delivery: str = "all", batches: int = 1) -> DataFrame:
