@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches, spread
+
 from .packing import _byte_letters
 
 _NONE = np.int64(1) << 62
@@ -273,7 +275,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str) -> DataFrame:
             ids = [np.frombuffer(x, np.int32) for x in _in_blocks(coder, b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return in_batches(spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -285,7 +287,7 @@ def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
             texts = [None if ids is None else coder.decode(ids) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return in_batches(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id long, text string")
 
 
 def _in_blocks(coder: ByteBpe, column, size: int = 1 << 22) -> Iterable[bytes]:
@@ -317,6 +319,6 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
                 text_sha.append(sha(coder.decode(ids)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return in_batches(spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

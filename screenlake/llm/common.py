@@ -51,6 +51,18 @@ def in_batches(rows: DataFrame) -> DataFrame:
     return rows
 
 
+#: Bytes a core reads at least before an input counts as large enough for the cores there are.
+SMALL_SHARE = 8 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt over all cores where the input is small: a table of one row group is one task's reading, and
+    whatever Python does with it would be, too.  Larger inputs never move."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size < cores * SMALL_SHARE else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

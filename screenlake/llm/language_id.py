@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches
+from .common import in_batches, spread
 
 BUCKETS, DIMENSIONS = 1 << 14, 16
 GRAMS = (1, 2, 3)
@@ -36,6 +36,8 @@ EPOCHS, BATCH, RATE, EMBEDDING_RATE = 8, 32, 1.0, 10.0
 #: Rejection costs at most this share of rightly labelled calibration rows, and takes no score above the other.
 REJECT_AT_MOST, REJECT_BELOW = 0.002, 0.4
 _WORD = re.compile(r"[^\W\d_]+")
+#: The sample's most rows in all, so that the driver's share is bounded however many languages there are.
+MOST_ROWS = 40_000
 #: Bytes of a task's table of word results, whatever the number of languages, and its most words.
 _TABLE_BYTES, _CACHED = 8 << 20, 60_000
 
@@ -56,11 +58,17 @@ def words_of(text: str | None) -> list[str]:
     return words if any(any(map(str.isalpha, w)) for w in words) else []
 
 
-def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and their shares of the whole text."""
+def text_features(text: str | None, table: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and their shares of the whole text; ``table`` keeps the buckets of words met before."""
+    table, found = {} if table is None else table, Counter(words_of(text))
+    if len(table) > _CACHED:
+        table.clear()
+    for word in found.keys() - table.keys():
+        table[word] = np.array(word_buckets(word), np.int64)
     total = np.zeros(BUCKETS)
-    for word, n in Counter(words_of(text)).items():
-        np.add.at(total, word_buckets(word), n)
+    if found:
+        buckets = [table[w] for w in found]
+        total = np.bincount(np.concatenate(buckets), np.repeat(np.array(list(found.values()), float), [len(b) for b in buckets]), BUCKETS)
     at = np.nonzero(total)[0]
     return at.astype(np.int32), (total[at] / max(total.sum(), 1)).astype(np.float32)
 
@@ -165,27 +173,31 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray, bool]], seed: int = 7) -
 def training_rows(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> list:
     """The bounded sample, as features, on the driver."""
     labelled = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    labelled = labelled.withColumn("digest", F.sha2("text", 256))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
+    rows_per_language = min(rows_per_language, max(1, MOST_ROWS // len(counts)))
     unit = F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1 << 20)) / (1 << 20)
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / n)))])
-    sample = labelled.where(unit < F.element_at(share, F.col("lang")))
+    # The sample is bounded, so all cores may share its texts.
+    sample = labelled.where(unit < F.element_at(share, F.col("lang"))).repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
     def features(batches):
+        table: dict = {}
         for b in batches:
-            found = [text_features(t.as_py()) for t in b.column(1)]
+            found = [text_features(t.as_py(), table) for t in b.column(1)]
             check = [zlib.crc32(f"calibration {d}".encode()) % 4 == 0 for d in b.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(2), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float32())), pa.array(check), b.column(0)],
-                ["lang", "buckets", "shares", "calibration", "doc_id"],
+                [b.column(2), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float32())), pa.array(check), b.column(0), b.column(3)],
+                ["lang", "buckets", "shares", "calibration", "doc_id", "digest"],
             )
 
-    found = in_batches(sample).mapInArrow(features, "lang string, buckets array<int>, shares array<float>, calibration boolean, doc_id long")
+    found = in_batches(sample).mapInArrow(features, "lang string, buckets array<int>, shares array<float>, calibration boolean, doc_id long, digest string")
     # The limit binds only where one id and text repeat so often that the hash takes all of them.
     got = found.limit(2 * rows_per_language * len(counts)).toArrow()
     # The order of arrival depends on tasks; training must not.
-    got = got.sort_by([("doc_id", "ascending"), ("lang", "ascending")]).drop_columns(["doc_id"])
+    got = got.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("digest", "ascending")]).drop_columns(["doc_id", "digest"])
     lang, calibration = got["lang"].to_pylist(), got["calibration"].to_pylist()
     columns = [[x.values.to_numpy() for x in got[c]] for c in ("buckets", "shares")]
     return list(zip(lang, *columns, calibration))
@@ -209,7 +221,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return in_batches(rows).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return in_batches(spread(rows)).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, in_batches, key_filter, may_hold, saved
+from .common import SPACE_RUN, in_batches, key_filter, may_hold, saved, spread
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "term")
@@ -151,7 +151,7 @@ def _base_columns(found: list[Span]) -> list:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _digest().alias("digest"))
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).withColumn("digest", _digest())
 
 
 def _scan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

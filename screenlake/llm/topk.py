@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import in_batches, saved
 
 QUERIES_PER_ROUND = 8192
 LONGEST = 2048
@@ -208,6 +208,6 @@ def _round(spark, rows: DataFrame, groups: dict, k: int) -> DataFrame:
         for d, one in best.items():
             yield pa.RecordBatch.from_arrays([pa.array(one.ids[one.query], pa.int64()), pa.array(one.vec, pa.int64()), pa.array(one.score, pa.int64())], ["query_id", "vec_id", "score"])
 
-    hits = rows.mapInArrow(run, "query_id long, vec_id long, score long")
+    hits = in_batches(rows).mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
