@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -44,6 +45,20 @@ def _(spark, d):
     return rows.groupBy(shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users"))
 
 
+@query("a4_write_no_replace", "SELECT count(*) AS n, sum(event_id)::BIGINT AS ids, true AS refused FROM events WHERE event_type = 'purchase'")
+def _(spark, d):
+    """Results written once: a second, different write to the place is refused and leaves what is there."""
+    path, e = scratch(spark, "results"), src.table(spark, d, "events").select("event_id", "event_type")
+    src.write_no_replace(e.where("event_type = 'purchase'"), path, "parquet")
+    try:
+        src.write_no_replace(e.where("event_type <> 'purchase'"), path, "parquet")
+        refused = False
+    except AnalysisException as error:
+        refused = "ALREADY_EXISTS" in (error.getCondition() or "")
+    held = spark.read.schema(e.schema).parquet(path)
+    return held.agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.lit(refused).alias("refused"))
+
+
 def examples(spark, d):
     a = src.read_attempts(spark, d)
     labels = T.horizon_labels(a, 86_400_000)
