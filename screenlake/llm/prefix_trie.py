@@ -125,7 +125,7 @@ def list_rank(arcs: DataFrame, short: int = SHORT_LIST) -> DataFrame:
 
     Each round shuffles the arcs that are left, a third of which leave: all rounds together move some three times
     the list, and undoing them as much again.  At most ``short`` arcs are walked on the driver."""
-    kind = dict(arcs.dtypes)["arc"]
+    kind, short = dict(arcs.dtypes)["arc"], max(2, short)  # the first and the last arc never leave
     null = F.lit(None).cast(kind)
 
     def sent(rows: DataFrame, to: str, next_=null, prev=null, w=None) -> DataFrame:
