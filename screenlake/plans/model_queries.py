@@ -149,7 +149,9 @@ def _to_the_end(spark, d, name):
     far = [F.lit(-1).cast("long").alias(c) for c in ("account", "generation", "version")]
     last = a.agg((F.max("event_index") + 1).alias("event_index"), (F.max("ts_ms") + 3650 * 86_400_000).alias("ts_ms")).where("event_index is not null")
     last = last.select("event_index", *far, F.lit("").alias("token"), "ts_ms", F.lit(False).alias("exact_mismatch"), F.lit(False).alias("invalid"))
-    return arrivals(a.unionByName(last), "event_index", 4, name)
+    # Dealt by time, so that no attempt is late however its number and its time go together.
+    dealt = a.withColumn("arrives", F.col("ts_ms")).unionByName(last.withColumn("arrives", F.col("ts_ms") - 3650 * 86_400_000))
+    return arrivals(dealt, "arrives", 4, name)
 
 
 def _end(spark, stream, mode="append"):

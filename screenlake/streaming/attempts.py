@@ -8,6 +8,7 @@ Within a micro-batch, rows of a key are put in event order before they touch sta
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,58 +22,58 @@ def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(["ts_ms", "event_index"], kind="stable")
 
 
+#: Keys share so many buckets of state.
+BUCKETS = 256
+
+
 class _Suppress(InOrder):
-    """An account's cache: token -> when it was inserted and when last used."""
+    """Accounts' caches: token -> when it was inserted, in order of use, the oldest first."""
 
     kept = {"token": "string", "exact_mismatch": "boolean"}
     outputs = ["event_index", "account", "token", "forwarded", "late"]
+    holds = "accounts array<string>, sizes array<long>, tokens array<string>, inserted array<long>"
 
     def __init__(self, span_ms: int, ttl_ms: int, quota: int):
         super().__init__(span_ms)
         self.ttl, self.quota = ttl_ms, quota
 
-    def init(self, handle):
-        super().init(handle)
-        self.entries = handle.getMapState("entries", "token string", "inserted long, used long")
+    def load(self, state):
+        if state is None:
+            return {}
+        accounts, sizes, tokens, inserted = state
+        entries = zip(tokens, inserted)
+        return {a: dict(islice(entries, n)) for a, n in zip(accounts, sizes)}
 
-    def late(self, key, row):
-        return row[1], key[0], row[2], True, True
+    def late(self, row):
+        return row[1], int(row[2]) if row[2] else None, row[3], True, True
 
-    def answer(self, key, rows):
-        held = {t: tuple(v) for (t,), v in self.entries.iterator()}
-        cache = dict(sorted(held.items(), key=lambda e: e[1][1]))  # in order of use, the oldest first
-        clock = max((used for _, used in held.values()), default=0)
+    def answer(self, held, span, rows):
         out = []
-        for ts, number, token, mismatch in rows:
-            clock += 1
-            since = cache[token][0] if token in cache else None
+        for ts, number, account, token, mismatch in rows:
+            cache = held.setdefault(account, {})
+            since = cache.pop(token, None)
             if since is not None and ts - since >= self.ttl:
-                del cache[token]
                 since = None
             if since is not None:
-                del cache[token]
-                cache[token] = (since, clock)
+                cache[token] = since
             elif mismatch and self.quota:
                 if len(cache) >= self.quota:
                     del cache[next(iter(cache))]
-                cache[token] = (ts, clock)
-            out.append((number, key[0], token, since is None, False))
-        for token in held.keys() - cache.keys():
-            self.entries.removeKey((token,))
-        for token, entry in cache.items():
-            if held.get(token) != entry:
-                self.entries.updateValue((token,), entry)
-        if cache and cache != held:
-            self.wake(max(since for since, _ in cache.values()) + self.ttl)
+                cache[token] = ts
+            out.append((number, int(account) if account else None, token, since is None, False))
         return out
 
-    def idle(self, now):
+    def store(self, held, now):
         """A cache leaves state when the last of its entries has expired."""
-        if all(inserted + self.ttl <= now for _, (inserted, _) in self.entries.iterator()):
-            self.entries.clear()
+        ends = {a: max(c.values()) + self.ttl for a, c in held.items() if c}
+        live = [a for a, end in ends.items() if end > now]
+        if not live:
+            return None, None
+        entries = [e for a in live for e in held[a].items()]
+        return (live, [len(held[a]) for a in live], *map(list, zip(*entries))), min(ends[a] for a in live)
 
 
-def stream_suppress(attempts: DataFrame, ttl_ms: int, quota: int, delay: str = "1 hour", span_ms: int = 3_600_000) -> DataFrame:
+def stream_suppress(attempts: DataFrame, ttl_ms: int, quota: int, delay: str = "1 hour", span_ms: int = 3_600_000, buckets: int = BUCKETS) -> DataFrame:
     """Attempts with ``forwarded``: whether no live entry of the account's cache covers them.
 
     Columns: event_index, account, token, ts_ms, exact_mismatch.  Entries live ``ttl_ms`` from
@@ -82,7 +83,7 @@ def stream_suppress(attempts: DataFrame, ttl_ms: int, quota: int, delay: str = "
     ``quota`` entries per account until the last has expired, then none.
     """
     schema = "event_index long, account long, token string, forwarded boolean, late boolean"
-    return in_order(attempts, ["account"], _Suppress(span_ms, ttl_ms, quota), schema, delay)
+    return in_order(attempts, ["account"], _Suppress(span_ms, ttl_ms, quota), schema, delay, buckets)
 
 
 def stream_coalesce(attempts: DataFrame, span: str) -> DataFrame:
@@ -112,58 +113,62 @@ def stream_metrics(events: DataFrame, span: str, delay: str, slide: str | None =
 
 
 class _Prefix(InOrder):
-    """A scope's counts: of invalid attempts per token, in all, and of tokens."""
+    """Scopes' counts: of invalid attempts per token, in all, and the time of the last attempt."""
 
     kept = {"token": "string", "invalid": "boolean"}
     outputs = ["event_index", "same_count", "scope_invalid", "scope_distinct", "late"]
+    holds = "scopes array<string>, last array<long>, sizes array<long>, tokens array<string>, counts array<long>"
 
     def __init__(self, span_ms: int, retire_ms: int):
         super().__init__(span_ms)
         self.retire = retire_ms
 
-    def init(self, handle):
-        super().init(handle)
-        self.counts = handle.getMapState("counts", "token string", "n long")
-        self.totals = handle.getValueState("totals", "invalid long, tokens long, last long")
-
-    def late(self, key, row):
+    def load(self, state):
+        if state is None:
+            return {}
+        scopes, last, sizes, tokens, counts = state
+        entries, held = zip(tokens, counts), {}
+        for scope, at, n in zip(scopes, last, sizes):
+            own = dict(islice(entries, n))
+            held[scope] = [at, sum(own.values()), own]
+        return held
+
+    def late(self, row):
         return row[1], None, None, None, True
 
-    def answer(self, key, rows):
-        invalid, tokens, _ = self.totals.get() if self.totals.exists() else (0, 0, 0)
-        counts, changed, out = {}, set(), []
-        for _, number, token, bad in rows:
-            if token not in counts:
-                counts[token] = self.counts.getValue((token,))[0] if self.counts.containsKey((token,)) else 0
-            out.append((number, counts[token], invalid, tokens, False))
+    def answer(self, held, span, rows):
+        out = []
+        for ts, number, key, token, bad in rows:
+            scope = held.get(key)
+            if scope is None or scope[0] + self.retire < span * self.span:
+                scope = held[key] = [ts, 0, {}]
+            _, invalid, counts = scope
+            out.append((number, counts.get(token, 0), invalid, len(counts), False))
+            scope[0] = ts
             if bad:
-                tokens += counts[token] == 0
-                counts[token] += 1
-                invalid += 1
-                changed.add(token)
-        for token in changed:
-            self.counts.updateValue((token,), (counts[token],))
-        last = rows[-1][0]
-        self.totals.update((invalid, tokens, last))
-        self.wake(last + self.retire)
+                scope[1] += 1
+                counts[token] = counts.get(token, 0) + 1
         return out
 
-    def idle(self, now):
+    def store(self, held, now):
         """A scope without attempts for the retirement time leaves state."""
-        if self.totals.exists() and self.totals.get()[2] + self.retire <= now:
-            self.counts.clear()
-            self.totals.clear()
+        live = {k: s for k, s in held.items() if s[0] + self.retire >= now}
+        if not live:
+            return None, None
+        counts = [s[2] for s in live.values()]
+        last = [s[0] for s in live.values()]
+        state = list(live), last, [len(c) for c in counts], [t for c in counts for t in c], [n for c in counts for n in c.values()]
+        return state, min(last) + self.retire
 
 
-def stream_prefix_features(attempts: DataFrame, delay: str = "1 hour", span_ms: int = 3_600_000, retire_ms: int = 90 * 86_400_000) -> DataFrame:
+def stream_prefix_features(attempts: DataFrame, delay: str = "1 hour", span_ms: int = 3_600_000, retire_ms: int = 90 * 86_400_000, buckets: int = BUCKETS) -> DataFrame:
     """Prior counts per tuple and per scope, each row seen after it is answered; a late row has none.
 
-    Columns: event_index, account, generation, version, token, ts_ms, invalid.  A row costs one lookup of its
-    token's count, whatever the scope holds.  A scope (a retired version above all) is forgotten ``retire_ms`` after
+    Columns: event_index, account, generation, version, token, ts_ms, invalid.  A scope (a retired version above all) is forgotten ``retire_ms`` after
     its last attempt.
     """
     schema = "event_index long, same_count long, scope_invalid long, scope_distinct long, late boolean"
-    return in_order(attempts, ["account", "generation", "version"], _Prefix(span_ms, retire_ms), schema, delay)
+    return in_order(attempts, ["account", "generation", "version"], _Prefix(span_ms, retire_ms), schema, delay, buckets)
 
 
 def stream_epoch_watermark(acks: DataFrame) -> DataFrame:

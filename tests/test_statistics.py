@@ -202,6 +202,25 @@ def test_prefix_features_forget_a_scope(spark):
     assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 3
 
 
+@pytest.mark.parametrize("form", ["suppress", "prefix"])
+def test_streams_of_many_keys_share_few_buckets(spark, form):
+    """State accesses and timers don't grow with the keys; null is a key as any other, and large keys keep their digits."""
+    rows = [(i, None if i % 1_500 == 7 else 2**60 + i % 1_500, 1, 1, f"t{i % 3}", 10 * i, True, True) for i in range(6_000)]
+    rows.append((9_000, -1, -1, -1, "", 10**9, False, False))
+    df = spark.createDataFrame(rows, "event_index long, account long, generation long, version long, token string, ts_ms long, exact_mismatch boolean, invalid boolean")
+    stream, progress = scratch.arrivals(df, "event_index", 3, f"test-{form}"), []
+    stream = M.stream_suppress(stream, 1 << 40, 2, span_ms=20_000) if form == "suppress" else M.stream_prefix_features(stream, span_ms=20_000)
+    out = M.run_to_end(stream, scratch.scratch(spark, "test-out"), scratch.scratch(spark, "test-progress"), progress=progress).collect()
+    got = {r["event_index"]: r for r in out}
+    assert len(out) == len(got) == 6_000
+    for i, account, _, _, _, _, _, _ in rows[:6_000]:
+        if form == "suppress":  # tokens of an account: t(i), t(i), t(i), t(i), since 3 divides 1,500
+            assert got[i]["account"] == account and got[i]["forwarded"] == (i < 1_500)
+        else:
+            assert (got[i]["same_count"], got[i]["scope_invalid"], got[i]["scope_distinct"]) == (i // 1_500, i // 1_500, min(1, i // 1_500))
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 256 * 13  # a state, and a span and a timer's two rows for each of four spans
+
+
 @pytest.mark.parametrize(
     "rows, want",
     [
