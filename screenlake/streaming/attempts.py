@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from .ordered import InOrder, in_order, rocksdb
+from .ordered import InOrder, bucket_of, in_order, rocksdb
 
 
 def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -171,27 +171,36 @@ def stream_prefix_features(attempts: DataFrame, delay: str = "1 hour", span_ms:
     return in_order(attempts, ["account", "generation", "version"], _Prefix(span_ms, retire_ms), schema, delay, buckets)
 
 
-def stream_epoch_watermark(acks: DataFrame) -> DataFrame:
+def stream_epoch_watermark(acks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Acknowledgements with ``regressed`` and the (edge, account)'s watermark after each.
 
     Columns: event_index, edge, account, epoch (of the directory), representation, ts_ms.  An acknowledgement
     behind the watermark in either epoch regresses and changes nothing; any other becomes the watermark.
+    Pairs share ``buckets`` of state, since a call into Python costs far more than a row.
     """
+    outputs = ["event_index", "edge", "account", "epoch", "representation", "regressed", "watermark", "representation_watermark"]
 
     def step(key, batches, state: GroupState):
-        top = tuple(state.get) if state.exists else None
-        out = []
-        for row in _ordered(batches).itertuples(index=False):
-            now = (row.epoch, row.representation)
+        tops = {}
+        if state.exists:
+            pairs, epochs, representations = state.get
+            tops = dict(zip(pairs, zip(epochs, representations)))
+        frame, out = _ordered(batches), []
+        for number, pair, *now in zip(*(frame[c].tolist() for c in ("event_index", "pair", "epoch", "representation"))):
+            top = tops.get(pair)
             back = top is not None and (now[0] < top[0] or now[1] < top[1])
             if not back:
-                top = now
-            out.append((row.event_index, *key, *now, back, *top))
-        state.update(top)
-        yield pd.DataFrame(out, columns=["event_index", "edge", "account", "epoch", "representation", "regressed", "watermark", "representation_watermark"])
-
-    return acks.select("event_index", "edge", "account", "epoch", "representation", "ts_ms").groupBy("edge", "account").applyInPandasWithState(
-        step, "event_index long, edge long, account long, epoch long, representation long, regressed boolean, watermark long, representation_watermark long", "top long, representation long", "append", GroupStateTimeout.NoTimeout
+                top = tops[pair] = tuple(now)
+            edge, account = (int(x) if x else None for x in pair.split("/"))
+            out.append((number, edge, account, *now, back, *top))
+        state.update((list(tops), *map(list, zip(*tops.values()))))
+        yield pd.DataFrame(out, columns=outputs, dtype=object)
+
+    # One string a pair: pandas makes whole numbers with nulls among them floats.
+    pair = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("edge", "account")])
+    return acks.select(bucket_of(["edge", "account"], buckets), "event_index", pair.alias("pair"), "epoch", "representation", "ts_ms").groupBy("_bucket").applyInPandasWithState(
+        step, "event_index long, edge long, account long, epoch long, representation long, regressed boolean, watermark long, representation_watermark long",
+        "pairs array<string>, epochs array<long>, representations array<long>", "append", GroupStateTimeout.NoTimeout
     )
 
 

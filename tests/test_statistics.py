@@ -221,6 +221,20 @@ def test_streams_of_many_keys_share_few_buckets(spark, form):
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 256 * 13  # a state, and a span and a timer's two rows for each of four spans
 
 
+def test_epochs_of_many_pairs_share_few_buckets(spark):
+    rows = [(i, i % 7, None if i % 1_500 == 7 else 2**60 + i % 1_500, i // 1_500 - 2 * (i // 1_500 == 2), 5, i) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "event_index long, edge long, account long, epoch long, representation long, ts_ms long")
+    df = df.withColumn("edge", F.coalesce("account", F.lit(7)) % 7)
+    stream, progress = scratch.arrivals(df, "event_index", 3, "test-epochs"), []
+    out = M.run_to_end(M.stream_epoch_watermark(stream), scratch.scratch(spark, "test-out"), scratch.scratch(spark, "test-progress"), progress=progress).collect()
+    got = {r["event_index"]: r for r in out}
+    assert len(out) == len(got) == 6_000
+    for i, _, account, epoch, _, _ in rows:
+        r = got[i]
+        assert (r["account"], r["epoch"], r["regressed"], r["watermark"]) == (account, epoch, i // 1_500 == 2, (0, 1, 1, 3)[i // 1_500])
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 256
+
+
 @pytest.mark.parametrize(
     "rows, want",
     [
