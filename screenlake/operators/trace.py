@@ -190,14 +190,14 @@ def coalesce_batches(trace: DataFrame, width: int, key: list[str], position: str
 _COUNTERS = ["backend_checks", "base_confirmations", "race_extras", "cache_hits", "evictions", "expirations", "admitted"]
 
 
-def cache_counters(rows: DataFrame, shard: list[str], key: list[str], at: str, time: str, quotas: list[int], policies: list[str], ttl: float | None = None) -> DataFrame:
+def cache_counters(rows: DataFrame, shard: list[str], key: list[str], at: str, time: str, quotas: list[int], policies: list[str], ttl: float | None = None, forward: bool = False) -> DataFrame:
     """Per shard, quota and policy what a negative cache of the shard does to ``rows`` (shard, key, at, time, extras).
 
     Nothing is replayed.  A cache always holds the keys used last, so an entry is there if fewer than ``quota`` other
     keys were used since; 'second_hit' is the same cache without the first requests of keys.  From one such insertion to
     the next, entries that expire follow the chain of episodes, a first time past ``ttl`` after another.
     What was inserted and is not among the last ``quota`` keys has been evicted.  ``time`` (whole numbers) counts as not
-    running backwards in a shard: a null or an earlier time is the latest before it.
+    running backwards in a shard: a null or an earlier time is the latest before it; with ``forward`` the caller knows of none.
     """
     each = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
     totals = rows.groupBy(*shard).agg(F.count(F.lit(1)).alias("_n"), F.sum("extras").alias("_x"))
@@ -209,21 +209,35 @@ def cache_counters(rows: DataFrame, shard: list[str], key: list[str], at: str, t
         return grid.select(*per, (F.col("_n") + F.col("_x")).alias("backend_checks"), F.col("_n").alias("base_confirmations"), F.col("_x").alias("race_extras"), *[zero.alias(c) for c in _COUNTERS[3:]])
     columns = list(dict.fromkeys([*shard, *key, at, time, "extras"]))
     marked = running(rows.select(*columns).withColumn("_one", F.lit(1).cast("long")), list(dict.fromkeys([*shard, *key])), [at], {"_seen": ("sum", "_one")})
+    marked = saved(marked, "cache-requests")
     first = marked.where("_seen = 1").groupBy(*shard).agg(F.count(F.lit(1)).alias("_first"), F.sum("extras").alias("_first_x"))
     used = marked.select("*", each("policy", admitting)).where("policy = 'always' or _seen > 1").drop("_one", "_seen")
-    if ttl is not None:
+    if ttl is not None and forward:
+        used = used.withColumn("_t", F.col(time).cast("long"))
+    elif ttl is not None:
         used = running(used, [*shard, "policy"], [at], {"_t": ("max", time)}).withColumn("_t", F.coalesce(F.col("_t").cast("long"), F.lit(-(1 << 60))))
     met = reuse_distance(used, [*shard, "policy"], key, at, [*(["_t"] if ttl is not None else []), "extras"])
     met = met.select("*", each("quota", live)).withColumn("_enters", F.coalesce(F.col("distance") >= F.col("quota"), F.lit(True)).cast("long"))
-    entered = met.groupBy(*per).agg(F.sum("_enters").alias("_entries"), F.count_if(F.col("distance").isNull()).alias("_keys"), F.sum(F.col("_enters") * F.col("extras")).alias("_missed_x"))
+    counted = F.sum("_enters").alias("_entries"), F.count_if(F.col("distance").isNull()).alias("_keys"), F.sum(F.col("_enters") * F.col("extras")).alias("_missed_x")
     if ttl is None:
-        found = entered.withColumn("_misses", F.col("_entries"))
+        found = met.groupBy(*per).agg(*counted).withColumn("_misses", F.col("_entries"))
     else:
         one = list(dict.fromkeys([*per, *key]))
-        stays = running(saved(met, "cache-rows"), one, [at], {"_stay": ("sum", "_enters")})
-        times = stays.groupBy(*one, "_stay", "_t").agg(F.min_by("extras", at).alias("_missed_x")).withColumn("_misses", F.lit(1).cast("long"))
-        life = int(math.floor(ttl))
-        chains = chain_sums(_next_episode(times, [*one, "_stay"], "_t", F.col("_t") + life + 1), [*one, "_stay"], "_t", "_next", ["_misses", "_missed_x"])
+        life, stay = int(math.floor(ttl)), [*one, "_stay"]
+        met = saved(met, "cache-rows")
+        entered = met.groupBy(*per).agg(*counted)
+        stays = running(met, one, [at], {"_stay": ("sum", "_enters")})
+        # A stay that is over within the life of its entry misses once, at its start; the others are followed.
+        whole = saved(stays.groupBy(*stay).agg(F.min("_t").alias("_from"), F.max("_t").alias("_to"), F.min_by("extras", F.col(at)).alias("_missed_x")), "cache-stays")
+        one_life = F.col("_to") - F.col("_from") <= life
+        chains = whole.where(one_life).select(*per, F.lit(1).cast("long").alias("_misses"), "_missed_x")
+        longer = whole.where(~one_life).select(*stay)
+        if not longer.isEmpty():
+            rows_ = stays.select(*stay, at, "_t", "extras")
+            on = same_keys(rows_, longer, stay)
+            times = rows_.join(longer, on, "left_semi").groupBy(*stay, "_t").agg(F.min_by("extras", at).alias("_missed_x")).withColumn("_misses", F.lit(1).cast("long"))
+            followed = chain_sums(_next_episode(times, stay, "_t", F.col("_t") + life + 1), stay, "_t", "_next", ["_misses", "_missed_x"])
+            chains = chains.unionByName(followed.select(*per, "_misses", "_missed_x"))
         found = entered.drop("_missed_x").join(chains.groupBy(*per).agg(F.sum("_misses").alias("_misses"), F.sum("_missed_x").alias("_missed_x")), per)
     out = grid.join(found, per, "left").join(first, shard, "left")
     second = F.when(F.col("policy") == "second_hit", 1).otherwise(0)
@@ -283,11 +297,18 @@ def option_table(
     grid = grid.withColumn("cost", F.when(uncached | closed, cost))
     option = [*screen, "quota", "policy"]
     grid = saved(grid, "options")
-    open_ = grid.where("cost is null").select(*screen, "occupancy").distinct()
+    open_ = grid.where("cost is null").select(*screen, "occupancy", (F.col("always") == F.col("identities")).alias("_all")).distinct()
     if not open_.isEmpty():
-        # What passes a screen is the same for all quotas and policies.
-        through = rows.select(*span, key, at, time, "extras").join(open_, span).where(unit < epsilon)
-        found = cache_counters(through, screen, [key], at, time, quotas, policies, ttl).select(*option, "backend_checks")
+        # What passes a screen is the same for all quotas and policies, and for all screens of an interval that let everything through.
+        alike = Window.partitionBy(*span, "_all").orderBy("memory", "seed").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        open_ = open_.withColumn("_as", F.when(F.col("_all"), F.first(F.struct("memory", "seed")).over(alike)).otherwise(F.struct("memory", "seed")))
+        own = (F.col("_as.memory") == F.col("memory")) & (F.col("_as.seed") == F.col("seed"))
+        through = saved(rows.select(*span, key, at, time, "extras").join(F.broadcast(open_.where(own).select(*screen, "occupancy")), span).where(unit < epsilon).drop("occupancy"), "screened")
+        # If time never runs backwards in the trace it doesn't behind a screen.
+        forward = running(trace.select(at, time), [], [at], {"_before": ("max", time)}, before=True).where(F.col(time).isNull() | (F.col(time) < F.col("_before"))).isEmpty()
+        found = cache_counters(through, screen, [key], at, time, quotas, policies, ttl, forward).select(*option, "backend_checks")
+        found = found.withColumnsRenamed({"memory": "_m", "seed": "_s"}).join(open_.select(*screen, "_as"), span)
+        found = found.where((F.col("_as.memory") == F.col("_m")) & (F.col("_as.seed") == F.col("_s"))).drop("_m", "_s", "_as")
         grid = grid.join(found, option, "left").withColumn("cost", F.coalesce("cost", "backend_checks")).drop("backend_checks")
     total = F.col("memory") * memory_bytes + F.col("quota") * entry_bytes
     out = grid.groupBy(*span, "memory", "quota", "policy").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from screenlake.functions import quantiles as Q
 from screenlake.functions import scalars as S
-from screenlake.operators import audit, joins, models, stats, trace
+from screenlake.operators import audit, curves, joins, models, stats, trace
 from screenlake.sources import scratch
 from screenlake.streaming import attempts as M
 
@@ -114,6 +114,26 @@ def test_option_table_replays_each_option(spark, ttl):
     assert {x["quota"] for x in got if x["mean_cost"] > 0 and x["memory"] == 0 and x["policy"] == "always" and x["start_bin"] == 0 and x["seed_costs"]} == {0, 2, 5, 1000}
 
 
+def test_screens_that_let_all_through_share_one_cache(spark, monkeypatch):
+    rows = [(i, f"k{i * i % 7}", 3 * i, i % 2) for i in range(40)]
+    t, met = spark.createDataFrame(rows, "event_index long, token_key string, ts_ms long, bin long"), []
+    counters = trace.cache_counters
+    monkeypatch.setattr(trace, "cache_counters", lambda df, *a: met.append(df.select("start_bin", "memory", "seed").distinct().count()) or counters(df, *a))
+    grid = spark.createDataFrame([(0, 1), (0, 2)], "start_bin long, end_bin long")
+    got = trace.option_table(t, grid, [0, 1], [2], ["always"], [1, 2, 3], 0.0, ttl=20).collect()
+    assert met == [1] and len(got) == 4 and all(len(x["seed_costs"]) == 3 and len(set(x["seed_costs"])) == 1 for x in got)
+    want = {end: plain_replay([(k, at, 0) for _, k, at, b in rows if b < end], 2, "always", 20)["backend_checks"] for end in (1, 2)}
+    assert {(x["end_bin"], x["mean_cost"]) for x in got} == set(want.items())
+
+
+def test_grid_allocation_makes_no_row_per_rate(spark):
+    columns = "instance long, a double, weight double, compromise double, low double, high double, budget double, floor double"
+    df = spark.createDataFrame([(1, 2.0, 3.0, 2.0, 0.01, 0.9, 2 * math.log(5), 0.0), (2, 1.0, 3.0, 2.0, 0.01, 0.9, 9.0, 0.6), (3, 1.0, 1.0, 1.0, 0.01, 0.9, 9.0, 0.95), (4, None, 1.0, 1.0, 0.01, 0.9, 9.0, 0.1)], columns)
+    out = curves.grid_allocation(df, 90)
+    assert {r["instance"]: (round(r["objective"], 9), round(r["eps"], 9)) for r in out.collect()} == {1: (0.6, 0.2), 2: (0.9, 0.3)}
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_exact_binomial_bounds(spark):
     # Outside values: 95 % Clopper-Pearson intervals of 1 in 20, 5 in 10 and 0 in 50.
     rows = spark.createDataFrame([("a", k < 1) for k in range(20)] + [("b", k < 5) for k in range(10)] + [("c", False)] * 50, "g string, hit boolean")
