@@ -175,9 +175,11 @@ def allocation_sweep(problems: DataFrame, lambdas: list[float], nus: list[float]
 def grid_allocation(problems: DataFrame, points: int) -> DataFrame:
     """Least feasible objective over a grid of rates for instances of one region."""
     step = (F.col("high") - F.col("low")) / (points - 1)
-    rows = problems.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("eps", F.col("low") + F.col("k") * step)
-    ok = rows.where((-F.col("a") * F.log("eps") <= F.col("budget") + 1e-9) & (F.col("compromise") * F.col("eps") >= F.col("floor") - 1e-9))
-    return ok.groupBy("instance").agg(F.min(F.struct((F.col("weight") * F.col("eps")).alias("objective"), F.col("eps"))).alias("b")).select("instance", "b.objective", "b.eps")
+    # The grid stays inside its row: a row per rate would be sorted, since the least of structs is.
+    rates = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.col("low") + k * step)
+    ok = F.filter(rates, lambda e: (-F.col("a") * F.log(e) <= F.col("budget") + 1e-9) & (F.col("compromise") * e >= F.col("floor") - 1e-9))
+    least = problems.select("instance", F.array_min(F.transform(ok, lambda e: F.struct((F.col("weight") * e).alias("objective"), e.alias("eps")))).alias("b"))
+    return least.where("b is not null").groupBy("instance").agg(F.min("b").alias("b")).select("instance", "b.objective", "b.eps")
 
 
 def unique_seen_report(points: DataFrame, group: list[str], load: str) -> DataFrame:
