@@ -40,6 +40,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 MOST_ROWS = 40_000
 #: Bytes of a task's table of word results, whatever the number of languages, and its most words.
 _TABLE_BYTES, _CACHED = 8 << 20, 60_000
+#: Most n-grams whose buckets a task keeps.
+_GRAMS = 100_000
 
 
 def held_out(doc_id="doc_id"):
@@ -52,6 +54,14 @@ def word_buckets(word: str) -> list[int]:
     return [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]
 
 
+class _Grams(dict):
+    """n-gram -> bucket, as ``word_buckets`` has it."""
+
+    def __missing__(self, gram: str) -> int:
+        found = self[gram] = zlib.crc32(gram.encode()) % BUCKETS
+        return found
+
+
 def words_of(text: str | None) -> list[str]:
     """Lower-case words; none when the text has no letter."""
     words = _WORD.findall(text.lower()) if text else []
@@ -86,31 +96,42 @@ class LanguageModel:
         """A function text -> (language, score), with a bounded table of words seen."""
         size = len(self.languages)
         most = max(1, min(_CACHED, _TABLE_BYTES // (8 * (size + 1))))
-        rows, table = np.zeros((most, size + 1)), {}
-
-        def at(word: str) -> int:
-            if len(table) >= most:
-                return -1
-            found = word_buckets(word)
-            k = table[word] = len(table)
-            rows[k, :size], rows[k, size] = self.parts[found].sum(axis=0), len(found)
-            return k
+        rows, table, grams = np.zeros((most, size + 1)), {}, _Grams()
+        # So many words at once that the parts of their n-grams are of the table's size.
+        step = max(1, most // 32)
+
+        def enter(words: list[str]) -> None:
+            """Rows of new words, all in one sum: most texts bring some, and rare words are most of all different ones."""
+            found, sizes = [], []
+            for word in words:
+                m = f"<{word}>"
+                found += map(grams.__getitem__, m)
+                found += [grams[x + y] for x, y in zip(m, m[1:])]
+                found += [grams[x + y + z] for x, y, z in zip(m, m[1:], m[2:])]
+                sizes.append(3 * len(m) - 3)
+            if len(grams) > _GRAMS:
+                grams.clear()
+            at = len(table)
+            rows[at : at + len(words), :size] = np.add.reduceat(self.parts[found], np.cumsum([0, *sizes[:-1]]), axis=0)
+            rows[at : at + len(words), size] = sizes
+            table.update(zip(words, range(at, at + len(words))))
 
         def predict(text: str | None) -> tuple[str, float]:
             words = words_of(text)
             if not words or not size:
                 return "und", 0.0
-            if len(table) >= most:
-                table.clear()
             total = np.zeros(size + 1)
-            for start in range(0, len(words), 1 << 16):
-                part = words[start : start + (1 << 16)]
-                places = [table[w] if w in table else at(w) for w in part]
-                total += rows[[p for p in places if p >= 0]].sum(axis=0)
-                for w in (w for w, p in zip(part, places) if p < 0):
-                    found = word_buckets(w)
-                    total[:size] += self.parts[found].sum(axis=0)
-                    total[size] += len(found)
+            for start in range(0, len(words), step):
+                part = words[start : start + step]
+                places = list(map(table.get, part))
+                if None in places:
+                    new = list(dict.fromkeys(w for w, p in zip(part, places) if p is None))
+                    if len(table) + len(new) > most:
+                        table.clear()
+                        new = list(dict.fromkeys(part))
+                    enter(new)
+                    places = list(map(table.get, part))
+                total += rows[places].sum(axis=0)
             logits = total[:size] / total[size] + self.bias
             logits = np.exp(logits - logits.max())
             best = int(logits.argmax())

@@ -476,3 +476,25 @@ def test_many_keys_in_one_text_take_linear_time():
     began = time.process_time()
     assert [k for k, *_ in secret_scan.confirmed_spans(text)] == ["key"] * 800
     assert time.process_time() - began < 8
+
+
+def test_a_new_word_costs_no_hashes_of_known_n_grams(monkeypatch):
+    import itertools
+    import types
+    import zlib
+
+    import numpy as np
+
+    from screenlake.llm import language_id as L
+
+    words = ["".join(w) for w in itertools.product("abcd", repeat=5)]
+    model = L.LanguageModel(["x", "y"], np.random.default_rng(1).normal(size=(L.BUCKETS, 2)), np.array([0.1, -0.1]), 0.0)
+    hashed = []
+    monkeypatch.setattr(L, "zlib", types.SimpleNamespace(crc32=lambda b: hashed.append(b) or zlib.crc32(b)))
+    monkeypatch.setattr(L, "_CACHED", 100)  # words leave the table within a text
+    found = model.predictor()(" ".join(words))
+    assert len(hashed) <= 6 + 6**2 + 6**3
+    every = [k for w in words for k in L.word_buckets(w)]
+    z = model.parts[every].sum(axis=0) / len(every) + model.bias
+    p = np.exp(z) / np.exp(z).sum()
+    assert found[0] == model.languages[p.argmax()] and abs(found[1] - p.max()) < 1e-9
