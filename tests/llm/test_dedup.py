@@ -317,6 +317,51 @@ def test_one_repeated_word_hides_no_passage(spark):
     assert len(got) < 1000
 
 
+def links_missed(texts, got, size=50):
+    """Pairs of documents that hold the same ``size`` words and are neither linked nor linked to the same words of a third."""
+    at, spans = {}, {}
+    for i, w in texts.items():
+        for k in range(len(w) - size + 1):
+            at.setdefault(tuple(w[k : k + size]), {}).setdefault(i, k)
+    for x in got:
+        spans.setdefault((x["doc_id"], x["match_id"]), []).append((x["start"], x["stop"], x["match_start"], x["match_stop"]))
+    missed = set()
+    for holders in at.values():
+        if len(holders) > 1:
+            least = min(holders)
+            within = lambda i: any(s <= holders[i] and holders[i] + size <= e and a <= holders[least] and holders[least] + size <= b for s, e, a, b in spans.get((i, least), []))
+            missed |= {(least, i) for i in holders if i != least and not within(i)}
+    return missed
+
+
+@pytest.mark.parametrize("partitions", ["1", "4", "40"])
+def test_every_link_of_fifty_equal_words_is_told(spark, partitions):
+    """49 words of a passage in other documents, and any number of copies, hide no link between two holders of 50."""
+    r = random.Random(23)
+    passage, frequent = words_of(r, 140), words_of(r, 55)
+    texts = {k: words_of(r, 20) + passage[3 * k : 3 * k + 49] + words_of(r, 20) for k in range(30)}
+    texts |= {100 + k: words_of(r, 10 + k) + passage[10 * k : 10 * k + 50 + k] + words_of(r, 30) for k in range(9)}
+    texts |= {200 + k: words_of(r, 20) + passage + words_of(r, 20) for k in range(2)}
+    texts |= {300 + k: words_of(r, r.randrange(30)) + frequent + words_of(r, r.randrange(30)) for k in range(30)}
+    texts |= {400: ["so"] * 900 + frequent, 401: ["so"] * 2500, 402: ["so", "no"] * 300 + ["so"] * 70, 403: words_of(r, 30) + ["no", "so"] * 30, 404: ["so"] * 30 + passage[:30], 405: ["so"] * 130 + passage[:20]}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = substring_dedup.repeated_passages(docs(spark, [(i, " ".join(w)) for i, w in texts.items()]), within=False).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert links_missed(texts, got) == set()
+    classes = {x["doc_id"]: (x["class_id"], x["class_size"]) for x in got}
+    assert all(x["class_id"] == classes[x["match_id"]][0] for x in got) and classes[200] == classes[201]
+    for c, n in set(classes.values()):
+        members = [i for i, x in classes.items() if x[0] == c]
+        assert c == min(members) and n == len(members)
+    for x in got:
+        a, b = texts[x["doc_id"]][x["start"] : x["stop"]], texts[x["match_id"]][x["match_start"] : x["match_stop"]]
+        assert x["similarity"] < 1 or a == b
+    assert len({(x["doc_id"], x["start"], x["stop"], x["match_id"], x["match_start"], x["match_stop"]) for x in got}) == len(got) < 2000
+
+
 def test_chain_prefers_collinear_matches():
     p, q = [0, 5, 10, 12, 15], [100, 105, 110, 3, 115]
     best = substring_dedup.chain(p, q)[0]
