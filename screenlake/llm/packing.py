@@ -28,6 +28,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ END_ID = 1
 #: tokenizer does: ASCII and the Latin-1 letters with precomposed accents.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-_CACHED = 30_000  # entries of a generation of a table: some 10 MB a table in all
+_CACHED = 120_000  # entries of a generation of a table: some 40 MB a table in all
 #: What the library must say as the tables do before they are used with a vocabulary.
 _PROBES = ("It's WE'LL don't 'S", "naïve Über-cool x_1 23.5%", "(a)b [c] #d !? ...--", "ÀÉÎÕÜ ßþÿ", "e-mail: a.b@c.de")
 
@@ -116,12 +117,18 @@ class WordEncoder:
         return b"".join([get(w) or word(w) for w in text.split()])
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker, so that its tables stay filled."""
+    return WordEncoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Every document's pieces: doc_id, piece, start, length, ids_crc32."""
     assert sys.byteorder == "little"
 
     def run(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
             out = [[] for _ in range(5)]

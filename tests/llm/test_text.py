@@ -144,6 +144,18 @@ def test_sum_index_follows_the_counts():
         index.use((k,), r.randrange(1, left[k] + 1))
 
 
+def test_words_of_a_large_vocabulary_are_encoded_once():
+    """A hundred thousand different words come round again without a call of the library."""
+    ours, calls = packing.WordEncoder(WORDS), []
+    names = ["".join(chr(97 + k // 26**d % 26) for d in range(4)) for k in range(0, 400_000, 4)]
+    texts = [" ".join(names[k : k + 1000]) for k in range(0, len(names), 1000)]
+    first = [ours.ids(t) for t in texts]
+    model = ours.model
+    ours.model = type("Counted", (), {"tokenize": lambda self, word: calls.append(word) or model.tokenize(word)})()
+    assert [ours.ids(t) for t in texts] == first and not calls
+    assert first[::40] == [ours._whole(t) for t in texts[::40]] and packing._encoder(WORDS) is packing._encoder(WORDS)
+
+
 def test_packing(spark):
     theirs = Tokenizer.from_file(WORDS)
     texts = [*TEXTS, None, "word " * 9000] + ["same text here"] * 50
