@@ -29,9 +29,11 @@ from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ END_ID = 1
 #: tokenizer does: ASCII and the Latin-1 letters with precomposed accents.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-_CACHED = 120_000  # entries of a generation of a table: some 40 MB a table in all
+_CACHED = 240_000  # entries of a generation of the table: some 50 MB
 #: What the library must say as the tables do before they are used with a vocabulary.
 _PROBES = ("It's WE'LL don't 'S", "naïve Über-cool x_1 23.5%", "(a)b [c] #d !? ...--", "ÀÉÎÕÜ ßþÿ", "e-mail: a.b@c.de")
 
@@ -60,10 +62,11 @@ class WordEncoder:
     """Ids of whole texts as the tokenizers library gives them.
 
     Where the vocabulary drops white space and cuts words by the rules above, a text's ids are those of
-    its words in a row; words come back often, and each is encoded once by the library and then looked
-    up.  Two tables are bounded and have two generations, so frequent words outlive rare ones.  Words
-    with other characters, texts with the strings of added tokens, and all texts under a vocabulary with
-    other rules (which probes tell) go whole to the library.
+    its words in a row.  A batch of texts is cut, and its different words are told apart, by Arrow; each
+    of those is looked up once or encoded by the library, and the ids are laid out by numpy.  One table holds
+    words and the parts they are cut into (a part is a word that is cut into itself); it is bounded and has two
+    generations, so frequent words outlive rare ones.  Words with other characters, texts with the strings of
+    added tokens, and all texts under a vocabulary with other rules (which probes tell) go whole to the library.
     """
 
     def __init__(self, path: str):
@@ -74,47 +77,63 @@ class WordEncoder:
         self.whole.no_padding()
         self.model = self.whole.model
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        # str.split() also cuts at four separators that the tokenizer takes for symbols.
-        self.apart = [*self.added, *"\x1c\x1d\x1e\x1f"]
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
         self.by_word = all(b"".join(map(self._word, p.split())) == self._whole(p) for p in _PROBES)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            found = self.old_parts.get(part)
-            if found is None:
-                shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-                found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            if len(part) <= 64:
-                if len(self.parts) >= _CACHED:
-                    self.old_parts, self.parts = self.parts, {}
-                self.parts[part] = found
-        return found
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is not None:
+            return found
         found = self.old_words.get(word)
         if found is None:
-            found = b"".join(map(self._part, _CUT.findall(word.lower()))) if _PLAIN.fullmatch(word) else self._whole(word)
+            if word.isascii() and word.isalpha():
+                low = word.lower()
+                found = self._part(word) if low == word else self._word(low)
+            elif _PLAIN.fullmatch(word):
+                parts = _CUT.findall(word.lower())
+                found = self._part(word) if parts == [word] else b"".join(map(self._word, parts))
+            else:
+                found = self._whole(word)
         if len(word) <= 64 and len(self.words) < 2 * _CACHED:
             self.words[word] = found
         return found
 
-    def ids(self, text: str) -> bytes:
-        """Unsigned 32-bit ids, in the machine's (little-endian) order."""
-        if not self.by_word or any(a in text for a in self.apart):
-            return self._whole(text)
+    def encode(self, texts: pa.Array) -> list[memoryview]:
+        """Unsigned 32-bit ids of each text (null: none), in the machine's (little-endian) order."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            return [memoryview(self._whole(t.as_py())) for t in texts]
         if len(self.words) >= _CACHED:
             self.old_words, self.words = self.words, {}
+        # At ASCII's white space only: a word that holds other white space goes to the library.
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
         get, word = self.words.get, self._word
-        return b"".join([get(w) or word(w) for w in text.split()])
+        found = [get(w) or word(w) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins, at = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        counts = sizes[at]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        places = np.repeat(begins[at] - ends[:-1], counts) + np.arange(ends[-1])
+        ids = memoryview(np.frombuffer(b"".join(found), np.uint32)[places].tobytes())
+        bounds = (4 * ends[words.offsets.to_numpy()]).tolist()
+        out = [ids[a:b] for a, b in pairwise(bounds)]
+        for string in self.added:
+            for k in np.flatnonzero(pc.match_substring(texts, string).to_numpy(zero_copy_only=False)).tolist():
+                out[k] = memoryview(self._whole(texts[k].as_py()))
+        return out
+
+    def ids(self, text: str) -> bytes:
+        return bytes(self.encode(pa.array([text], pa.string()))[0])
 
 
 @lru_cache(maxsize=1)
@@ -132,12 +151,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
             out = [[] for _ in range(5)]
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                ids = memoryview(encoder.ids(text.as_py() or "") + end)
-                n = len(ids) // 4
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
+                n = len(ids) // 4 + 1
                 for k, start in enumerate(range(0, n, capacity)):
                     stop = min(n, start + capacity)
-                    for column, value in zip(out, (doc.as_py(), k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]))):
+                    crc = zlib.crc32(ids[4 * start : 4 * stop])
+                    for column, value in zip(out, (doc, k, start, stop - start, zlib.crc32(end, crc) if stop == n else crc)):
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -156,6 +157,23 @@ def test_words_of_a_large_vocabulary_are_encoded_once():
     assert first[::40] == [ours._whole(t) for t in texts[::40]] and packing._encoder(WORDS) is packing._encoder(WORDS)
 
 
+def test_a_batch_looks_up_its_different_words_only(noise):
+    """However often words come, the table is asked for each once; every text of a batch has the library's ids."""
+    asked = []
+
+    class Asked(dict):
+        def get(self, word):
+            asked.append(word)
+            return super().get(word)
+
+    ours = packing.WordEncoder(WORDS)
+    ours.words = Asked()
+    assert ours.ids("Again, again\n" * 5_000) == ours._whole("Again, again\n" * 5_000) and len(asked) < 20
+    texts = [*TEXTS, None, "", " ", "  a\x1cb \x85x\xa0y ", "<|endoftext|> a b", *noise]
+    for batch in (pa.array(texts), pa.array(["left out", *texts]).slice(1), pa.array(texts, pa.large_string()), pa.array([], pa.string())):
+        assert list(map(bytes, ours.encode(batch))) == [ours._whole(t or "") for t in batch.to_pylist()]
+
+
 def test_packing(spark):
     theirs = Tokenizer.from_file(WORDS)
     texts = [*TEXTS, None, "word " * 9000] + ["same text here"] * 50
