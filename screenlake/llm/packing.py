@@ -46,7 +46,7 @@ END_ID = 1
 #: tokenizer does: ASCII and the Latin-1 letters with precomposed accents.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-_CACHED = 240_000  # entries of a generation of the table: some 50 MB
+_CACHED = 174_000  # entries of a generation of the table: some 25 MB; one more doubles what its dict allocates
 #: What the library must say as the tables do before they are used with a vocabulary.
 _PROBES = ("It's WE'LL don't 'S", "naïve Über-cool x_1 23.5%", "(a)b [c] #d !? ...--", "ÀÉÎÕÜ ßþÿ", "e-mail: a.b@c.de")
 
@@ -103,7 +103,9 @@ class WordEncoder:
                 found = self._part(word) if parts == [word] else b"".join(map(self._word, parts))
             else:
                 found = self._whole(word)
-        if len(word) <= 64 and len(self.words) < 2 * _CACHED:
+        if len(word) <= 64:
+            if len(self.words) >= _CACHED:
+                self.old_words, self.words = self.words, {}
             self.words[word] = found
         return found
 
@@ -112,20 +114,20 @@ class WordEncoder:
         texts = pc.fill_null(texts, "")
         if not self.by_word:
             return [memoryview(self._whole(t.as_py())) for t in texts]
-        if len(self.words) >= _CACHED:
-            self.old_words, self.words = self.words, {}
         # At ASCII's white space only: a word that holds other white space goes to the library.
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        get, word = self.words.get, self._word
-        found = [get(w) or word(w) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begins, at = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        found = list(map(self._word, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        # A text has no more ids than bytes once normalised (NFC, lower case), and that makes them less than eight times as many.
+        kind = np.int32 if texts.nbytes < 1 << 28 else np.int64
+        sizes, at = np.fromiter(map(len, found), kind, len(found)) // 4, coded.indices.to_numpy()
         counts = sizes[at]
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        places = np.repeat(begins[at] - ends[:-1], counts) + np.arange(ends[-1])
-        ids = memoryview(np.frombuffer(b"".join(found), np.uint32)[places].tobytes())
-        bounds = (4 * ends[words.offsets.to_numpy()]).tolist()
+        ends = np.zeros(len(at) + 1, kind)
+        np.cumsum(counts, out=ends[1:])
+        places = np.repeat((np.cumsum(sizes, dtype=kind) - sizes)[at] - ends[:-1], counts)
+        places += np.arange(ends[-1], dtype=kind)
+        ids = memoryview(np.frombuffer(b"".join(found), np.uint32)[places].view(np.uint8))
+        bounds = (4 * ends[words.offsets.to_numpy()].astype(np.int64)).tolist()
         out = [ids[a:b] for a, b in pairwise(bounds)]
         for string in self.added:
             for k in np.flatnonzero(pc.match_substring(texts, string).to_numpy(zero_copy_only=False)).tolist():

@@ -174,6 +174,13 @@ def test_a_batch_looks_up_its_different_words_only(noise):
         assert list(map(bytes, ours.encode(batch))) == [ours._whole(t or "") for t in batch.to_pylist()]
 
 
+def test_the_word_table_is_bounded_within_a_batch(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHED", 50)
+    ours, names = packing.WordEncoder(WORDS), [f"{a}{b}{c}" for a in "abcdefgh" for b in "stuvwxyz" for c in "klmnopqr"]
+    text = " ".join([*names, *names])
+    assert ours.ids(text) == ours._whole(text) and len(ours.words) <= 50 and len(ours.old_words) <= 50
+
+
 def test_packing(spark):
     theirs = Tokenizer.from_file(WORDS)
     texts = [*TEXTS, None, "word " * 9000] + ["same text here"] * 50
