@@ -10,7 +10,9 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,33 +192,36 @@ def coalesce_batches(trace: DataFrame, width: int, key: list[str], position: str
 _COUNTERS = ["backend_checks", "base_confirmations", "race_extras", "cache_hits", "evictions", "expirations", "admitted"]
 
 
-def cache_counters(rows: DataFrame, shard: list[str], key: list[str], at: str, time: str, quotas: list[int], policies: list[str], ttl: float | None = None, forward: bool = False) -> DataFrame:
+def cache_counters(rows: DataFrame, shard: list[str], key: list[str], at: str, time: str, quotas: list[int], policies: list[str], ttl: float | None = None) -> DataFrame:
     """Per shard, quota and policy what a negative cache of the shard does to ``rows`` (shard, key, at, time, extras).
 
     Nothing is replayed.  A cache always holds the keys used last, so an entry is there if fewer than ``quota`` other
     keys were used since; 'second_hit' is the same cache without the first requests of keys.  From one such insertion to
     the next, entries that expire follow the chain of episodes, a first time past ``ttl`` after another.
     What was inserted and is not among the last ``quota`` keys has been evicted.  ``time`` (whole numbers) counts as not
-    running backwards in a shard: a null or an earlier time is the latest before it; with ``forward`` the caller knows of none.
+    running backwards in a shard: a null or an earlier time is the latest before it.  Rows that come with ``policy`` and
+    ``distance`` (``near_requests``) are a policy's uses, and no first request of a key that it passes over is among them.
     """
     each = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
-    totals = rows.groupBy(*shard).agg(F.count(F.lit(1)).alias("_n"), F.sum("extras").alias("_x"))
-    grid = totals.select("*", each("quota", quotas)).select("*", each("policy", policies))
+    known = "distance" in rows.columns
+    totals = rows.groupBy(*shard, *(["policy"] if known else [])).agg(F.count(F.lit(1)).alias("_n"), F.sum("extras").alias("_x"))
+    grid = totals.select("*", each("quota", quotas)).select("*", *([] if known else [each("policy", policies)]))
     per, live, admitting = [*shard, "policy", "quota"], [q for q in quotas if q > 0], [p for p in policies if p != "none"]
     no_cache = (F.col("quota") <= 0) | (F.col("policy") == "none")
     if not live or not admitting:
         zero = F.lit(0).cast("long")
         return grid.select(*per, (F.col("_n") + F.col("_x")).alias("backend_checks"), F.col("_n").alias("base_confirmations"), F.col("_x").alias("race_extras"), *[zero.alias(c) for c in _COUNTERS[3:]])
-    columns = list(dict.fromkeys([*shard, *key, at, time, "extras"]))
-    marked = running(rows.select(*columns).withColumn("_one", F.lit(1).cast("long")), list(dict.fromkeys([*shard, *key])), [at], {"_seen": ("sum", "_one")})
-    marked = saved(marked, "cache-requests")
-    first = marked.where("_seen = 1").groupBy(*shard).agg(F.count(F.lit(1)).alias("_first"), F.sum("extras").alias("_first_x"))
-    used = marked.select("*", each("policy", admitting)).where("policy = 'always' or _seen > 1").drop("_one", "_seen")
-    if ttl is not None and forward:
-        used = used.withColumn("_t", F.col(time).cast("long"))
-    elif ttl is not None:
+    if known:
+        used, first = rows, totals.select(*shard, F.lit(0).cast("long").alias("_first"), F.lit(0).cast("long").alias("_first_x")).distinct()
+    else:
+        columns = list(dict.fromkeys([*shard, *key, at, time, "extras"]))
+        marked = running(rows.select(*columns).withColumn("_one", F.lit(1).cast("long")), list(dict.fromkeys([*shard, *key])), [at], {"_seen": ("sum", "_one")})
+        marked = saved(marked, "cache-requests")
+        first = marked.where("_seen = 1").groupBy(*shard).agg(F.count(F.lit(1)).alias("_first"), F.sum("extras").alias("_first_x"))
+        used = marked.select("*", each("policy", admitting)).where("policy = 'always' or _seen > 1").drop("_one", "_seen")
+    if ttl is not None:
         used = running(used, [*shard, "policy"], [at], {"_t": ("max", time)}).withColumn("_t", F.coalesce(F.col("_t").cast("long"), F.lit(-(1 << 60))))
-    met = reuse_distance(used, [*shard, "policy"], key, at, [*(["_t"] if ttl is not None else []), "extras"])
+    met = used if known else reuse_distance(used, [*shard, "policy"], key, at, [*(["_t"] if ttl is not None else []), "extras"])
     met = met.select("*", each("quota", live)).withColumn("_enters", F.coalesce(F.col("distance") >= F.col("quota"), F.lit(True)).cast("long"))
     counted = F.sum("_enters").alias("_entries"), F.count_if(F.col("distance").isNull()).alias("_keys"), F.sum(F.col("_enters") * F.col("extras")).alias("_missed_x")
     if ttl is None:
@@ -261,6 +266,117 @@ def replay_interval(trace: DataFrame, start: int, stop: int, quota: int, policy:
     return cache_counters(rows, shard, key, at, time, [quota], [policy], ttl).drop("quota", "policy")
 
 
+#: Rows of a stretch of a trace, which ``near_requests`` looks at as one.
+STRETCH = 1 << 16
+
+
+def _near(previous: np.ndarray, quota: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of uses in a row, by the places of their keys' previous uses (-1: none), those that matter to a cache of up to
+    ``quota`` entries: (place, distance or -1, no use before it, edge).
+
+    They are the uses fewer than ``quota`` other keys after the previous one, with that one, and the edges: the first uses of
+    the first ``quota`` keys and the last ones of the last."""
+    place, piece = np.arange(len(previous)), max(64, min(2 * quota, len(previous)))
+    # A gap over a whole piece of so many different keys is out.
+    home = place // piece
+    full = np.bincount(home, previous < home * piece) >= quota
+    last = np.maximum.accumulate(np.where(full, np.arange(len(full)), -1))
+    may = np.flatnonzero((previous >= 0) & (previous // piece >= np.append(-1, last)[home]))
+    inside = np.bincount(previous[may], minlength=len(place) + 1) - np.bincount(may + 1, minlength=len(place) + 1)
+    inside = inside[:-1].cumsum() > 0
+    rank = inside.cumsum() - 1
+    between = smaller_before(previous[inside])[rank[may]] - rank[previous[may]] - 1
+    hit, distance = may[between < quota], np.full(len(place), -1)
+    distance[hit] = between[between < quota]
+    final = np.ones(len(place), bool)
+    final[previous[previous >= 0]] = False
+    edge = np.zeros(len(place), bool)
+    edge[np.flatnonzero(previous < 0)[:quota]] = edge[np.flatnonzero(final)[-quota:]] = True
+    chosen = edge.copy()
+    chosen[hit] = chosen[previous[hit]] = True
+    chosen = np.flatnonzero(chosen)
+    return chosen, distance[chosen], previous[chosen] < 0, edge[chosen]
+
+
+def _previous(codes: np.ndarray) -> np.ndarray:
+    """The place of the last equal code before each, -1 if there is none."""
+    order, found = np.argsort(codes, kind="stable"), np.full(len(codes), -1)
+    same = codes[order[1:]] == codes[order[:-1]]
+    found[order[1:][same]] = order[:-1][same]
+    return found
+
+
+def near_requests(rows: DataFrame, screens: DataFrame, unit, key: str, at: str, time: str, quota: int, policies: list[str], stretch: int = STRETCH) -> DataFrame:
+    """Per screen and policy the requests that a cache of up to ``quota`` entries may answer and those they follow
+    (screen, policy, key, at, time, extras, distance), ``at`` as positions, ``time`` as the latest so far.
+
+    Requests left out miss, and so does each one after them.  ``screens`` (start_bin, end_bin, memory, seed, epsilon) is the
+    caller's small grid; ``unit(seed)`` is what a screen holds against its epsilon, a function of the interval and ``key``.
+    The requests (start_bin, end_bin, key, at, time, extras) are not multiplied by screens and policies: they lie in order,
+    in stretches, and a stretch tells for each screen which of its uses have a previous one there with fewer than ``quota``
+    other keys since.  Over its ends reach only uses among the first ``quota`` keys of a stretch, back to such among the
+    last of an earlier one.  These edges of all stretches give the same distances below ``quota`` as the whole: of a
+    stretch within the gap they hold all keys or ``quota`` of them."""
+    span, screen = ["start_bin", "end_bin"], ["start_bin", "end_bin", "memory", "seed"]
+    admitting, types = [p for p in policies if p != "none"], dict(rows.dtypes)
+    rows = rows.select(*span, key, at, F.col(time).cast("long").alias(time), "extras").join(F.broadcast(screens.select(*span).distinct()), span, "left_semi")
+    if "second_hit" in admitting:
+        rows = running(rows.withColumn("_one", F.lit(1).cast("long")), [*span, key], [at], {"_seen": ("sum", "_one")}).drop("_one")
+    else:
+        rows = rows.withColumn("_seen", F.lit(1).cast("long"))
+    lines = [tuple(r) for r in screens.select(*screen, "epsilon").collect()]
+    seeds = sorted({line[3] for line in lines})
+    laid = rows.repartitionByRange(width_of(rows), *span, at).sortWithinPartitions(*span, at)
+    laid = laid.select(*span, key, time, "extras", "_seen", F.array(*map(unit, seeds)).alias("_unit"))
+    kinds = {**types, **dict(screens.dtypes), time: "bigint"}
+    names, whole = [*screen, "policy", key, at, time, "extras", "distance", "_open", "_edge"], {"int": np.int32, "bigint": np.int64}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in screen), "policy string", f"`{key}` {kinds[key]}", f"`{at}` bigint", f"`{time}` bigint", "extras bigint", "distance bigint", "_open boolean", "_edge boolean"])
+
+    def told(table: pa.Table, base: int):
+        table = table.combine_chunks()
+        first, last = (table.column(c).to_numpy() for c in span)
+        begins = np.flatnonzero(np.append(True, (np.diff(first) != 0) | (np.diff(last) != 0)))
+        for begin, end in zip(begins, np.append(begins[1:], len(table))):
+            part = table.slice(begin, end - begin)
+            codes = part.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            times = part.column(time).fill_null(-(1 << 60)).to_numpy()
+            units = part.column("_unit").combine_chunks().flatten().to_numpy().reshape(-1, len(seeds))
+            seen = part.column("_seen").to_numpy()
+            for policy in admitting:
+                uses = np.flatnonzero(seen > 1) if policy == "second_hit" else np.arange(len(part))
+                before = _previous(codes[uses])
+                for *bins, memory, seed, epsilon in lines:
+                    if bins != [first[begin], last[begin]]:
+                        continue
+                    through = units[uses, seeds.index(seed)] < epsilon
+                    if not through.any():
+                        continue
+                    # A key passes at all its uses or at none.
+                    own, passed = before[through], uses[through]
+                    place, distance, new, edge = _near(np.where(own >= 0, (through.cumsum() - 1)[own], -1), quota)
+                    picked, n = passed[place], len(place)
+                    taken = part.take(pa.array(picked))
+                    lists = [*(taken.column(c) for c in span), np.full(n, memory, whole[kinds["memory"]]), np.full(n, seed, whole[kinds["seed"]]), [policy] * n, taken.column(key)]
+                    lists += [base + begin + picked, np.maximum.accumulate(times[passed])[place], taken.column("extras"), pa.array(distance, mask=distance < 0), new, edge]
+                    yield from pa.table(dict(zip(names, lists))).combine_chunks().to_batches()
+
+    def run(batches):
+        held, size, base = [], 0, TaskContext.get().partitionId() << 40
+        for b in (b.slice(k, stretch) for b in batches for k in range(0, b.num_rows, stretch)):
+            held.append(b)
+            size += b.num_rows
+            if size >= stretch:
+                yield from told(pa.Table.from_batches(held), base)
+                held, size, base = [], 0, base + size
+        if held:
+            yield from told(pa.Table.from_batches(held), base)
+
+    found = saved(laid.mapInArrow(run, schema), "near-requests")
+    over = reuse_distance(found.where("_edge"), [*screen, "policy"], [key], at, ["_open"])
+    over = over.where(F.col("_open") & (F.col("distance") < quota)).select(*screen, "policy", at, F.col("distance").alias("_over"))
+    return found.join(over, [*screen, "policy", at], "left").withColumn("distance", F.coalesce("distance", "_over")).drop("_open", "_edge", "_over")
+
+
 def option_table(
     trace: DataFrame, intervals: DataFrame, memories: list[int], quotas: list[int], policies: list[str], seeds: list[int], beta: float, key: str = "token_key", bin_column: str = "bin",
     ttl: float | None = None, at: str = "event_index", time: str = "ts_ms", extras: str | None = None, memory_bytes: int = 1, entry_bytes: int = 64, resource_quantum: int = 1024, compromise_quantum: float = 1.0,
@@ -270,10 +386,11 @@ def option_table(
     ``intervals`` (start_bin, end_bin and, if the caller has them, occupancy and compromise) is the caller's small grid;
     occupancy defaults to the interval's identities, compromise to 1.  A screen of memory m lets an identity
     through when its sticky hash lies under epsilon = exp(-beta m / occupancy).  What passes meets a
-    cache of the option's quota, policy and ``ttl`` (``cache_counters``).  Caches that can't fill and whose entries don't
+    cache of the option's quota, policy and ``ttl`` (``cache_counters``), which is shown what it may answer (``near_requests``)
+    and saves that much of the cost without a cache.  Caches that can't fill and whose entries don't
     expire need none of that: an identity then costs its requests, one or at most two of them.
     """
-    extra = F.col(extras).cast("long") if extras else F.lit(0).cast("long")
+    extra = F.coalesce(F.col(extras).cast("long"), F.lit(0).cast("long")) if extras else F.lit(0).cast("long")
     i = intervals
     rows = trace.withColumn("extras", extra).join(i, (F.col(bin_column) >= i.start_bin) & (F.col(bin_column) < i.end_bin))
     span = ["start_bin", "end_bin"]
@@ -303,13 +420,15 @@ def option_table(
         alike = Window.partitionBy(*span, "_all").orderBy("memory", "seed").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         open_ = open_.withColumn("_as", F.when(F.col("_all"), F.first(F.struct("memory", "seed")).over(alike)).otherwise(F.struct("memory", "seed")))
         own = (F.col("_as.memory") == F.col("memory")) & (F.col("_as.seed") == F.col("seed"))
-        through = saved(rows.select(*span, key, at, time, "extras").join(F.broadcast(open_.where(own).select(*screen, "occupancy")), span).where(unit < epsilon).drop("occupancy"), "screened")
-        # If time never runs backwards in the trace it doesn't behind a screen.
-        forward = running(trace.select(at, time), [], [at], {"_before": ("max", time)}, before=True).where(F.col(time).isNull() | (F.col(time) < F.col("_before"))).isEmpty()
-        found = cache_counters(through, screen, [key], at, time, quotas, policies, ttl, forward).select(*option, "backend_checks")
+        screens = open_.where(own).select(*screen, epsilon.alias("epsilon"))
+        sticky = lambda seed: S.hash32(F.concat_ws("|", F.concat_ws(":", F.lit(seed), "start_bin", "end_bin"), F.col(key))) / float(1 << 32)
+        through = near_requests(rows, screens, sticky, key, at, time, max(1, *quotas), policies, STRETCH)
+        shown = through.groupBy(*screen, "policy").agg(F.sum(1 + F.col("extras")).alias("_shown"))
+        found = cache_counters(through, screen, [key], at, time, quotas, policies, ttl).join(shown, [*screen, "policy"])
+        found = found.select(*option, (F.col("_shown") - F.col("backend_checks")).alias("_saved"))
         found = found.withColumnsRenamed({"memory": "_m", "seed": "_s"}).join(open_.select(*screen, "_as"), span)
         found = found.where((F.col("_as.memory") == F.col("_m")) & (F.col("_as.seed") == F.col("_s"))).drop("_m", "_s", "_as")
-        grid = grid.join(found, option, "left").withColumn("cost", F.coalesce("cost", "backend_checks")).drop("backend_checks")
+        grid = grid.join(found, option, "left").withColumn("cost", F.coalesce("cost", F.col("none") - F.coalesce("_saved", F.lit(0)))).drop("_saved")
     total = F.col("memory") * memory_bytes + F.col("quota") * entry_bytes
     out = grid.groupBy(*span, "memory", "quota", "policy").agg(
         F.avg("cost").alias("mean_cost"), (F.stddev_samp("cost") / F.sqrt(F.count(F.lit(1)))).alias("stderr"), F.sort_array(F.collect_list("cost")).alias("seed_costs"), F.max(epsilon).alias("epsilon"), F.max("compromise").alias("_c")

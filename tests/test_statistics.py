@@ -126,6 +126,45 @@ def test_screens_that_let_all_through_share_one_cache(spark, monkeypatch):
     assert {(x["end_bin"], x["mean_cost"]) for x in got} == set(want.items())
 
 
+@pytest.mark.parametrize("stretch", [13, 1 << 16])
+@pytest.mark.parametrize("ttl", [None, 50])
+def test_options_over_stretches_and_times_that_run_back(spark, monkeypatch, stretch, ttl):
+    r = random.Random(stretch)
+    rows = [(i, f"k{min(r.randrange(60), r.randrange(60), i // 4)}", 3 * i - r.randrange(40) if i % 11 else None, r.randrange(2), r.randrange(4)) for i in range(500)]
+    t = spark.createDataFrame(rows, "event_index long, token_key string, ts_ms long, races long, bin long")
+    monkeypatch.setattr(trace, "STRETCH", stretch)
+    grid = spark.createDataFrame([(0, 3, 40.0, 8.0), (1, 4, 60.0, 9.0)], "start_bin long, end_bin long, occupancy double, compromise double")
+    got = trace.option_table(t, grid, [0, 30], [0, 1, 6, 25], ["always", "second_hit", "none"], [1, 2], 0.5, ttl=ttl, extras="races").collect()
+    assert len(got) == 2 * 2 * 4 * 3
+    import hashlib
+
+    for x in got:
+        a, b, m = (x[c] for c in ("start_bin", "end_bin", "memory"))
+        eps, costs = math.exp(-0.5 * m / {0: 40.0, 1: 60.0}[a]), []
+        for seed in (1, 2):
+            met, latest = [], {p: -(1 << 60) for p in (False, True)}
+            known = set()
+            for _, k, at, e, bin_ in rows:
+                if a <= bin_ < b and int(hashlib.md5(f"{seed}:{a}:{b}|{k}".encode()).hexdigest()[:8], 16) / 2**32 < eps:
+                    # The clock of a cache is that of the requests it is asked for: with 'second_hit' not a key's first.
+                    if x["policy"] != "second_hit" or k in known:
+                        latest[True] = max(latest[True], -(1 << 60) if at is None else at)
+                    known.add(k)
+                    met.append((k, latest[True], e))
+            costs.append(plain_replay(met, x["quota"], x["policy"], ttl)["backend_checks"])
+        assert x["seed_costs"] == sorted(costs), x
+
+
+def test_requests_no_cache_can_answer_are_not_multiplied_by_options(spark, monkeypatch):
+    r = random.Random(7)
+    rows = [(i, f"k{r.randrange(4000)}", 3 * i, 0) for i in range(8000)]
+    t, met, counters = spark.createDataFrame(rows, "event_index long, token_key string, ts_ms long, bin long"), [], trace.cache_counters
+    monkeypatch.setattr(trace, "cache_counters", lambda df, *a: met.append(df.count()) or counters(df, *a))
+    got = trace.option_table(t, spark.createDataFrame([(0, 1)], "start_bin long, end_bin long"), [0, 100, 900], [8], ["always", "second_hit"], [1, 2, 3], 0.5, ttl=600).collect()
+    assert {x["mean_cost"] for x in got if x["memory"] == 0} == {plain_replay([(k, at, 0) for _, k, at, _ in rows], 8, p, 600)["backend_checks"] for p in ("always", "second_hit")}
+    assert len(met) == 1 and met[0] < len(rows) / 4
+
+
 def test_grid_allocation_makes_no_row_per_rate(spark):
     columns = "instance long, a double, weight double, compromise double, low double, high double, budget double, floor double"
     df = spark.createDataFrame([(1, 2.0, 3.0, 2.0, 0.01, 0.9, 2 * math.log(5), 0.0), (2, 1.0, 3.0, 2.0, 0.01, 0.9, 9.0, 0.6), (3, 1.0, 1.0, 1.0, 0.01, 0.9, 9.0, 0.95), (4, None, 1.0, 1.0, 0.01, 0.9, 9.0, 0.1)], columns)
