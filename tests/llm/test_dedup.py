@@ -1,6 +1,7 @@
 """Exact copies, SimHash components and repeated passages against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -362,6 +363,62 @@ def test_every_link_of_fifty_equal_words_is_told(spark, partitions):
     assert len({(x["doc_id"], x["start"], x["stop"], x["match_id"], x["match_start"], x["match_stop"]) for x in got}) == len(got) < 2000
 
 
+def with_changes(r, words, every):
+    """``words`` with each ``every``-th one changed."""
+    return [f"other{r.randrange(10**6)}" if k % every == every - 1 else w for k, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("tile", [7, 1024])
+def test_parts_in_other_documents_hide_no_changed_passage(spark, monkeypatch, tile):
+    """Two holders of a passage, one with changes, and many documents with the words between two changes."""
+    r = random.Random(29)
+    texts = {}
+    for group in range(5):
+        passage, base = words_of(r, 120), 1000 * group
+        # Three words more in the one make the other end of a shift.
+        changed = with_changes(r, passage, 30) if group < 4 else passage[:30] + words_of(r, 3) + passage[30:60] + words_of(r, 2) + passage[60:90]
+        texts[base], texts[base + 999] = words_of(r, 40) + passage + words_of(r, 30), words_of(r, 10) + changed + words_of(r, 90)
+        for k in range(160):
+            begin = 30 * (k % 4)
+            texts[base + 1 + k] = words_of(r, r.randrange(40)) + passage[begin : begin + 29] + words_of(r, r.randrange(60))
+    monkeypatch.setattr(substring_dedup, "TILE", tile)
+    got = substring_dedup.repeated_passages(docs(spark, [(i, " ".join(w)) for i, w in texts.items()]), within=False).collect()
+    assert {(x["doc_id"], x["match_id"]) for x in got} == {p for b in range(0, 5000, 1000) for p in ((b, b + 999), (b + 999, b))}
+    assert all((x["class_id"], x["class_size"]) == (x["doc_id"] // 1000 * 1000, 2) for x in got)
+    for x in got:
+        a, b = texts[x["doc_id"]][x["start"] : x["stop"]], texts[x["match_id"]][x["match_start"] : x["match_stop"]]
+        assert x["matched"] >= 50 and x["similarity"] >= 0.8 and x["matched"] <= lcs(a, b)
+
+
+def lcs(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        best = [0, *itertools.accumulate(((best[k] + 1 if x == y else best[k + 1]) for k, y in enumerate(b)), max)]
+    return best[-1]
+
+
+def test_tiles_tell_the_links_of_each_place():
+    """Of places of three classes the pairs that grow to a passage, in one bucket and across two."""
+    r = np.random.default_rng(31)
+    text = r.integers(0, 60_000, (40, 140), dtype=np.uint16)
+    text[:, 60:85] = text[0, 60:85]
+    for k in range(0, 40, 4):
+        text[k, 20:110] = text[0, 20:110]
+        text[k, [50, 90 + k // 4]] = 60_000 + k
+    text[4, 58:] = np.concatenate(([61_000, 61_001], text[0, 58:138]))
+    text[4, :60] = text[0, :60]
+    rows = {"pos": [1000 * k + 64 for k in range(40)], "before": [64] * 40, "class_id": [k % 12 for k in range(40)], "doc_id": list(range(40)), "bucket": [k % 2 for k in range(40)], "words": [x[:133].tobytes() for x in text]}
+    x = text[:, :133]
+    longest = lambda p, q: 5 + sum(substring_dedup.grow(a, b)[2] for a, b in ((x[p, :64][::-1], x[q, :64][::-1]), (x[p, 69:], x[q, 69:])))
+    want = {(p, q) for p in range(40) for q in range(p + 1, 40) if p % 12 != q % 12 and longest(p, q) >= 50}
+    places = {y for p, q in want for y in ((p, q % 12), (q, p % 12))}
+    told = substring_dedup._tile(rows, False)
+    assert len(want) > 20 and {(t[0], t[3]) for t in told} <= want
+    assert {y for t in told for y in ((t[0], t[3] % 12), (t[3], t[0] % 12))} == places
+    mixed = {(t[0], t[3]) for t in substring_dedup._tile({**rows, "bucket": [k // 4 % 2 for k in range(40)]}, True)}
+    assert mixed <= {(p, q) for p, q in want if p // 4 % 2 != q // 4 % 2} and mixed
+
+
 def test_chain_prefers_collinear_matches():
     p, q = [0, 5, 10, 12, 15], [100, 105, 110, 3, 115]
     best = substring_dedup.chain(p, q)[0]
